@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .chat_format import op6_chat_format
 from .quality_rules import op1_quality_rules
+from .sharding import op4_sharding
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op4_sharding": op4_sharding,
+        "op6_chat_format": op6_chat_format,
     }
 
 
