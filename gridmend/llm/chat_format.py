@@ -125,7 +125,8 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
     """Digests of all conversations, read back from their formatted texts; each table row is a whole message."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(probe).alias("text"))
     log = rows.union(extra).select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("msg"), F.lit("message").alias("kind"), "role", "text")
     chats = format_chats(log)
     both = F.struct(parsed(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"))

@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from .chat_format import op6_chat_format
+from .embedding_dedup import op8_embedding_dedup
+from .minhash_dedup import op3_minhash_dedup
 from .quality_rules import op1_quality_rules
 from .sharding import op4_sharding
+from .token_counts import op7_token_counts
+from .toxicity import op9_toxicity
+
+_QUERIES = (
+    op1_quality_rules,
+    op3_minhash_dedup,
+    op4_sharding,
+    op6_chat_format,
+    op7_token_counts,
+    op8_embedding_dedup,
+    op9_toxicity,
+)
 
 
 def queries() -> dict:
-    return {
-        "op1_quality_rules": op1_quality_rules,
-        "op4_sharding": op4_sharding,
-        "op6_chat_format": op6_chat_format,
-    }
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict:
