@@ -237,7 +237,8 @@ def links(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame
     """(a, b): verified links that connect what is similar within each coarse cluster (node, root)."""
     sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("root", "at")
     placed = clusters.join(sizes, clusters.root == sizes.at).select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("home"))
-    texts = texts_of(docs)
+    # texts are far larger than the clusters, however few these are: the plan is the same at every size
+    texts = texts_of(docs).hint("merge")
     members = placed.join(texts, placed.node == texts.h).select("h", "text", "root", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = members.select("root", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), (F.col("home") > F.col("other")).cast("int").alias("side"), "h", "text")
 
