@@ -5,19 +5,25 @@ from __future__ import annotations
 from .chat_format import op6_chat_format
 from .embedding_dedup import op8_embedding_dedup
 from .minhash_dedup import op3_minhash_dedup
+from .mixing import op5_mixing
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import op1_quality_rules
+from .sentencepiece_viterbi import op2_sentencepiece
 from .sharding import op4_sharding
 from .token_counts import op7_token_counts
 from .toxicity import op9_toxicity
 
 _QUERIES = (
     op1_quality_rules,
+    op2_sentencepiece,
     op3_minhash_dedup,
     op4_sharding,
+    op5_mixing,
     op6_chat_format,
     op7_token_counts,
     op8_embedding_dedup,
     op9_toxicity,
+    op10_quality_classifier,
 )
 
 
