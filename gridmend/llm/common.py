@@ -51,6 +51,15 @@ def erase(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to 500 rows, so that a worker has few texts in memory at once."""
+    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= most:
+        conf.set(key, str(most))
+    return df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once and bound to a lambda variable."""
     return F.transform(F.array(value), body)[0]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, unused, written
+from .common import lean, table, unused, written
 from .graph import components
 
 #: Words of a shingle, the similarity, bands and their rows, texts in a block.
@@ -32,7 +32,7 @@ SIZE = BANDS * BAND_ROWS
 #: Pairs whose signatures agree in a smaller share aren't verified: over five standard deviations under 0.8.
 LOOKS = SIMILARITY - 5.2 * (SIMILARITY * (1 - SIMILARITY) / SIZE) ** 0.5
 #: Shingles that are processed together, and word hashes that a worker keeps.
-TOGETHER, CACHE = 400_000, 500_000
+TOGETHER, CACHE = 100_000, 150_000
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = [np.uint64(pow(0x2545F4914F6CDD1D, k, 2**64)) for k in range(WORDS)]
 _hashes: dict[bytes, int] = {}
@@ -166,7 +166,7 @@ def prints(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, h binary, key binary, bands array<long>")
+    return lean(docs.select("doc_id", "text")).mapInArrow(of, f"doc_id {kind}, h binary, key binary, bands array<long>")
 
 
 def stars(marked: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
             new = [h is not None and h not in seen and not seen.add(h) for h in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0)], names=["h", "text"]).filter(pa.array(new, pa.bool_()))
 
-    return docs.select("text").mapInArrow(of, "h binary, text string")
+    return lean(docs.select("text")).mapInArrow(of, "h binary, text string")
 
 
 def tile_edges(keys: list[bytes], side: np.ndarray, texts: list[str]) -> list[tuple[bytes, bytes]]:
@@ -258,7 +258,7 @@ def links(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame
                 keys.append(h), side.append(s), texts.append(t)
         yield from done()
 
-    return tiles.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(of, "a binary, b binary")
+    return lean(tiles).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(of, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
             keys = [_row_key(i, h) for i, h in zip(b.column(at[0]).to_pylist(), hs, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, own])
 
-    rows = docs.mapInArrow(keyed, docs.withColumn(own, F.lit(b"")).schema)
+    rows = lean(docs).mapInArrow(keyed, docs.withColumn(own, F.lit(b"")).schema)
     return rows.join(kept, rows[own] == kept.key, "left_semi").dropDuplicates([own]).drop(own)
 
 

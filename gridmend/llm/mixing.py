@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, written
 
 #: Bounds of the fit: documents, domains, hashed words of the classifier; steps at most, and the error of a share at
 #: which they end.
@@ -46,7 +46,7 @@ class Classifier:
         for w in WORD.findall(text.lower()):
             b = cache.get(w)
             if b is None:
-                if len(cache) >= 300_000:
+                if len(cache) >= 200_000:
                     cache.clear()
                 b = cache[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
             out.append(b)
@@ -153,7 +153,7 @@ def members(docs: DataFrame, classifier: Classifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.split()) for t in texts], pa.int64()), p], names=["doc_id", "n", "p"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n long, p array<double>")
+    return lean(docs.select("doc_id", "text")).mapInArrow(of, f"doc_id {kind}, n long, p array<double>")
 
 
 def fit_rates(table_: DataFrame, classifier: Classifier, targets: dict[str, float] | None = None) -> Mix:
@@ -242,7 +242,7 @@ def with_copies(docs: DataFrame, mix: Mix) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *new])
 
     schema = docs.withColumns({"gm_domain": F.lit(""), "gm_n": F.lit(0).cast("long"), "gm_rate": F.lit(0.0), "gm_copies": F.lit(0).cast("long")}).schema
-    return docs.mapInArrow(of, schema)
+    return lean(docs).mapInArrow(of, schema)
 
 
 def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

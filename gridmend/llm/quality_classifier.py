@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: Bounds of the fit: labelled rows, bytes of a text that is used for it. At most 160 MB reach the driver, about
@@ -95,7 +95,7 @@ def score_quality(docs: DataFrame, model: Compressors, out: str = "score") -> Da
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(known.value.score(b.column(place).to_pylist()), pa.float64())], names=[*b.schema.names, out])
 
-    return docs.select(*kept).mapInArrow(of, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
+    return lean(docs.select(*kept)).mapInArrow(of, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
 
 
 def classify_filter(docs: DataFrame, labels: DataFrame, train, least: float = 0.5, model_docs: DataFrame | None = None) -> DataFrame:

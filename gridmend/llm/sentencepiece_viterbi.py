@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 #: The letter that stands for a space, a fixed value of the format.
 SPACE = "▁"
 #: Where a text is cut before the search: no piece has a space after another letter, and a line break is no piece.
 SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Segments that a worker keeps, letters of the longest one kept, and pairs whose compatibility it keeps.
-CACHE, KEPT_LETTERS, PAIRS = 600_000, 64, 1_000_000
+CACHE, KEPT_LETTERS, PAIRS = 300_000, 64, 500_000
 
 
 @dataclass(frozen=True)
@@ -197,7 +197,7 @@ def encode_column(docs: DataFrame, model: Model, out: str = "ids") -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*b.schema.names, out])
 
-    return docs.select(*kept).mapInArrow(of, docs.select(*kept).withColumn(out, F.array().cast("array<int>")).schema)
+    return lean(docs.select(*kept)).mapInArrow(of, docs.select(*kept).withColumn(out, F.array().cast("array<int>")).schema)
 
 
 def decode_column(rows: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -215,7 +215,7 @@ def decode_column(rows: DataFrame, model: Model, ids: str = "ids", out: str = "d
                 texts = [codec.decode(x or ()) for x in part.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return rows.select(*kept).mapInArrow(of, rows.select(*kept).withColumn(out, F.lit("")).schema)
+    return lean(rows.select(*kept)).mapInArrow(of, rows.select(*kept).withColumn(out, F.lit("")).schema)
 
 
 def encoded_and_decoded(docs: DataFrame, model: Model) -> DataFrame:

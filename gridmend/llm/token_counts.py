@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 #: Rows that the head-start table is built from, at most about; entries that it holds; entries of a worker's cache.
-SAMPLE_ROWS, TABLE_ENTRIES, CACHE_ENTRIES = 4_000, 50_000, 400_000
+SAMPLE_ROWS, TABLE_ENTRIES, CACHE_ENTRIES = 4_000, 50_000, 300_000
 #: Texts beyond these characters go to the library whole, so that no difference between two versions of the Unicode
 #: tables, or between two ideas of white space, can matter.
 PLAIN = r"[\t\n\r\x20-\x7e¡-¬®-ɏΑ-ΡΣ-ωА-я‐-‧€一-龥]*"
@@ -26,10 +26,10 @@ PLAIN = r"[\t\n\r\x20-\x7e¡-¬®-ɏΑ-ΡΣ-ωА-я‐-‧€一-龥]*"
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Counter2:
+class TokenCounter:
     """Counts tokens as the library does. One for each tokenizer file in a worker."""
 
-    made: dict[str, Counter2] = {}
+    made: dict[str, TokenCounter] = {}
 
     def __init__(self, file: str) -> None:
         import json
@@ -49,7 +49,7 @@ class Counter2:
         self.cache: dict[str, int] = {}
 
     @classmethod
-    def of(cls, file: str) -> Counter2:
+    def of(cls, file: str) -> TokenCounter:
         key = hashlib.sha256(file.encode()).hexdigest()
         if key not in cls.made:
             cls.made[key] = cls(file)
@@ -93,7 +93,7 @@ def frequent_table(texts: DataFrame, file: str, rows: int, seed: int = 7) -> dic
     """Up to TABLE_ENTRIES frequent pre-tokens of about ``rows`` sampled texts, with their token counts."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = Counter2.of(file), Counter()
+        counter, seen = TokenCounter.of(file), Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(counter.pre_tokens(t or "") or ())
@@ -103,7 +103,7 @@ def frequent_table(texts: DataFrame, file: str, rows: int, seed: int = 7) -> dic
     total = texts.count()
     if not total:
         return {}
-    sample = texts.sample(min(1.0, rows / total), seed).mapInArrow(tally, "part string, times long, size int")
+    sample = lean(texts).sample(min(1.0, rows / total), seed).mapInArrow(tally, "part string, times long, size int")
     best = sample.groupBy("part", "size").agg(F.sum("times").alias("times")).where("times > 1").orderBy(F.desc("times"), "part").limit(TABLE_ENTRIES)
     return {r.part: r.size for r in best.select("part", F.col("size")).collect()}
 
@@ -123,12 +123,12 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, out: str = "n_to
     schema = docs.select(*kept).withColumn(out, F.lit(0).cast("long")).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, known = Counter2.of(content.value), frequent.value
+        counter, known = TokenCounter.of(content.value), frequent.value
         for b in batches:
             n = [counter.count(t, known) if t else 0 for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, out])
 
-    return docs.select(*kept).mapInArrow(count, schema)
+    return lean(docs.select(*kept)).mapInArrow(count, schema)
 
 
 def op7_token_counts(spark, sf_dir: str, limit: int = 512) -> DataFrame:

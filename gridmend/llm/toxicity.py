@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, written
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: Bounds of the fit: labelled rows, words of the lexicon, clean words remembered because they resemble it.
@@ -28,7 +28,7 @@ FIT_ROWS, LEXICON, CLEAN = 20_000, 4_000, 50_000
 #: standard errors.
 SUPPORT, LOG_ODDS = 4, 1.5
 #: Words on each side of a hit that are its context, and words whose classes a worker keeps.
-WINDOW, CACHE = 6, 500_000
+WINDOW, CACHE = 6, 300_000
 WORD = re.compile(r"\w+")
 QUOTES = re.compile("[\"“”„«»]")
 #: Words of reporting in four languages.
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label:
         words = list(set().union(*seen.values()))
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[y, third][w] for w in words], pa.int64()) for y, third in KINDS)], names=["word", *NAMES])
 
-    counts = sample.mapInArrow(tally, "word string, " + ", ".join(f"{n} long" for n in NAMES)).groupBy("word").agg(*(F.sum(n).alias(n) for n in NAMES))
+    counts = lean(sample).mapInArrow(tally, "word string, " + ", ".join(f"{n} long" for n in NAMES)).groupBy("word").agg(*(F.sum(n).alias(n) for n in NAMES))
     counts = written(counts.where("bad0 + bad1 + good0 + good1 > 1"), "word-counts")
 
     def lexicon(folds: tuple[bool, ...]) -> Lexicon:
@@ -211,7 +211,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, out: str = "score") -> Dat
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(known.value.score(b.column(place).to_pylist()), pa.float64())], names=[*b.schema.names, out])
 
-    return docs.select(*kept).mapInArrow(of, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
+    return lean(docs.select(*kept)).mapInArrow(of, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
