@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with the SQL that it is held against."""
 
-from . import assessment, restoration, tables
+from . import assessment, restoration, simulated, tables
 from .catalog import QUERIES
 
-__all__ = ["QUERIES", "assessment", "restoration", "tables"]
+__all__ = ["QUERIES", "assessment", "restoration", "simulated", "tables"]
