@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,18 @@ def erase(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: list = []
+
+
+def claim(name: str, drop: Callable[[], None]) -> None:
+    """Called by an operator in a Python worker: what another operator has cached there is dropped first, since Spark
+    uses a worker for one operator after another."""
+    if _held and _held[0] != name:
+        _held[1]()
+        pa.default_memory_pool().release_unused()
+    _held[:] = [name, drop]
+
+
 def lean(df: DataFrame) -> DataFrame:
     """``df``, with the session's Arrow batches held to 500 rows, so that a worker has few texts in memory at once."""
     key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", 500

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table, unused, written
+from .common import claim, lean, table, unused, written
 from .graph import components
 
 #: Words of a shingle, the similarity, bands and their rows, texts in a block.
@@ -135,6 +135,7 @@ def prints(docs: DataFrame) -> DataFrame:
     task's equal texts has. Texts without words have neither h nor bands."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, _hashes.clear)
         seen: set[bytes] = set()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -243,6 +244,7 @@ def links(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame
     tiles = members.select("root", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), (F.col("home") > F.col("other")).cast("int").alias("side"), "h", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, _hashes.clear)
         now, keys, side, texts = None, [], [], []
 
         def done() -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import claim, lean, table
 
 #: Rows that the head-start table is built from, at most about; entries that it holds; entries of a worker's cache.
 SAMPLE_ROWS, TABLE_ENTRIES, CACHE_ENTRIES = 4_000, 50_000, 300_000
@@ -50,6 +50,7 @@ class TokenCounter:
 
     @classmethod
     def of(cls, file: str) -> TokenCounter:
+        claim(__name__, cls.made.clear)
         key = hashlib.sha256(file.encode()).hexdigest()
         if key not in cls.made:
             cls.made[key] = cls(file)

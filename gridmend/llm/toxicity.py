@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table, written
+from .common import claim, lean, table, written
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: Bounds of the fit: labelled rows, words of the lexicon, clean words remembered because they resemble it.
@@ -141,6 +141,7 @@ class Lexicon:
         return [np.log1p(direct), np.log1p(misspelled), np.log1p(quoted), top, direct / max(len(words), 1) ** 0.5]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
+        claim(__name__, self.cache.clear)
         x = np.array([self.features(t or "") for t in texts]).reshape(len(texts), -1)
         return sigmoid(np.column_stack([x, np.ones(len(x))]) @ self.weights)
 
