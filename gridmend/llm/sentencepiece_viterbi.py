@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import claim, lean, table
 
 #: The letter that stands for a space, a fixed value of the format.
 SPACE = "▁"
 #: Where a text is cut before the search: no piece has a space after another letter, and a line break is no piece.
 SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Segments that a worker keeps, letters of the longest one kept, and pairs whose compatibility it keeps.
-CACHE, KEPT_LETTERS, PAIRS = 300_000, 64, 500_000
+#: Segments of a generation of a worker's cache, letters of the longest one kept, and pairs whose compatibility it keeps.
+CACHE, KEPT_LETTERS, PAIRS = 250_000, 64, 500_000
+#: Lengths of pieces that are tried at every position.
+SHORT = (3, 2, 1)
 
 
 @dataclass(frozen=True)
@@ -69,13 +72,23 @@ class Codec:
         self.ids = {p: i for i, (p, n) in enumerate(zip(model.pieces, model.normal, strict=True)) if n}
         self.longest = max(map(len, self.ids), default=1)
         self.pairs: dict[int, bool] = {}
-        self.whole: list[bool | None] = [None] * len(model.pieces)
-        self.segments: dict[str, bytes] = {}
+        #: Two generations: what is asked for moves to the young one, and the old one is dropped when that is full.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # pieces whose own letters merge into something else are never used
+        self.ids = {p: i for p, i in self.ids.items() if self.merged(p) == [p]}
+        #: For each last four letters, the lengths of the pieces that end with them, longest first; then SHORT.
+        found: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 3:
+                found.setdefault(p[-4:], set()).add(len(p))
+        self.lengths = {k: (*sorted(v, reverse=True), *SHORT) for k, v in found.items()}
         bytes_of = {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
         self.said = [bytes_of.get(i, p.replace(SPACE, " ").encode() if n else b"") for i, (p, n) in enumerate(zip(model.pieces, model.normal, strict=True))]
 
     @classmethod
     def of(cls, model: Model) -> Codec:
+        claim(__name__, cls.made.clear)
         key = hashlib.sha256("\n".join(model.pieces).encode()).hexdigest()
         if key not in cls.made:
             cls.made[key] = cls(model)
@@ -94,49 +107,59 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stands(self, i: int) -> bool:
-        """Whether the letters of piece i merge into it."""
-        if self.whole[i] is None:
-            self.whole[i] = self.merged(self.model.pieces[i]) == [self.model.pieces[i]]
-        return self.whole[i]
-
     def fits(self, a: int, b: int) -> bool:
         """Whether the letters of pieces a and b merge into a and b."""
-        found = self.pairs.get(a << 32 | b)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            x, y = self.model.pieces[a], self.model.pieces[b]
-            found = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        x, y = self.model.pieces[a], self.model.pieces[b]
+        found = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
         return found
 
+    def advance(self, text: str, begins: list[int], last: list[int]) -> None:
+        """Carries the search on to the end of ``text``. For each position: where its last piece begins, and that
+        piece (-1: bytes, or none)."""
+        piece_of, known, lengths = self.ids.get, self.pairs.get, self.lengths.get
+        for i in range(len(begins), len(text) + 1):
+            for n in lengths(text[i - 4 : i], SHORT) if i > 3 else SHORT:
+                j = i - n
+                if j >= 0:
+                    p = piece_of(text[j:i])
+                    if p is not None:
+                        before = last[j]
+                        if before < 0:
+                            break
+                        fit = known(before << 32 | p)
+                        if fit is None:
+                            fit = self.fits(before, p)
+                        if fit:
+                            break
+            else:
+                j, p = i - 1, -1
+            begins.append(j)
+            last.append(p)
+
     def stream(self, chunks: Iterable[str]) -> Iterator[int]:
         """Ids of a text that comes in chunks, each as soon as no later letter can change it."""
-        text = ""  # what isn't committed
-        begins, last = [0], [-1]  # for each position: where its last piece begins, and that piece (-1: bytes, or none)
-        ids, longest, fits, stands = self.ids, self.longest, self.fits, self.stands
+        text, begins, last, window = "", [0], [-1], 4 * self.longest
         for chunk in chunks:
-            text += chunk
-            while len(begins) <= len(text):
-                i = len(begins)
-                start, found = i - 1, -1
-                if text[i - 1] in ids:
-                    for j in range(i - longest if i > longest else 0, i):
-                        p = ids.get(text[j:i])
-                        if p is not None and (last[j] < 0 or fits(last[j], p)) and stands(p):
-                            start, found = j, p
-                            break
-                begins.append(start)
-                last.append(found)
-                if i >= 4 * longest:
-                    cut = self.meeting(begins)
-                    if cut:
-                        yield from self.path(text, begins, last, cut)
-                        text = text[cut:]
-                        # the piece that ends at the cut stays known: it decides what may follow
-                        begins, last = [0, *(j - cut for j in begins[cut + 1 :])], last[cut:]
+            for k in range(0, len(chunk), window):
+                text += chunk[k : k + window]
+                self.advance(text, begins, last)
+                if len(text) >= window and (cut := self.meeting(begins)):
+                    yield from self.path(text, begins, last, cut)
+                    text = text[cut:]
+                    # the piece that ends at the cut stays known: it decides what may follow
+                    begins, last = [0, *(j - cut for j in begins[cut + 1 :])], last[cut:]
         yield from self.path(text, begins, last, len(text))
 
+    def segment(self, text: str) -> Iterable[int]:
+        """Ids of a segment; one that is no longer than the window needs no commits."""
+        if len(text) > 4 * self.longest:
+            return self.stream((text,))
+        begins, last = [0], [-1]
+        self.advance(text, begins, last)
+        return self.path(text, begins, last, len(text))
+
     def meeting(self, begins: list[int]) -> int:
         """The last boundary that the paths of all positions where a piece may yet begin have in common."""
         alive = set(range(max(0, len(begins) - self.longest), len(begins)))
@@ -162,15 +185,18 @@ class Codec:
         """The ids of a whole text as int32."""
         if not text:
             return np.empty(0, np.int32)
-        known, out = self.segments, []
+        young, old, out = self.young, self.old, []
         for s in SEGMENTS.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(s)
+            ids = young.get(s)
             if ids is None:
-                ids = np.fromiter(self.stream((s,)), np.int32).tobytes()
+                ids = old.get(s)
+                if ids is None:
+                    ids = array("i", self.segment(s)).tobytes()
                 if len(s) <= KEPT_LETTERS:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[s] = ids
+                    if len(young) >= CACHE:
+                        self.old, self.young = young, {}
+                        young, old = self.young, self.old
+                    young[s] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
@@ -220,15 +246,24 @@ def decode_column(rows: DataFrame, model: Model, ids: str = "ids", out: str = "d
 
 def encoded_and_decoded(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_ids, ids, decoded_sha256, exact) of ``docs`` (doc_id, text): the ids, a digest of the text that they
-    decode to, and whether it is the text itself."""
-    both = decode_column(encode_column(docs.select("doc_id", "text"), model), model)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        "ids",
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
-    )
+    decode to, and whether it is the text itself. One pass, and one worker for a task, does both."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(known.value)
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            ids = [codec.encode(t) for t in texts]
+            decoded = [codec.decode(x.tolist()) for x in ids]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+            digests = pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded], pa.string())
+            exact = pa.array([a == t for a, t in zip(decoded, texts, strict=True)], pa.bool_())
+            n = pa.array(np.diff(ends).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), n, column, digests, exact], names=["doc_id", "n_ids", "ids", "decoded_sha256", "exact"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return lean(docs.select("doc_id", "text")).mapInArrow(of, f"doc_id {kind}, n_ids long, ids array<int>, decoded_sha256 string, exact boolean")
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
