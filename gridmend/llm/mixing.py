@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table, written
+from .common import claim, lean, table, written
 
 #: Bounds of the fit: documents, domains, hashed words of the classifier; steps at most, and the error of a share at
 #: which they end.
@@ -143,17 +143,19 @@ class Mix:
 
 
 def members(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """(n, p): words and posterior of each document."""
+    """(doc_id, n, p, u): words, posterior and draw of each document."""
     known = docs.sparkSession.sparkContext.broadcast(classifier)  # DOMAINS x BUCKETS numbers at most
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, known.value.cache.clear)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             p = pa.array([known.value.posterior(t) for t in texts], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.split()) for t in texts], pa.int64()), p], names=["doc_id", "n", "p"])
+            u = pa.array([draw(i, t) for i, t in zip(b.column(0).to_pylist(), texts, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.split()) for t in texts], pa.int64()), p, u], names=["doc_id", "n", "p", "u"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return lean(docs.select("doc_id", "text")).mapInArrow(of, f"doc_id {kind}, n long, p array<double>")
+    return lean(docs.select("doc_id", "text")).mapInArrow(of, f"doc_id {kind}, n long, p array<double>, u double")
 
 
 def fit_rates(table_: DataFrame, classifier: Classifier, targets: dict[str, float] | None = None) -> Mix:
@@ -217,32 +219,38 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """
     classifier = fit_classifier(docs, labels)
     table_ = written(members(docs, classifier), "members")
-    mix = fit_rates(table_, classifier, targets)
-    rows = with_copies(docs.select("doc_id", "text"), mix)
-    return rows.select("doc_id", "gm_domain", "gm_n", "gm_rate", "gm_copies").toDF("doc_id", "domain", "n_tokens", "rate", "copies")
+    known = docs.sparkSession.sparkContext.broadcast(fit_rates(table_, classifier, targets))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = known.value
+        for b in batches:
+            p = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
+            rate = m.rates(p)
+            copies = np.floor(rate + 1 - b.column(3).to_numpy()).astype(np.int64)
+            domain = pa.array([m.classifier.domains[k] for k in p.argmax(axis=1)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), domain, b.column(1), pa.array(rate), pa.array(copies)], names=["doc_id", "domain", "n_tokens", "rate", "copies"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return table_.mapInArrow(of, f"doc_id {kind}, domain string, n_tokens long, rate double, copies long")
 
 
 def with_copies(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` (doc_id, text and others) with gm_domain, gm_n, gm_rate and gm_copies."""
+    """``docs`` (doc_id, text and others) with gm_copies, in one pass over the texts."""
     known = docs.sparkSession.sparkContext.broadcast(mix)
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
-    new = ("gm_domain", "gm_n", "gm_rate", "gm_copies")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
+        claim(__name__, m.classifier.cache.clear)
         for b in batches:
             if not b.num_rows:
                 continue
             texts = [t or "" for t in b.column(text_at).to_pylist()]
-            p = np.array([m.classifier.posterior(t) for t in texts])
-            rate = m.rates(p)
+            rate = m.rates(np.array([m.classifier.posterior(t) for t in texts]))
             u = np.array([draw(i, t) for i, t in zip(b.column(id_at).to_pylist(), texts, strict=True)])
-            copies = np.floor(rate + 1 - u).astype(np.int64)
-            added = [pa.array([m.classifier.domains[k] for k in p.argmax(axis=1)], pa.string()), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(rate), pa.array(copies)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.floor(rate + 1 - u).astype(np.int64))], names=[*b.schema.names, "gm_copies"])
 
-    schema = docs.withColumns({"gm_domain": F.lit(""), "gm_n": F.lit(0).cast("long"), "gm_rate": F.lit(0.0), "gm_copies": F.lit(0).cast("long")}).schema
-    return lean(docs).mapInArrow(of, schema)
+    return lean(docs).mapInArrow(of, docs.withColumn("gm_copies", F.lit(0).cast("long")).schema)
 
 
 def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
