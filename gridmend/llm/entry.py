@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .chat_format import op6_chat_format
 from .embedding_dedup import op8_embedding_dedup
 from .minhash_dedup import op3_minhash_dedup
@@ -32,4 +33,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op1_quality_rules": oracles.quality_rules(),
+        "op4_sharding": oracles.sharding_key(),
+        "op6_chat_format": oracles.chat_format_digests(),
+    }

@@ -56,9 +56,14 @@ def tree(n_shards: int, base: int = 24, per_rack: int = 4, per_region: int = 12,
     return Node("", children=tuple(regions))
 
 
+def hashed(label: Column) -> Column:
+    """52 bits of a digest."""
+    return F.conv(F.substring(F.md5(label), 1, 13), 16, 10).cast("long")
+
+
 def draw(key: Column, node: Node) -> Column:
-    """-ln(u) / weight with u in (0, 1] from 52 bits of a digest."""
-    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{node.path}"))), 1, 13), 16, 10).cast("long")
+    """-ln(u) / weight with u in (0, 1]."""
+    bits = hashed(F.concat(key, F.lit(f":{node.path}")))
     return -F.log((bits + 1) / F.lit(2.0**52)) / F.lit(node.weight)
 
 
@@ -99,7 +104,8 @@ def numbered(rows: DataFrame, shard_col: str = "shard") -> DataFrame:
     counted = written(rows.groupBy(*columns).agg(F.count("*").alias("gm_copies")), "shard-rows")
     total = counted.agg(F.sum("gm_copies")).first()[0] or 0
     groups = max(LEAST_GROUPS, total // GROUP_ROWS)
-    dealt = counted.withColumn("gm_group", F.pmod(F.xxhash64(*columns), F.lit(groups)))
+    label = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns))
+    dealt = counted.withColumn("gm_group", hashed(label) % groups)
     sizes = dealt.groupBy(shard_col, "gm_group").agg(F.sum("gm_copies").alias("gm_size"))
     before = W.partitionBy(shard_col).orderBy("gm_group").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(F.col(shard_col).alias("gm_shard"), F.col("gm_group").alias("gm_at"), F.coalesce(F.sum("gm_size").over(before), F.lit(0)).alias("gm_start"))
