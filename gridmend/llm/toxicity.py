@@ -10,8 +10,9 @@ A logistic regression over direct, misspelled and quoted hits gives the score.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,9 +25,9 @@ from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: Bounds of the fit: labelled rows, words of the lexicon, clean words remembered because they resemble it.
 FIT_ROWS, LEXICON, CLEAN = 20_000, 4_000, 50_000
-#: A lexicon word occurs in so many toxic documents at least, and its log-odds of being there exceed this by two
-#: standard errors.
-SUPPORT, LOG_ODDS = 4, 1.5
+#: A lexicon word occurs in so many toxic documents and contexts at least, with such log-odds, and so seldom by chance (the
+#: likelihood-ratio statistic; 25 is met by one in two million words that tell nothing).
+SUPPORT, LOG_ODDS, EVIDENCE = 4, 2.0, 25.0
 #: Words on each side of a hit that are its context, and words whose classes a worker keeps.
 WINDOW, CACHE = 6, 300_000
 WORD = re.compile(r"\w+")
@@ -39,7 +40,7 @@ def edits_for(word: str) -> int:
     return 0 if len(word) < 5 else 1 if len(word) < 12 else 2
 
 
-def build_trie(words: Iterator[str]) -> dict:
+def build_trie(words: Iterable[str]) -> dict:
     """Nested dicts by letter; the key "" marks the end of a word and holds it."""
     root: dict = {}
     for w in words:
@@ -80,6 +81,33 @@ def within(trie: dict, word: str, edits: int) -> list[tuple[int, str]]:
     return found
 
 
+class Pieces:
+    """Which strings can be within some edits of a word at all.
+
+    A word in k + 1 pieces keeps one of them whole under k edits: the first one begins the string, the last one ends
+    it, and one between lies somewhere in it. Few strings have such a piece, and only these are given to the automaton.
+    """
+
+    def __init__(self, words: Iterable[str], edits: int) -> None:
+        first, between, last = set(), set(), set()
+        for w in words:
+            n = len(w) // (edits + 1)
+            first.add(w[:n])
+            last.add(w[n * edits :])
+            between.update(w[n * i : n * (i + 1)] for i in range(1, edits))
+        self.first, self.between, self.last = (sorted({len(x) for x in part}) for part in (first, between, last))
+        self.firsts, self.betweens, self.lasts = first, between, last
+
+    def may(self, word: str) -> bool:
+        for n in self.first:
+            if word[:n] in self.firsts:
+                return True
+        for n in self.last:
+            if word[max(0, len(word) - n) :] in self.lasts:
+                return True
+        return any(word[i : i + n] in self.betweens for n in self.between for i in range(len(word) - n + 1))
+
+
 @dataclass
 class Lexicon:
     """``odds``: log-odds of lexicon words; ``clean``: words that aren't misspellings; ``weights``: of the score."""
@@ -90,6 +118,7 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.trie = build_trie(self.odds)
+        self.pieces = {k: Pieces(self.odds, k) for k in (1, 2)}
         self.cache: dict[str, tuple[float, int] | None] = {}
 
     def __getstate__(self) -> dict:
@@ -108,7 +137,7 @@ class Lexicon:
         found = None
         if word in self.odds:
             found = (self.odds[word], 0)
-        elif word not in self.clean and (k := edits_for(word)) and (near := within(self.trie, word, k)):
+        elif (k := edits_for(word)) and word not in self.clean and self.pieces[k].may(word) and (near := within(self.trie, word, k)):
             edits, odds = min((k, -self.odds[w]) for k, w in near)
             found = (-odds, edits)
         self.cache[word] = found
@@ -128,8 +157,9 @@ class Lexicon:
                 if w not in hits:
                     continue
                 odds, edits = hits[w]
-                before, after = spans[max(0, i - WINDOW)][1], spans[min(len(spans) - 1, i + WINDOW)][2]
-                enclosed = any(before <= m < start for m in marks) and any(end <= m < after for m in marks)
+                before = spans[i - WINDOW - 1][2] if i > WINDOW else 0
+                after = spans[i + WINDOW + 1][1] if i + WINDOW + 1 < len(spans) else len(text)
+                enclosed = bisect_left(marks, before) < bisect_left(marks, start) and bisect_left(marks, end) < bisect_left(marks, after)
                 reported = any(spans[j][0] in REPORTING for j in range(max(0, i - WINDOW), min(len(spans), i + WINDOW + 1)))
                 if enclosed or reported:
                     quoted += odds
@@ -147,8 +177,9 @@ class Lexicon:
 
 
 #: Counts of documents by label and fold.
-KINDS = [(y, third) for y in (1, 0) for third in (False, True)]
-NAMES = [f"{('good', 'bad')[y]}{int(third)}" for y, third in KINDS]
+FOLDS = (0, 1, 2)
+KINDS = [(y, fold) for y in (1, 0) for fold in FOLDS]
+NAMES = [f"{('good', 'bad')[y]}{fold}" for y, fold in KINDS]
 #: What the weights shrink to where the labelled rows don't tell: quoted words weigh a third of direct ones.
 PRIOR = np.array([1.0, 0.6, 0.3, 0.3, 1.0])
 
@@ -156,30 +187,48 @@ PRIOR = np.array([1.0, 0.6, 0.3, 0.3, 1.0])
 def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label: str = "toxic") -> Lexicon:
     """The lexicon and the weights, from at most ``rows`` labelled documents. Without toxic ones nothing is found.
 
-    A lexicon flatters the documents that it is made from. So the weights are fitted on a third of them, looked at
-    with a lexicon of the other two thirds; the final lexicon is of all.
+    A lexicon flatters the documents that it is made from. So each third of them is looked at with a lexicon of the
+    other two when the weights are fitted; the final lexicon is of all.
     """
-    sample = labelled_sample(docs, labels, label, rows, train).withColumn("third", F.pmod(F.xxhash64("doc_id", F.lit("third")), F.lit(3)) == 0)
-    sizes = {(r.y, r.third): r["count"] for r in sample.groupBy("y", "third").count().collect()}
+    sample = labelled_sample(docs, labels, label, rows, train).groupBy("text").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id"))
+    sample = written(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int")), "toxic-sample")
+    sizes = {(r.y, r.fold): r["count"] for r in sample.groupBy("y", "fold").count().collect()}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {(y, third): Counter() for y in (0, 1) for third in (False, True)}
+        seen = {kind: Counter() for kind in KINDS}
         for b in batches:
-            for t, y, third in zip(*(b.column(k).to_pylist() for k in ("text", "y", "third")), strict=True):
-                seen[int(y == 1), third].update(set(WORD.findall(t.lower())))
+            for t, y, fold in zip(*(b.column(k).to_pylist() for k in ("text", "y", "fold")), strict=True):
+                seen[int(y == 1), fold].update(set(WORD.findall(t.lower())))
         words = list(set().union(*seen.values()))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[y, third][w] for w in words], pa.int64()) for y, third in KINDS)], names=["word", *NAMES])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[kind][w] for w in words], pa.int64()) for kind in KINDS)], names=["word", *NAMES])
 
     counts = lean(sample).mapInArrow(tally, "word string, " + ", ".join(f"{n} long" for n in NAMES)).groupBy("word").agg(*(F.sum(n).alias(n) for n in NAMES))
-    counts = written(counts.where("bad0 + bad1 + good0 + good1 > 1"), "word-counts")
+    counts = written(counts.where(" + ".join(NAMES) + " > 1"), "word-counts")
 
-    def lexicon(folds: tuple[bool, ...]) -> Lexicon:
-        bad, good = (sum((F.col(f"{k}{int(f)}") for f in folds), F.lit(0)) for k in ("bad", "good"))
+    def lexicon(folds: tuple[int, ...]) -> Lexicon:
+        bad, good = (sum((F.col(f"{k}{f}") for f in folds), F.lit(0)) for k in ("bad", "good"))
         n_bad, n_good = (sum(sizes.get((y, f), 0) for f in folds) for y in (1, 0))
         odds = F.log((bad + 0.5) / (n_bad + 1)) - F.log((good + 0.5) / (n_good + 1))
-        error = F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-        best = counts.where((bad >= SUPPORT) & (odds - 2 * error >= LOG_ODDS)).orderBy(F.desc(odds * F.sqrt(bad)), "word").limit(LEXICON)
-        found = Lexicon({r.word: r.odds for r in best.select("word", odds.alias("odds")).collect()}, frozenset())
+        share = n_bad / max(n_bad + n_good, 1)
+        part = lambda k, p: F.when((k > 0) & (p > 0), k * F.log(k / ((bad + good) * p))).otherwise(0.0)
+        evidence = 2 * (part(bad, F.lit(share)) + part(good, F.lit(1 - share)))
+        best = counts.where((bad >= SUPPORT) & (odds >= LOG_ODDS) & (evidence >= EVIDENCE)).orderBy(F.desc(odds * F.sqrt(bad)), "word").limit(2 * LEXICON)
+        found = {r.word: r.odds for r in best.select("word", odds.alias("odds")).collect()}
+
+        def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+            for b in batches:
+                for t in b.column("text").to_pylist():
+                    words = WORD.findall(t.lower())
+                    seen.update((w, words[i - 1] if i else "") for i, w in enumerate(words) if w in found)
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in seen], pa.string()) for j in (0, 1)] + [pa.array(seen.values(), pa.int64())], names=["word", "before", "n"])
+
+        # copies of one toxic text make all of its words look toxic: but these follow the same words again and again
+        texts = sample.where(F.col("y") == 1).where(F.col("fold").isin(*folds)).select("text")
+        pairs = texts.mapInArrow(contexts, "word string, before string, n long").groupBy("word", "before").agg(F.sum("n").alias("n"))
+        spread = pairs.groupBy("word").agg((F.pow(F.sum("n"), 2) / F.sum(F.col("n") * F.col("n"))).alias("spread"))
+        various = [r.word for r in spread.where(F.col("spread") >= SUPPORT).collect()]
+        found = Lexicon({w: found[w] for w in sorted(various, key=lambda w: -found[w])[:LEXICON]}, frozenset())
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -188,15 +237,19 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label:
         clean = counts.where(good >= 2).orderBy(F.desc(good), "word").select("word").mapInArrow(alike, "word string").limit(CLEAN)
         return Lexicon(found.odds, frozenset(r.word for r in clean.collect()))
 
-    partial = lexicon((False,))
+    def features(found: Lexicon):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([found.features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y")], names=["x", "y"])
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([partial.features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y")], names=["x", "y"])
+        return of
 
-    got = sample.where("third").select("text", "y").mapInArrow(features, "x array<double>, y int").collect()  # FIT_ROWS at most, a few numbers each
+    got = []
+    for fold in FOLDS:  # FIT_ROWS at most in all, a few numbers each
+        found = lexicon(tuple(f for f in FOLDS if f != fold))
+        got += sample.where(F.col("fold") == fold).select("text", "y").mapInArrow(features(found), "x array<double>, y int").collect()
     x, y = np.array([r.x for r in got]).reshape(len(got), len(PRIOR)), np.array([r.y for r in got], float)
-    final = lexicon((False, True))
+    final = lexicon(FOLDS)
     final.weights = fit_logistic(x, y, 1.0, PRIOR) if y.any() else np.append(PRIOR, -4.0)
     return final
 

@@ -138,6 +138,17 @@ def test_automaton_finds_all_words_within_the_distance():
             assert sorted(toxicity.within(trie, q, k)) == sorted((d, w) for w in words if (d := edit_distance(q, w)) <= k)
 
 
+def test_pieces_lose_no_word():
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(40)}
+    for k in (1, 2):
+        pieces = toxicity.Pieces(words, k)
+        for _ in range(400):
+            q = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 10)))
+            if any(edit_distance(q, w) <= k for w in words):
+                assert pieces.may(q)
+
+
 def test_misspelled_and_quoted_words():
     lex = toxicity.Lexicon({"stupid": 5.0, "moron": 5.0}, frozenset({"stupor"}))
     assert lex.look_up("stupid") == (5.0, 0) and lex.look_up("stup1d") == (5.0, 1) and lex.look_up("stupor") is None and lex.look_up("cat") is None
