@@ -16,7 +16,7 @@ KM_PER_DEGREE_LON, KM_PER_DEGREE_LAT = 111.321, 111.0
 KNOT_MPS = 0.514444
 #: Lower limits in knots of the hurricane categories.
 SAFFIR_SIMPSON = ((137, "category_5"), (113, "category_4"), (96, "category_3"), (83, "category_2"), (64, "category_1"), (34, "tropical_storm"))
-LENGTH_KM = {"km": 1.0, "kft": 0.3048, "m": 0.001, "mi": 1.609344, "ft": 0.0003048}
+LENGTH_KM = {"km": 1.0, "kft": 0.3048, "m": 0.001, "mi": 1.60934, "ft": 0.0003048}
 
 
 def lit(x: Column | float) -> Column:
@@ -53,9 +53,9 @@ def midpoint(a: Column, b: Column) -> Column:
 
 
 def length_km(value: Column, unit: Column) -> Column:
-    """Unknown units count as kilometres."""
+    """Unknown units count as kilometres; a missing length is 0."""
     table = F.create_map(*(F.lit(x) for pair in LENGTH_KM.items() for x in pair))
-    return value * F.coalesce(F.element_at(table, F.lower(unit)), F.lit(1.0))
+    return F.coalesce(value, F.lit(0.0)) * F.coalesce(F.element_at(table, F.lower(F.trim(unit))), F.lit(1.0))
 
 
 def rebased(value: Column, index_then: float, index_now: float) -> Column:
@@ -148,9 +148,9 @@ def holland_wind(speed: Column, first_speed: Column, rmax: Column, km: Column) -
     return F.when(km < 1e-9, speed).otherwise(speed * t * F.exp(1 - t))
 
 
-def attack_angle(wind: Column, dx: Column, dy: Column, least: float = 0.0) -> Column:
-    """Degrees between a wind direction and a line, modulo 90 and at least ``least``."""
-    return F.greatest(F.abs(wind - F.degrees(F.atan2(dx, -dy))) % 90, F.lit(least))
+def attack_angle(eye_dx: Column, eye_dy: Column, dx: Column, dy: Column) -> Column:
+    """Degrees, modulo 90, between a line (dx, dy) and the wind at its middle, which lies (eye_dx, eye_dy) off the eye."""
+    return F.abs(F.degrees(F.atan2(eye_dx, -eye_dy)) - F.degrees(F.atan2(dy, dx))) % 90
 
 
 def strict_boolean(x: Column) -> Column:
@@ -171,23 +171,18 @@ def extended_boolean(x: Column) -> Column:
 def boolean_token(x: Column) -> Column:
     """True, false or null."""
     t = F.lower(F.trim(x.cast("string")))
-    return F.when(t.isin("true", "yes", "y", "1"), True).when(t.isin("false", "no", "n", "0"), False)
+    return F.when(t.isin("true", "yes", "y"), True).when(t.isin("false", "no", "n"), False)
 
 
-def size_band(annual_mwh: Column, load_type: Column) -> Column:
+def size_band(annual_mwh: Column, load_type: Column, small: float = 50.0, medium: float = 1000.0) -> Column:
     """Customer size by annual energy; homes are a class of their own."""
-    return F.when(load_type == "residential", "residential").when(annual_mwh <= 50, "small").when(annual_mwh <= 1000, "medium").otherwise("large")
+    return F.when(load_type == "residential", "residential").when(annual_mwh <= small, "small_commercial").when(annual_mwh <= medium, "medium_commercial").otherwise("large_commercial")
 
 
 def valuation_group(load_type: Column, critical: Column) -> Column:
     return F.concat(load_type, F.when(critical, "_critical").otherwise("_noncritical"))
 
 
-def installation(code: Column) -> Column:
-    t = F.upper(code)
-    return F.when(t.contains("UDG") | t.contains("UG"), "underground").when(t.contains("OH"), "overhead").otherwise("unknown")
-
-
 def bus_name(ref: Column) -> Column:
     return F.split_part(F.trim(F.regexp_replace(ref, "[\"']", "")), F.lit("."), F.lit(1))
 

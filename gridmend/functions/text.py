@@ -43,11 +43,12 @@ def last_folder(path: Column, up: int = 1) -> Column:
     return F.element_at(parts, -1 - up)
 
 
-def service_area(substation: Column) -> Column:
-    return F.regexp_extract(substation, r"^(p\d+u)", 1)
+#: Fixed value: the form of a substation id.
+SUBSTATION = r"(?i)^(p\d+[ru])hs(\d+)_([0-9]+)$"
 
 
-def distribution_kv(substation: Column) -> Column:
-    """Voltage from an id that ends in two numbers of volts, high then low."""
-    found = F.regexp_extract(substation, r"_(\d+)$", 1)
-    return F.when(found != "", found.try_cast("double") / 1000)
+def substation_parts(x: Column) -> Column:
+    """(service_area, root_bus, kv) of a substation id; null for other forms."""
+    part = lambda i: F.regexp_extract(x, SUBSTATION, i)
+    parts = F.struct(F.upper(part(1)).alias("service_area"), F.concat(F.lower(part(1)), F.lit("hs"), part(2)).alias("root_bus"), (part(3).try_cast("double") / 100).alias("kv"))
+    return F.when(x.rlike(SUBSTATION), parts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import capital_recovery_factor, interrupted_kw_cost, ratio
 
-#: Fixed values of the duration damage model: knots in hours, shapes relative to the first knot, dollars by class.
+#: Default parameters of the duration damage model: knots in hours, shapes relative to the first knot, dollars by class.
 KNOTS = (24.0, 336.0, 720.0)
 SHAPES = {"residential": (1.0, 6.0, 10.0), "commercial": (1.0, 8.0, 15.0)}
 CRITICAL_PER_KWH = 100.0
@@ -40,6 +40,14 @@ def annualised(capital: Column, rate: Column, years: int, yearly: Column) -> Col
     return capital * capital_recovery_factor(rate, years) + yearly
 
 
+def capital_cases(items: DataFrame, classes: dict[str, float], area: float, contingency: float, overhead: float, design: float, price_index: float) -> DataFrame:
+    """(cost_case, estimate_class, capital) of included items (cost_case, cost): loaded, re-based and by class."""
+    factor = (area + contingency) * (1 + overhead + design) * price_index
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("estimate_class"), F.lit(m).alias("m")) for k, m in classes.items())))
+    direct = items.groupBy("cost_case").agg(F.sum("cost").alias("direct")).withColumn("c", each)
+    return direct.select("cost_case", F.col("c.estimate_class").alias("estimate_class"), (F.col("direct") * factor * F.col("c.m")).alias("capital"))
+
+
 def benefit_cost_grid(ledger: DataFrame, intervals: DataFrame, rate: float, years: int) -> DataFrame:
     """Benefit-cost ratios of each ledger row (benefit, event_cost, capital, yearly) at each event interval in years."""
     grid = ledger.crossJoin(F.broadcast(intervals))  # a handful of intervals

@@ -12,8 +12,20 @@ from pyspark.sql import Window as W
 
 from ..functions import scalar
 
-#: Lognormal parameters (mu, sigma) of substation states in miles an hour, in rising order.
-SUBSTATION = (("moderate", 4.69, 0.15), ("severe", 4.88, 0.14), ("complete", 5.04, 0.13))
+#: Fixed values of the fragility models. Substation states: lognormal (mu, sigma) in miles an hour, in rising order.
+MPH = 2.23694
+SUBSTATION = (("moderate", 5.068, 0.136), ("severe", 5.204, 0.147), ("complete", 5.523, 0.132))
+#: Conductors, by angle of attack: two lognormal curves in metres a second, and the speed from which the first holds.
+YAW = (0.0, 10.0, 20.0, 30.0, 40.0)
+CONDUCTOR_HIGH = ((4.251, 4.266, 4.313, 4.398, 4.544), (0.0245, 0.0244, 0.0245, 0.0283, 0.0385))
+CONDUCTOR_LOW = ((4.267, 4.282, 4.330, 4.414, 4.544), (0.0363, 0.0362, 0.0365, 0.0369, 0.0385))
+CONDUCTOR_CUT = (68.0, 69.0, 72.0, 77.0, 0.0)
+#: Wood poles of class 5: coefficients of 1, x, c, a, h, x2, cx, c2, xa, ca, a2, xh, ch, ah, h2 (x angle of attack,
+#: c conductor area, a age, h height) for the mean and spread of the log speed in miles an hour.
+POLE_MEAN = (6.597, -0.01285, -0.08189, 0.00685, -0.0654, 0.00004979, -0.001368, 0.005333, -0.0000007649, -0.000003429, -0.0001405, 0.0002438, 0.001743, -0.00001836, 0.0005301)
+POLE_SPREAD = (0.1497, 0.0002763, 0.002362, -0.002293, 0.00006042, -0.0000005062, 0.000001237, -0.00007755, -0.000002332, -0.00002446, 0.00006829, -0.000004114, -0.00002209, 0.00001401, -0.0000002003)
+POLE_AGE, POLE_HEIGHT, CONDUCTORS, CONDUCTOR_DIAMETER = 50.0, 12.0, 3.0, 0.011
+SPAN_M = (30.0, 120.0)
 
 
 def indexed_track(points: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -52,6 +64,23 @@ def substation_states(mph: Column) -> dict[str, Column]:
     }
 
 
+def conductor_failure(mps: Column, attack: Column) -> Column:
+    """Failure of a transmission span; the angle counts up to 40 degrees."""
+    x = F.least(attack, F.lit(40.0))
+    at = lambda values: scalar.interpolate(x, YAW, values)
+    high = mps >= at(CONDUCTOR_CUT)
+    mu, sigma = (F.when(high, at(a)).otherwise(at(b)) for a, b in zip(CONDUCTOR_HIGH, CONDUCTOR_LOW, strict=True))
+    return scalar.clip(scalar.normal_cdf((F.ln(F.greatest(mps, F.lit(1e-9))) - mu) / sigma), 0.0, 1.0)
+
+
+def pole_failure(mps: Column, attack: Column, span_m: Column, height_m: float = POLE_HEIGHT) -> Column:
+    """Failure of the pole that stands for an overhead segment of a representative span."""
+    c, a, h, x = CONDUCTORS * CONDUCTOR_DIAMETER * scalar.clip(span_m, *SPAN_M), POLE_AGE, height_m, attack
+    terms = (F.lit(1.0), x, c, F.lit(a), F.lit(h), x * x, c * x, c * c, x * a, c * a, F.lit(a * a), x * h, c * h, F.lit(a * h), F.lit(h * h))
+    mu, beta = (sum((k * t for k, t in zip(values, terms, strict=True)), F.lit(0.0)) for values in (POLE_MEAN, POLE_SPREAD))
+    return scalar.clip(scalar.normal_cdf((F.ln(F.greatest(mps * MPH, F.lit(1e-9))) - mu) / F.greatest(beta, F.lit(1e-6))), 0.0, 1.0)
+
+
 def drawn_state(u: Column, p: dict[str, Column]) -> Column:
     """The state that a uniform number falls on."""
     out, total = None, F.lit(0.0)

@@ -68,13 +68,51 @@ def _phi(x: str) -> str:
     return PHI.format(x=x, t=f"({k} * (0.319381530 + {k} * (-0.356563782 + {k} * (1.781477937 + {k} * (-1.821255978 + {k} * 1.330274429)))))")
 
 
-@query("H09 F11 H13", f"""with speeds as (select distinct p_size + 80 as mph from part), z as (select mph, (ln(mph) - 4.69) / 0.15 as a, (ln(mph) - 4.88) / 0.14 as b, (ln(mph) - 5.04) / 0.13 as c from speeds)
+@query("H09 F11 H13", f"""with speeds as (select distinct p_size * 4 + 80 as mph from part), z as (select mph, (ln(mph) - 5.068) / 0.136 as a, (ln(mph) - 5.204) / 0.147 as b, (ln(mph) - 5.523) / 0.132 as c from speeds)
 select cast(mph as integer) as mph, round(1 - {_phi("a")}, 6) as p_none, round(greatest(0, {_phi("a")} - {_phi("b")}), 6) as p_moderate, round(greatest(0, {_phi("b")} - {_phi("c")}), 6) as p_severe, round({_phi("c")}, 6) as p_complete from z""")
 def substation_states(t: Tables) -> DataFrame:
-    speeds = t.part.select((F.col("p_size") + 80).alias("mph")).distinct()
+    speeds = t.part.select((F.col("p_size") * 4 + 80).alias("mph")).distinct()
     return speeds.select("mph", *(R(p, 6).alias(k) for k, p in hazard.substation_states(F.col("mph").cast("double")).items()))
 
 
+def _by_yaw(values: tuple) -> str:
+    out = f"case when x <= 0 then {values[0]}"
+    for i in range(4):
+        out += f" when x <= {10 * (i + 1)} then {values[i]} + (x - {10 * i}) * ({values[i + 1]} - {values[i]}) / 10.0"
+    return out + f" else {values[4]} end"
+
+
+@query("H10 F12 F14", f"""with p as (select distinct p_size from part), w as (select p_size, p_size + 30.0 as v, least(40.0, abs(degrees(atan2(p_size - 20.0, -(p_size % 7 - 3.5))) - degrees(atan2(1.0, p_size % 5 + 0.5))) % 90) as x from p),
+k as (select *, v >= {_by_yaw(hazard.CONDUCTOR_CUT)} as high, {_by_yaw(hazard.CONDUCTOR_HIGH[0])} as m1, {_by_yaw(hazard.CONDUCTOR_HIGH[1])} as s1, {_by_yaw(hazard.CONDUCTOR_LOW[0])} as m2, {_by_yaw(hazard.CONDUCTOR_LOW[1])} as s2 from w),
+z as (select p_size, (ln(v) - case when high then m1 else m2 end) / case when high then s1 else s2 end as z from k)
+select p_size, round(greatest(0, least(1, {_phi("z")})), 6) as p_fail from z""")
+def conductor_fragility(t: Tables) -> DataFrame:
+    k = F.col("p_size")
+    attack = s.attack_angle(k - 20.0, k % 7 - 3.5, k % 5 + 0.5, F.lit(1.0))
+    return t.part.select("p_size").distinct().select("p_size", R(hazard.conductor_failure(k + 30.0, attack), 6).alias("p_fail"))
+
+
+def _polynomial(values: tuple) -> str:
+    terms = ("1.0", "x", "c", "50.0", "12.0", "x * x", "c * x", "c * c", "x * 50.0", "c * 50.0", "2500.0", "x * 12.0", "c * 12.0", "600.0", "144.0")
+    return " + ".join(f"({v:.10f}) * {term}" for v, term in zip(values, terms, strict=True))
+
+
+@query("H11 H12 F13", f"""with p as (select distinct p_size from part), w as (select p_size, p_size + 20.0 as v, (p_size * 7 % 90)::double as x, 3 * 0.011 * greatest(30.0, least(120.0, p_size * 3.0)) as c from p),
+z as (select p_size, (ln(v * 2.23694) - ({_polynomial(hazard.POLE_MEAN)})) / greatest(1e-6, {_polynomial(hazard.POLE_SPREAD)}) as z from w)
+select p_size, round(greatest(0, least(1, {_phi("z")})), 6) as p_fail from z""")
+def pole_fragility(t: Tables) -> DataFrame:
+    k = F.col("p_size")
+    return t.part.select("p_size").distinct().select("p_size", R(hazard.pole_failure(k + 20.0, (k * 7 % 90).cast("double"), k * 3.0), 6).alias("p_fail"))
+
+
+@query("E13 E14", """with items as (select p_brand as cost_case, p_size * 1000.0 as cost from part where p_partkey < 400), sums as (select cost_case, sum(cost) as direct from items group by 1)
+select cost_case, estimate_class, round(direct * (1.04 + 0.1) * (1 + 0.15 + 0.08) * (322.0 / 292.0) * m, 4) as capital, round(direct * (1.04 + 0.1) * (1 + 0.15 + 0.08) * (322.0 / 292.0) * m / 15000, 6) as per_export_kw from sums, (values ('low', 0.7), ('point', 1.0), ('high', 1.5)) c(estimate_class, m)""")
+def capital_cases(t: Tables) -> DataFrame:
+    items = t.part.where("p_partkey < 400").select(F.col("p_brand").alias("cost_case"), (F.col("p_size") * 1000.0).alias("cost"))
+    x = economics.capital_cases(items, {"low": 0.7, "point": 1.0, "high": 1.5}, 1.04, 0.1, 0.15, 0.08, 322.0 / 292.0)
+    return x.select("cost_case", "estimate_class", R("capital", 4).alias("capital"), R(F.col("capital") / 15000, 6).alias("per_export_kw"))
+
+
 @query("P04 F20 W01 A19 H01", """with x as (select l_suppkey as storm, l_shipdate as at, l_quantity * 3 as kts, row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 as time_index from lineitem where l_linenumber = 1)
 select storm, count(*) as n_points, max(kts) as max_kts, min_by(kts, time_index) as first_kts,
   case when max(kts) >= 137 then 'category_5' when max(kts) >= 113 then 'category_4' when max(kts) >= 96 then 'category_3' when max(kts) >= 83 then 'category_2' when max(kts) >= 64 then 'category_1' when max(kts) >= 34 then 'tropical_storm' else 'tropical_depression' end as category from x group by storm""")

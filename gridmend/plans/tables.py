@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import classify, text
 from ..functions import scalar as s
-from ..functions import text
 from ..operators import checks, relational
 from . import views as v
 from .catalog import query
@@ -217,7 +217,7 @@ def degree(t: Tables) -> DataFrame:
     return degrees(t.lineitem.select(F.col("l_suppkey").alias("a"), (1000 + F.col("l_partkey") % 97).alias("b")))
 
 
-@query("P05 P09 P17 P18 P20", f"""with {v.LOADS} select load_id, case when load_type = 'residential' then 'residential' when kw * 8.76 * 0.62 <= 50 then 'small' when kw * 8.76 * 0.62 <= 1000 then 'medium' else 'large' end as band,
+@query("P05 P09 P17 P18 P20", f"""with {v.LOADS} select load_id, case when load_type = 'residential' then 'residential' when kw * 8.76 * 0.62 <= 50 then 'small_commercial' when kw * 8.76 * 0.62 <= 1000 then 'medium_commercial' else 'large_commercial' end as band,
   load_type || case when is_critical then '_critical' else '_noncritical' end as valuation, round(kw * 1.25, 6) as peak_kw, round(kw * 0.62, 6) as average_kw, round(greatest(4, least(16, 4 + 2 * kw / 100)), 6) as repair_h from loads""")
 def load_inventory(t: Tables) -> DataFrame:
     kw = F.col("kw")
@@ -226,10 +226,41 @@ def load_inventory(t: Tables) -> DataFrame:
 
 @query("P03 F24 P22", """select p_partkey, case p_partkey % 6 when 0 then 'true' when 1 then 'false' when 2 then 'true' when 3 then 'false' else 'unknown' end as token, p_partkey % 6 in (0, 2) as lenient, cast(p_size as double) as number from part""")
 def coercions(t: Tables) -> DataFrame:
-    word = F.element_at(F.array(*(F.lit(x) for x in ("Yes", "no", " TRUE", "0", "maybe", ""))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    word = F.element_at(F.array(*(F.lit(x) for x in ("Yes", "no", " TRUE", "n", "maybe", ""))), (F.col("p_partkey") % 6 + 1).cast("int"))
     return t.part.select("p_partkey", F.coalesce(s.boolean_token(word).cast("string"), F.lit("unknown")).alias("token"), s.lenient_boolean(word).alias("lenient"), s.numeric_or_null(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" "))).alias("number"))
 
 
 @query("S03 P20 J12", "select o_orderkey, case o_orderpriority when '1-URGENT' then 'urgent' when '5-LOW' then 'low' else o_orderpriority end as label from orders")
 def display_labels(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.col("o_orderpriority").alias("label")).replace({"1-URGENT": "urgent", "5-LOW": "low"}, subset=["label"])
+
+
+@query("P06 P07 P08", """select l_orderkey, l_linenumber, l_partkey, not (l_discount > 0.08) and l_partkey % 5 in (0, 1) and l_tax > 0.02 as eligible,
+  case when l_discount > 0.08 then 'excluded_equivalent_connection' when l_partkey % 5 = 0 and l_tax > 0.02 then 'legacy_pole_fragility_adapted_to_overhead_distribution_edge' when l_partkey % 5 = 1 and l_tax > 0.02 then 'legacy_conductor_fragility'
+    when l_partkey % 5 = 2 then 'unsupported_underground_line' when l_partkey % 5 = 3 then 'unsupported_transformer' when l_partkey % 5 = 4 then 'unsupported_switch' else 'not_applicable' end as model
+from lineitem where l_linenumber = 1""")
+def edge_classes(t: Tables) -> DataFrame:
+    kinds = ("overhead_distribution_line", "transmission_line", "underground_distribution_line", "transformer", "switch")
+    kind = F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("l_partkey") % 5 + 1).cast("int"))
+    c = classify.edge_component(kind, F.lit("other"), F.col("l_discount") > 0.08, F.col("l_tax") > 0.02, list(kinds[:2]))
+    return t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", c["eligible"].alias("eligible"), c["model"].alias("model"))
+
+
+@query("P09 P10 P11", """select p_partkey, case when p_type = 'ECONOMY' then 'residential' when p_type = 'STANDARD' then 'commercial' else 'unknown' end as class,
+  case when p_size = 1 then 0 when p_size < 5 then 1 when p_type = 'ECONOMY' then 4 when p_type = 'STANDARD' then 3 else 5 end as priority, p_size % 2 = 0 as overhead, p_size % 2 = 1 as underground from part""")
+def customer_classes(t: Tables) -> DataFrame:
+    profile = F.when(F.col("p_type") == "ECONOMY", "res_17").when(F.col("p_type") == "STANDARD", "x com_3").otherwise("other")
+    kind = classify.customer_class(profile, F.lit("n"))
+    over, under = classify.installation(F.when(F.col("p_size") % 2 == 0, "4/0_oh").otherwise("ug_250"))
+    return t.part.select("p_partkey", kind.alias("class"), classify.priority(kind, F.col("p_size") < 5, F.col("p_size") == 1).alias("priority"), over.alias("overhead"), under.alias("underground"))
+
+
+@query("P12 P13 P15 B03", """with x as (select s_suppkey, s_acctbal / 20 as coast, s_nationkey % 3 as f, s_suppkey * 10 as n, s_acctbal / 100 as mw, 20.0 + s_suppkey / 10.0 as lat from supplier)
+select s_suppkey, round(case when coast <= 80 then 3.0 when coast <= 150 then 2.0 when coast <= 250 then 1.0 else 0 end + 2.0 + case when f >= 2 then 2.0 when f = 1 then 1.0 else 0 end + case when n between 300 and 600 then 3.0 when n >= 200 then 2.0 when n >= 100 then 0.5 else 0 end
+  + case when mw >= 80 then 2.0 when mw >= 30 then 1.0 else 0 end + case when n * 4 > 2400 then -2.0 when n * 4 > 1800 then -1.0 else 0 end, 3) as score,
+  case when lat between 22 and 24 then 'a' when lat between 25 and 27 then 'b' when lat between 21.5 and 24.5 then 'a_expanded' when lat between 24.5 and 27.5 then 'b_expanded' end as region from x""")
+def candidate_regions(t: Tables) -> DataFrame:
+    bal, n, lat = F.col("s_acctbal"), F.col("s_suppkey") * 10, 20.0 + F.col("s_suppkey") / 10.0
+    score = classify.candidate_score(bal / 20, F.lit(69.0), F.col("s_nationkey") % 3, n, bal / 100, n * 4, lat, lat, (300, 600), 200, 800)
+    boxes = {"a": (22.0, -100.0, 24.0, 0.0), "b": (25.0, -100.0, 27.0, 0.0)}
+    return t.supplier.select("s_suppkey", score.alias("score"), classify.region_of(lat, F.lit(-95.0), boxes, 0.5).alias("region"))

@@ -220,3 +220,8 @@ def test_sequence_violations(spark):
     orders = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a")], "case int, place int, edge_id string")
     damaged = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "case int, edge_id string")
     assert {(r[0], r.rule) for r in checks.sequence_violations(orders, damaged, "case").collect()} == {(2, "only in order"), (2, "only in damage")}
+
+
+def test_substation_ids(spark):
+    got = one(spark, a=text.substation_parts(F.lit("P1Uhs12_1247")), b=text.substation_parts(F.lit("other")))
+    assert tuple(got["a"]) == ("P1U", "p1uhs12", 12.47) and got["b"] is None
