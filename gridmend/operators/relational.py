@@ -42,18 +42,22 @@ def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFra
     return child.join(parent.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def as_of(points: DataFrame, steps: DataFrame, by: Sequence[str], time: str, start: str, values: Sequence[str]) -> DataFrame:
-    """Each point with the values of the last step that starts at or before it, or of the first step.
+def as_of(points: DataFrame, steps: DataFrame, by: Sequence[str], time: str, start: str, values: Sequence[str], strict: bool = False, clamp: bool = True) -> DataFrame:
+    """Each point with the values of the last step that starts at or before it; ``strict``: before it.
 
-    Both sides are merged in one sorted pass for each group: no range join and no pair of point and step is made.
+    Points ahead of all steps get the first step's values, or nulls without ``clamp``. Both sides are merged in one
+    sorted pass for each group: no range join and no pair of point and step is made.
     """
     fields = F.struct(F.col(start).alias("s"), *(F.col(v) for v in values))
-    marked = steps.select(*by, F.col(start).alias("gm_t"), fields.alias("gm_v"), F.lit(0).alias("gm_kind"), F.lit(None).cast(points.schema[time].dataType).alias("gm_p"))
+    marked = steps.select(*by, F.col(start).alias("gm_t"), fields.alias("gm_v"), F.lit(2 if strict else 0).alias("gm_kind"), F.lit(None).cast(points.schema[time].dataType).alias("gm_p"))
     asked = points.select(*by, F.col(time).cast(steps.schema[start].dataType).alias("gm_t"), F.lit(None).cast(marked.schema["gm_v"].dataType).alias("gm_v"), F.lit(1).alias("gm_kind"), F.col(time).alias("gm_p"))
     order = W.partitionBy(*by).orderBy("gm_t", "gm_kind")
-    first = F.first("gm_v", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
-    last = F.last("gm_v", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    met = marked.unionByName(asked).withColumn("gm_x", F.coalesce(last, first)).where("gm_kind = 1 and gm_x is not null")
+    found = F.last("gm_v", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    if clamp:
+        found = F.coalesce(found, F.first("gm_v", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing)))
+    met = marked.unionByName(asked).withColumn("gm_x", found).where("gm_kind = 1")
+    if clamp:
+        met = met.where("gm_x is not null")
     return met.select(*by, F.col("gm_p").alias(time), *(F.col(f"gm_x.{v}").alias(v) for v in values))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .relational import as_of
+
 
 def expanded_fleet(groups: DataFrame) -> DataFrame:
     """One row for each unit of (unit_group, count, capacity_mw, forced_outage_rate)."""
@@ -52,19 +54,20 @@ def capacity_table(units: DataFrame, by: list[str]) -> DataFrame:
 
 
 def prefix_moments(table: DataFrame, by: list[str]) -> DataFrame:
-    """The table with the probability and first moment of all lesser capacities."""
-    before = W.partitionBy(*by).orderBy("capacity_mw").rowsBetween(W.unboundedPreceding, -1)
-    return table.withColumns({"p_below": F.coalesce(F.sum("p").over(before), F.lit(0.0)), "m_below": F.coalesce(F.sum(F.col("p") * F.col("capacity_mw")).over(before), F.lit(0.0))})
+    """The table with the probability and first moment of all capacities up to each."""
+    upto = W.partitionBy(*by).orderBy("capacity_mw").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return table.withColumns({"p_upto": F.sum("p").over(upto), "m_upto": F.sum(F.col("p") * F.col("capacity_mw")).over(upto)})
 
 
 def shortage(table: DataFrame, demands: DataFrame, by: list[str]) -> DataFrame:
-    """For each demand of (by, demand): the expected shortage and its probability, capacities strictly below it."""
-    met = demands.join(table, (F.col("capacity_mw") < F.col("demand")), "left") if not by else demands.join(table, by, "left")
-    below = F.col("capacity_mw") < F.col("demand")
-    return met.groupBy(*by, "demand").agg(
-        F.sum(F.when(below, F.col("p") * (F.col("demand") - F.col("capacity_mw"))).otherwise(0.0)).alias("expected_shortage"),
-        F.sum(F.when(below, F.col("p")).otherwise(0.0)).alias("p_shortage"),
-    )
+    """For each demand of (by, demand): the expected shortage and its probability, capacities strictly below it.
+
+    D F(D) - M(D) from the sums up to the last capacity below D, which one merged pass finds.
+    """
+    steps = prefix_moments(table, by).withColumn("capacity", F.col("capacity_mw").cast("double"))
+    met = as_of(demands.select(*by, "demand"), steps, by, "demand", "capacity", ["p_upto", "m_upto"], strict=True, clamp=False)
+    p, m = (F.coalesce(k, F.lit(0.0)) for k in ("p_upto", "m_upto"))
+    return met.select(*by, "demand", (F.col("demand") * p - m).alias("expected_shortage"), p.alias("p_shortage"))
 
 
 def allocate(capacity: Column, total: Column, critical: Column, dc: Column, rule: str = "conventional") -> tuple[Column, Column, Column]:

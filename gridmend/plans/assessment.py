@@ -149,9 +149,9 @@ copt as (select cap as capacity_mw, sum(p) as p from steps, units where i = n gr
 @query("Q01 Q02 Q03 W08", f"""with recursive {COPT}, demand as (select distinct cast(p_size * 6 as double) as demand from part)
 select demand, round(coalesce(sum(p * (demand - capacity_mw)), 0), 6) as expected_shortage, round(coalesce(sum(p), 0), 6) as p_shortage from demand left join copt on capacity_mw < demand group by demand""")
 def shortage_expectation(t: Tables) -> DataFrame:
-    table = supply.capacity_table(fleet(t).withColumn("fleet", F.lit(1)), ["fleet"]).select("capacity_mw", "p")
-    demands = t.part.select((F.col("p_size") * 6).cast("double").alias("demand")).distinct()
-    x = supply.shortage(table, demands, [])
+    table = supply.capacity_table(fleet(t).withColumn("fleet", F.lit(1)), ["fleet"])
+    demands = t.part.select(F.lit(1).alias("fleet"), (F.col("p_size") * 6).cast("double").alias("demand")).distinct()
+    x = supply.shortage(table, demands, ["fleet"])
     return x.select("demand", R("expected_shortage", 6).alias("expected_shortage"), R("p_shortage", 6).alias("p_shortage"))
 
 
@@ -187,11 +187,11 @@ select demand, round(sum(case when capacity_mw + 30 * up < demand then w * p * (
 from grid, copt, added group by demand""")
 def adequacy_table(t: Tables) -> DataFrame:
     """Two added units of 30 MW that are up nine times in ten: a binomial mixture over the shifted table."""
-    table = supply.capacity_table(fleet(t).withColumn("fleet", F.lit(1)), ["fleet"]).select("capacity_mw", "p")
+    table = supply.capacity_table(fleet(t).withColumn("fleet", F.lit(1)), ["fleet"])
     states = F.array(*(F.struct(F.lit(30 * k).alias("more"), w.alias("w")) for k, w in enumerate(s.binomial_weights(2, F.lit(0.9)))))
-    mixed = table.withColumn("a", F.explode(states)).groupBy((F.col("capacity_mw") + F.col("a.more")).alias("capacity_mw")).agg(F.sum(F.col("p") * F.col("a.w")).alias("p"))
-    demands = t.part.select((F.col("p_size") * 6).cast("double").alias("demand")).distinct()
-    x = supply.shortage(mixed, demands, [])
+    mixed = table.withColumn("a", F.explode(states)).groupBy("fleet", (F.col("capacity_mw") + F.col("a.more")).alias("capacity_mw")).agg(F.sum(F.col("p") * F.col("a.w")).alias("p"))
+    demands = t.part.select(F.lit(1).alias("fleet"), (F.col("p_size") * 6).cast("double").alias("demand")).distinct()
+    x = supply.shortage(mixed, demands, ["fleet"])
     return x.select("demand", R("expected_shortage", 6).alias("expected_shortage"), R("p_shortage", 6).alias("p_shortage"))
 
 
