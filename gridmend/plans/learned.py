@@ -44,14 +44,14 @@ def padded_observation(t: Tables) -> DataFrame:
 
 
 @query("L06 O02", f"""with {v.LOADS}, {v.DAMAGE}, {v.NODE_POWER}, c as (select scenario, node, repair_h * (sum(kw) over (partition by scenario)) / 1000 - kw / 100 as cost from damage join node_power using (node))
-select scenario, min_by(node, row(cost, node)) as label, round(min(cost), 9) as best, round(avg(cost) - min(cost), 7) as spread from c group by scenario""")
+select scenario, min_by(node, row(cost, node)) as label, round(min(cost), 9) as best, round(avg(cost) - min(cost), 3) as spread from c group by scenario""")
 def lookahead_labels(t: Tables) -> DataFrame:
     from pyspark.sql import Window as W
 
     met = v.damage(t).join(v.node_power(t), "node")
     cost = F.col("repair_h") * F.sum("kw").over(W.partitionBy("scenario")) / 1000 - F.col("kw") / 100
     x = learning.lookahead_labels(met.withColumn("cost", cost), ["scenario"], "cost", "node")
-    return x.select("scenario", "label", R("best", 9).alias("best"), R("spread", 7).alias("spread"))
+    return x.select("scenario", "label", R("best", 9).alias("best"), R("spread", 3).alias("spread"))
 
 
 @query("L12", """with s as (select l_suppkey as k, row_number() over (partition by l_suppkey order by l_quantity desc, l_extendedprice) as i, l_extendedprice as c, min(l_extendedprice) over (partition by l_suppkey) as m from lineitem where l_linenumber = 1),
@@ -66,10 +66,10 @@ def ranking_metrics(t: Tables) -> DataFrame:
 @query("W15 L10 (advantage estimates)", """with recursive e as (select o_custkey as k, o_orderkey, o_totalprice / 1000 as r, o_totalprice / 2000 as v, row_number() over (partition by o_custkey order by o_orderkey desc) as i from orders where o_custkey < 200),
 f(k, i, o_orderkey, run, after) as (select k, i, o_orderkey, r - v, v from e where i = 1 union all
   select e.k, e.i, e.o_orderkey, e.r + 0.99 * f.after - e.v + 0.99 * 0.95 * f.run, e.v from f join e on e.k = f.k and e.i = f.i + 1)
-select k, o_orderkey, round(run, 9) as advantage from f""")
+select k, o_orderkey, round(run, 7) as advantage from f""")
 def advantages(t: Tables) -> DataFrame:
     step = F.struct("o_orderkey", (F.col("o_totalprice") / 1000).alias("r"), (F.col("o_totalprice") / 2000).alias("v"))
     e = t.orders.where("o_custkey < 200").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(step)).alias("s"))
     a = learning.discounted_advantages(F.transform("s", lambda x: x["r"]), F.transform("s", lambda x: x["v"]))
     x = e.select("k", F.explode(F.arrays_zip(F.transform("s", lambda x: x["o_orderkey"]).alias("o"), a.alias("a"))).alias("z"))
-    return x.select("k", F.col("z.o").alias("o_orderkey"), R("z.a", 9).alias("advantage"))
+    return x.select("k", F.col("z.o").alias("o_orderkey"), R("z.a", 7).alias("advantage"))
