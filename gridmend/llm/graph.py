@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import erase, written
 
+#: Edges that a task joins in memory at a time.
+EDGES_TOGETHER = 50_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("m"))
     larger = both.where("b > a")
-    return larger.join(least, larger.a == least.at).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return larger.join(least, larger.a == least.at).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,13 +28,50 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("at").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def _forests(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same nodes, as stars within each portion of EDGES_TOGETHER edges of a task."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+        seen = 0
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            pairs = [(x, t) for x in root if (t := top(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], names=["a", "b"])
+
+        kind = None
+        for b in batches:
+            kind = b.schema.field(0).type
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                root.setdefault(x, x), root.setdefault(y, y)
+                x, y = top(x), top(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            seen += b.num_rows
+            if seen >= EDGES_TOGETHER:
+                yield stars()
+                root.clear()
+                seen = 0
+        if root:
+            yield stars()
+
+    return edges.mapInArrow(of, edges.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): root is the component's least node.
 
     Loops and repeated edges do no harm; nodes without edges aren't in the result; edges with a null end are
     ignored. Each round is written to the shared folder. A hub's edges meet only in joins, which Spark can split.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    whole = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = written(_forests(whole).distinct(), "edges")
     mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     while mark[0]:
         new = written(_small_star(_large_star(now)), "edges")
