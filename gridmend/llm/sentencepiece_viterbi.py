@@ -30,7 +30,7 @@ SPACE = "▁"
 #: Where a text is cut before the search: no piece has a space after another letter, and a line break is no piece.
 SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Segments of a generation of a worker's cache, letters of the longest one kept, and pairs whose compatibility it keeps.
-CACHE, KEPT_LETTERS, PAIRS = 250_000, 64, 500_000
+CACHE, KEPT_LETTERS, PAIRS = 400_000, 64, 500_000
 #: Lengths of pieces that are tried at every position.
 SHORT = (3, 2, 1)
 
