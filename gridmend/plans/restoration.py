@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import economics, graph, relational, stats
+from ..operators import economics, graph, relational, stats, support
 from . import views as v
 from .catalog import query
 from .views import Tables
@@ -145,3 +145,40 @@ def candidate_screen(t: Tables) -> DataFrame:
     best = met.withColumn("place", place.cast("long")).where("place <= 5")
     gain = F.col("kw") / 1000
     return best.select("scenario", "node", "place", R(gain, 6).alias("gain"), R(gain / F.greatest("repair_h", F.lit(0.1)), 6).alias("gain_per_hour"))
+
+
+@query("X20 X25 W11 B3", f"""with {v.TRAJECTORY}, p as (select scenario, step_index, end_h, least(15.0, unserved_mw) * duration_h as potential from trajectory),
+b as (select *, coalesce(sum(potential) over (partition by scenario order by step_index rows between unbounded preceding and 1 preceding), 0) as before from p),
+u as (select *, least(potential, greatest(0, 180 - before)) as used, greatest(0, 180 - before - potential) as remaining from b)
+select scenario, round(sum(used), 6) as used, round(min(remaining), 6) as remaining, round(min(case when remaining <= 1e-9 then end_h end), 6) as depleted_h from u group by scenario""")
+def finite_energy_support(t: Tables) -> DataFrame:
+    """Support of 15 MW for 12 hours along each scenario's repairs."""
+    x = v.trajectory(t).withColumn("potential", F.least(F.lit(15.0), F.col("unserved_mw")) * F.col("duration_h"))
+    s = support.finite_support(x, ["scenario"], "step_index", "potential", support.Resource("E12", 1.0, 12.0).energy(F.lit(15.0)), "end_h")
+    return s.groupBy("scenario").agg(R(F.sum("used"), 6).alias("used"), R(F.min("remaining"), 6).alias("remaining"), R(F.max("depleted_h"), 6).alias("depleted_h"))
+
+
+@query("J03 J09 T05 B19", f"""with {v.EPISODES}, r as (select scenario, subset, sum(damage) as damage, sum(ens) as ens from episodes group by 1, 2)
+select a.scenario, a.subset, round(100 * (b.damage - a.damage) / b.damage, 6) as damage_reduction_pct, round(100 * (b.ens - a.ens) / b.ens, 6) as ens_reduction_pct from r a join r b on a.scenario = b.scenario and b.subset = 'N' and a.subset <> 'N'""")
+def resource_benefit(t: Tables) -> DataFrame:
+    runs = v.episodes(t).groupBy("scenario", "subset").agg(F.sum("damage").alias("damage"), F.sum("ens").alias("ens"))
+    x = support.resource_benefit(runs, ["scenario"], "subset", "N", ["damage", "ens"])
+    return x.select("scenario", "subset", R("damage_reduction_pct", 6).alias("damage_reduction_pct"), R("ens_reduction_pct", 6).alias("ens_reduction_pct"))
+
+
+@query("A24 J24 F30", """select s_nationkey as node, round(avg(s_acctbal), 6) as centre_x, round(avg(s_suppkey), 6) as centre_y, min(s_acctbal) as min_x, max(s_acctbal) as max_x, min(s_suppkey) as min_y, max(s_suppkey) as max_y from supplier group by 1""")
+def node_extent(t: Tables) -> DataFrame:
+    x = support.extent(t.supplier.withColumnRenamed("s_nationkey", "node"), ["node"], "s_acctbal", "s_suppkey")
+    return x.select("node", R("centre_x", 6).alias("centre_x"), R("centre_y", 6).alias("centre_y"), "min_x", "max_x", "min_y", "max_y")
+
+
+@query("M02 J11", """select o_orderkey, case when p is null then 'value is missing' else 'value shouldn''t be there' end as rule from (select o_orderkey, case when o_orderkey % 50 > 0 then o_totalprice end as p, o_orderstatus from orders) where (p is null) <> (o_orderstatus = 'P')""")
+def hazard_null_contract(t: Tables) -> DataFrame:
+    x = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 50 > 0, F.col("o_totalprice")).alias("p"), "o_orderstatus")
+    return support.null_contract(x, "p", "o_orderstatus", "P", ["o_orderkey"])
+
+
+@query("P14 B09", """select p_partkey, round(p_size * 1.3, 6) as facility_mw, round(p_size * 1.3 - p_size, 6) as cooling_mw, cast(ceil(p_size * 1.3 / 2.725) + 2 as bigint) as backup_units, round((ceil(p_size * 1.3 / 2.725) + 2) * 2.725, 6) as backup_mw from part""")
+def facility_sizes(t: Tables) -> DataFrame:
+    x = support.facility_size(F.col("p_size").cast("double"), 1.3, 2.725, 2)
+    return t.part.select("p_partkey", R(x["facility_mw"], 6).alias("facility_mw"), R(x["cooling_mw"], 6).alias("cooling_mw"), x["backup_units"].cast("long").alias("backup_units"), R(x["backup_mw"], 6).alias("backup_mw"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmend.functions import scalar as s
 from gridmend.functions import text
-from gridmend.operators import checks, economics, graph, hazard, relational, search, simulation, stats, supply
+from gridmend.operators import checks, economics, graph, hazard, relational, search, simulation, stats, supply, support
 
 
 def one(spark, **columns):
@@ -225,3 +225,16 @@ def test_sequence_violations(spark):
 def test_substation_ids(spark):
     got = one(spark, a=text.substation_parts(F.lit("P1Uhs12_1247")), b=text.substation_parts(F.lit("other")))
     assert tuple(got["a"]) == ("P1U", "p1uhs12", 12.47) and got["b"] is None
+
+
+def test_settings_name_all_faults():
+    required = {"a": (0.0, 1.0), "b": (1.0, 5.0)}
+    assert support.validate_settings({"a": 0.5, "b": 2}, required) == {"a": 0.5, "b": 2}
+    with pytest.raises(ValueError, match="b is missing; c isn't known; a must be"):
+        support.validate_settings({"a": True, "c": 1}, required)
+
+
+def test_store_runs_out(spark):
+    df = spark.createDataFrame([(1, 0, 50.0, 5.0), (1, 1, 60.0, 8.0), (1, 2, 10.0, 9.0)], "k int, i int, p double, end double")
+    rows = sorted(support.finite_support(df, ["k"], "i", "p", F.lit(80.0), "end").collect(), key=lambda r: r.i)
+    assert [r.used for r in rows] == [50.0, 30.0, 0.0] and rows[1].fraction == 0.5 and {r.depleted_h for r in rows} == {8.0}
