@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with the SQL that it is held against."""
 
-from . import assessment, learned, restoration, simulated, tables
+from . import assessment, learned, restoration, simulated, streamed, tables
 from .catalog import QUERIES
 
-__all__ = ["QUERIES", "assessment", "learned", "restoration", "simulated", "tables"]
+__all__ = ["QUERIES", "assessment", "learned", "restoration", "simulated", "streamed", "tables"]
