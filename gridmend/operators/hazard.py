@@ -148,3 +148,52 @@ def extended_track(tracks: DataFrame, by: list[str], rate: float, step_km: float
         scalar.decayed(F.col("speed"), rate, F.col("k") * step_km).alias("speed"),
     )
     return tracks.select(*by, "time_index", "lat", "lon", "speed").unionByName(added)
+
+
+#: Fixed values of the scenario sampler.
+LEAST_MW, RETRIES, MORE_EDGES, MORE_INTENSITY = 5.0, 3, 6, 0.05
+VULNERABLE = {"transformer": 0.8, "switch": 0.5}
+
+
+def damage_targets(grid: DataFrame, seed: int) -> DataFrame:
+    """``grid`` (scenario, intensity, base_mean, historical) with how many edges each scenario damages."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grid.schema)
+
+    def draw(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                rng = np.random.default_rng([seed, int.from_bytes(hashlib.sha256(str(r.scenario).encode()).digest()[:8], "big")])
+                n = int(np.clip(rng.poisson(r.base_mean * r.intensity**1.7) + rng.integers(-2, 5), 5, 42))
+                out.append(n if r.historical else max(n, int(12 + 8 * r.intensity)))
+            yield pdf.assign(target=pd.Series(out, index=pdf.index, dtype="int64"))
+
+    return grid.mapInPandas(draw, f"{fields}, target long")
+
+
+def edge_weight(km: Column, kind: Column, length_km: Column, intensity: Column) -> Column:
+    """How likely a storm damages an edge: falls with distance, grows with the root of length and with intensity."""
+    near = F.exp(-(km * km) / (2 * F.pow(34.0 + 8.0 * intensity, F.lit(2.0))))
+    vulnerable = F.lit(1.0)
+    for k, x in VULNERABLE.items():
+        vulnerable = F.when(kind == k, x).otherwise(vulnerable)
+    length = scalar.clip(F.coalesce(length_km, F.lit(0.1)), 0.03, 3.5)
+    return F.greatest((0.08 + near) * vulnerable * F.sqrt(length) * intensity, F.lit(1e-8))
+
+
+def sampled_scenarios(grid: DataFrame, edges: DataFrame, power: DataFrame, seed: int) -> DataFrame:
+    """(scenario, attempt, edge_id, node) of damaged edges of each scenario.
+
+    ``grid``: scenario, lat, lon, shift_km, intensity, base_mean, historical; ``edges``: edge_id, node, lat, lon, kind,
+    length_km; ``power``: node, kw. A draw that leaves less than 5 MW dark is repeated with more edges, three times at
+    most: all attempts are drawn at once, and the first that does it is taken, so nothing waits for anything.
+    """
+    asked = damage_targets(grid, seed).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(RETRIES))))
+    asked = asked.select("scenario", "attempt", (F.col("target") + MORE_EDGES * F.col("attempt")).alias("n"), F.col("lat").alias("eye_lat"), (F.col("lon") + F.col("shift_km") / 95.0).alias("eye_lon"), (F.col("intensity") + MORE_INTENSITY * F.greatest(F.lit(0), F.col("attempt") - 1)).alias("strength"))
+    met = edges.crossJoin(F.broadcast(asked))  # every edge has a weight in every draw: that is the problem's size
+    km = scalar.haversine_km(F.col("eye_lat"), F.col("eye_lon"), F.col("lat"), F.col("lon"), "atan")
+    weighed = met.withColumn("weight", edge_weight(km, F.col("kind"), F.col("length_km"), F.col("strength")))
+    picked = weighted_sample(weighed, ["scenario", "attempt"], "weight", "edge_id", F.col("n"), seed).select("scenario", "attempt", "edge_id", "node")
+    dark = picked.select("scenario", "attempt", "node").distinct().join(power, "node").groupBy("scenario", "attempt").agg((F.sum("kw") / 1000).alias("mw"))
+    taken = dark.groupBy("scenario").agg(F.coalesce(F.min(F.when(F.col("mw") >= LEAST_MW, F.col("attempt"))), F.lit(RETRIES)).alias("attempt"))
+    return picked.join(taken, ["scenario", "attempt"])

@@ -106,3 +106,23 @@ def chronology_year(t: Tables) -> DataFrame:
     total = t.events.groupBy((F.col("user_id") % 10).alias("sample"), hour.alias("t")).agg(F.sum("value").alias("total"))
     x = total.withColumns({"critical": F.col("total") * 0.2, "capacity": 60.0 - F.col("t") % 7})
     return simulation.chronology_years(x).select("sample", "export", *(R(k, 6).alias(k) for k in ("unserved_mwh", "critical_mwh", "exported_mwh", "shortage_hours", "fuel_end_mwh")), "shortage_days", "calls")
+
+
+def _sampled(t: Tables) -> DataFrame:
+    from ..operators import hazard
+
+    edges = t.supplier.select(F.col("s_suppkey").alias("edge_id"), F.col("s_nationkey").cast("long").alias("node"), (29.0 + F.col("s_suppkey") % 20 / 10.0).alias("lat"), (-96.0 + F.col("s_nationkey") / 10.0).alias("lon"), F.when(F.col("s_suppkey") % 7 == 0, "switch").otherwise("line").alias("kind"), (F.col("s_acctbal") / 5000).alias("length_km"))
+    cases = t.region.select(F.col("r_regionkey").cast("long").alias("storm"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("mc"))
+    grid = cases.select((F.col("storm") * 10 + F.col("mc")).alias("scenario"), F.lit(29.75).alias("lat"), (-95.4 + F.col("storm") / 10).alias("lon"), ((F.col("mc") - 2) * 20.0).alias("shift_km"), (0.8 + F.col("storm") / 10).alias("intensity"), F.lit(9.0).alias("base_mean"), (F.col("mc") == 1).alias("historical"))
+    return hazard.sampled_scenarios(grid, edges, v.node_power(t), 19)
+
+
+@query("H17 H18 B16")
+def generated_scenarios(t: Tables) -> DataFrame:
+    return _sampled(t).select("scenario", "attempt", "edge_id", "node")
+
+
+@query("H18 (sizes are within their limits, and no edge is drawn twice)", "select cast(null as bigint) as scenario where false")
+def generated_invariants(t: Tables) -> DataFrame:
+    x = _sampled(t).groupBy("scenario").agg(F.count("*").alias("n"), F.count_distinct("edge_id").alias("d"), F.max("attempt").alias("k"))
+    return x.where("d <> n or n < least(5 + 6 * k, 10) or n > 42 + 6 * k").select("scenario")
