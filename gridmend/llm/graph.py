@@ -12,13 +12,21 @@ from .common import erase, written
 
 #: Edges that a task joins in memory at a time.
 EDGES_TOGETHER = 50_000
+#: Parts that a node's edges are dealt into.
+SALTS = 4
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Links each node's larger neighbours to the least of its neighbours and itself.
+
+    Only nodes with a smaller neighbour change anything, and hubs have none: their many edges are dealt by a salt and
+    find no partner. As both sides are shuffled for the join, Spark can split what is still too large.
+    """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("m"))
-    larger = both.where("b > a")
-    return larger.join(least, larger.a == least.at).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).where("m < a").select(F.col("a").alias("at"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    larger = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    met = larger.join(least, (larger.a == least.at) & (larger.salt == least.part), "left")
+    return met.select(F.col("b").alias("a"), F.coalesce("m", larger.a).alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
