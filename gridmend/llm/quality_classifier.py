@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label:
     """Dictionaries from half of the labelled sample, calibration on the other half.
 
     Only texts of FIT_BYTES at most are in the sample, whole. Without labelled rows of both kinds every score is
-    the share of good ones, or 0.5.
+    0.5.
     """
     sample = labelled_sample(docs.where(F.octet_length("text") <= FIT_BYTES), labels, label, rows, train)
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
@@ -77,8 +77,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label:
     encoded = [(r.text.encode("utf-8", "surrogatepass"), r.y, r.half) for r in got]
     made = Compressors(*(dictionary([t for t, y, h in encoded if y == k and h == 0]).as_bytes() for k in (0, 1)))
     rest = [(made.features(t), y) for t, y, h in encoded if h == 1]
-    x, y = np.array([f for f, _ in rest]).reshape(len(rest), -1), np.array([k for _, k in rest], float)
-    if len(rest) and 0 < y.sum() < len(y):
+    x, y = np.array([f for f, _ in rest]), np.array([k for _, k in rest], float)
+    if 0 < y.sum() < len(y):
         made.mean, made.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
         made.weights = fit_logistic((x - made.mean) / made.spread, y)
     return made
