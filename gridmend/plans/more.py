@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalar as s
 from ..functions import text
-from ..operators import checks, economics, hazard, relational
+from ..operators import checks, economics, hazard, relational, testbed
 from ..sources.files import point_in_ring
 from . import assessment as a
 from . import views as v
@@ -216,3 +216,47 @@ def private_blocks(t: Tables) -> DataFrame:
             yield pd.DataFrame(rows)[["site", "piece", "utility", "start_h", "end_h", "it_mw", "aux_mw", "unserved_mw", "ups_mwh", "fuel_mwh"]]
 
     return t.supplier.select("s_suppkey").mapInPandas(run, "site long, piece long, utility boolean, start_h double, end_h double, it_mw double, aux_mw double, unserved_mw double, ups_mwh double, fuel_mwh double")
+
+
+@query("B07 J23", """with d as (select r_regionkey as region, s_suppkey as node, abs(s_acctbal - r_regionkey * 2000) as km from supplier, region), k as (select region, node from (select *, row_number() over (partition by region order by km, node) as i from d) where i <= 8),
+n as (select distinct node from k), e as (select l_orderkey as edge_id, l_suppkey as a, l_partkey % 100 as b from lineitem where l_linenumber = 3)
+select cast((a in (select node from n))::int + (b in (select node from n))::int as bigint) as ends, count(*) as edges from e group by 1 having ends > 0""")
+def subnetwork_extract(t: Tables) -> DataFrame:
+    """The nearest eight nodes of each region, their edges, and the edges that cross their border."""
+    centres = t.region.select("r_regionkey", (F.col("r_regionkey") * 2000).alias("centre"))
+    near = testbed.nearest_peers(t.supplier.select("s_suppkey", "s_acctbal"), centres, "r_regionkey", F.abs(F.col("s_acctbal") - F.col("centre")), "s_suppkey", 8)
+    edges = t.lineitem.where("l_linenumber = 3").select(F.col("l_orderkey").alias("edge_id"), F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"))
+    inner, border = testbed.extract(edges, near.select(F.col("s_suppkey").alias("node")).distinct())
+    both = inner.select(F.lit(2).cast("long").alias("ends")).unionByName(border.select(F.lit(1).cast("long").alias("ends")))
+    return both.groupBy("ends").agg(F.count("*").alias("edges"))
+
+
+def _profiles(t: Tables) -> DataFrame:
+    hour = F.hour(F.col("ts").cast("timestamp"))
+    return t.events.groupBy(F.col("event_type").alias("profile_id"), hour.alias("t")).agg((F.count("*") / 100.0).alias("multiplier"))
+
+
+def _profiled(t: Tables) -> DataFrame:
+    kinds = F.array(*(F.lit(k) for k in ("click", "error", "view")))
+    return v.loads(t).select("load_id", F.element_at(kinds, (F.col("load_id") % 3 + 1).cast("int")).alias("profile_id"), "kw", "node")
+
+
+@query("B10 A33 S08", f"""with {v.LOADS}, p as (select event_type as profile_id, hour(ts) as t, count(*) / 100.0 as m from events group by 1, 2), l as (select ['click', 'error', 'view'][load_id % 3 + 1] as profile_id, sum(kw) as kw from loads group by 1)
+select cast(t as integer) as t, round(sum(kw * m), 4) as kw from l join p using (profile_id) group by t""")
+def load_timeseries(t: Tables) -> DataFrame:
+    series = testbed.load_series(_profiled(t), _profiles(t))
+    return series.groupBy("t").agg(R(F.sum("kw"), 4).alias("kw"))
+
+
+@query("B10 (series and profiles conserve power)", "select cast(null as integer) as t where false")
+def load_conservation(t: Tables) -> DataFrame:
+    return testbed.conservation_violations(testbed.load_series(_profiled(t), _profiles(t)), _profiled(t), _profiles(t)).select("t")
+
+
+@query("B11 G10 T09", """select 'case isn''t connected' as rule, (select count(distinct r_regionkey) from region) - 1 as n union all select 'power isn''t positive', count(*) from customer where not (c_acctbal > 0) having count(*) > 0""")
+def smoke_checks(t: Tables) -> DataFrame:
+    """Nations connected within their regions only, loads as they are in the table."""
+    n = t.nation.select("n_regionkey", F.col("n_nationkey").alias("n"))
+    edges = n.withColumnRenamed("n", "a").join(n.groupBy("n_regionkey").agg(F.min("n").alias("b")), "n_regionkey")
+    loads = t.customer.select(F.col("c_custkey").alias("load_id"), F.col("c_nationkey").alias("node"), F.col("c_acctbal").alias("kw"))
+    return testbed.smoke_faults(t.nation.select(F.col("n_nationkey").alias("node")), edges, loads)

@@ -126,3 +126,16 @@ def generated_scenarios(t: Tables) -> DataFrame:
 def generated_invariants(t: Tables) -> DataFrame:
     x = _sampled(t).groupBy("scenario").agg(F.count("*").alias("n"), F.count_distinct("edge_id").alias("d"), F.max("attempt").alias("k"))
     return x.where("d <> n or n < least(5 + 6 * k, 10) or n > 42 + 6 * k").select("scenario")
+
+
+@query("X18 X26 L04 B22")
+def policy_rollouts(t: Tables) -> DataFrame:
+    x = search.policy_rollouts(v.damage(t).join(v.node_power(t), "node").select("scenario", "node", "repair_h", "kw", "critical_kw"))
+    return x.select("scenario", "policy", R("reward", 6).alias("reward"), R("cost", 6).alias("cost"))
+
+
+@query("X26 (the greedy policy repeats the greedy order)", f"""with {v.LOADS}, {v.DAMAGE}, {v.NODE_POWER}, g as (select scenario, node, kw / 1000 as mw, repair_h, row_number() over (partition by scenario order by kw / greatest(repair_h, 0.1) desc, repair_h, node desc) as i from damage join node_power using (node)),
+c as (select scenario, repair_h * sum(mw) over (partition by scenario order by i rows between current row and unbounded following) as ens from g)
+select scenario, round(sum(ens), 5) as cost from c group by scenario""")
+def greedy_rollout(t: Tables) -> DataFrame:
+    return policy_rollouts(t).where("policy = 'greedy'").select("scenario", R("cost", 5).alias("cost"))
