@@ -1,8 +1,9 @@
 """Quality by compression: dictionaries of good and of bad labelled text, and a calibrated score.
 
 A text is compressed with a zstandard dictionary built from good texts, with one built from bad texts, and with none.
-The difference of the first two sizes, normalised, tells which kind the text resembles; how far it shrinks at all
-corrects for repetition and length. A logistic regression on labelled rows that the dictionaries haven't seen makes
+With a dictionary it is taken in pieces, all of them, since a long text soon becomes its own dictionary. The difference
+of the two sums of sizes, normalised, tells which kind the text resembles; how far it shrinks at all corrects for
+repetition and length. A logistic regression on labelled rows that the dictionaries haven't seen makes
 a probability of these.
 """
 
@@ -22,7 +23,7 @@ from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 #: Bounds of the fit: labelled rows, bytes of a text that is used for it. At most 160 MB reach the driver, about
 #: 20 MB with texts of usual length.
 FIT_ROWS, FIT_BYTES = 8_000, 20_000
-DICTIONARY_BYTES, LEVEL = 112_640, 3
+DICTIONARY_BYTES, LEVEL, PIECE = 112_640, 3, 1024
 
 
 def dictionary(texts: list[bytes]) -> zstandard.ZstdCompressionDict:
@@ -54,9 +55,10 @@ class Compressors:
         self._make()
 
     def features(self, text: bytes) -> list[float]:
-        bad, good, none = (len(c.compress(text)) for c in (self.bad, self.good, self.none))
-        shrinks, size = np.log((len(text) + 1) / (none + 1)), np.log(len(text) + 1) / 10
-        return [(bad - good) / max(bad, good), np.log((bad + 20) / (good + 20)), shrinks, shrinks * shrinks, size, size * size, shrinks * size]
+        pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)] or [b""]
+        bad, good = (sum(len(c.compress(p)) for p in pieces) for c in (self.bad, self.good))
+        shrinks, size = np.log((len(text) + 1) / (len(self.none.compress(text)) + 1)), np.log(len(text) + 1) / 10
+        return [(bad - good) / max(bad, good), np.log((bad + 20) / (good + 20)), 3 * (bad - good) / (len(text) + 50), shrinks, shrinks * shrinks, size, size * size, shrinks * size]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None or not texts:
