@@ -35,7 +35,7 @@ def test_booleans(spark):
     df = spark.createDataFrame([("TRUE",), ("0",), ("y",), (None,)], "x string")
     assert [r[0] for r in df.select(s.lenient_boolean(F.col("x"))).collect()] == [True, False, False, False]
     assert [r[0] for r in df.select(s.extended_boolean(F.col("x"))).collect()] == [True, False, True, False]
-    assert [r[0] for r in df.select(s.boolean_token(F.col("x"))).collect()] == [True, False, True, None]
+    assert [r[0] for r in df.select(s.boolean_token(F.col("x"))).collect()] == [True, None, True, None]
     with pytest.raises(Exception, match="not a boolean"):
         df.select(s.strict_boolean(F.col("x"))).collect()
 
