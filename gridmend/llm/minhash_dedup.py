@@ -3,10 +3,12 @@
 A shingle is five consecutive words; its weight is 1 + log2 of how often the text has it. Each shingle is a Poisson
 process with its weight as rate, whose arrivals fall on the signature's components at random; a component keeps the
 shingle that arrives first. Processes are followed in time order and given up once they are later than all
-components' first arrivals. Two signatures then agree in a component with the texts' probability Jaccard.
+components' first arrivals. Two signatures then agree in a component with the texts' probability Jaccard. A text that
+repeats shingles has a second signature for which all weights are 1; two of these agree with the plain Jaccard. For
+other texts both signatures are the same.
 
-Signatures are banded. Texts that share a band make coarse clusters (connected components over stars, not pairs).
-A cluster is dealt into blocks, and each pair of blocks is a tile: there pairs that look similar by signature and
+Both signatures are banded, with the same keys. Texts that share a band make coarse clusters (connected components over stars, not pairs).
+A cluster is dealt into blocks, and each pair of blocks is a tile: there pairs that look similar by either signature and
 aren't connected yet are verified on their whole shingle sets, the most similar ones first. Two texts are linked if
 their Jaccard similarity, plain or weighted, is at least 0.8. A tile returns a spanning forest, so what leaves it
 grows with the texts and not with their pairs. Exact copies (equal words) are one node throughout.
@@ -69,12 +71,12 @@ def weights(counts: np.ndarray) -> np.ndarray:
     return 1.0 + np.log2(counts)
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """A row of SIZE components (low 32 bits of the winning shingles) for each text."""
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], plain: bool = False) -> np.ndarray:
+    """A row of SIZE components (low 32 bits of the winning shingles) for each text; ``plain``: all weights are 1."""
     docs = len(sets)
     doc = np.repeat(np.arange(docs), [len(s) for s, _ in sets])
     element = np.concatenate([s for s, _ in sets])
-    pace = 1.0 / weights(np.concatenate([c for _, c in sets]))
+    pace = np.ones(len(element)) if plain else 1.0 / weights(np.concatenate([c for _, c in sets]))
     first = np.full(docs * SIZE, np.inf)
     won = np.zeros(docs * SIZE, np.uint32)
     time, step = np.zeros(len(element)), 0
@@ -94,6 +96,21 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return won.reshape(docs, SIZE)
 
 
+def repeating(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The places of texts that repeat shingles, whose plain signature isn't the weighted one."""
+    return np.array([i for i, (_, c) in enumerate(sets) if c.max() > 1], np.int64)
+
+
+def both_signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted and plain signatures."""
+    sig, again = signatures(sets), repeating(sets)
+    if not len(again):
+        return sig, sig
+    plain = sig.copy()
+    plain[again] = signatures([sets[i] for i in again], plain=True)
+    return sig, plain
+
+
 def bands(signature: np.ndarray) -> np.ndarray:
     """BANDS keys for each signature."""
     part = signature.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
@@ -145,8 +162,12 @@ def prints(docs: DataFrame) -> DataFrame:
 
             def flush() -> None:
                 if sets:
-                    for at, row in zip(places, bands(signatures(sets)).tolist(), strict=True):
+                    sig, plain = both_signatures(sets)
+                    for at, row in zip(places, bands(sig).tolist(), strict=True):
                         found[at] = row
+                    again = repeating(sets)
+                    for i, row in zip(again.tolist(), bands(plain[again]).tolist(), strict=True):
+                        found[places[i]] = list({*found[places[i]], *row})
                     sets.clear(), places.clear()
 
             for at, t in enumerate(texts):
@@ -195,15 +216,18 @@ def tile_edges(keys: list[bytes], side: np.ndarray, texts: list[str]) -> list[tu
     once = {h: i for i, h in reversed(list(enumerate(keys)))}
     rows = sorted(once.values())
     keys, side, sets = [keys[i] for i in rows], side[rows], [shingles(texts[i].encode("utf-8", "surrogatepass").split()) for i in rows]
-    sigs, start = [], 0
+    sigs, plains, start = [], [], 0
     while start < len(sets):  # by portions of bounded size
         end, size = start, 0
         while end < len(sets) and (end == start or size + len(sets[end][0]) <= TOGETHER):
             size += len(sets[end][0])
             end += 1
-        sigs.append(signatures(sets[start:end]))
+        weighted, plain = both_signatures(sets[start:end])
+        sigs.append(weighted), plains.append(plain)
         start = end
-    sig = np.concatenate(sigs)
+    sig, plain = np.concatenate(sigs), np.concatenate(plains)
+    again = np.zeros(len(sets), bool)
+    again[repeating(sets)] = True
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     one = not len(left) or not len(right)
     if one and side.any():
@@ -213,6 +237,11 @@ def tile_edges(keys: list[bytes], side: np.ndarray, texts: list[str]) -> list[tu
     for i in range(0, len(left), 32):
         rows = left[i : i + 32]
         share = (sig[rows][:, None, :] == sig[right][None, :, :]).mean(axis=2)
+        r, c = np.flatnonzero(again[rows]), np.flatnonzero(again[right])
+        if len(r):
+            share[r] = np.maximum(share[r], (plain[rows[r]][:, None, :] == plain[right][None, :, :]).mean(axis=2))
+        if len(c):
+            share[:, c] = np.maximum(share[:, c], (plain[rows][:, None, :] == plain[right[c]][None, :, :]).mean(axis=2))
         r, c = np.nonzero(share >= LOOKS)
         u, v, s = rows[r], right[c], share[r, c]
         keep = u < v if one else slice(None)

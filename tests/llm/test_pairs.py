@@ -82,6 +82,18 @@ def test_large_clusters_are_solved_in_tiles(spark, copies):
     assert a.exceptAll(components(mh.links(df, clusters, 4096))).count() == 0
 
 
+def test_copies_with_a_repeated_passage_are_linked(spark):
+    texts = []
+    for k in range(12):
+        words = [f"t{k}w{i}" for i in range(300)]
+        size, times = ((40, 20), (50, 16))[k % 2]
+        texts += [" ".join(words), " ".join(words + [f"t{k}p{i}" for i in range(size)] * times)]
+    want = classes(len(texts), similar_pairs(texts))
+    assert want == [i // 2 * 2 for i in range(len(texts))]
+    got = mh.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(want))
+
+
 def test_one_row_of_each_class_stays(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(5, text, 1), (3, text + " ", 2), (3, text + " ", 2), (9, text.replace("w7", "v7"), 3), (None, None, 4), (8, None, 5), (8, "", 6), (2, "other words entirely", 7)]
