@@ -5,12 +5,17 @@ domains. Document rates r >= 0 are then fitted so that the expected tokens of ea
 rate x tokens x posterior, have the target shares of the corpus: least squares by projected gradient steps with
 momentum. A step needs the domains' totals only. As every rate starts at 1 and moves by the product of its posterior
 with vectors that are the same for all, a rate is replayed from those vectors, and no state is kept for documents.
+
+Where these steps don't reach the targets (rare domains), Newton steps follow, scaled by the domains' second moments:
+of all rates that meet the targets, those nearest to 1 are max(0, 1 + posterior x v), and v is the least point of a
+convex function. Targets that no rates meet are reported with what is left.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,9 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import claim, lean, table, written
 
-#: Bounds of the fit: documents, domains, hashed words of the classifier; steps at most, and the error of a share at
-#: which they end.
+#: Bounds of the fit: documents, domains, hashed words of the classifier; projected steps before Newton steps, and the
+#: error of a share at which either end.
 FIT_ROWS, DOMAINS, BUCKETS, STEPS, ENOUGH = 20_000, 64, 1 << 15, 60, 2e-4
+#: Newton steps after which targets count as out of reach, and what is tried in each: parts of the second moments of all
+#: documents that are added to those of the documents in use. With 1 a step always leads down.
+NEWTON_STEPS, DAMPING = 200, (0.0, 1e-3, 1e-2, 0.1, 1.0)
 WORD = re.compile(r"\w+")
 
 
@@ -137,9 +145,15 @@ class Mix:
     targets: np.ndarray
     pushes: list[np.ndarray]
     shares: np.ndarray
+    lift: np.ndarray | None = None
+
+    @property
+    def residual(self) -> float:
+        """The largest error of a share of the expected tokens."""
+        return float(np.abs(self.shares - self.targets).max())
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        return replay(p, self.pushes)[0]
+        return replay(p, self.pushes)[0] if self.lift is None else np.maximum(0.0, 1.0 + p @ self.lift)
 
 
 def members(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -162,6 +176,7 @@ def fit_rates(table_: DataFrame, classifier: Classifier, targets: dict[str, floa
     """The steps that lead from equal rates to the targets. ``table_`` has columns n and p.
 
     ``targets``: weights by domain; domains that aren't named get none, and without targets all weigh the same.
+    Warns if no rates meet them.
     """
     d = len(classifier.domains)
     want = np.array([(targets or {}).get(k, 0.0 if targets else 1.0) for k in classifier.domains])
@@ -203,7 +218,61 @@ def fit_rates(table_: DataFrame, classifier: Classifier, targets: dict[str, floa
             if np.abs(shares - want).max() < ENOUGH:
                 break
             pushes.append(width * (both[:d] - want))
-    return Mix(classifier, want, pushes, shares)
+        else:
+            shares = gather(pushes, False)[d:] / tokens
+    mix = Mix(classifier, want, pushes, shares)
+    if mix.residual >= ENOUGH:
+        lift, shares = newton(stats, want, tokens, moments[:-1].reshape(d, d) / tokens)
+        if np.abs(shares - want).max() < mix.residual:
+            mix = Mix(classifier, want, [], shares, lift)
+        if mix.residual >= ENOUGH:
+            warnings.warn(f"the targets aren't met: a domain's share of the tokens is off by {mix.residual:.4g}", stacklevel=2)
+    return mix
+
+
+def newton(stats: DataFrame, want: np.ndarray, tokens: float, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lift, shares) with which rates max(0, 1 + p lift) meet ``want``, or come nearest to it.
+
+    ``stats`` has columns n and p, ``whole`` is the matrix of second moments. Minimises the mean of half the squared
+    rates less ``want`` lift, whose gradient is the error of the shares; a pass tries one step for each damping.
+    """
+    d = len(want)
+    size = 1 + d + d * d
+
+    def gather(lifts: list[np.ndarray]) -> np.ndarray:
+        """For each lift, the sums of half the squared rates, of the domains' tokens, and of second moments in use."""
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(lifts), size))
+            for b in batches:
+                n = b.column(0).to_numpy().astype(float)
+                p = b.column(1).flatten().to_numpy().reshape(-1, d)
+                for k, lift in enumerate(lifts):
+                    rate = np.maximum(0.0, 1.0 + p @ lift)
+                    used = p[rate > 0]
+                    total[k] += np.concatenate([[(n * rate * rate).sum() / 2], (n * rate) @ p, ((used * n[rate > 0][:, None]).T @ used).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int64()), pa.array(total.ravel(), pa.float64())], names=["k", "x"])
+
+        out = np.zeros(len(lifts) * size)
+        for r in stats.mapInArrow(of, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+            out[r.k] = r.x
+        return out.reshape(len(lifts), size) / tokens
+
+    tried, at, least = [np.zeros(d)], None, np.inf
+    best: tuple[np.ndarray, np.ndarray] | None = None
+    for _ in range(NEWTON_STEPS + 1):
+        for lift, sums in zip(tried, gather(tried), strict=True):
+            shares, value = sums[1 : d + 1], sums[0] - want @ lift
+            if best is None or np.abs(shares - want).max() < np.abs(best[1] - want).max():
+                best = lift, shares
+            if value < least:
+                at, least = (lift, shares, sums[d + 1 :].reshape(d, d)), value
+        if np.abs(best[1] - want).max() < ENOUGH:
+            break
+        lift, shares, used = at
+        steps = [np.linalg.lstsq(used + damp * whole, want - shares, rcond=1e-12)[0] for damp in DAMPING]
+        tried = [lift + step for step in steps if np.isfinite(step).all()]
+    return best
 
 
 def draw(doc_id: object, text: str) -> float:

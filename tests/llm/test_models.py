@@ -229,6 +229,29 @@ def test_rates_reach_the_targets(spark, small):
     assert rate == pytest.approx(x, abs=1e-9)
 
 
+@pytest.mark.parametrize("shares", [(0.6, 0.3, 0.099, 0.001), (0.989, 0.01, 0.001), (0.6, 0.3, 0.095, 0.005), (0.97, 0.02, 0.01)])
+def test_rare_domains_reach_the_targets(spark, shares):
+    rng = np.random.default_rng(4)
+    d, rows = len(shares), 4000
+    of = np.repeat(np.arange(d), np.round(np.array(shares) * rows).astype(int))
+    p = np.full((len(of), d), 0.01 / (d - 1))
+    p[np.arange(len(of)), of] = 0.99
+    n = rng.integers(50, 150, len(of))
+    table = mixing.written(spark.createDataFrame(list(zip(n.tolist(), p.tolist(), strict=True)), "n long, p array<double>"), "test-rare")
+    mix = mixing.fit_rates(table, mixing.Classifier([f"d{i}" for i in range(d)], np.zeros(d), np.zeros((d, 1))))
+    rate = mix.rates(p)
+    assert (rate >= 0).all() and (n * rate) @ p / n.sum() == pytest.approx(np.full(d, 1 / d), abs=5e-4)
+    assert mix.residual < mixing.ENOUGH
+
+
+def test_targets_out_of_reach_are_reported(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 10)
+    table = mixing.written(spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.6, 0.4])], "n long, p array<double>"), "test-far")
+    with pytest.warns(UserWarning, match="targets aren't met"):
+        mix = mixing.fit_rates(table, mixing.Classifier(["a", "b"], np.zeros(2), np.zeros((2, 1))), {"b": 1.0})
+    assert mix.residual > 0.1 and np.isfinite(mix.rates(np.array([[0.9, 0.1], [0.6, 0.4]]))).all()
+
+
 def test_copies_follow_the_rates(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     got = mixing.op5_mixing(spark, "/root/testdata/sf0.01").collect()
