@@ -99,7 +99,7 @@ def dispatch_invariants(t: Tables) -> DataFrame:
     return found.unionByName(legal)
 
 
-@query("X10 X11 X12 X19 B12")
+@query("X11 X19 (in part; note B12)")
 def chronology_year(t: Tables) -> DataFrame:
     """Months of hourly event values as demand against a capacity that dips."""
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) - 473_352
