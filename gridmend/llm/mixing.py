@@ -179,6 +179,9 @@ def fit_rates(table_: DataFrame, classifier: Classifier, targets: dict[str, floa
     Warns if no rates meet them.
     """
     d = len(classifier.domains)
+    unknown = sorted(k for k, w in (targets or {}).items() if w > 0 and k not in classifier.domains)
+    if unknown:
+        raise ValueError(f"targets name domains that the classifier doesn't know: {unknown}")
     want = np.array([(targets or {}).get(k, 0.0 if targets else 1.0) for k in classifier.domains])
     if want.sum() <= 0:
         raise ValueError("no target names a domain of the labelled documents")

@@ -244,6 +244,12 @@ def test_rare_domains_reach_the_targets(spark, shares):
     assert mix.residual < mixing.ENOUGH
 
 
+def test_targets_of_unknown_domains_are_errors(spark):
+    table = spark.createDataFrame([(10, [0.9, 0.1])], "n long, p array<double>")
+    with pytest.raises(ValueError, match="xx"):
+        mixing.fit_rates(table, mixing.Classifier(["a", "b"], np.zeros(2), np.zeros((2, 1))), {"a": 0.5, "xx": 0.5})
+
+
 def test_targets_out_of_reach_are_reported(spark, monkeypatch):
     monkeypatch.setattr(mixing, "NEWTON_STEPS", 10)
     table = mixing.written(spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.6, 0.4])], "n long, p array<double>"), "test-far")
