@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,18 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is configured, a local one for tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. Where none is configured, a local master gets a local one, for
+    tests; a cluster is an error, since its executors wouldn't see each other's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gridmend-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/gridmend-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,13 +49,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def erase(df: DataFrame) -> None:
-    """Deletes the files behind a table made by written()."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def erase(*tables: DataFrame) -> None:
+    """Deletes the files behind tables made by written() that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. To be called once what the operators returned has been
+    written: their results read some of these tables."""
+    _delete(spark, scratch_root(spark))
 
 
 _held: list = []
@@ -64,13 +79,17 @@ def claim(name: str, drop: Callable[[], None]) -> None:
     _held[:] = [name, drop]
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches held to 500 rows, so that a worker has few texts in memory at once."""
-    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= most:
-        conf.set(key, str(most))
-    return df
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time, so that a worker has few texts as Python strings at once. Spark itself holds a
+    batch to spark.sql.execution.arrow.maxBytesPerBatch."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
+def without(df: DataFrame, name: str) -> list[str]:
+    """The columns of ``df`` but those that Spark would take for ``name``."""
+    return [c for c in df.columns if c.lower() != name.lower()]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, lean, table, unused, written
+from .common import claim, portions, table, unused, written
 from .graph import components
 
 #: Words of a shingle, the similarity, bands and their rows, texts in a block.
@@ -154,7 +154,7 @@ def prints(docs: DataFrame) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__, _hashes.clear)
         seen: set[bytes] = set()
-        for b in batches:
+        for b in portions(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             keys: list[bytes | None] = []
             found: list[list[int] | None] = [None] * len(ids)
@@ -188,7 +188,7 @@ def prints(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return lean(docs.select("doc_id", "text")).mapInArrow(of, f"doc_id {kind}, h binary, key binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, h binary, key binary, bands array<long>")
 
 
 def stars(marked: DataFrame) -> DataFrame:
@@ -203,12 +203,12 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in batches:
+        for b in portions(batches):
             keys = [digest((t or "").encode("utf-8", "surrogatepass").split()) for t in b.column(0).to_pylist()]
             new = [h is not None and h not in seen and not seen.add(h) for h in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0)], names=["h", "text"]).filter(pa.array(new, pa.bool_()))
 
-    return lean(docs.select("text")).mapInArrow(of, "h binary, text string")
+    return docs.select("text").mapInArrow(of, "h binary, text string")
 
 
 def tile_edges(keys: list[bytes], side: np.ndarray, texts: list[str]) -> list[tuple[bytes, bytes]]:
@@ -281,7 +281,7 @@ def links(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-        for b in batches:
+        for b in portions(batches):
             for root, i, j, s, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (root, i, j) != now:
                     yield from done()
@@ -289,7 +289,7 @@ def links(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame
                 keys.append(h), side.append(s), texts.append(t)
         yield from done()
 
-    return lean(tiles).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(of, "a binary, b binary")
+    return tiles.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(of, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -315,12 +315,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     at = (docs.columns.index("doc_id"), docs.columns.index("text"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             hs = [digest((t or "").encode("utf-8", "surrogatepass").split()) for t in b.column(at[1]).to_pylist()]
             keys = [_row_key(i, h) for i, h in zip(b.column(at[0]).to_pylist(), hs, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, own])
 
-    rows = lean(docs).mapInArrow(keyed, docs.withColumn(own, F.lit(b"")).schema)
+    rows = docs.mapInArrow(keyed, docs.withColumn(own, F.lit(b"")).schema)
     return rows.join(kept, rows[own] == kept.key, "left_semi").dropDuplicates([own]).drop(own)
 
 

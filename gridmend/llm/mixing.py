@@ -4,7 +4,12 @@ A classifier is learned from the documents that the label table covers and gives
 domains. Document rates r >= 0 are then fitted so that the expected tokens of each domain, the sum of
 rate x tokens x posterior, have the target shares of the corpus: least squares by projected gradient steps with
 momentum. A step needs the domains' totals only. As every rate starts at 1 and moves by the product of its posterior
-with vectors that are the same for all, a rate is replayed from those vectors, and no state is kept for documents.
+with vectors that are the same for all, a rate is replayed from those vectors; from time to time a narrow table of the
+rates so far is written, so that a step replays CARRY steps at most.
+
+Domains are the languages of the documents that the label table covers. What other documents have in that column is
+never looked at. A token is a word, or a single letter of a script that is written without spaces; other counts, those
+of a tokenizer for instance, can be given as a column.
 
 Where these steps don't reach the targets (rare domains), Newton steps follow, scaled by the domains' second moments:
 of all rates that meet the targets, those nearest to 1 are max(0, 1 + posterior x v), and v is the least point of a
@@ -25,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, lean, table, written
+from .common import claim, erase, portions, table, written
 
-#: Bounds of the fit: documents, domains, hashed words of the classifier; projected steps before Newton steps, and the
-#: error of a share at which either end.
-FIT_ROWS, DOMAINS, BUCKETS, STEPS, ENOUGH = 20_000, 64, 1 << 15, 60, 2e-4
+#: Bounds of the fit: documents, domains (more are an error), hashed words of the classifier; projected steps before
+#: Newton steps, steps after which rates are written, and the error of a share at which either end.
+FIT_ROWS, MOST_DOMAINS, BUCKETS, STEPS, CARRY, ENOUGH = 20_000, 256, 1 << 15, 60, 10, 2e-4
 #: Newton steps after which targets count as out of reach, and what is tried in each: parts of the second moments of all
 #: documents that are added to those of the documents in use. With 1 a step always leads down.
 NEWTON_STEPS, DAMPING = 200, (0.0, 1e-3, 1e-2, 0.1, 1.0)
-WORD = re.compile(r"\w+")
+#: Letters of scripts without spaces: Thai to Burmese, Khmer, kana, Han.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"[{ALONE}]|[^\\W{ALONE}]+")
 
 
 @dataclass
@@ -64,49 +71,64 @@ class Classifier:
         at = self.buckets(text)
         return len(at), self.evidence[:, at].sum(axis=1)
 
-    def posterior(self, text: str) -> np.ndarray:
+    def read(self, text: str) -> tuple[int, np.ndarray]:
+        """Tokens and posterior."""
         n, total = self.sums(text)
         z = self.prior + total / max(n, 1) ** self.temper
         p = np.exp(z - z.max())
-        return p / p.sum()
+        return n, p / p.sum()
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = "lang", rows: int = FIT_ROWS) -> Classifier:
-    """From at most ``rows`` documents that the label table covers and that have a domain. The temper is the one with
-    the least log loss on a fifth of them."""
-    picked = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # the documented bound
-    known = docs.where(F.col(domain).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col(domain).cast("string").alias("domain"))
-    sample = known.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "domain")).alias("x"))
+def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str, rows: int) -> tuple[dict[str, int], DataFrame]:
+    """How many labelled documents each domain has, and a sample (text, domain, fifth) of about ``rows`` of them.
+
+    Half of the sample is dealt by size and half evenly, so that rare domains are in it too. Ids are taken by their
+    hashes. Of repeated documents with one id the least text is taken.
+    """
+    known = docs.where(F.col(domain).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(domain).cast("string").alias("domain"))
+    known = written(known.join(labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id"), "mixing-labelled")
+    if known.select("domain").distinct().count() > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains among the labelled documents")
+    sizes = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}  # MOST_DOMAINS at most
+    if not sizes:
+        return {"all": 0}, written(docs.where("false").select("text", F.lit("").alias("domain"), F.lit(False).alias("fifth")), "mixing-sample")
+    total = sum(sizes.values())
+    part = F.create_map(*(F.lit(x) for d, n in sizes.items() for x in (d, min(1.0, rows / 2 / total + rows / 2 / len(sizes) / n))))
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+    picked = known.where(chance < F.element_at(part, F.col("domain"))).select("doc_id").distinct()  # the documented bound, about
+    met = docs.select("doc_id", "text", F.col(domain).cast("string").alias("domain")).where("text is not null and domain is not null").join(F.broadcast(picked), "doc_id")
+    sample = met.groupBy("doc_id").agg(F.min(F.struct("text", "domain")).alias("x"))
     sample = written(sample.select("x.*", (F.pmod(F.xxhash64("doc_id", F.lit("fifth")), F.lit(5)) == 0).alias("fifth")), "mixing-sample")
-    names = [r.domain for r in sample.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()]
-    names = sorted(names) or ["all"]
+    erase(known)
+    return sizes, sample
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = "lang", rows: int = FIT_ROWS) -> Classifier:
+    """From about ``rows`` documents that the label table covers and that have a domain; priors are from all of these.
+    The temper is the one with the least log loss on a fifth of the sample."""
+    sizes, sample = labelled_domains(docs, labels, domain, rows)
+    names = sorted(sizes)
     place, blank = {d: i for i, d in enumerate(names)}, Classifier([], np.empty(0), np.empty((0, 0)))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, docs_of = np.zeros((len(names), BUCKETS), np.int64), np.zeros(len(names), np.int64)
-        for b in batches:
+        seen = np.zeros((len(names), BUCKETS), np.int64)
+        for b in portions(batches):
             for t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if d in place:
                     np.add.at(seen[place[d]], blank.buckets(t), 1)
-                    docs_of[place[d]] += 1
         r, c = np.nonzero(seen)
-        out = [np.append(r, np.arange(len(names))), np.append(c, np.full(len(names), -1)), np.append(seen[r, c], docs_of)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["d", "b", "n"])
-
-    counted = sample.where("not fifth").select("text", "domain").mapInArrow(tally, "d long, b long, n long").groupBy("d", "b").agg(F.sum("n").alias("n")).collect()  # DOMAINS x BUCKETS at most
-    counts, docs_of = np.full((len(names), BUCKETS), 0.1), np.ones(len(names))
-    for r in counted:
-        if r.b < 0:
-            docs_of[r.d] += r.n
-        else:
-            counts[r.d, r.b] += r.n
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (r, c, seen[r, c])], names=["d", "b", "n"])
+
+    counted = sample.where("not fifth").select("text", "domain").mapInArrow(tally, "d long, b long, n long").groupBy("d", "b").agg(F.sum("n").alias("n")).toArrow()  # MOST_DOMAINS x BUCKETS at most
+    counts, docs_of = np.full((len(names), BUCKETS), 0.1), np.array([sizes[d] + 1.0 for d in names])
+    counts[counted["d"].to_numpy(), counted["b"].to_numpy()] += counted["n"].to_numpy()
     made = Classifier(names, np.log(docs_of / docs_of.sum()), np.log(counts / counts.sum(axis=1, keepdims=True)))
 
     powers = (0.0, 0.25, 0.5, 0.75, 1.0)
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(powers))
-        for b in batches:
+        for b in portions(batches):
             for t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if d in place:
                     n, sums = made.sums(t)
@@ -118,21 +140,26 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = "lang", row
     found = sample.where("fifth").select("text", "domain").mapInArrow(losses, "k long, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()
     if found and any(r.loss > 0 for r in found):
         made.temper = powers[min(found, key=lambda r: (r.loss, r.k)).k]
+    erase(sample)
     return made
 
 
-def momentum(steps: int) -> Iterator[float]:
+def momentum(first: int, steps: int) -> Iterator[float]:
+    """The factors of so many steps from the ``first`` one on."""
     t = 1.0
-    for _ in range(steps):
+    for k in range(first + steps):
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        yield (t - 1) / after
+        if k >= first:
+            yield (t - 1) / after
         t = after
 
 
-def replay(p: np.ndarray, pushes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The rates of documents with posteriors ``p`` after the steps so far, and the point of the next gradient."""
-    rate = point = np.ones(len(p))
-    for beta, push in zip(momentum(len(pushes)), pushes, strict=True):
+def replay(p: np.ndarray, pushes: list[np.ndarray], done: int = 0, rate: np.ndarray | None = None, point: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The rates of documents with posteriors ``p`` after more steps, and the point of the next gradient; ``rate`` and
+    ``point`` are those after the ``done`` steps before."""
+    if rate is None:
+        rate = point = np.ones(len(p))
+    for beta, push in zip(momentum(done, len(pushes)), pushes, strict=True):
         new = np.maximum(0.0, point - p @ push)
         point = new + beta * (new - rate)
         rate = new
@@ -156,20 +183,24 @@ class Mix:
         return replay(p, self.pushes)[0] if self.lift is None else np.maximum(0.0, 1.0 + p @ self.lift)
 
 
-def members(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """(doc_id, n, p, u): words, posterior and draw of each document."""
-    known = docs.sparkSession.sparkContext.broadcast(classifier)  # DOMAINS x BUCKETS numbers at most
+def members(docs: DataFrame, classifier: Classifier, kept: list[str] | None = None, tokens: str | None = None) -> DataFrame:
+    """(gm_row, n, p, u) for each row of ``docs`` (doc_id, text): its ``kept`` columns (doc_id by default), tokens,
+    posterior and draw. ``tokens``: a column of token counts; else the tokens that the classifier reads are counted."""
+    known = docs.sparkSession.sparkContext.broadcast(classifier)  # MOST_DOMAINS x BUCKETS numbers at most
+    kept = kept or ["doc_id"]
+    packed = docs.select("doc_id", "text", F.col(tokens).cast("long").alias("n") if tokens else F.lit(None).cast("long").alias("n"), F.struct(*kept).alias("gm_row"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__, known.value.cache.clear)
-        for b in batches:
+        for b in portions(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            p = pa.array([known.value.posterior(t) for t in texts], pa.list_(pa.float64()))
+            found = [known.value.read(t) for t in texts]
+            p = pa.array([x for _, x in found], pa.list_(pa.float64()))
+            n = [max(0, given) if given is not None else n for given, (n, _) in zip(b.column(2).to_pylist(), found, strict=True)]
             u = pa.array([draw(i, t) for i, t in zip(b.column(0).to_pylist(), texts, strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.split()) for t in texts], pa.int64()), p, u], names=["doc_id", "n", "p", "u"])
+            yield pa.RecordBatch.from_arrays([b.column(3), pa.array(n, pa.int64()), p, u], names=["gm_row", "n", "p", "u"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return lean(docs.select("doc_id", "text")).mapInArrow(of, f"doc_id {kind}, n long, p array<double>, u double")
+    return packed.mapInArrow(of, packed.select("gm_row", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.array(F.lit(0.0)).alias("p"), F.lit(0.0).alias("u")).schema)
 
 
 def fit_rates(table_: DataFrame, classifier: Classifier, targets: dict[str, float] | None = None) -> Mix:
@@ -188,51 +219,82 @@ def fit_rates(table_: DataFrame, classifier: Classifier, targets: dict[str, floa
     want = want / want.sum()
     stats = table_.select("n", "p")
 
-    def gather(pushes: list[np.ndarray], squares: bool) -> np.ndarray:
-        """Domain totals at the next point and at the rates; or the matrix of second moments."""
+    def added(of, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for r in stats.mapInArrow(of, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+            out[r.k] = r.x
+        return out
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d * d + 1)
+        for b in batches:
+            n, p, *_ = columns(b, d)
+            total += np.append(((p * n[:, None]).T @ p).ravel(), n.sum())
+        yield sums(total)
+
+    def totals(recent: list[np.ndarray], done: int):
+        """Domain totals at the next point and at the rates."""
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(d * d + 1 if squares else 2 * d)
+            total = np.zeros(2 * d)
             for b in batches:
-                n = b.column(0).to_numpy().astype(float)
-                p = b.column(1).flatten().to_numpy().reshape(-1, d)
-                if squares:
-                    total += np.append(((p * n[:, None]).T @ p).ravel(), n.sum())
-                else:
-                    rate, point = replay(p, pushes)
-                    total += np.concatenate([(n * point) @ p, (n * rate) @ p])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total, pa.float64())], names=["k", "x"])
-
-        got = stats.mapInArrow(of, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(d * d + 1 if squares else 2 * d)
-        for r in got:
-            out[r.k] = r.x
-        return out
+                n, p, rate, point = columns(b, d)
+                rate, point = replay(p, recent, done, rate, point)
+                total += np.concatenate([(n * point) @ p, (n * rate) @ p])
+            yield sums(total)
+
+        return of
 
-    moments = gather([], True)
-    tokens = moments[-1]
+    def carried(recent: list[np.ndarray], done: int):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n, p, rate, point = columns(b, d)
+                rate, point = replay(p, recent, done, rate, point)
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(rate), pa.array(point)], names=["n", "p", "rate", "point"])
+
+        return of
+
+    *second, tokens = added(moments, d * d + 1)
+    if tokens <= 0:
+        return Mix(classifier, want, [], want)
+    whole = np.array(second).reshape(d, d) / tokens
+    width = 1.0 / max(np.linalg.eigvalsh(whole)[-1], 1e-12)
     pushes: list[np.ndarray] = []
-    shares = want
-    if tokens > 0:
-        width = 1.0 / max(np.linalg.eigvalsh(moments[:-1].reshape(d, d) / tokens)[-1], 1e-12)
-        for _ in range(STEPS):
-            both = gather(pushes, False) / tokens
-            shares = both[d:]
-            if np.abs(shares - want).max() < ENOUGH:
-                break
-            pushes.append(width * (both[:d] - want))
-        else:
-            shares = gather(pushes, False)[d:] / tokens
+    done = 0
+    while True:
+        both = added(totals(pushes[done:], done), 2 * d) / tokens
+        shares = both[d:]
+        if np.abs(shares - want).max() < ENOUGH or len(pushes) == STEPS:
+            break
+        pushes.append(width * (both[:d] - want))
+        if len(pushes) - done == CARRY and len(pushes) < STEPS:
+            after = written(stats.mapInArrow(carried(pushes[done:], done), "n long, p array<double>, rate double, point double"), "mixing-rates")
+            if done:
+                erase(stats)
+            stats, done = after, len(pushes)
     mix = Mix(classifier, want, pushes, shares)
     if mix.residual >= ENOUGH:
-        lift, shares = newton(stats, want, tokens, moments[:-1].reshape(d, d) / tokens)
+        lift, shares = newton(table_.select("n", "p"), want, tokens, whole)
         if np.abs(shares - want).max() < mix.residual:
             mix = Mix(classifier, want, [], shares, lift)
         if mix.residual >= ENOUGH:
             warnings.warn(f"the targets aren't met: a domain's share of the tokens is off by {mix.residual:.4g}", stacklevel=2)
+    if done:
+        erase(stats)
     return mix
 
 
+def columns(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, ...]:
+    """Tokens, posteriors, and rates and points where they are known."""
+    n, p = b.column(0).to_numpy().astype(float), b.column(1).flatten().to_numpy().reshape(-1, d)
+    rate, point = (b.column(2).to_numpy(), b.column(3).to_numpy()) if b.num_columns > 2 else (None, None)
+    return n, p, rate, point
+
+
+def sums(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total, pa.float64())], names=["k", "x"])
+
+
 def newton(stats: DataFrame, want: np.ndarray, tokens: float, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lift, shares) with which rates max(0, 1 + p lift) meet ``want``, or come nearest to it.
 
@@ -248,13 +310,12 @@ def newton(stats: DataFrame, want: np.ndarray, tokens: float, whole: np.ndarray)
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(lifts), size))
             for b in batches:
-                n = b.column(0).to_numpy().astype(float)
-                p = b.column(1).flatten().to_numpy().reshape(-1, d)
+                n, p, *_ = columns(b, d)
                 for k, lift in enumerate(lifts):
                     rate = np.maximum(0.0, 1.0 + p @ lift)
                     used = p[rate > 0]
                     total[k] += np.concatenate([[(n * rate * rate).sum() / 2], (n * rate) @ p, ((used * n[rate > 0][:, None]).T @ used).ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int64()), pa.array(total.ravel(), pa.float64())], names=["k", "x"])
+            yield sums(total.ravel())
 
         out = np.zeros(len(lifts) * size)
         for r in stats.mapInArrow(of, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
@@ -264,12 +325,12 @@ def newton(stats: DataFrame, want: np.ndarray, tokens: float, whole: np.ndarray)
     tried, at, least = [np.zeros(d)], None, np.inf
     best: tuple[np.ndarray, np.ndarray] | None = None
     for _ in range(NEWTON_STEPS + 1):
-        for lift, sums in zip(tried, gather(tried), strict=True):
-            shares, value = sums[1 : d + 1], sums[0] - want @ lift
+        for lift, got in zip(tried, gather(tried), strict=True):
+            shares, value = got[1 : d + 1], got[0] - want @ lift
             if best is None or np.abs(shares - want).max() < np.abs(best[1] - want).max():
                 best = lift, shares
             if value < least:
-                at, least = (lift, shares, sums[d + 1 :].reshape(d, d)), value
+                at, least = (lift, shares, got[d + 1 :].reshape(d, d)), value
         if np.abs(best[1] - want).max() < ENOUGH:
             break
         lift, shares, used = at
@@ -283,55 +344,45 @@ def draw(doc_id: object, text: str) -> float:
     return int.from_bytes(hashlib.blake2b(f"{doc_id}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") / 2.0**64
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, domain, n_tokens, rate, copies) for each row of ``docs`` (doc_id, text, lang): the likeliest domain, the
-    fitted rate, and a whole number of copies whose expectation is the rate.
-
-    Null texts are empty: they have the prior as posterior and no tokens. Repeated rows are treated alike.
-    """
-    classifier = fit_classifier(docs, labels)
-    table_ = written(members(docs, classifier), "members")
-    known = docs.sparkSession.sparkContext.broadcast(fit_rates(table_, classifier, targets))
+def dealt(table_: DataFrame, mix: Mix) -> DataFrame:
+    """(gm_row, n, domain, rate, copies) of members: the likeliest domain, the fitted rate, and a whole number of
+    copies whose expectation is the rate."""
+    known = table_.sparkSession.sparkContext.broadcast(mix)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        for b in batches:
+        for b in portions(batches):
             p = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
             rate = m.rates(p)
             copies = np.floor(rate + 1 - b.column(3).to_numpy()).astype(np.int64)
             domain = pa.array([m.classifier.domains[k] for k in p.argmax(axis=1)], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), domain, b.column(1), pa.array(rate), pa.array(copies)], names=["doc_id", "domain", "n_tokens", "rate", "copies"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), domain, pa.array(rate), pa.array(copies)], names=["gm_row", "n", "domain", "rate", "copies"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return table_.mapInArrow(of, f"doc_id {kind}, domain string, n_tokens long, rate double, copies long")
+    schema = table_.select("gm_row", "n", F.lit("").alias("domain"), F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies")).schema
+    return table_.mapInArrow(of, schema)
 
 
-def with_copies(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` (doc_id, text and others) with gm_copies, in one pass over the texts."""
-    known = docs.sparkSession.sparkContext.broadcast(mix)
-    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, tokens: str | None = None) -> DataFrame:
+    """(doc_id, domain, n_tokens, rate, copies) for each row of ``docs`` (doc_id, text, lang): the likeliest domain, the
+    fitted rate, and a whole number of copies whose expectation is the rate.
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = known.value
-        claim(__name__, m.classifier.cache.clear)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = [t or "" for t in b.column(text_at).to_pylist()]
-            rate = m.rates(np.array([m.classifier.posterior(t) for t in texts]))
-            u = np.array([draw(i, t) for i, t in zip(b.column(id_at).to_pylist(), texts, strict=True)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.floor(rate + 1 - u).astype(np.int64))], names=[*b.schema.names, "gm_copies"])
+    Null texts are empty: they have the prior as posterior and no tokens. Repeated rows are treated alike, very long
+    texts are read whole, an empty table gives an empty result. Without labelled documents there is one domain.
+    """
+    classifier = fit_classifier(docs, labels)
+    table_ = written(members(docs, classifier, tokens=tokens), "members")
+    return dealt(table_, fit_rates(table_, classifier, targets)).select("gm_row.doc_id", "domain", F.col("n").alias("n_tokens"), "rate", "copies")
 
-    return lean(docs).mapInArrow(of, docs.withColumn("gm_copies", F.lit(0).cast("long")).schema)
 
+def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, tokens: str | None = None) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and any others), each as often as its copies say, columns unchanged.
 
-def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang and any others), each as often as its copies say, columns unchanged."""
+    Odd rows are treated as in ``mixed``. A text is scored once: its row is written with its posterior.
+    """
     classifier = fit_classifier(docs, labels)
-    mix = fit_rates(written(members(docs, classifier), "members"), classifier, targets)
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("gm_row"))
-    some = with_copies(packed, mix).where("gm_copies > 0")
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("gm_copies")))
+    table_ = written(members(docs, classifier, docs.columns, tokens), "members")
+    some = dealt(table_, fit_rates(table_, classifier, targets)).where("copies > 0")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return some.select("gm_row", each.alias("gm_copy")).select("gm_row.*")
 
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import portions, table, without
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: Bounds of the fit: labelled rows, bytes of a text that is used for it. At most 160 MB reach the driver, about
@@ -90,14 +90,14 @@ def score_quality(docs: DataFrame, model: Compressors, out: str = "score") -> Da
     """``docs`` (text and any others) with the probability of good quality; null texts are scored as empty ones.
     A column named ``out`` is replaced."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES
-    kept = [c for c in docs.columns if c != out]
+    kept = without(docs, out)
     place = kept.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(known.value.score(b.column(place).to_pylist()), pa.float64())], names=[*b.schema.names, out])
 
-    return lean(docs.select(*kept)).mapInArrow(of, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
+    return docs.select(*kept).mapInArrow(of, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
 
 
 def classify_filter(docs: DataFrame, labels: DataFrame, train, least: float = 0.5, model_docs: DataFrame | None = None) -> DataFrame:

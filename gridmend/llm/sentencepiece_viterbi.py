@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, lean, table
+from .common import claim, portions, table, without
 
 #: The letter that stands for a space, a fixed value of the format.
 SPACE = "▁"
@@ -210,12 +210,12 @@ def encode_column(docs: DataFrame, model: Model, out: str = "ids") -> DataFrame:
     """``docs`` (text and any others) with the ids of each whole text; null and empty texts have none.
     A column named ``out`` is replaced."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary of fixed size
-    kept = [c for c in docs.columns if c != out]
+    kept = without(docs, out)
     place = kept.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(known.value)
-        for b in batches:
+        for b in portions(batches):
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)
                 ids = [codec.encode(t or "") for t in part.column(place).to_pylist()]
@@ -223,25 +223,25 @@ def encode_column(docs: DataFrame, model: Model, out: str = "ids") -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*b.schema.names, out])
 
-    return lean(docs.select(*kept)).mapInArrow(of, docs.select(*kept).withColumn(out, F.array().cast("array<int>")).schema)
+    return docs.select(*kept).mapInArrow(of, docs.select(*kept).withColumn(out, F.array().cast("array<int>")).schema)
 
 
 def decode_column(rows: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of the ids in a column; null ids have an empty text, ids outside the vocabulary fail.
     A column named ``out`` is replaced."""
     known = rows.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in rows.columns if c != out]
+    kept = without(rows, out)
     place = kept.index(ids)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(known.value)
-        for b in batches:
+        for b in portions(batches):
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)
                 texts = [codec.decode(x or ()) for x in part.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return lean(rows.select(*kept)).mapInArrow(of, rows.select(*kept).withColumn(out, F.lit("")).schema)
+    return rows.select(*kept).mapInArrow(of, rows.select(*kept).withColumn(out, F.lit("")).schema)
 
 
 def encoded_and_decoded(docs: DataFrame, model: Model) -> DataFrame:
@@ -251,7 +251,7 @@ def encoded_and_decoded(docs: DataFrame, model: Model) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(known.value)
-        for b in batches:
+        for b in portions(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             ids = [codec.encode(t) for t in texts]
             decoded = [codec.decode(x.tolist()) for x in ids]
@@ -263,7 +263,7 @@ def encoded_and_decoded(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), n, column, digests, exact], names=["doc_id", "n_ids", "ids", "decoded_sha256", "exact"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return lean(docs.select("doc_id", "text")).mapInArrow(of, f"doc_id {kind}, n_ids long, ids array<int>, decoded_sha256 string, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_ids long, ids array<int>, decoded_sha256 string, exact boolean")
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:

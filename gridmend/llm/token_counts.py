@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, lean, table
+from .common import claim, portions, table, without
 
 #: Rows that the head-start table is built from, at most about; entries that it holds; entries of a worker's cache.
 SAMPLE_ROWS, TABLE_ENTRIES, CACHE_ENTRIES = 4_000, 50_000, 300_000
@@ -95,7 +95,7 @@ def frequent_table(texts: DataFrame, file: str, rows: int, seed: int = 7) -> dic
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, seen = TokenCounter.of(file), Counter()
-        for b in batches:
+        for b in portions(batches):
             for t in b.column(0).to_pylist():
                 seen.update(counter.pre_tokens(t or "") or ())
         top = seen.most_common(TABLE_ENTRIES)
@@ -104,7 +104,7 @@ def frequent_table(texts: DataFrame, file: str, rows: int, seed: int = 7) -> dic
     total = texts.count()
     if not total:
         return {}
-    sample = lean(texts).sample(min(1.0, rows / total), seed).mapInArrow(tally, "part string, times long, size int")
+    sample = texts.sample(min(1.0, rows / total), seed).mapInArrow(tally, "part string, times long, size int")
     best = sample.groupBy("part", "size").agg(F.sum("times").alias("times")).where("times > 1").orderBy(F.desc("times"), "part").limit(TABLE_ENTRIES)
     return {r.part: r.size for r in best.select("part", F.col("size")).collect()}
 
@@ -119,17 +119,17 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, out: str = "n_to
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_table(docs.select("text"), file, sample_rows))  # TABLE_ENTRIES at most
     content = spark.sparkContext.broadcast(file)
-    kept = [c for c in docs.columns if c != out]
+    kept = without(docs, out)
     place = kept.index("text")
     schema = docs.select(*kept).withColumn(out, F.lit(0).cast("long")).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, known = TokenCounter.of(content.value), frequent.value
-        for b in batches:
+        for b in portions(batches):
             n = [counter.count(t, known) if t else 0 for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, out])
 
-    return lean(docs.select(*kept)).mapInArrow(count, schema)
+    return docs.select(*kept).mapInArrow(count, schema)
 
 
 def op7_token_counts(spark, sf_dir: str, limit: int = 512) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, lean, table, written
+from .common import claim, portions, table, without, written
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: Bounds of the fit: labelled rows, words of the lexicon, clean words remembered because they resemble it.
@@ -196,13 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {kind: Counter() for kind in KINDS}
-        for b in batches:
+        for b in portions(batches):
             for t, y, fold in zip(*(b.column(k).to_pylist() for k in ("text", "y", "fold")), strict=True):
                 seen[int(y == 1), fold].update(set(WORD.findall(t.lower())))
         words = list(set().union(*seen.values()))
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[kind][w] for w in words], pa.int64()) for kind in KINDS)], names=["word", *NAMES])
 
-    counts = lean(sample).mapInArrow(tally, "word string, " + ", ".join(f"{n} long" for n in NAMES)).groupBy("word").agg(*(F.sum(n).alias(n) for n in NAMES))
+    counts = sample.mapInArrow(tally, "word string, " + ", ".join(f"{n} long" for n in NAMES)).groupBy("word").agg(*(F.sum(n).alias(n) for n in NAMES))
     counts = written(counts.where(" + ".join(NAMES) + " > 1"), "word-counts")
 
     def lexicon(folds: tuple[int, ...]) -> Lexicon:
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label:
 
         def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter = Counter()
-            for b in batches:
+            for b in portions(batches):
                 for t in b.column("text").to_pylist():
                     words = WORD.findall(t.lower())
                     seen.update((w, words[i - 1] if i else "") for i, w in enumerate(words) if w in found)
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label:
         found = Lexicon({w: found[w] for w in sorted(various, key=lambda w: -found[w])[:LEXICON]}, frozenset())
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in portions(batches):
                 yield b.filter(pa.array([w not in found.odds and found.look_up(w) is not None for w in b.column(0).to_pylist()], pa.bool_()))
 
         clean = counts.where(good >= 2).orderBy(F.desc(good), "word").select("word").mapInArrow(alike, "word string").limit(CLEAN)
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label:
 
     def features(found: Lexicon):
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in portions(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([found.features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y")], names=["x", "y"])
 
         return of
@@ -258,14 +258,14 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, out: str = "score") -> Dat
     """``docs`` (text and any others) with a score from 0 to 1; null and empty texts have that of a text without hits.
     A column named ``out`` is replaced."""
     known = docs.sparkSession.sparkContext.broadcast(lexicon)  # LEXICON and CLEAN words at most
-    kept = [c for c in docs.columns if c != out]
+    kept = without(docs, out)
     place = kept.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(known.value.score(b.column(place).to_pylist()), pa.float64())], names=[*b.schema.names, out])
 
-    return lean(docs.select(*kept)).mapInArrow(of, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
+    return docs.select(*kept).mapInArrow(of, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

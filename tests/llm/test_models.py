@@ -222,7 +222,7 @@ def test_rates_reach_the_targets(spark, small):
     assert (rate >= 0).all() and (n * rate) @ p / n.sum() == pytest.approx(mix.targets, abs=5e-4)
     # the same steps with the rates kept as they are
     push, x, point, shares = 1 / np.linalg.eigvalsh((p * n[:, None]).T @ p / n.sum())[-1], np.ones(len(n)), np.ones(len(n)), None
-    for beta, _ in zip(mixing.momentum(len(mix.pushes)), mix.pushes, strict=True):
+    for beta, _ in zip(mixing.momentum(0, len(mix.pushes)), mix.pushes, strict=True):
         shares = (n * point) @ p / n.sum()
         new = np.maximum(0, point - push * p @ (shares - mix.targets))
         point, x = new + beta * (new - x), new
@@ -267,6 +267,54 @@ def test_copies_follow_the_rates(spark):
     assert np.mean([r.domain == right[r.doc_id] for r in got]) > 0.97
 
 
+def test_shares_are_equal_on_expectation(spark):
+    total = {}
+    for r in mixing.op5_mixing(spark, "/root/testdata/sf0.01").collect():
+        total[r.domain] = total.get(r.domain, 0) + r.rate * r.n_tokens
+    assert len(total) == 4 and max(total.values()) / min(total.values()) < 1.05
+
+
+def test_all_domains_are_fitted(spark, monkeypatch):
+    rows = [(100 * d + k, " ".join(f"w{d}x{(k + j) % 9}" for j in range(30)), f"l{d:02}") for d in range(70) for k in range(4 if d else 120)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
+    classifier = mixing.fit_classifier(docs, labels, rows=200)
+    assert classifier.domains == [f"l{d:02}" for d in range(70)]
+    assert {r.doc_id // 100 for r in mixing.mixed(docs, labels).collect() if r.domain == f"l{r.doc_id // 100:02}"} == set(range(70))
+    table = mixing.written(mixing.members(docs, classifier), "test-members")
+    mix, members = mixing.fit_rates(table, classifier), table.collect()
+    n, p = np.array([r.n for r in members], float), np.array([r.p for r in members])
+    assert mix.residual < mixing.ENOUGH and (n * mix.rates(p)) @ p / n.sum() == pytest.approx(np.full(70, 1 / 70), abs=5e-4)
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 69)
+    with pytest.raises(ValueError, match="more than 69 domains"):
+        mixing.fit_classifier(docs, labels)
+
+
+def test_the_column_of_other_documents_is_never_looked_at(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id")
+    known = docs.join(labels.distinct().withColumn("is_known", F.lit(True)), "doc_id", "left")
+    hidden = known.select("doc_id", "text", F.when(F.col("is_known"), F.col("lang")).otherwise("xx").alias("lang"))
+    rows = lambda df: sorted((r.doc_id, r.domain, round(r.rate, 6)) for r in mixing.mixed(df, labels).collect())
+    assert rows(docs) == rows(hidden) and hidden.where("lang = 'xx'").count() > 100
+
+
+def test_tokens_are_words_letters_or_given(spark):
+    read = mixing.Classifier(["a"], np.zeros(1), np.zeros((1, mixing.BUCKETS))).read
+    assert read("two words")[0] == 2 and read("中文字 かな")[0] == 5 and read("abc中")[0] == 2 and read("")[0] == 0
+    df = spark.createDataFrame([(1, "a b", "en", 7), (2, "c", "en", None)], "doc_id long, text string, lang string, n_ids int")
+    got = mixing.mixed(df, df.select("doc_id"), tokens="n_ids").collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {1: 7, 2: 1}
+
+
+def test_carried_rates_are_the_replayed_ones():
+    rng = np.random.default_rng(3)
+    p, pushes = rng.dirichlet(np.ones(3), 50), list(rng.normal(size=(25, 3)) / 9)
+    rate = point = None
+    for k in range(0, 25, 10):
+        rate, point = mixing.replay(p, pushes[k : k + 10], k, rate, point)
+    assert np.allclose((rate, point), mixing.replay(p, pushes))
+
+
 def test_mixing_odd_rows(spark, documents):
     got = mixing.op5_mixing(spark, documents[0]).collect()
     assert len(got) == len(ODD) + 2 and all(r.rate >= 0 for r in got)
