@@ -3,8 +3,10 @@
 For each position of a text exactly one piece can be the last one of an encoding that ends there: a piece is a
 candidate if the encoding up to its start ends with a piece that it is compatible with, that is, if merging the two
 pieces' letters from scratch gives these two pieces again. So every position has one surviving backpointer, and the
-encoder needs the last ``longest piece`` positions only: from time to time it follows the backpointers of all
-positions where a later piece could still begin, and commits the ids before the boundary on which they all meet.
+encoder needs a window of the last positions only: it follows the backpointers of all positions where a later piece
+could still begin, and commits the ids before the boundary on which they all meet. That is so at the end of each word,
+over which no piece goes, and within a longer run of letters whenever the window is full. A word that begins at a commit
+always has the same ids, so a worker remembers them.
 
 The model's rule is byte-pair merging with byte fallback, for which highest summed scores would give other ids than
 the library's; compatibility replaces the sum, and the ids are the library's.
@@ -27,7 +29,7 @@ from .common import claim, portions, table, without
 
 #: The letter that stands for a space, a fixed value of the format.
 SPACE = "▁"
-#: Where a text is cut before the search: no piece has a space after another letter, and a line break is no piece.
+#: Stretches that no piece goes beyond: none has a space after another letter, and a line break is no piece.
 SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Segments of a generation of a worker's cache, letters of the longest one kept, and pairs whose compatibility it keeps.
 CACHE, KEPT_LETTERS, PAIRS = 400_000, 64, 500_000
@@ -35,6 +37,54 @@ CACHE, KEPT_LETTERS, PAIRS = 400_000, 64, 500_000
 SHORT = (3, 2, 1)
 
 
+def closes(before: str, after: str) -> bool:
+    """Whether no piece goes over the place between two letters."""
+    return before == "\n" or after == "\n" or (after == SPACE and before != SPACE)
+
+
+def fields(message: bytes) -> dict[int, list]:
+    """The fields of a protocol buffer message by number: whole numbers, or bytes."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (message[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if message[at - 1] < 128:
+                return value, at
+
+    out: dict[int, list] = {}
+    at = 0
+    while at < len(message):
+        tag, at = number(at)
+        kind = tag & 7
+        if kind == 0:
+            value, at = number(at)
+        else:
+            size, at = (8, at) if kind == 1 else (4, at) if kind == 5 else number(at)
+            value, at = message[at : at + size], at + size
+        out.setdefault(tag >> 3, []).append(value)
+    return out
+
+
+def refused(proto: bytes) -> str | None:
+    """Why a model file can't be served, or None. The numbers are those of the format's fields, fixed values."""
+    model = fields(proto)
+    trainer, normalizer = (fields(model[k][0]) if k in model else {} for k in (2, 3))
+    last = lambda part, k, default: part.get(k, [default])[-1]
+    if last(trainer, 3, 1) != 2:
+        return "it doesn't merge byte pairs"
+    if not last(trainer, 35, 0):
+        return "it has no pieces for single bytes"
+    if last(trainer, 24, 0):
+        return "it puts spaces after words"
+    if last(normalizer, 2, b"") or not last(normalizer, 3, 1) or last(normalizer, 4, 1) or not last(normalizer, 5, 1):
+        return "it normalises texts in another way than by a space put before them"
+    if any(last(fields(p), 3, 1) == 4 for p in model.get(1, [])):
+        return "it has pieces defined by its user"
+    return None
+
+
 @dataclass(frozen=True)
 class Model:
     """The vocabulary: ``pieces`` by id, their ``scores``, and the ids of the 256 bytes."""
@@ -53,6 +103,8 @@ class Model:
 
             path = public_tokenizers.path("piece_bpe_32k.model")
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if why := refused(sp.serialized_model_proto()):
+            raise ValueError(f"this model isn't supported: {why}")
         ids = range(sp.get_piece_size())
         pieces = tuple(sp.id_to_piece(i) for i in ids)
         at = {p: i for i, p in enumerate(pieces)}
@@ -138,31 +190,59 @@ class Codec:
             begins.append(j)
             last.append(p)
 
-    def stream(self, chunks: Iterable[str]) -> Iterator[int]:
-        """Ids of a text that comes in chunks, each as soon as no later letter can change it."""
+    def stream(self, chunks: Iterable[str]) -> Iterator[bytes]:
+        """Ids (int32) of a normalised text that comes in chunks, in portions, each as soon as no later letter can
+        change it. What is open is never longer than the window of 4 x the longest piece."""
         text, begins, last, window = "", [0], [-1], 4 * self.longest
         for chunk in chunks:
-            for k in range(0, len(chunk), window):
-                text += chunk[k : k + window]
-                self.advance(text, begins, last)
-                if len(text) >= window and (cut := self.meeting(begins)):
-                    yield from self.path(text, begins, last, cut)
-                    text = text[cut:]
-                    # the piece that ends at the cut stays known: it decides what may follow
-                    begins, last = [0, *(j - cut for j in begins[cut + 1 :])], last[cut:]
-        yield from self.path(text, begins, last, len(text))
-
-    def segment(self, text: str) -> Iterable[int]:
-        """Ids of a segment; one that is no longer than the window needs no commits."""
-        if len(text) > 4 * self.longest:
-            return self.stream((text,))
-        begins, last = [0], [-1]
-        self.advance(text, begins, last)
-        return self.path(text, begins, last, len(text))
-
-    def meeting(self, begins: list[int]) -> int:
-        """The last boundary that the paths of all positions where a piece may yet begin have in common."""
-        alive = set(range(max(0, len(begins) - self.longest), len(begins)))
+            if text and chunk and closes(text[-1], chunk[0]):
+                yield self.commit(text, begins, last, (len(text),))[0]
+                text, begins, last = "", [0], [-1]
+            segments = SEGMENTS.findall(chunk)
+            ends = len(segments) - 1
+            for k, s in enumerate(segments):
+                if not text and k < ends:
+                    ids = self.young.get(s)
+                    if ids is None:
+                        ids = self.old.get(s)
+                        if ids is not None:
+                            self.keep(s, ids)
+                    if ids is not None:
+                        yield ids
+                        continue
+                for at in range(0, len(s), window):
+                    text += s[at : at + window]
+                    self.advance(text, begins, last)
+                    if len(text) >= window:
+                        ids, cut = self.commit(text, begins, last, range(max(0, len(begins) - self.longest), len(begins)))
+                        if cut:
+                            yield ids
+                            # the piece that ends at the cut stays known: it decides what may follow
+                            text, begins, last = text[cut:], [0, *(j - cut for j in begins[cut + 1 :])], last[cut:]
+                if k < ends:
+                    ids, _ = self.commit(text, begins, last, (len(text),))
+                    yield ids
+                    if text == s:
+                        self.keep(s, ids)
+                    text, begins, last = "", [0], [-1]
+        if text:
+            yield self.commit(text, begins, last, (len(text),))[0]
+
+    def keep(self, segment: str, ids: bytes) -> None:
+        if len(segment) <= KEPT_LETTERS:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[segment] = ids
+
+    def commit(self, text: str, begins: list[int], last: list[int], open_: Iterable[int]) -> tuple[bytes, int]:
+        """The ids before the boundary on which the paths of all positions meet where a piece may yet begin, and it."""
+        cut = self.meeting(begins, open_)
+        return array("i", self.path(text, begins, last, cut)).tobytes(), cut
+
+    @staticmethod
+    def meeting(begins: list[int], open_: Iterable[int]) -> int:
+        """The last boundary that the paths of all these positions have in common."""
+        alive = set(open_)
         while len(alive) > 1:
             last = max(alive)
             alive.discard(last)
@@ -185,20 +265,7 @@ class Codec:
         """The ids of a whole text as int32."""
         if not text:
             return np.empty(0, np.int32)
-        young, old, out = self.young, self.old, []
-        for s in SEGMENTS.findall(SPACE + text.replace(" ", SPACE)):
-            ids = young.get(s)
-            if ids is None:
-                ids = old.get(s)
-                if ids is None:
-                    ids = array("i", self.segment(s)).tobytes()
-                if len(s) <= KEPT_LETTERS:
-                    if len(young) >= CACHE:
-                        self.old, self.young = young, {}
-                        young, old = self.young, self.old
-                    young[s] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        return np.frombuffer(b"".join(self.stream((SPACE + text.replace(" ", SPACE),))), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD, and the space put before the text goes."""
@@ -246,7 +313,11 @@ def decode_column(rows: DataFrame, model: Model, ids: str = "ids", out: str = "d
 
 def encoded_and_decoded(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_ids, ids, decoded_sha256, exact) of ``docs`` (doc_id, text): the ids, a digest of the text that they
-    decode to, and whether it is the text itself. One pass, and one worker for a task, does both."""
+    decode to, and whether it is the text itself. One pass, and one worker for a task, does both.
+
+    Null texts are empty, and empty texts have no ids. Very long texts are read whole, with a window of constant size.
+    Repeated rows stay apart. An empty table gives an empty result; columns of other names are left out. A text that
+    holds the letter that stands for a space isn't exact: it decodes to a space."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

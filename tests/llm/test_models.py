@@ -52,23 +52,61 @@ def test_ids_are_the_librarys(codec, library):
         assert codec.decode(ids) == library.decode(ids)
 
 
-def test_commits_don_t_depend_on_chunks(codec):
+def test_commits_don_t_depend_on_chunks(codec, library):
     rng = random.Random(2)
-    text = "▁" + "".join(rng.choice("abcdeéing▁") for _ in range(3000))
-    whole = list(codec.stream([text]))
-    assert whole == list(codec.stream(text)) == list(codec.stream([text[i : i + 7] for i in range(0, len(text), 7)]))
+    for letters in ("abcdeéing▁", "abcdeéing", "▁\na", "xyz\n▁▁"):
+        text = "▁" + "".join(rng.choice(letters) for _ in range(3000))
+        whole = b"".join(codec.stream([text]))
+        assert np.frombuffer(whole, np.int32).tolist() == library.encode(text[1:])
+        for size in (1, 7, 250):
+            assert whole == b"".join(codec.stream([text[i : i + size] for i in range(0, len(text), size)]))
 
 
-def test_commits_come_early(codec):
+@pytest.mark.parametrize("words", ["hello▁world", "helloworld"])
+def test_commits_come_early(codec, words):
     sent = []
 
     def letters():
         for i in range(4000):
             sent.append(i)
-            yield "hello▁world"[i % 11]
+            yield words[i % len(words)]
 
-    first = next(iter(codec.stream(letters())))
-    assert first in range(32_000) and len(sent) < 200
+    stream = codec.stream(letters())
+    assert next(stream) and len(sent) < 200
+    for n, _ in enumerate(stream):
+        pass
+    assert n > 10
+
+
+def test_encoding_takes_the_windowed_search(library, monkeypatch):
+    fresh = sp.Codec(sp.Model.read())
+    seen = []
+    commit = sp.Codec.commit
+
+    def counted(self, text, begins, last, open_):
+        ids, cut = commit(self, text, begins, last, open_)
+        seen.append((len(text), len(list(open_)), cut))
+        return ids, cut
+
+    monkeypatch.setattr(sp.Codec, "commit", counted)
+    text = "some words that stand here once\n" + "and" * 2000 + " end"
+    assert fresh.encode(text).tolist() == library.encode(text)
+    assert max(n for n, _, _ in seen) <= 8 * fresh.longest  # the window holds, whatever the text's length
+    assert sum(n == 1 for _, n, _ in seen) >= 8 and sum(n > 1 and cut > 0 for _, n, cut in seen) > 20
+
+
+def test_other_models_are_refused():
+    def field(number, value):
+        return bytes([number << 3 & 127 | 128, number >> 4, value]) if number > 15 else bytes([number << 3, value])
+
+    def model(trainer, normalizer=field(3, 1) + field(4, 0)):
+        return bytes([2 << 3 | 2, len(trainer)]) + trainer + bytes([3 << 3 | 2, len(normalizer)]) + normalizer
+
+    good = field(3, 2) + field(35, 1)
+    assert sp.refused(model(good)) is None
+    assert "byte pairs" in sp.refused(model(field(3, 1) + field(35, 1))) and "single bytes" in sp.refused(model(field(3, 2)))
+    assert "after words" in sp.refused(model(good + field(24, 1))) and "normalises" in sp.refused(model(good, field(3, 1)))
+    assert "user" in sp.refused(bytes([1 << 3 | 2, 2]) + field(3, 4) + model(good))
 
 
 def test_sentencepiece_query(spark, documents, library):
