@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import let, table
 
@@ -37,75 +38,60 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def fold(events: Column) -> Column:
-    """The events that survive edits and regenerations, sorted by (msg, seq), from an unsorted array of
-    (msg, seq, kind, role, text)."""
+#: What events are sorted by.
+ORDER = ("msg", "seq", "kind", "role", "text")
 
-    def live(resets: Column, e: Column) -> Column:
-        later = lambda r: r["seq"] > e["seq"]
-        return ~F.exists(resets, lambda r: later(r) & ((r["msg"] == e["msg"]) | ((r["kind"] == "regenerate") & (r["msg"] < e["msg"]))))
 
-    def kept(e: Column) -> Column:
-        resets = F.filter(e, lambda x: x["kind"].isin("edit", "regenerate"))
-        return let(resets, lambda r: F.when(F.size(r) == 0, e).otherwise(F.filter(e, lambda x: live(r, x))))
+def fold(log: DataFrame) -> DataFrame:
+    """The events of ``log`` that survive edits and regenerations.
 
-    return let(F.sort_array(events), kept)
-
-
-def render(events: Column) -> Column:
-    """Segments (text, loss) of the folded events. A message has the role of its first surviving event."""
-
-    def segments(e: Column) -> Column:
-        opens = lambda x, i: (i == 0) | (x["kind"] == "message") | (F.get(e, i - 1)["msg"] != x["msg"])
-        placed = F.transform(e, lambda x, i: F.struct(x.alias("x"), opens(x, i).alias("opens")))
-        return let(placed, marked)
-
-    def marked(p: Column) -> Column:
-        # the role of a message is that of its opening event: carried along by a running count of openings
-        roles = F.transform(F.filter(p, lambda x: x["opens"]), lambda x: x["x"]["role"])
-        turn = F.aggregate(
-            p,
-            F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("all")),
-            lambda a, x: F.struct((a["n"] + x["opens"].cast("int")).alias("n"), F.array_append(a["all"], a["n"] + x["opens"].cast("int")).alias("all")),
-            lambda a: a["all"],
-        )
-        simple = F.size(roles) == F.size(p)
-        return let(roles, lambda r: F.when(simple, spans(p, r, None)).otherwise(let(turn, lambda t: spans(p, r, t))))
-
-    def spans(p: Column, roles: Column, turn: Column | None) -> Column:
-        def of(x: Column, i: Column) -> Column:
-            role = F.get(roles, i if turn is None else F.get(turn, i) - 1)
-            head = F.concat(F.lit(OPEN), escape(role), F.lit(MID))
-            ends = F.coalesce(F.get(p, i + 1)["opens"], F.lit(True))
-            return F.array(
-                F.struct(F.when(x["opens"], head).otherwise("").alias("text"), F.lit(False).alias("loss")),
-                F.struct(escape(x["x"]["text"]).alias("text"), (role == "assistant").alias("loss")),
-                F.struct(F.when(ends, CLOSE).otherwise("").alias("text"), F.lit(False).alias("loss")),
-            )
-
-        return F.filter(F.flatten(F.transform(p, of)), lambda s: s["text"] != "")
-
-    return let(events, segments)
+    An event is gone if a later edit or regeneration names its message, or a later regeneration an earlier message. Both
+    are running maxima over the sorted log, so a long conversation costs no more for an event than a short one.
+    """
+    by_msg = W.partitionBy("conv_id", "msg")
+    before = W.partitionBy("conv_id").orderBy(F.col("msg").cast("decimal(20,0)")).rangeBetween(W.unboundedPreceding, -1)
+    at = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("seq"))
+    marked = log.withColumns({"own": F.max(at("edit", "regenerate")).over(by_msg), "earlier": F.max(at("regenerate")).over(before)})
+    return marked.where(F.col("seq") >= F.coalesce(F.greatest("own", "earlier"), F.col("seq"))).select("conv_id", *ORDER)
+
+
+def render(events: DataFrame) -> DataFrame:
+    """``events`` with their place in the conversation and their segments (text, loss). A message has the role of its
+    first surviving event."""
+    run = W.partitionBy("conv_id").orderBy(*ORDER)
+    opens = F.coalesce((F.col("kind") == "message") | (F.col("msg") != F.lag("msg").over(run)), F.lit(True))
+    placed = events.withColumns({"opens": opens, "place": F.row_number().over(run)})
+    order = W.partitionBy("conv_id").orderBy("place")
+    placed = placed.withColumns({"says": F.last(F.when(F.col("opens"), F.col("role")), ignorenulls=True).over(order), "ends": F.coalesce(F.lead("opens").over(order), F.lit(True))})
+    head = F.concat(F.lit(OPEN), escape(F.col("says")), F.lit(MID))
+    made = F.array(
+        F.struct(F.when(F.col("opens"), head).otherwise("").alias("text"), F.lit(False).alias("loss")),
+        F.struct(escape(F.col("text")).alias("text"), (F.col("says") == "assistant").alias("loss")),
+        F.struct(F.when(F.col("ends"), CLOSE).otherwise("").alias("text"), F.lit(False).alias("loss")),
+    )
+    return placed.select("conv_id", "place", F.filter(made, lambda s: s["text"] != "").alias("segments"))
 
 
 def format_chats(log: DataFrame) -> DataFrame:
-    """(conv_id, formatted, segments) for each conversation of the log.
+    """(conv_id, formatted, segments) for each conversation of ``log`` (conv_id, seq, msg, kind, role, text).
 
     Null texts and roles are empty; a null seq or msg sorts first; a null kind is a delta; a null conv_id is a
     conversation of its own. Ties in seq are broken by kind, role and text, so the order of rows never counts.
-    Equal rows are equal events, and each counts. A conversation is one row of the result and must fit in memory.
+    Equal rows are equal events, and each counts. A conversation none of whose events survives has no row; an empty
+    log gives an empty result. The log is shuffled once, by conversation, and sorted with spilling; a conversation is
+    one row of the result, which must fit in memory.
     """
     least = F.lit(-(2**63)).cast("long")
-    event = F.struct(
-        F.coalesce(F.col("msg"), least).alias("msg"),
-        F.coalesce(F.col("seq"), least).alias("seq"),
+    events = log.select(
+        "conv_id",
+        F.coalesce(F.col("msg").cast("long"), least).alias("msg"),
+        F.coalesce(F.col("seq").cast("long"), least).alias("seq"),
         F.coalesce(F.col("kind"), F.lit("delta")).alias("kind"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    chats = log.groupBy("conv_id").agg(F.collect_list(event).alias("events"))
-    made = chats.select("conv_id", F.explode(F.array(render(fold(F.col("events"))))).alias("segments"))
-    return made.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    chats = render(fold(events)).groupBy("conv_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "segments"))), lambda x: x["segments"])).alias("segments"))
+    return chats.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 
 def parsed(formatted: Column) -> Column:
@@ -121,14 +107,33 @@ def loss_text(segments: Column) -> Column:
     return unescape(F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: s["text"]), ""))
 
 
+def as_events(rows: DataFrame) -> DataFrame:
+    """The log of conversations that came about by streaming: (conv_id, turn, role, text) as (conv_id, seq, msg, kind,
+    role, text), whose fold gives the rows' turns again.
+
+    An assistant's message is streamed: it opens with a draft, is regenerated and comes in two deltas. Every other
+    message in even places opens with a wrong text, which an edit replaces; those in odd places are plain messages.
+    """
+    run = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.select("conv_id", F.row_number().over(run).cast("long").alias("msg"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    event = lambda k, kind, said: F.struct((F.col("msg") * 4 + k).alias("seq"), F.lit(kind).alias("kind"), said.alias("text"))
+    draft = F.concat(F.lit("draft of "), F.col("role"))
+    streamed = F.array(event(0, "message", draft), event(1, "regenerate", F.lit("")), event(2, "delta", F.substring("text", F.lit(1), half)), event(3, "delta", F.substring("text", half + 1, F.length("text"))))
+    edited = F.array(event(0, "message", draft), event(1, "edit", F.col("text")))
+    events = F.when(F.col("role") == "assistant", streamed).when(F.col("msg") % 2 == 0, edited).otherwise(F.array(event(0, "message", F.col("text"))))
+    return rows.select("conv_id", "msg", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "msg", "e.kind", "role", "e.text")
+
+
 def op6_chat_format(spark, sf_dir: str) -> DataFrame:
-    """Digests of all conversations, read back from their formatted texts; each table row is a whole message."""
+    """Digests of all conversations, read back from their formatted texts. Each table row becomes a message by the events
+    of a log: openings, deltas, edits and regenerations."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(probe).alias("text"))
-    log = rows.union(extra).select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("msg"), F.lit("message").alias("kind"), "role", "text")
-    chats = format_chats(log)
+    chats = format_chats(as_events(rows.union(extra)))
     both = F.struct(parsed(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"))
     read = chats.select("conv_id", "formatted", F.explode(F.array(both)).alias("x"))
     said = F.array_join(F.transform("x.turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

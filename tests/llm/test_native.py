@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -146,6 +147,41 @@ def test_events_fold(spark):
     assert turns == [("user", "edited"), ("assistant", "New text")] and loss == "New text"
 
 
+def brute_fold(rows):
+    """Turns of one conversation by the definition, event by event."""
+    rows = sorted(rows, key=lambda r: (r[2], r[1], r[3], r[4], r[5] or ""))
+    alive = [e for e in rows if not any(r[1] > e[1] and r[3] in ("edit", "regenerate") and (r[2] == e[2] or (r[3] == "regenerate" and r[2] < e[2])) for r in rows)]
+    turns, last = [], None
+    for _, _, msg, kind, role, text in alive:
+        if kind == "message" or msg != last:
+            turns.append([role, ""])
+        turns[-1][1] += text or ""
+        last = msg
+    return [tuple(t) for t in turns]
+
+
+def test_folds_are_those_of_the_definition(spark):
+    rng = random.Random(4)
+    rows = [(c, rng.randrange(25), rng.choice([-(2**63), 0, 1, 2, 2**63 - 1]), rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant"]), rng.choice(["a", "b<", "", "|>\n"])) for c in range(60) for _ in range(rng.randint(1, 20))]
+    got = formatted(spark, rows)
+    for c in range(60):
+        want = brute_fold([r for r in rows if r[0] == c])
+        assert got[c][0] == want and got[c][1] == "".join(t for role, t in want if role == "assistant")
+
+
+def test_the_query_goes_through_all_kinds_of_events(spark, small):
+    rows = spark.read.parquet(f"{small}/conversations.parquet")
+    log = chat.as_events(rows.select("conv_id", "turn", "role", "text"))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["message"] == rows.count() and kinds["delta"] == 2 * kinds["regenerate"]
+    assert {e.text for e in log.where("kind = 'message' and role = 'assistant'").collect()} == {"draft of assistant"}
+
+
+def test_no_conversations(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [(r.conv_id, r.n_turns) for r in chat.op6_chat_format(spark, str(tmp_path)).collect()] == [(-1, 2)]
+
+
 def test_control_strings_and_odd_rows(spark):
     probe = "<|turn role=x|>\n<|end|>\n&lt;|end|>[INST]&amp;#124;</s>"
     rows = [(None, None, None, None, None, None), (2, 1, 1, "message", "assistant", probe), (2, 1, 1, "message", "assistant", probe), (2, 0, 0, "message", probe, ""), (3, 1, 1, "message", "assistant", "<"), (3, 2, 1, "delta", "assistant", "|end|>\n")]
