@@ -174,14 +174,50 @@ def test_links_are_those_of_all_pairs(spark):
     ids = rng.permutation(len(vectors)).tolist()
     df = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<float>").withColumn("links", F.lit(1))
     want = brute(ids, vectors)
-    for block in (4096, 90):
-        got = emb.link_vectors(df.select("vec_id", "embedding"), block=block).collect()
+    for blocks in (None, 1, 5):
+        got = emb.link_vectors(df.select("vec_id", "embedding"), blocks=blocks).collect()
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(want)
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert sum(n for _, n, _ in want) > 1000
     assert emb.link_vectors(df.where("false").select("vec_id", "embedding")).count() == 0
 
 
+def test_vectors_of_any_size_are_linked(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [5e-324, 5e-324]), (4, [-1e308, 1e308]), (None, [3.0, 6.0]), (6, [1.0, -1.0])]
+    got = emb.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got) == [(0, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (6, 0, 6)]
+
+
+def test_open_pairs_are_decided_in_full_precision(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 16))
+    y = rng.normal(size=(300, 16))
+    y -= x * ((x * y).sum(axis=1) / (x * x).sum(axis=1))[:, None]
+    x, y = (v / np.sqrt((v * v).sum(axis=1))[:, None] for v in (x, y))
+    cosine = 0.9 + rng.choice([-1e-6, -1e-9, 1e-9, 1e-6], 300)
+    pairs = np.concatenate([x, cosine[:, None] * x + np.sqrt(1 - cosine**2)[:, None] * y])
+    got = emb.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pairs)], "vec_id long, embedding array<double>"), blocks=3)
+    near = {r.vec_id: r.component_id for r in got.collect()}
+    direct = [near[300 + i] == near[i] for i in range(300) if near[i] == i]
+    assert direct == [bool(c > 0.9) for i, c in enumerate(cosine) if near[i] == i] and len(direct) > 200
+
+
+def test_embedding_query_of_odd_tables(spark, tmp_path):
+    rows = [(None, [1.0, 0.0], 1), (2, [1.0, 0.0], 2), (2, [1.0, 0.01], 3), (5, None, 4), (None, None, 5), (7, [0.0, 1.0], 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cls int").withColumn("n_links", F.lit("clash")).withColumn("HOME", F.lit(1))
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = emb.op8_embedding_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, False), (0, 2, 2, False), (2, 2, 2, True), (2, 2, 2, True), (5, 0, 5, True), (7, 0, 7, True)]
+    df.where("false").write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert emb.op8_embedding_dedup(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_blocks_follow_cores_and_memory():
+    assert emb.block_count(0, 1, 8) == 1 and emb.block_count(500, 64, 6) == 1
+    assert emb.block_count(50_000, 64, 6) == emb.block_count(300_000, 64, 6) == 5
+    assert emb.block_count(100_000_000, 64, 4000) == 100_000_000 * 64 // emb.BLOCK_BYTES + 1
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 48)) * rng.lognormal(0, 2, (300, 48))
