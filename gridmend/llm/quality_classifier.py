@@ -27,11 +27,17 @@ DICTIONARY_BYTES, LEVEL, PIECE = 112_640, 3, 1024
 
 
 def dictionary(texts: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """A trained dictionary, or the texts themselves where they are too few to train one."""
+    """A trained dictionary. Where the texts are too few to train one, they are the dictionary themselves: whole ones,
+    in order, as many as its size holds."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts)
     except zstandard.ZstdError:
-        return zstandard.ZstdCompressionDict(b"\n".join(texts)[:DICTIONARY_BYTES] or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        some, room = [], DICTIONARY_BYTES
+        for t in texts:
+            if t and len(t) < room:
+                some.append(t)
+                room -= len(t) + 1
+        return zstandard.ZstdCompressionDict(b"\n".join(some).ljust(8, b"\n"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class Compressors:
@@ -102,14 +108,19 @@ def score_quality(docs: DataFrame, model: Compressors, out: str = "score") -> Da
 
 def classify_filter(docs: DataFrame, labels: DataFrame, train, least: float = 0.5, model_docs: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, columns unchanged. ``model_docs``: what is learned from,
-    ``docs`` themselves by default."""
+    ``docs`` themselves by default.
+
+    Null texts are scored as empty ones, very long ones whole; repeated rows are judged alike; an empty table gives
+    an empty table. Columns of any other name are carried along, whatever they are called.
+    """
     model = fit(docs if model_docs is None else model_docs, labels, train)
     packed = docs.select("text", F.struct(*docs.columns).alias("gm_row"))
     return score_quality(packed, model, "gm_score").where(F.col("gm_score") >= least).select("gm_row.*")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """Every document's quality, learned from labelled rows that aren't held out."""
+    """Every document's quality, learned from labelled rows that aren't held out. Null texts count as empty; repeated
+    rows get the same score; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), remainder(3) != 1)
     scored = score_quality(docs, model)

@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, portions, table, without, written
+from .common import claim, erase, portions, table, without, written
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
-#: Bounds of the fit: labelled rows, words of the lexicon, clean words remembered because they resemble it.
-FIT_ROWS, LEXICON, CLEAN = 20_000, 4_000, 50_000
+#: The bound of the fit: labelled rows. What is learned from them is kept whole: the lexicon and the clean words that
+#: resemble it are part of their vocabulary.
+FIT_ROWS = 20_000
 #: A lexicon word occurs in so many toxic documents and contexts at least, with such log-odds, and so seldom by chance (the
 #: likelihood-ratio statistic; 25 is met by one in two million words that tell nothing).
 SUPPORT, LOG_ODDS, EVIDENCE = 4, 2.0, 25.0
@@ -37,6 +38,7 @@ REPORTING = frozenset("said says say quote quoted quotes quoting wrote writes ca
 
 
 def edits_for(word: str) -> int:
+    """Edits that a lexicon word allows: none under five letters, where one makes most words into another."""
     return 0 if len(word) < 5 else 1 if len(word) < 12 else 2
 
 
@@ -117,8 +119,11 @@ class Lexicon:
     weights: np.ndarray | None = None
 
     def __post_init__(self) -> None:
-        self.trie = build_trie(self.odds)
-        self.pieces = {k: Pieces(self.odds, k) for k in (1, 2)}
+        #: For each number of edits, the words that allow so many.
+        allow = {k: [w for w in self.odds if edits_for(w) == k] for k in (1, 2)}
+        self.tries = {k: build_trie(words) for k, words in allow.items()}
+        self.pieces = {k: Pieces(words, k) for k, words in allow.items()}
+        self.lengths = {k: (min(map(len, words), default=0) - k, max(map(len, words), default=-9) + k) for k, words in allow.items()}
         self.cache: dict[str, tuple[float, int] | None] = {}
 
     def __getstate__(self) -> dict:
@@ -137,9 +142,11 @@ class Lexicon:
         found = None
         if word in self.odds:
             found = (self.odds[word], 0)
-        elif (k := edits_for(word)) and word not in self.clean and self.pieces[k].may(word) and (near := within(self.trie, word, k)):
-            edits, odds = min((k, -self.odds[w]) for k, w in near)
-            found = (-odds, edits)
+        elif word not in self.clean:
+            near = [x for k, (least, most) in self.lengths.items() if least <= len(word) <= most and self.pieces[k].may(word) for x in within(self.tries[k], word, k)]
+            if near:
+                edits, odds = min((k, -self.odds[w]) for k, w in near)
+                found = (-odds, edits)
         self.cache[word] = found
         return found
 
@@ -186,6 +193,7 @@ PRIOR = np.array([1.0, 0.6, 0.3, 0.3, 1.0])
 
 def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label: str = "toxic") -> Lexicon:
     """The lexicon and the weights, from at most ``rows`` labelled documents. Without toxic ones nothing is found.
+    Null texts and null labels teach nothing; repeated texts count once.
 
     A lexicon flatters the documents that it is made from. So each third of them is looked at with a lexicon of the
     other two when the weights are fitted; the final lexicon is of all.
@@ -205,37 +213,52 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label:
     counts = sample.mapInArrow(tally, "word string, " + ", ".join(f"{n} long" for n in NAMES)).groupBy("word").agg(*(F.sum(n).alias(n) for n in NAMES))
     counts = written(counts.where(" + ".join(NAMES) + " > 1"), "word-counts")
 
-    def lexicon(folds: tuple[int, ...]) -> Lexicon:
-        bad, good = (sum((F.col(f"{k}{f}") for f in folds), F.lit(0)) for k in ("bad", "good"))
-        n_bad, n_good = (sum(sizes.get((y, f), 0) for f in folds) for y in (1, 0))
+    every = [tuple(f for f in FOLDS if f != fold) for fold in FOLDS] + [FOLDS]
+
+    def toxic_words(folds: tuple[int, ...]) -> dict[str, float]:
+        """Words by log-odds; all that pass, out of the vocabulary of the sample."""
+        bad, good, n_bad, n_good = seen(folds)
         odds = F.log((bad + 0.5) / (n_bad + 1)) - F.log((good + 0.5) / (n_good + 1))
         share = n_bad / max(n_bad + n_good, 1)
         part = lambda k, p: F.when((k > 0) & (p > 0), k * F.log(k / ((bad + good) * p))).otherwise(0.0)
         evidence = 2 * (part(bad, F.lit(share)) + part(good, F.lit(1 - share)))
-        best = counts.where((bad >= SUPPORT) & (odds >= LOG_ODDS) & (evidence >= EVIDENCE)).orderBy(F.desc(odds * F.sqrt(bad)), "word").limit(2 * LEXICON)
-        found = {r.word: r.odds for r in best.select("word", odds.alias("odds")).collect()}
+        best = counts.where((bad >= SUPPORT) & (odds >= LOG_ODDS) & (evidence >= EVIDENCE))
+        return {r.word: r.odds for r in best.select("word", odds.alias("odds")).collect()}
 
-        def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter = Counter()
-            for b in portions(batches):
-                for t in b.column("text").to_pylist():
-                    words = WORD.findall(t.lower())
-                    seen.update((w, words[i - 1] if i else "") for i, w in enumerate(words) if w in found)
-            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in seen], pa.string()) for j in (0, 1)] + [pa.array(seen.values(), pa.int64())], names=["word", "before", "n"])
-
-        # copies of one toxic text make all of its words look toxic: but these follow the same words again and again
-        texts = sample.where(F.col("y") == 1).where(F.col("fold").isin(*folds)).select("text")
-        pairs = texts.mapInArrow(contexts, "word string, before string, n long").groupBy("word", "before").agg(F.sum("n").alias("n"))
-        spread = pairs.groupBy("word").agg((F.pow(F.sum("n"), 2) / F.sum(F.col("n") * F.col("n"))).alias("spread"))
-        various = [r.word for r in spread.where(F.col("spread") >= SUPPORT).collect()]
-        found = Lexicon({w: found[w] for w in sorted(various, key=lambda w: -found[w])[:LEXICON]}, frozenset())
-
-        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in portions(batches):
-                yield b.filter(pa.array([w not in found.odds and found.look_up(w) is not None for w in b.column(0).to_pylist()], pa.bool_()))
+    def seen(folds: tuple[int, ...]) -> tuple:
+        bad, good = (sum((F.col(f"{k}{f}") for f in folds), F.lit(0)) for k in ("bad", "good"))
+        return bad, good, *(sum(sizes.get((y, f), 0) for f in folds) for y in (1, 0))
+
+    found = [toxic_words(folds) for folds in every]
+    asked = set().union(*found)
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+        for b in portions(batches):
+            for t, fold in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = WORD.findall(t.lower())
+                met.update((w, words[i - 1] if i else "", fold) for i, w in enumerate(words) if w in asked)
+        parts = list(zip(*met, strict=True)) if met else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.string()), pa.array(parts[1], pa.string()), pa.array(parts[2], pa.int32()), pa.array(met.values(), pa.int64())], names=["word", "before", "fold", "n"])
+
+    # copies of one toxic text make all of its words look toxic: but these follow the same words again and again
+    texts = sample.where(F.col("y") == 1).select("text", "fold")
+    pairs = texts.mapInArrow(contexts, "word string, before string, fold int, n long").groupBy("word", "before").pivot("fold", list(FOLDS)).agg(F.sum("n"))
+    by_fold = lambda folds: sum((F.coalesce(F.col(str(f)), F.lit(0)) for f in folds), F.lit(0))
+    spreads = [(F.pow(F.sum(by_fold(folds)), 2) / F.sum(by_fold(folds) * by_fold(folds))).alias(f"s{i}") for i, folds in enumerate(every)]
+    various = {r.word: r for r in pairs.groupBy("word").agg(*spreads).collect()}
+    lexicons = [Lexicon({w: odds for w, odds in sorted(words.items()) if w in various and (various[w][f"s{i}"] or 0) >= SUPPORT}, frozenset()) for i, words in enumerate(found)]
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words that a lexicon would take for misspelled, with the numbers of these lexicons."""
+        for b in portions(batches):
+            of = [[i for i, x in enumerate(lexicons) if w not in x.odds and x.look_up(w) is not None] for w in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of, pa.list_(pa.int32()))], names=[*b.schema.names, "alike"]).filter(pa.array([bool(x) for x in of], pa.bool_()))
 
-        clean = counts.where(good >= 2).orderBy(F.desc(good), "word").select("word").mapInArrow(alike, "word string").limit(CLEAN)
-        return Lexicon(found.odds, frozenset(r.word for r in clean.collect()))
+    near = counts.mapInArrow(alike, counts.withColumn("alike", F.array().cast("array<int>")).schema)
+    clean = [F.array_contains("alike", i) & (seen(folds)[1] >= 2) for i, folds in enumerate(every)]
+    rows = near.select("word", *(c.alias(f"c{i}") for i, c in enumerate(clean))).collect()
+    lexicons = [Lexicon(x.odds, frozenset(r.word for r in rows if r[f"c{i}"])) for i, x in enumerate(lexicons)]
 
     def features(found: Lexicon):
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,18 +269,18 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS, label:
 
     got = []
     for fold in FOLDS:  # FIT_ROWS at most in all, a few numbers each
-        found = lexicon(tuple(f for f in FOLDS if f != fold))
-        got += sample.where(F.col("fold") == fold).select("text", "y").mapInArrow(features(found), "x array<double>, y int").collect()
+        got += sample.where(F.col("fold") == fold).select("text", "y").mapInArrow(features(lexicons[fold]), "x array<double>, y int").collect()
     x, y = np.array([r.x for r in got]).reshape(len(got), len(PRIOR)), np.array([r.y for r in got], float)
-    final = lexicon(FOLDS)
+    final = lexicons[-1]
     final.weights = fit_logistic(x, y, 1.0, PRIOR) if y.any() else np.append(PRIOR, -4.0)
+    erase(sample, counts)
     return final
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, out: str = "score") -> DataFrame:
     """``docs`` (text and any others) with a score from 0 to 1; null and empty texts have that of a text without hits.
     A column named ``out`` is replaced."""
-    known = docs.sparkSession.sparkContext.broadcast(lexicon)  # LEXICON and CLEAN words at most
+    known = docs.sparkSession.sparkContext.broadcast(lexicon)  # words of FIT_ROWS labelled texts
     kept = without(docs, out)
     place = kept.index("text")
 
@@ -269,7 +292,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, out: str = "score") -> Dat
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Every document's toxicity, learned from labelled rows that aren't held out."""
+    """Every document's toxicity, learned from labelled rows that aren't held out. Null texts count as empty; repeated
+    rows get the same score; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     lexicon = fit(docs, labels, remainder(5) != 0)

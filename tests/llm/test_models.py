@@ -1,10 +1,12 @@
 """Coding, counting, classifiers and mixing: exact libraries, held-out accuracy, brute force, and odd rows."""
 
 import random
+import re
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -195,6 +197,92 @@ def test_misspelled_and_quoted_words():
     assert lex.features('they called "stupid" a word')[2] > 0 and lex.features("“ a stupid b ”")[0] == 0
 
 
+def plain_features(lexicon, text):
+    """The features by definition: every word against every lexicon word, every hit's context by scanning it."""
+    text = text.lower()
+    spans = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+    direct = misspelled = quoted = top = 0.0
+    known = {}
+    for i, (w, start, end) in enumerate(spans):
+        if w not in known:
+            known[w] = None
+            if w in lexicon.odds:
+                known[w] = (0, -lexicon.odds[w])
+            elif w not in lexicon.clean:
+                near = [(edit_distance(w, x), -odds) for x, odds in lexicon.odds.items() if abs(len(w) - len(x)) <= toxicity.edits_for(x)]
+                allowed = [toxicity.edits_for(x) for x in lexicon.odds if abs(len(w) - len(x)) <= toxicity.edits_for(x)]
+                known[w] = min((n for n, k in zip(near, allowed, strict=True) if n[0] <= k), default=None)
+        if known[w] is None:
+            continue
+        edits, odds = known[w]
+        around = spans[max(0, i - 6) : i + 7]
+        left = text[spans[i - 7][2] if i > 6 else 0 : start]
+        right = text[end : spans[i + 7][1] if i + 7 < len(spans) else len(text)]
+        marks = "\"“”„«»"
+        if (any(c in marks for c in left) and any(c in marks for c in right)) or any(x in toxicity.REPORTING for x, _, _ in around):
+            quoted -= odds
+        elif edits:
+            misspelled -= odds
+        else:
+            direct -= odds
+            top = max(top, -odds)
+    return [np.log1p(direct), np.log1p(misspelled), np.log1p(quoted), top, direct / max(len(spans), 1) ** 0.5]
+
+
+def test_toxicity_scores_are_those_of_the_definition(spark, small):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels, remainder(5) != 0)
+    assert len(lexicon.odds) >= 5
+    twisted = [w[:2] + w[3:] + " " + w[:1] + "#" + w[1:] + f' he said "{w}" ' + w[:-1] + "q" for w in sorted(lexicon.odds)[:40]]
+    rows = [(r.text,) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [(t,) for t in twisted] + [(None,), ("",)]
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "text string"), lexicon).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        x = plain_features(lexicon, r.text or "")
+        assert r.score == pytest.approx(float(sigmoid(np.append(x, 1.0) @ lexicon.weights)), abs=1e-9)
+
+
+def test_a_letter_less_of_a_five_letter_word_is_found():
+    lex = toxicity.Lexicon({"moron": 5.0, "fool": 4.0}, frozenset())
+    assert lex.look_up("mron") == (5.0, 1) and lex.look_up("morons") == (5.0, 1) and lex.look_up("food") is None
+
+
+def test_quality_scores_are_those_of_the_definition(spark, small):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels, remainder(3) != 1)
+    rows = [(r.text,) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [(None,), ("",)]
+    for r in quality_classifier.score_quality(spark.createDataFrame(rows, "text string"), model).collect():
+        text = (r.text or "").encode()
+        sizes = []
+        for part in model.parts:
+            z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(part), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(z.compress(text[i : i + 1024])) for i in range(0, max(len(text), 1), 1024)))
+        bad, good = sizes
+        whole = len(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False).compress(text))
+        shrinks, size = np.log((len(text) + 1) / (whole + 1)), np.log(len(text) + 1) / 10
+        x = np.array([(bad - good) / max(bad, good), np.log((bad + 20) / (good + 20)), 3 * (bad - good) / (len(text) + 50), shrinks, shrinks**2, size, size**2, shrinks * size])
+        assert r.score == pytest.approx(float(sigmoid(np.append((x - model.mean) / model.spread, 1.0) @ model.weights)), abs=1e-9)
+
+
+def test_the_dictionaries_carry_the_quality_score(spark, tenth):
+    docs, labels = (spark.read.parquet(f"{tenth}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels, remainder(3) != 1)
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id").where(remainder(3) == 1).select("text", "quality").collect()
+    x, y = np.array([model.features((r.text or "").encode()) for r in rows]), np.array([r.quality for r in rows])
+
+    def auc(score):
+        rank = np.empty(len(score))
+        rank[np.argsort(score, kind="stable")] = np.arange(len(score))
+        return (rank[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
+
+    assert auc(x[:, 0]) > 0.97 and abs(auc(x[:, 5]) - 0.5) < 0.1
+
+
+def test_a_dictionary_of_few_texts_is_made_of_whole_ones():
+    few = [b"one text", b"another", b"x" * 200_000, b"last"]
+    assert quality_classifier.dictionary(few).as_bytes() == b"one text\nanother\nlast"
+
+
 @pytest.fixture(scope="module")
 def tenth():
     return "/root/testdata/sf0.1"
