@@ -40,6 +40,8 @@ def tree(n_shards: int, base: int = 24, per_rack: int = 4, per_region: int = 12,
     """The tree over shards 0 to n_shards - 1. ``weights`` gives shards another weight than 1."""
     if n_shards < 1:
         raise ValueError("at least one shard is needed")
+    if any(not 0 <= w < float("inf") for w in (weights or {}).values()):
+        raise ValueError("weights are finite numbers that aren't negative")
 
     def leaf(i: int, at: str) -> Node:
         return Node(f"{at}/s{i}", float((weights or {}).get(i, 1.0)), i)
@@ -72,6 +74,8 @@ def descend(key: Column, node: Node) -> Column:
     if node.shard is not None:
         return F.lit(node.shard)
     children = [c for c in node.children if c.weight > 0]
+    if not children:
+        raise ValueError(f"no shard below {node.path or 'the root'} has a weight")
     if len(children) == 1:
         return descend(key, children[0])
     winner = F.least(*(F.struct(draw(key, c).alias("draw"), F.lit(i).alias("at")) for i, c in enumerate(children)))["at"]
@@ -95,34 +99,37 @@ def assign(docs: DataFrame, n_shards: int = 24, shard_col: str = "shard", **shap
 
 
 def numbered(rows: DataFrame, shard_col: str = "shard") -> DataFrame:
-    """``rows`` with a ``slot`` that counts each shard's rows from 0 without a gap.
+    """``rows`` with a ``slot`` that counts each shard's rows from 0 without a gap; a column of that name is replaced.
 
     Equal rows are counted before the shuffle. Rows are dealt over groups within each shard by a hash; a group
     knows where it begins from the groups' sizes, and only numbers its own rows.
     """
-    columns = rows.columns
-    counted = written(rows.groupBy(*columns).agg(F.count("*").alias("gm_copies")), "shard-rows")
-    total = counted.agg(F.sum("gm_copies")).first()[0] or 0
+    names = rows.columns
+    columns = [f"c{i}" for i in range(len(names))]  # names of our own, so that none can clash
+    shard = columns[[n.lower() for n in names].index(shard_col.lower())]
+    rows = rows.toDF(*columns)
+    counted = written(rows.groupBy(*columns).agg(F.count("*").alias("copies")), "shard-rows")
+    total = counted.agg(F.sum("copies")).first()[0] or 0
     groups = max(LEAST_GROUPS, total // GROUP_ROWS)
     label = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns))
-    dealt = counted.withColumn("gm_group", hashed(label) % groups)
-    sizes = dealt.groupBy(shard_col, "gm_group").agg(F.sum("gm_copies").alias("gm_size"))
-    before = W.partitionBy(shard_col).orderBy("gm_group").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(F.col(shard_col).alias("gm_shard"), F.col("gm_group").alias("gm_at"), F.coalesce(F.sum("gm_size").over(before), F.lit(0)).alias("gm_start"))
-    inner = W.partitionBy(shard_col, "gm_group").orderBy(*columns).rowsBetween(W.unboundedPreceding, -1)
-    placed = dealt.withColumn("gm_before", F.coalesce(F.sum("gm_copies").over(inner), F.lit(0)))
-    met = placed.join(starts, (F.col(shard_col) == F.col("gm_shard")) & (F.col("gm_group") == F.col("gm_at")))
-    first = F.col("gm_start") + F.col("gm_before")
-    chunks = met.select(*columns, first.alias("gm_first"), "gm_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("gm_copies") - 1) / CHUNK))).alias("gm_chunk"))
-    inside = F.sequence(F.col("gm_chunk") * CHUNK, F.least((F.col("gm_chunk") + 1) * CHUNK, F.col("gm_copies")) - 1)
-    each = chunks.select(*columns, "gm_first", F.explode(inside).alias("gm_i"))
-    return each.select(*columns, (F.col("gm_first") + F.col("gm_i")).alias("slot"))
+    dealt = counted.withColumn("part", hashed(label) % groups)
+    sizes = dealt.groupBy(shard, "part").agg(F.sum("copies").alias("size"))
+    before = W.partitionBy(shard).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(F.col(shard).alias("in_shard"), F.col("part").alias("at"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    inner = W.partitionBy(shard, "part").orderBy(*columns).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("ahead", F.coalesce(F.sum("copies").over(inner), F.lit(0)))
+    met = placed.join(starts, (F.col(shard) == F.col("in_shard")) & (F.col("part") == F.col("at")))
+    chunks = met.select(*columns, (F.col("start") + F.col("ahead")).alias("first"), "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / CHUNK))).alias("chunk"))
+    inside = F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("copies")) - 1)
+    each = chunks.select(*columns, "first", F.explode(inside).alias("i"))
+    return each.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True) if n.lower() != "slot"), (F.col("first") + F.col("i")).alias("slot"))
 
 
 def op4_sharding(spark, sf_dir: str, n_shards: int = 24) -> DataFrame:
     """Every document's shard of ``n_shards``, its place there, and its shard if there were one more.
 
-    Null texts have no bytes. Repeated rows stay apart and get slots of their own.
+    Null texts have no bytes, very long ones count whole, null ids share a shard. Repeated rows stay apart and get slots
+    of their own. An empty table gives an empty result.
     """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     bytes_of = F.coalesce(F.col("text"), F.lit(""))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import claim, portions, table, without
 
-#: Rows that the head-start table is built from, at most about; entries that it holds; entries of a worker's cache.
+#: Rows that the head-start table is built from, about; entries that it holds; entries of a worker's cache.
 SAMPLE_ROWS, TABLE_ENTRIES, CACHE_ENTRIES = 4_000, 50_000, 300_000
 #: Texts beyond these characters go to the library whole, so that no difference between two versions of the Unicode
 #: tables, or between two ideas of white space, can matter.
@@ -101,7 +101,7 @@ def frequent_table(texts: DataFrame, file: str, rows: int, seed: int = 7) -> dic
         top = seen.most_common(TABLE_ENTRIES)
         yield pa.RecordBatch.from_pydict({"part": [p for p, _ in top], "times": [n for _, n in top], "size": [counter.encode(p) for p, _ in top]}, pa.schema([("part", pa.string()), ("times", pa.int64()), ("size", pa.int32())]))
 
-    total = texts.count()
+    total = texts.count()  # from the file's footers
     if not total:
         return {}
     sample = texts.sample(min(1.0, rows / total), seed).mapInArrow(tally, "part string, times long, size int")

@@ -68,6 +68,30 @@ def test_junk_goes_and_prose_stays(spark, small):
     assert seen.get((0, True), 0) <= 2 and seen[1, True] > 0.9 * (seen[1, True] + seen.get((1, False), 0))
 
 
+@pytest.mark.parametrize("measure", ["symbol_rate", "word_length", "dup_line_rate", "repeat_rate"])
+def test_each_measure_alone_rejects(spark, measure):
+    rng = random.Random(7)
+
+    def text(odd):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(200)]
+        if odd and measure == "symbol_rate":
+            words = [w + "#$" for w in words]
+        if odd and measure == "word_length":
+            words = [w * 12 for w in words]
+        if odd and measure == "repeat_rate":
+            words[:98] = (words[:7] * 14)[:98]  # under half, which the base rule lets pass
+        lines = [" ".join(words[i : i + 4]) for i in range(0, len(words), 4)]
+        if odd and measure == "dup_line_rate":
+            lines = [x for line in lines for x in (line, "same")]
+        return "\n".join(lines)
+
+    rows = [(i, text(i % 50 == 7), "en", "s") for i in range(600)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = base.select("doc_id", "lang", "source", rules.measure(F.col("text")).alias("m"))
+    got = {r.doc_id: (r.m.base_failed, r.kept) for r in rules.judged(rules.written(measured, "t")).collect()}
+    assert got == {i: (False, i % 50 != 7) for i, *_ in rows}
+
+
 def test_query_handles_odd_rows(spark, tmp_path):
     frame(spark, ODD).withColumn("kept", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in rules.op1_quality_rules(spark, str(tmp_path)).collect()}
@@ -100,6 +124,22 @@ def test_shards_are_whole_and_gapless(spark, tmp_path):
     assert 0 < sum(r.grown_shard == 24 for r in got) < len(got) / 8
 
 
+def test_very_long_texts_and_clashing_names(spark, tmp_path):
+    long = "é" * 3_000_000
+    got = shard_rows(spark, tmp_path, [(1, long), (2, "x")])
+    assert {(r.doc_id, r["size"], r.text_crc32) for r in got} == {(1, 6_000_008, zlib.crc32(long.encode())), (2, 9, zlib.crc32(b"x"))}
+    df = spark.createDataFrame([(0, "a", 1)] * 3, "shard int, gm_copies string, copies int")
+    assert sorted((r.gm_copies, r.copies, r.slot) for r in shards.numbered(df).collect()) == [("a", 1, 0), ("a", 1, 1), ("a", 1, 2)]
+
+
+def test_weights_must_make_sense():
+    for weights in ({0: -1.0}, {0: float("nan")}):
+        with pytest.raises(ValueError):
+            shards.tree(3, weights=weights)
+    with pytest.raises(ValueError, match="has a weight"):
+        shards.descend(F.lit("k"), shards.tree(2, weights={0: 0.0, 1: 0.0}))
+
+
 def test_no_documents(spark, tmp_path):
     assert shard_rows(spark, tmp_path, []) == []
 
