@@ -1,6 +1,7 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches, per language and source.
 
-Everything is DataFrame code. Each text is measured in its own row; measures are counted into log-linear
+Everything is DataFrame code. Each text is measured in its own row, once (a window of three words is compared by its
+64-bit hash); measures are counted into log-linear
 histograms (integers below 64 exactly, above that 32 buckets for each doubling, so a quantile is off by 1/32 at
 most). Such a sketch merges by adding counts: executors pre-aggregate, a hot source moves a few hundred counters,
 and the sketches of a language or of the whole corpus are sums of those of its sources. A document is rejected if
@@ -165,12 +166,14 @@ def judged(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def quality_filter(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` (text, lang, source and any others) that the rules keep, columns unchanged.
 
-    Null and empty texts have no words and are rejected; repeated rows are judged alike; an empty table gives an
-    empty table. Columns of any other name are carried along, whatever they are called.
+    Null and empty texts have no words and are rejected; very long texts are measured whole; repeated rows are judged
+    alike; an empty table gives an empty table. Columns of any other name are carried along, whatever they are called.
     """
     # explode() keeps the optimizer from repeating the measurement wherever one of its fields is used
     packed = docs.select(F.struct(*docs.columns).alias("gm_row"), "lang", "source", F.explode(F.array(measure(F.col("text")))).alias("m"))
-    return judged(packed, rules).where("kept").select("gm_row.*")
+    # written with the rows, since the fences need all measures before the first row can be judged
+    measured = written(packed.where("not m.base_failed"), "quality-rows")
+    return judged(measured, rules).where("kept").select("gm_row.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
