@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalar
+from ..functions.draws import normal, poisson, uniform
 
 #: Fixed values of the fragility models. Substation states: lognormal (mu, sigma) in miles an hour, in rising order.
 MPH = 2.23694
@@ -91,12 +88,6 @@ def drawn_state(u: Column, p: dict[str, Column]) -> Column:
     return out.otherwise(list(p)[-1].removeprefix("p_"))
 
 
-def uniform(seed: int, *keys: Column) -> Column:
-    """A uniform number in (0, 1) that a seed and keys decide, wherever the row is."""
-    bits = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)), 256), 1, 13), 16, 10).cast("long")
-    return (bits + 0.5) / F.lit(2.0**52)
-
-
 def realised(probabilities: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
     """Which components (keys, p) fail in each of ``draws`` trials, without a shuffle."""
     each = probabilities.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(draws))))
@@ -111,21 +102,17 @@ def weighted_sample(items: DataFrame, by: list[str], weight: str, id_: str, n: C
     return items.where(F.col(weight) > 0).withColumn("gm_place", place).where(F.col("gm_place") <= n).drop("gm_place")
 
 
-def repair_hours(damaged: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """Hours of repair by ``kind`` and ``state``: lines uniform on 3 to 5, severe and complete substations normal."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in damaged.schema)
+#: Hours that the repair of a line takes, and mean and spread of those of a substation by its state.
+LINE_HOURS, SUBSTATION_HOURS = (3.0, 5.0), {"severe": (168.0, 84.0), "complete": (720.0, 360.0)}
 
-    def draw(frames):
-        for pdf in frames:
-            hours = []
-            for r in pdf.itertuples(index=False):
-                name = "|".join(str(getattr(r, k)) for k in keys)
-                rng = np.random.default_rng([seed, int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")])
-                mean, sd = {"severe": (168, 84), "complete": (720, 360)}.get(r.state, (0, 0))
-                hours.append(rng.uniform(3, 5) if r.kind == "line" else max(0.0, rng.normal(mean, sd)))
-            yield pdf.assign(repair_h=pd.Series(hours, index=pdf.index, dtype=float))
 
-    return damaged.mapInPandas(draw, f"{fields}, repair_h double")
+def repair_hours(damaged: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """``damaged`` with the hours of repair by ``kind`` and ``state``: lines uniform, substations normal and not below 0."""
+    key = [F.col(k) for k in keys]
+    mean, spread = (F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, pair in SUBSTATION_HOURS.items() for x in (k, pair[i]))), F.col("state")), F.lit(0.0)) for i in (0, 1))
+    low, high = LINE_HOURS
+    line = low + (high - low) * uniform(seed, *key)
+    return damaged.withColumn("repair_h", F.when(F.col("kind") == "line", line).otherwise(F.greatest(F.lit(0.0), mean + spread * normal(seed, *key))))
 
 
 def extended_track(tracks: DataFrame, by: list[str], rate: float, step_km: float = 15.0, least_mps: float = 20.0, most: int = 200) -> DataFrame:
@@ -150,35 +137,34 @@ def extended_track(tracks: DataFrame, by: list[str], rate: float, step_km: float
     return tracks.select(*by, "time_index", "lat", "lon", "speed").unionByName(added)
 
 
-#: Fixed values of the scenario sampler.
+#: Fixed values of the scenario sampler. Least MW that a scenario leaves dark, further draws until it does, and what each
+#: adds in edges and in intensity.
 LEAST_MW, RETRIES, MORE_EDGES, MORE_INTENSITY = 5.0, 3, 6, 0.05
+#: How many edges: a Poisson number of mean base x intensity^1.7, and -2 to 4 more, within limits; scenarios that aren't
+#: historical have at least 12 + 8 x intensity.
+GROWTH, JITTER, LIMITS, AT_LEAST = 1.7, (-2, 4), (5, 42), (12.0, 8.0)
+#: Which edges: near the storm by a bell curve of 34 + 8 x intensity km above a floor, length from 0.03 to 3.5 km.
 VULNERABLE = {"transformer": 0.8, "switch": 0.5}
+REACH_KM, FAR, LENGTH_KM, UNKNOWN_KM, LEAST_WEIGHT = (34.0, 8.0), 0.08, (0.03, 3.5), 0.1, 1e-8
 
 
 def damage_targets(grid: DataFrame, seed: int) -> DataFrame:
     """``grid`` (scenario, intensity, base_mean, historical) with how many edges each scenario damages."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grid.schema)
-
-    def draw(frames):
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                rng = np.random.default_rng([seed, int.from_bytes(hashlib.sha256(str(r.scenario).encode()).digest()[:8], "big")])
-                n = int(np.clip(rng.poisson(r.base_mean * r.intensity**1.7) + rng.integers(-2, 5), 5, 42))
-                out.append(n if r.historical else max(n, int(12 + 8 * r.intensity)))
-            yield pdf.assign(target=pd.Series(out, index=pdf.index, dtype="int64"))
-
-    return grid.mapInPandas(draw, f"{fields}, target long")
+    mean = F.col("base_mean") * F.pow("intensity", F.lit(GROWTH))
+    first, last = JITTER
+    drawn = poisson(mean, uniform(seed, F.col("scenario"), F.lit("edges"))) + F.floor(uniform(seed, F.col("scenario"), F.lit("jitter")) * (last - first + 1)) + first
+    n = F.greatest(F.lit(LIMITS[0]), F.least(F.lit(LIMITS[1]), drawn))
+    least = F.floor(AT_LEAST[0] + AT_LEAST[1] * F.col("intensity"))
+    return grid.withColumn("target", F.when(F.col("historical"), n).otherwise(F.greatest(n, least)).cast("long"))
 
 
 def edge_weight(km: Column, kind: Column, length_km: Column, intensity: Column) -> Column:
     """How likely a storm damages an edge: falls with distance, grows with the root of length and with intensity."""
-    near = F.exp(-(km * km) / (2 * F.pow(34.0 + 8.0 * intensity, F.lit(2.0))))
-    vulnerable = F.lit(1.0)
-    for k, x in VULNERABLE.items():
-        vulnerable = F.when(kind == k, x).otherwise(vulnerable)
-    length = scalar.clip(F.coalesce(length_km, F.lit(0.1)), 0.03, 3.5)
-    return F.greatest((0.08 + near) * vulnerable * F.sqrt(length) * intensity, F.lit(1e-8))
+    reach = REACH_KM[0] + REACH_KM[1] * intensity
+    near = F.exp(-0.5 * F.pow(km / reach, F.lit(2.0)))
+    vulnerable = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in VULNERABLE.items() for x in pair)), kind), F.lit(1.0))
+    length = scalar.clip(F.coalesce(length_km, F.lit(UNKNOWN_KM)), *LENGTH_KM)
+    return F.greatest((FAR + near) * vulnerable * F.sqrt(length) * intensity, F.lit(LEAST_WEIGHT))
 
 
 def sampled_scenarios(grid: DataFrame, edges: DataFrame, power: DataFrame, seed: int) -> DataFrame:

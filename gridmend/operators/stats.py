@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from .relational import as_of
 
 TIE = 1e-6
@@ -44,36 +46,33 @@ def normal_interval(df: DataFrame, by: list[str], value: str, fraction: bool = F
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), low.alias("low"), high.alias("high"))
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], value: str, draws: int = 2000, seed: int = 1) -> DataFrame:
-    """95 percent percentile interval of the mean, by resampling each group's rows in the order of their values."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
+def bootstrap_of(values: np.ndarray, draws: int = 2000, seed: int = 1, statistic=np.mean) -> tuple[float, float]:
+    """95 percent percentile interval of a statistic of a small sample, by resampling; nan without finite values."""
+    x = np.asarray(values, float)
+    x = x[np.isfinite(x)]
+    if not len(x):
+        return np.nan, np.nan
+    rng = np.random.default_rng(seed)
+    low, high = np.quantile([statistic(x[rng.integers(0, len(x), len(x))]) for _ in range(draws)], [0.025, 0.975])
+    return float(low), float(high)
 
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].dropna().to_numpy())
-        rng = np.random.default_rng(seed)
-        means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(draws)]) if len(x) else np.full(1, np.nan)
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "n": [len(x)], "mean": [x.mean() if len(x) else np.nan], "low": [low], "high": [high]})
 
-    return df.groupBy(*by).applyInPandas(resample, f"{fields}, n long, mean double, low double, high double")
+def poisson_steps() -> list[float]:
+    """The cumulative probabilities of 0 to 7 for a mean of 1."""
+    return np.cumsum([exp(-1.0) / factorial(k) for k in range(8)]).tolist()
 
 
-def poisson_bootstrap(df: DataFrame, by: list[str], value: str, key: Column, draws: int = 200) -> DataFrame:
+def poisson_bootstrap(df: DataFrame, by: list[str], value: str, key: Column, draws: int = 200, seed: int = 1) -> DataFrame:
     """The same interval for groups of any size: each row counts a Poisson(1) number of times in each draw.
 
-    The counts come from a hash of the row's key and the draw, so rows may be anywhere, and sums are combined before
+    Null values count for nothing. The counts come from a hash of the row's key and the draw, so rows may be anywhere, and sums are combined before
     the shuffle.
     """
-    steps, total = [], 0.0
-    term = float(np.exp(-1.0))
-    for k in range(8):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    u = (F.pmod(F.xxhash64(key, F.col("draw")), F.lit(2**40)) + 0.5) / float(2**40)
+    steps = poisson_steps()
+    u = uniform(seed, key, F.col("draw"))
     count = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
     long = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("times", count)
-    means = long.groupBy(*by, "draw").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
+    means = long.where(F.col(value).isNotNull()).groupBy(*by, "draw").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 

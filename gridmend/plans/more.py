@@ -197,27 +197,6 @@ def map_table(t: Tables) -> DataFrame:
     return x.withColumn("place", F.row_number().over(W.orderBy(F.desc("customers"), "state")).cast("long"))  # a row for each state
 
 
-@query("X09 (utility and island blocks)")
-def private_blocks(t: Tables) -> DataFrame:
-    """Each supplier's site through an outage of its own between two hours of utility service."""
-    from ..operators import simulation
-
-    site = simulation.Site()
-
-    def run(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            rows = []
-            for k in pdf.s_suppkey:
-                state = simulation.State(100.0 + k, site.ups_mwh / 3)
-                blocks = [(0.0, 1.0, True), (1.0, 3.0 + k % 5, False), (3.0 + k % 5, 9.0, True)]
-                rows += [{"site": k, "piece": i, **p} for i, p in enumerate(simulation.private_interval(site, state, blocks, int(k % 14)))]
-            yield pd.DataFrame(rows)[["site", "piece", "utility", "start_h", "end_h", "it_mw", "aux_mw", "unserved_mw", "ups_mwh", "fuel_mwh"]]
-
-    return t.supplier.select("s_suppkey").mapInPandas(run, "site long, piece long, utility boolean, start_h double, end_h double, it_mw double, aux_mw double, unserved_mw double, ups_mwh double, fuel_mwh double")
-
-
 @query("B07 J23", """with d as (select r_regionkey as region, s_suppkey as node, abs(s_acctbal - r_regionkey * 2000) as km from supplier, region), k as (select region, node from (select *, row_number() over (partition by region order by km, node) as i from d) where i <= 8),
 n as (select distinct node from k), e as (select l_orderkey as edge_id, l_suppkey as a, l_partkey % 100 as b from lineitem where l_linenumber = 3)
 select cast((a in (select node from n))::int + (b in (select node from n))::int as bigint) as ends, count(*) as edges from e group by 1 having ends > 0""")

@@ -1,0 +1,131 @@
+"""Queries on replays of repairs with support from sites."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..operators import recovery, stats
+from ..operators.recovery import Control
+from . import views as v
+from .catalog import query
+from .simulated import uniform_sql
+from .views import Tables
+
+R = F.round
+OFF = Control(export=False)
+#: Treatments without chance: units that never fail.
+FIXED = {"no_export": OFF, "ideal": Control(ideal=True), "ideal_reserve_44h": Control(ideal=True, reserve_h=44.0), "path_0_cut": Control(ideal=True, cut_off=(0,))}
+GRID = {"private_no_export": OFF, "reserve_00h": Control(), "reserve_44h": Control(reserve_h=44.0), "path_1_disabled": Control(cut_off=(1,)), "ideal_zero_reserve": Control(ideal=True, first_replicate_only=True)}
+
+
+def runs(t: Tables, controls: dict[str, Control], **given: object) -> DataFrame:
+    return recovery.replays(v.damage(t), v.loads(t), controls, **given)
+
+
+#: What is dark in each zone while each repair goes on, and what a site of thirteen units may send there.
+ZONES = f"""{v.TRAJECTORY},
+dark as (select s.scenario, s.step_index, s.start_h, s.end_h, d.node % 3 as site, sum(p.kw) / 1000 as mw, sum(p.critical_kw) / 1000 as critical_mw
+  from trajectory s join trajectory d on d.scenario = s.scenario and d.step_index >= s.step_index join node_power p on p.node = d.node group by all),
+cases as (select * from (values ('no_export', 0, -1, 0.0), ('ideal', 1, -1, 0.0), ('ideal_reserve_44h', 1, -1, 44.0), ('path_0_cut', 1, 0, 0.0)) a(treatment, export, cut, reserve), (values ('nominal', 26.0), ('design', 30.0)) b(demand, internal)),
+sent as (select scenario, step_index, site, treatment, demand, mw, critical_mw, end_h - start_h as span, greatest(0.0, end_h - greatest(start_h, 0.25)) as hours,
+  case when export = 1 and site <> cut then greatest(0.0, least(mw, 5.0, 12 * 2.725 - internal)) else 0.0 end as power, 1440.0 - 30.0 * reserve as fuel from dark, cases),
+used as (select *, greatest(0.0, least(power * hours, fuel - coalesce(sum(power * hours) over (partition by scenario, treatment, demand, site order by step_index rows between unbounded preceding and 1 preceding), 0.0))) as mwh from sent),
+replayed as (select scenario, demand, treatment, sum(mw * span) - sum(mwh) as ens_mwh, sum(critical_mw * span) - sum(case when power > 0 then least(critical_mw, power) * mwh / power else 0.0 end) as critical_ens_mwh, sum(mwh) as export_mwh from used group by all)"""
+
+
+@query("X05 X06 X08 X17 (without chance)", f"with {ZONES} select scenario, demand, treatment, round(ens_mwh, 8) as ens_mwh, round(critical_ens_mwh, 8) as critical_ens_mwh, round(export_mwh, 8) as export_mwh from replayed")
+def export_replay(t: Tables) -> DataFrame:
+    """Each scenario's repairs with units that never fail, under two demands and four treatments."""
+    x = runs(t, FIXED, demands=("nominal", "design"))
+    return x.select("scenario", "demand", "treatment", *(R(k, 8).alias(k) for k in ("ens_mwh", "critical_ens_mwh", "export_mwh")))
+
+
+@query("X08 X24 (timeline without support)", f"""with {v.TRAJECTORY} select scenario, round(start_h, 6) as start_h, round(end_h, 6) as end_h, round(unserved_mw, 6) as unserved_mw, round(critical_mw, 6) as critical_mw, round(cum_ens, 8) as cum_ens_mwh from trajectory
+union all select scenario, round(max(end_h), 6), round(max(end_h), 6), 0.0, 0.0, round(max(cum_ens), 8) from trajectory group by scenario""")
+def replay_timeline(t: Tables) -> DataFrame:
+    """What is dark while each repair goes on, and the energy that adds up; the last row is when nothing is. Units that
+    never fail cut the first repair in two where they become ready, so pieces with one rate are joined."""
+    x = runs(t, {"off": Control(export=False, ideal=True)}).select("scenario", F.posexplode("timeline").alias("i", "x")).select("scenario", "i", "x.*")
+    run = W.partitionBy("scenario").orderBy("i")
+    last = F.col("start_h") == F.col("end_h")
+    fresh = F.coalesce((F.col("unserved_mw") != F.lag("unserved_mw").over(run)) | last, F.lit(True))
+    x = x.withColumn("part", F.sum(fresh.cast("int")).over(run))
+    out = x.groupBy("scenario", "part").agg(F.min("start_h").alias("start_h"), F.max("end_h").alias("end_h"), F.first("unserved_mw").alias("unserved_mw"), F.first("critical_mw").alias("critical_mw"), F.max("cum_ens_mwh").alias("cum_ens_mwh"))
+    return out.select("scenario", *(R(k, 6).alias(k) for k in ("start_h", "end_h", "unserved_mw", "critical_mw")), R("cum_ens_mwh", 8).alias("cum_ens_mwh"))
+
+
+@query("X08 (energy by load class)", f"""with {v.TRAJECTORY}, rolled as (select node, is_critical, voll, sum(kw) / 1000 as mw from loads group by all)
+select s.scenario, s.node, is_critical as critical, voll as value, round(mw * end_h, 8) as ens_mwh from trajectory s join rolled r on r.node = s.node""")
+def replay_classes(t: Tables) -> DataFrame:
+    """The energy that each class of loads lacks until its node is repaired."""
+    x = runs(t, {"off": OFF}).select("scenario", F.explode("classes").alias("x")).select("scenario", "x.*")
+    return x.select("scenario", F.col("node").cast("long").alias("node"), "critical", "value", R("ens_mwh", 8).alias("ens_mwh"))
+
+
+@query("X08 (repairs)", f"with {v.TRAJECTORY} select scenario, cast(step_index as integer) as place, node, round(start_h, 6) as start_h, round(end_h, 6) as end_h from trajectory")
+def replay_order(t: Tables) -> DataFrame:
+    x = runs(t, {"on": Control()}).select("scenario", F.explode("order").alias("x")).select("scenario", "x.*")
+    return x.select("scenario", "place", F.col("edge").cast("long").alias("node"), R("start_h", 6).alias("start_h"), R("end_h", 6).alias("end_h"))
+
+
+@query("X07 X08 X17 (all treatments and replicates)")
+def hurricane_grid(t: Tables) -> DataFrame:
+    """Scenarios, two demands, five treatments, two equipment histories; the ideal one with the first history only."""
+    x = runs(t, GRID, demands=("nominal", "design"), replicates=2)
+    return x.select("scenario", "demand", "treatment", "replicate", "order_hash", "repairs", "empty_sites", *(R(k, 6).alias(k) for k in recovery.TOTALS))
+
+
+@query("X15 X17 (pairs of the grid)", f"""with {v.DAMAGE}, {v.LOADS}, s as (select distinct scenario from damage where node in (select node from loads)),
+c as (select * from (values ('private_no_export', 2), ('reserve_00h', 2), ('reserve_44h', 2), ('path_1_disabled', 2), ('ideal_zero_reserve', 1)) x(treatment, n)), d as (select unnest(['nominal', 'design']) as demand)
+select scenario, demand, treatment, cast(n as bigint) as replicates, 0.0::double as avoided_less_export, 0.0::double as fuel_residual, true as same_order, true as critical_not_worse, true as reserve_kept from s, c, d""")
+def hurricane_pairs(t: Tables) -> DataFrame:
+    """Every run against the run without export of its scenario, demand and replicate: export avoids what it sends, in
+    the same order of repairs, at no cost to critical loads, and leaves the reserve."""
+    x = hurricane_grid(t)
+    pair = W.partitionBy("scenario", "demand", "replicate")
+    off = lambda k: F.max(F.when(F.col("treatment") == "private_no_export", F.col(k))).over(pair)
+    kept = F.when(F.col("treatment") == "reserve_44h", F.col("least_backup_h") >= 44 - 1e-6).otherwise(F.col("least_backup_h") >= -1e-9)
+    x = x.withColumns({"gap": F.abs(off("ens_mwh") - F.col("ens_mwh") - F.col("export_mwh")), "same": F.col("order_hash") == off("order_hash"), "fair": F.col("critical_ens_mwh") <= off("critical_ens_mwh") + 1e-6, "kept": kept})
+    return x.groupBy("scenario", "demand", "treatment").agg(
+        F.count("*").alias("replicates"),
+        R(F.max("gap"), 4).alias("avoided_less_export"),
+        R(F.max(F.greatest("fuel_residual_mwh", "support_residual_mwh")), 4).alias("fuel_residual"),
+        F.bool_and("same").alias("same_order"),
+        F.bool_and("fair").alias("critical_not_worse"),
+        F.bool_and("kept").alias("reserve_kept"),
+    )
+
+
+_STEPS = " + ".join(f"(u > {s!r})::int" for s in stats.poisson_steps())
+
+
+@query("X17 ST01 (scenario means)", f"""with {ZONES}, off as (select scenario, demand, ens_mwh as off from replayed where treatment = 'no_export'), met as (select r.*, off from replayed r join off using (scenario, demand)),
+whole as (select demand, treatment, count(*) as scenarios, round(avg(ens_mwh), 4) as mean, round(100 * (avg(off) - avg(ens_mwh)) / avg(off), 5) as aggregate_reduction_pct, round(avg(100 * (off - ens_mwh) / nullif(off, 0)), 5) as mean_scenario_reduction_pct from met group by all),
+draws as (select demand, treatment, draw, ens_mwh, {uniform_sql("'3|' || scenario || '|' || draw")} as u from met, range(1, 401) d(draw)),
+means as (select demand, treatment, draw, sum(ens_mwh * ({_STEPS})) / sum({_STEPS}) as m from draws group by all)
+select whole.*, low, high from whole join (select demand, treatment, round(quantile_cont(m, 0.025), 4) as low, round(quantile_cont(m, 0.975), 4) as high from means group by all) using (demand, treatment)""")
+def hurricane_aggregate(t: Tables) -> DataFrame:
+    """Means over scenarios with an interval by resampling scenarios, and reductions of means and means of reductions."""
+    x = recovery.treatment_effects(runs(t, FIXED, demands=("nominal", "design")), "no_export")
+    whole = x.groupBy("demand", "treatment").agg(F.count("*").alias("scenarios"), R(F.avg("ens_mwh"), 4).alias("mean"), R(100 * (F.avg("ens_mwh_off") - F.avg("ens_mwh")) / F.avg("ens_mwh_off"), 5).alias("aggregate_reduction_pct"), R(F.avg("ens_mwh_reduction_pct"), 5).alias("mean_scenario_reduction_pct"))
+    spans = stats.poisson_bootstrap(x, ["demand", "treatment"], "ens_mwh", F.col("scenario"), 400, 3)
+    return whole.join(spans.select("demand", "treatment", R("low", 4).alias("low"), R("high", 4).alias("high")), ["demand", "treatment"])
+
+
+@query("X13 X18 (repairs that look at support)")
+def responsive_repairs(t: Tables) -> DataFrame:
+    """No export, export in the fixed order, and export with repairs chosen by what support can't serve."""
+    modes = {"no_export": OFF, "fixed_export": Control(), "responsive_export": Control(responsive=True)}
+    x = runs(t, modes, demands=("nominal", "design"))
+    return x.select("scenario", "demand", "treatment", "order_hash", "repairs", *(R(k, 6).alias(k) for k in ("ens_mwh", "critical_ens_mwh", "export_mwh", "hours")))
+
+
+@query("X18 (first choices)", f"""with {v.LOADS}, {v.DAMAGE}, {v.NODE_POWER}, m as (select scenario, node, kw / 1000 as mw, repair_h from damage join node_power using (node)),
+best as (select scenario, node, row_number() over (partition by scenario order by mw / greatest(repair_h, 0.1) desc, repair_h, node) as i from m)
+select scenario, node from best where i = 1""")
+def responsive_first_choice(t: Tables) -> DataFrame:
+    """Without support, the responsive choice is the one that restores most power for each hour."""
+    x = runs(t, {"off": Control(export=False, responsive=True)})
+    return x.select("scenario", F.get("order", F.lit(0))["edge"].cast("long").alias("node"))

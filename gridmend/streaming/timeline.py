@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.simulation import Site, State, dispatch_interval
+from ..operators.service import Block, Site, State, dispatch
 
 
 def events_stream(spark, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -60,10 +60,10 @@ def site_fuel(calls: DataFrame, site: Site = Site()) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = State(*state.get) if state.exists else State(site.fuel_mwh, site.ups_mwh, 1e12)
-        calls_ = pd.concat(list(frames)).sort_values(["start_h", "end_h"])
+        calls_ = pd.concat(list(frames)).sort_values(["start_h", "request_mw"])
         exported, last = 0.0, 0.0
         for r in calls_.itertuples(index=False):
-            for p in dispatch_interval(site, now, r.start_h, r.end_h, site.units, True, r.request_mw):
+            for p in dispatch(site, now, Block(r.start_h, r.end_h, site.it_mw, site.aux_mw, site.units, request=r.request_mw, rule="shared")):
                 exported += p["export_mw"] * (p["end_h"] - p["start_h"])
             last = r.end_h
         state.update((now.fuel, now.ups, now.allowance))

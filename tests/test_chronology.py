@@ -1,0 +1,207 @@
+"""Site service and the annual chronology against values worked out by hand."""
+
+from dataclasses import replace
+
+import numpy as np
+import pytest
+
+from gridmend.operators import service
+from gridmend.operators.chronology import Bank, Rules, Storm, Sum, Year, shares, years
+from gridmend.operators.service import Block, Site, State
+
+SITE = Site()
+PLAIN = Rules(failures=False, refuel=False)
+NONE = ((0.0, 0.0),) * 3
+
+
+def storm(end=2.0, scale=1.0):
+    return Storm(((1.0, 30.0, 15.0, ((10.0 * scale, 20.0 * scale), (0.0, 0.0), (0.0, 0.0))), (end, 0.0, 0.0, NONE)))
+
+
+def year(capacity=200.0, steps=16, rules=PLAIN, site=SITE, keep=False, **given):
+    capacity = np.full(steps, capacity) if np.isscalar(capacity) else np.asarray(capacity, float)
+    made = Year(np.full(len(capacity), 100.0), np.full(len(capacity), 20.0), capacity, site, rules, **given)
+    return (made.run(keep), made) if keep else made.run()
+
+
+def total(rows, k):
+    return sum(r[k] * (r["end_h"] - r["start_h"]) for r in rows)
+
+
+# service
+
+
+def test_an_island_never_charges_its_batteries():
+    state = State(500.0, 0.0)
+    rows = service.dispatch(SITE, state, Block(0, 1, 15.0, 5.0, 13, charge=2.0))
+    assert total(rows, "charge_mw") == 0 and total(rows, "burn_mw") == pytest.approx(20.0) and state.ups == 0
+
+
+def test_the_grids_offer_serves_it_then_auxiliaries_then_batteries():
+    state = State(500.0, 1.0)
+    (row, *_) = service.dispatch(SITE, state, Block(0, 1, 20.0, 6.0, 13, offer=27.0, charge=2.0))
+    assert (row["grid_it_mw"], row["grid_aux_mw"], row["charge_mw"], row["burn_mw"]) == (20.0, 6.0, 1.0, 0.0)
+    (row, *_) = service.dispatch(SITE, State(500.0, 0.0), Block(0, 1, 20.0, 6.0, 13, offer=23.0, charge=2.0))
+    assert (row["grid_aux_mw"], row["aux_unserved_mw"], row["charge_mw"]) == (3.0, 3.0, 0.0)
+
+
+def test_batteries_bridge_it_until_they_are_empty():
+    rows = service.dispatch(SITE, State(0.0, 2.0), Block(0, 1, 20.0, 6.0, 13))
+    assert total(rows, "ups_mw") == pytest.approx(2.0) and total(rows, "it_unserved_mw") == pytest.approx(18.0) and total(rows, "aux_unserved_mw") == pytest.approx(6.0)
+    assert [round(r["end_h"], 6) for r in rows] == [0.05, 0.1, 0.25, 1.0]
+
+
+def test_export_keeps_the_reserve_that_falls_with_time():
+    site = replace(SITE, authorised_after_h=0.0, reserve_from_h=0.0, reserve_until_h=10.0, reserve_mw=26.0)
+    state = State(26 * 10 + 7.0, site.ups_mwh)
+    rows = service.dispatch(site, state, Block(0, 12, 20.0, 6.0, 13, request=5.0, rule="reserve"))
+    # 7 MWh are free; as the floor falls by what the site itself burns, then none is until the reserve's end
+    before = [r for r in rows if r["end_h"] <= 10]
+    assert total(before, "export_mw") == pytest.approx(7.0) and all(r["fuel_mwh"] >= r["floor_mwh"] - 1e-6 for r in rows)
+    assert state.fuel == 0.0 and total(rows, "it_unserved_mw") > 0
+    under = service.dispatch(site, State(100.0, 0.0), Block(0, 1, 20.0, 6.0, 13, request=5.0, rule="reserve"))
+    assert total(under, "export_mw") == 0
+
+
+def test_deliveries_are_accepted_as_far_as_they_fit():
+    state = State(1400.0, 0.0)
+    (row, *_) = service.dispatch(SITE, state, Block(0, 1, 20.0, 6.0, 13, offer=26.0, delivery=100.0))
+    assert (row["accepted_mwh"], row["rejected_mwh"], state.fuel) == (40.0, 60.0, 1440.0)
+
+
+@pytest.mark.parametrize("given", [{"rule": "all"}, {"it": -1.0}, {"end": 0.0}])
+def test_blocks_must_make_sense(given):
+    with pytest.raises(ValueError):
+        replace(Block(0, 1, 20.0, 6.0, 13), **given)
+
+
+def test_private_interval_recharges_to_its_target_only():
+    state = State(1440.0, 0.0)
+    rows = service.private_interval(SITE, state, Block(0, 4, 20.0, 6.0, 0, charge=9.0), 1.0)
+    assert state.ups == pytest.approx(0.9 * SITE.ups_mwh) and max(r["charge_mw"] for r in rows) == pytest.approx(1.8)
+    rows = service.private_interval(SITE, state, Block(0, 1, 20.0, 6.0, 13, charge=9.0), 0.25)
+    assert total(rows, "grid_it_mw") == pytest.approx(5.0) and total(rows, "gen_it_mw") == pytest.approx(15.0) and total(rows, "charge_mw") == 0
+
+
+# the year
+
+
+def test_storm_export_and_energies():
+    r, made = year(storm=storm(), keep=True)
+    assert r["export_mwh"] == pytest.approx(3.75) and r["community_ens_mwh"] == pytest.approx(26.25) and r["critical_ens_mwh"] == pytest.approx(11.25)
+    assert r["fuel_end_mwh"] == pytest.approx(4320 - 3.75) and r["it_unserved_mwh"] == 0
+    assert all(p["grid_it_mw"] > 0 for p in made.pieces if p["export_mw"] > 0)
+
+
+def test_a_full_reserve_is_as_no_export():
+    a, b = year(storm=storm(), export=False), year(storm=storm(), rules=replace(PLAIN, reserve_h=48.0))
+    assert a["community_ens_mwh"] == b["community_ens_mwh"] and b["export_mwh"] == 0
+
+
+def test_a_repair_within_a_quarter_hour():
+    assert year(storm=storm(2.13))["community_ens_mwh"] == pytest.approx(30 * 1.13 - 5 * 0.88)
+
+
+def test_export_stops_at_the_reserve():
+    r = year(storm=storm(), fuel=1321.0, rules=replace(PLAIN, reserve_h=44.0))
+    assert r["export_mwh"] == pytest.approx(1.0) and r["minimum_onset_fuel_mwh"] == 1321.0 and r["minimum_fuel_after_export_mwh"] == pytest.approx(1320.0)
+    assert year(storm=storm(), fuel=1200.0, rules=replace(PLAIN, reserve_h=44.0))["export_mwh"] == 0
+
+
+def test_design_demand_leaves_less_to_send():
+    r = year(storm=storm(), site=replace(SITE, aux_mw=10.0))
+    assert r["maximum_site_export_mw"] == pytest.approx(2.7) and r["export_mwh"] == pytest.approx(2.7 * 0.75)
+
+
+def test_supply_and_damage_arent_counted_twice():
+    r = year(120.0, storm=storm(), export=False)
+    assert r["community_ens_mwh"] == pytest.approx(3 * shares(100.0, 20.0, 78.0, 120.0)[0] + shares(70.0, 5.0, 78.0, 120.0)[0] + 30.0)
+    r = year(120.0, storm=storm())
+    assert r["export_mwh"] == 0 and r["gen_it_mwh"] > 0
+
+
+def test_fuel_comes_after_the_storm():
+    r = year(steps=240, storm=storm(), rules=replace(PLAIN, post_event_h=2.0))
+    assert r["fuel_end_mwh"] == pytest.approx(4320.0) and r["accepted_mwh"] == pytest.approx(3.75)
+
+
+def test_no_shortage_no_backup():
+    r = year(steps=96)
+    assert r["automatic_backup_calls"] == 0 and r["gen_it_mwh"] == 0 and r["fuel_start_mwh"] == r["fuel_end_mwh"]
+
+
+def test_backup_is_ready_after_three_minutes():
+    r, made = year(0.0, 4, keep=True)
+    assert min(p["start_h"] for p in made.pieces if p["gen_it_mw"] > 0) == pytest.approx(0.05)
+    assert r["ups_mwh"] == pytest.approx(3 * 20 * 0.05) and r["aux_unserved_mwh"] == pytest.approx(3 * 6 * 0.05) and r["it_unserved_mwh"] == pytest.approx(0.0)
+
+
+def test_what_the_grid_gives_is_the_same_with_private_backup():
+    capacity = [178, 177.9, 150, 90, 0, 200]
+    r, parts = year(capacity), [shares(100.0, 20.0, 78.0, c) for c in capacity]
+    for k, i in (("community_ens_mwh", 0), ("critical_ens_mwh", 1), ("dc_forced_grid_curtailment_mwh", 2)):
+        assert r[k] == pytest.approx(sum(p[i] for p in parts) * 0.25)
+
+
+def test_one_sites_outage_leaves_the_others_alone():
+    utility = np.ones((4, 3), bool)
+    utility[:, 0] = False
+    r, made = year(200.0, 4, keep=True, utility=utility)
+    assert r["automatic_backup_calls"] == 1 and {p["site"] for p in made.pieces if p["gen_it_mw"] > 0} == {0}
+
+
+def test_coordinated_transfer_waits_for_its_response_time():
+    r, made = year(177.0, 4, keep=True, coordinated=True)
+    assert r["coordinated_transfer_site_hours"] == pytest.approx(3 * 0.75)
+    assert any(p["gen_it_mw"] > 0 for p in made.pieces if 0.05 <= p["start_h"] < 0.25)
+    assert year(150.0, 4, coordinated=True)["community_ens_mwh"] == pytest.approx(year(150.0, 4)["community_ens_mwh"] / 4)
+
+
+def test_without_fuel_generators_serve_nothing():
+    r = year(0.0, 4, fuel=0.0)
+    assert r["gen_it_mwh"] == 0 and r["it_unserved_mwh"] == pytest.approx(60 - 10) and r["aux_unserved_mwh"] == pytest.approx(18.0)
+    r = year(0.0, 4, fuel=1.0)
+    assert r["fuel_end_mwh"] == pytest.approx(0.0, abs=1e-6) and r["gen_it_mwh"] + r["gen_aux_mwh"] == pytest.approx(3.0)
+
+
+@pytest.mark.parametrize("coordinated", [False, True])
+def test_balances_close_with_failures_and_refuelling(coordinated):
+    capacity = np.random.default_rng(99).uniform(0, 210, 1200)
+    r = year(capacity, rules=Rules(mttf_h=20.0, lead_h=5.0), coordinated=coordinated, observe_from=48.0)
+    assert r["residual_mwh"] < 1e-7 and r["reporting_hours"] == 252.0 and r["accepted_mwh"] > 0
+    assert r == year(capacity, rules=Rules(mttf_h=20.0, lead_h=5.0), coordinated=coordinated, observe_from=48.0)
+
+
+def test_a_small_export_wears_units():
+    r = year(storm=storm(scale=1e-6), rules=Rules(refuel=False, mttf_h=0.3, fail_to_start=0.0))
+    assert r["export_mwh"] > 0 and r["residual_mwh"] < 1e-7
+
+
+def test_units_wear_only_under_load():
+    bank = Bank(3, Rules(available=1.0, fail_to_start=0.0), lambda *key: 0.5)
+    bank.call(0.0)
+    assert not bank.running(0.0).any() and bank.running(0.05).all() and bank.next_change(0.0, True) == pytest.approx(0.05)
+    life = bank.life.copy()
+    assert bank.next_change(0.1, True) == pytest.approx(0.1 + life[0]) and bank.next_change(0.1, False) == np.inf
+    bank.wear(0.1, life[0])
+    bank.settle(1.0)
+    assert not bank.running(1.0).any() and (bank.back > 1.0).all()
+    back = bank.back.copy()
+    bank.settle(float(back.max()))
+    assert bank.ready == pytest.approx(back.max() + Rules().accept_h)
+
+
+def test_small_energies_arent_lost_in_large_sums():
+    s = Sum()
+    for x in [1e16, *[1.0] * 1000, -1e16]:
+        s += x
+    assert float(s) == 1000.0
+
+
+def test_years_are_paired(spark):
+    rows = [(k, t, 100.0, 20.0, 200.0 - (t % 7) * 20 * k) for k in range(3) for t in range(96)]
+    df = spark.createDataFrame(rows, "sample int, t int, total double, critical double, capacity double")
+    storms = spark.createDataFrame([(1, 4.0, 30.0, 15.0, [10.0, 0.0, 0.0], [20.0, 0.0, 0.0]), (1, 6.0, 0.0, 0.0, [0.0] * 3, [0.0] * 3)], "sample int, from_h double, cut double, critical_cut double, ask_critical array<double>, ask_other array<double>")
+    got = {(r["sample"], r.control): r for r in years(df, {"off": {"export": False}, "on": {}}, storms=storms).collect()}
+    assert len(got) == 6 and got[0, "off"].community_ens_mwh == 0 and got[2, "on"].gen_it_mwh > 0
+    assert got[1, "off"].disconnected_community_ens_mwh > 0 and max(r.residual_mwh for r in got.values()) < 1e-6
