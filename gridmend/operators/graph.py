@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='gridmend-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` by way of the shared folder, so that plans don't grow with the rounds of a loop."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .scratch import cut, erase, small
 
 
 def normal_edges(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -41,40 +23,42 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), nod
     """
     keys = list(keys)
     both = normal_edges(edges, keys)
-    both = _cut(both.unionByName(both.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = _cut(nodes.select(*keys, F.col(node).alias("n"), F.col(node).alias("label")).distinct())
+    both = cut(both.unionByName(both.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "graph-edges")
+    now = cut(nodes.select(*keys, F.col(node).alias("n"), F.col(node).alias("label")).distinct(), "graph-labels")
     while True:
         there = now.select(*keys, F.col("n").alias("b"), F.col("label").alias("near"))
         least = both.join(there, [*keys, "b"]).groupBy(*keys, "a").agg(F.min("near").alias("near"))
         hooked = now.join(least.withColumnRenamed("a", "n"), [*keys, "n"], "left").select(*keys, "n", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        hooked = _cut(hooked)
+        hooked = cut(hooked, "graph-labels")
         target = hooked.select(*keys, F.col("n").alias("label"), F.col("label").alias("jump"))
-        new = _cut(hooked.join(target, [*keys, "label"], "left").select(*keys, "n", F.least("label", F.coalesce("jump", "label")).alias("label"), "old"))
+        new = cut(hooked.join(target, [*keys, "label"], "left").select(*keys, "n", F.least("label", F.coalesce("jump", "label")).alias("label"), "old"), "graph-labels")
         changed = new.where("label <> old").limit(1).count()
+        erase(now, hooked)
         now = new.drop("old")
         if not changed:
+            erase(both)
             return now.select(*keys, F.col("n").alias(node), F.col("label").alias("component"))
 
 
 def reachable(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, node) reachable from ``sources`` (keys, node) over edges (keys, a, b), level by level."""
+    """(keys, node) reachable from ``sources`` (keys, node) over edges (keys, a, b): the components that hold a source.
+
+    So rounds grow with the logarithm of a feeder's length and not with its levels.
+    """
     keys = list(keys)
-    both = normal_edges(edges, keys)
-    both = _cut(both.unionByName(both.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    seen = front = _cut(sources.select(*keys, "node").distinct())
-    while True:
-        step = both.join(front.withColumnRenamed("node", "a"), [*keys, "a"]).select(*keys, F.col("b").alias("node")).distinct()
-        front = _cut(step.join(seen, [*keys, "node"], "left_anti"))
-        if not front.limit(1).count():
-            return seen
-        seen = _cut(seen.unionByName(front))
+    ends = edges.select(*keys, F.col("a").alias("node")).unionByName(edges.select(*keys, F.col("b").alias("node")))
+    first = sources.select(*keys, "node").distinct()
+    found = components(ends.unionByName(first).distinct(), edges, keys)
+    live = found.join(first, [*keys, "node"], "left_semi").select(*keys, "component").distinct()
+    return found.join(live, [*keys, "component"], "left_semi").select(*keys, "node")
 
 
 def blocked_pairs(edges: DataFrame, damaged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Edges left in a simple graph, where any damaged record between two nodes blocks all of that pair."""
     pair = edges.select("edge_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     hit = damaged.join(pair, "edge_id").select(*keys, "a", "b").distinct()
-    every = damaged.select(*keys).distinct().crossJoin(F.broadcast(pair.select("a", "b").distinct())) if keys else pair.select("a", "b").distinct()  # one case x the network
+    # each case has a network of its own, so the result has a row for each case and pair that is left
+    every = pair.select("a", "b").distinct().crossJoin(small(damaged.select(*keys).distinct())) if keys else pair.select("a", "b").distinct()
     return every.join(hit, [*keys, "a", "b"], "left_anti")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalar
 from ..functions.draws import normal, poisson, uniform
+from .scratch import cut, erase, small
 
 #: Fixed values of the fragility models. Substation states: lognormal (mu, sigma) in miles an hour, in rising order.
 MPH = 2.23694
@@ -39,7 +40,7 @@ def max_wind(points: DataFrame, tracks: DataFrame, case: list[str]) -> DataFrame
     """
     eye = F.struct("time_index", "lat", "lon", "speed", "rmax_km")
     storms = tracks.groupBy(*case).agg(F.array_sort(F.collect_list(eye)).alias("track"))
-    met = points.crossJoin(storms)  # every point is exposed to every storm: that is the result's size
+    met = points.crossJoin(small(storms, 10_000))  # every point is exposed to every storm: that is the result's size
 
     def wind(e: Column) -> Column:
         km = scalar.haversine_km(F.col("lat"), F.col("lon"), e["lat"], e["lon"])
@@ -171,15 +172,26 @@ def sampled_scenarios(grid: DataFrame, edges: DataFrame, power: DataFrame, seed:
     """(scenario, attempt, edge_id, node) of damaged edges of each scenario.
 
     ``grid``: scenario, lat, lon, shift_km, intensity, base_mean, historical; ``edges``: edge_id, node, lat, lon, kind,
-    length_km; ``power``: node, kw. A draw that leaves less than 5 MW dark is repeated with more edges, three times at
-    most: all attempts are drawn at once, and the first that does it is taken, so nothing waits for anything.
+    length_km; ``power``: node, kw. A draw that leaves less than LEAST_MW dark is repeated with more edges, RETRIES times
+    at most; only scenarios that need it are drawn again. Every edge has a weight in every scenario, since the weight has
+    a floor that no distance undercuts: edges x scenarios is the problem's size.
     """
-    asked = damage_targets(grid, seed).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(RETRIES))))
-    asked = asked.select("scenario", "attempt", (F.col("target") + MORE_EDGES * F.col("attempt")).alias("n"), F.col("lat").alias("eye_lat"), (F.col("lon") + F.col("shift_km") / 95.0).alias("eye_lon"), (F.col("intensity") + MORE_INTENSITY * F.greatest(F.lit(0), F.col("attempt") - 1)).alias("strength"))
-    met = edges.crossJoin(F.broadcast(asked))  # every edge has a weight in every draw: that is the problem's size
-    km = scalar.haversine_km(F.col("eye_lat"), F.col("eye_lon"), F.col("lat"), F.col("lon"), "atan")
-    weighed = met.withColumn("weight", edge_weight(km, F.col("kind"), F.col("length_km"), F.col("strength")))
-    picked = weighted_sample(weighed, ["scenario", "attempt"], "weight", "edge_id", F.col("n"), seed).select("scenario", "attempt", "edge_id", "node")
-    dark = picked.select("scenario", "attempt", "node").distinct().join(power, "node").groupBy("scenario", "attempt").agg((F.sum("kw") / 1000).alias("mw"))
-    taken = dark.groupBy("scenario").agg(F.coalesce(F.min(F.when(F.col("mw") >= LEAST_MW, F.col("attempt"))), F.lit(RETRIES)).alias("attempt"))
-    return picked.join(taken, ["scenario", "attempt"])
+    left = cut(damage_targets(grid, seed), "scenario-targets")
+    taken = None
+    for attempt in range(RETRIES + 1):
+        asked = left.select("scenario", (F.col("target") + MORE_EDGES * attempt).alias("n"), F.col("lat").alias("eye_lat"), (F.col("lon") + F.col("shift_km") / 95.0).alias("eye_lon"), (F.col("intensity") + MORE_INTENSITY * max(0, attempt - 1)).alias("strength"))
+        met = edges.crossJoin(small(asked)).withColumn("attempt", F.lit(attempt))
+        km = scalar.haversine_km(F.col("eye_lat"), F.col("eye_lon"), F.col("lat"), F.col("lon"), "atan")
+        weighed = met.withColumn("weight", edge_weight(km, F.col("kind"), F.col("length_km"), F.col("strength")))
+        picked = cut(weighted_sample(weighed, ["scenario", "attempt"], "weight", "edge_id", F.col("n"), seed).select("scenario", "attempt", "edge_id", "node"), "scenario-edges")
+        if attempt < RETRIES:
+            dark = picked.select("scenario", "node").distinct().join(power, "node").groupBy("scenario").agg((F.sum("kw") / 1000).alias("mw")).where(F.col("mw") >= LEAST_MW)
+            done = cut(dark.select("scenario"), "scenario-done")
+            picked = picked.join(done, "scenario", "left_semi")
+            rest = cut(left.join(done, "scenario", "left_anti"), "scenario-targets")
+            erase(left)
+            left = rest
+        taken = picked if taken is None else taken.unionByName(picked)
+        if not left.limit(1).count():
+            break
+    return taken

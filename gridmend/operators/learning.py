@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .relational import scanned
+
 
 def dot(weights: Sequence[float], x: Column) -> Column:
     return sum((F.lit(float(w)) * F.get(x, F.lit(i)) for i, w in enumerate(weights)), F.lit(0.0))
@@ -59,22 +61,24 @@ def lookahead_labels(costs: DataFrame, by: Sequence[str], cost: str, id_: str) -
     return costs.groupBy(*by).agg(best["i"].alias("label"), best["c"].alias("best"), (F.avg(cost) - F.min(cost)).alias("spread"))
 
 
-def ranking_metrics(states: DataFrame, scores: str = "scores", costs: str = "costs", ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
-    """Over states with arrays of scores and costs: how often the cheapest is among the first k, and the mean regret."""
-    pairs = F.zip_with(scores, costs, lambda s, c: F.struct((-s).alias("s"), c.alias("c")))
-    ranked = F.transform(F.array_sort(pairs), lambda x: x["c"])
-    place = F.array_position(ranked, F.array_min(costs))
-    regret = F.get(ranked, F.lit(0)) - F.array_min(costs)
-    return states.select(place.alias("place"), regret.alias("regret")).agg(F.count("*").alias("n"), *(F.avg((F.col("place") <= k).cast("double")).alias(f"top{k}") for k in ks), F.avg("regret").alias("regret"))
+def ranking_metrics(candidates: DataFrame, by: Sequence[str], score: str, cost: str, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+    """Over states of scored candidates: how often the cheapest is among the first k, and the mean regret of the first.
+    Among equal scores the cheaper candidate comes first. States of any size: a window, no arrays."""
+    state = W.partitionBy(*by)
+    ranked = candidates.select(*by, cost, F.row_number().over(state.orderBy(F.desc(score), cost)).alias("place"), F.min(cost).over(state).alias("least"))
+    each = ranked.groupBy(*by).agg(F.min(F.when(F.col(cost) == F.col("least"), F.col("place"))).alias("place"), (F.min(F.when(F.col("place") == 1, F.col(cost))) - F.min("least")).alias("regret"))
+    return each.agg(F.count("*").alias("n"), *(F.avg((F.col("place") <= k).cast("double")).alias(f"top{k}") for k in ks), F.avg("regret").alias("regret"))
 
 
-def discounted_advantages(rewards: Column, values: Column, gamma: float = 0.99, lam: float = 0.95) -> Column:
-    """Generalised advantages of an episode's arrays, by a backward fold."""
-    steps = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v")))
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("after"), F.array().cast("array<double>").alias("out"))
+def discounted_advantages(steps: DataFrame, by: Sequence[str], order: str, reward: str, value: str, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
+    """(by, order, advantage): generalised advantages, by a scan from each episode's last step to its first."""
+    rows = steps.select(*by, order, F.col(reward).cast("double").alias("gm_r"), F.col(value).cast("double").alias("gm_v"))
+    n = len(by) + 1
 
-    def fold(a: Column, x: Column) -> Column:
-        run = x["r"] + gamma * a["after"] - x["v"] + gamma * lam * a["run"]
-        return F.struct(run.alias("run"), x["v"].alias("after"), F.array_prepend(a["out"], run).alias("out"))
+    def step(state: list, r: tuple) -> tuple:
+        state[0] = r[n] + gamma * state[1] - r[n + 1] + gamma * lam * state[0]
+        state[1] = r[n + 1]
+        return (*r[:n], state[0])
 
-    return F.aggregate(steps, start, fold, lambda a: a["out"])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:n])
+    return scanned(rows, by, [F.desc(order)], lambda: [0.0, 0.0], step, f"{fields}, advantage double")

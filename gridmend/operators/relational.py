@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,10 +16,15 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def conflicting(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys whose rows differ elsewhere, with ``versions``; null values count as values."""
+    """Keys whose rows differ elsewhere, with the number of ``rows``; null values count as values.
+
+    Rows are compared by two 64-bit hashes, whose least and largest are combined before the shuffle.
+    """
     rest = [c for c in df.columns if c not in keys]
-    whole = F.struct(*(F.struct(F.col(c).isNull().alias("null"), F.col(c).alias("value")).alias(c) for c in rest))
-    return df.groupBy(*keys).agg(F.count_distinct(F.to_json(whole)).alias("versions")).where("versions > 1")
+    marks = [F.xxhash64(F.lit(salt), *(x for c in rest for x in (F.col(c).isNull(), F.col(c)))) for salt in (1, 2)]
+    spans = [f(m).alias(f"gm_{i}{k}") for i, m in enumerate(marks) for k, f in (("low", F.min), ("high", F.max))]
+    found = df.groupBy(*keys).agg(F.count("*").alias("rows"), *spans)
+    return found.where("gm_0low <> gm_0high or gm_1low <> gm_1high").select(*keys, "rows")
 
 
 def collapsed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,17 +89,44 @@ def waterfall(needs: DataFrame, by: Sequence[str], need: str, cap: Column, order
     return needs.withColumn(out, F.greatest(F.lit(0.0), F.least(F.col(need), cap - before)))
 
 
+def scanned(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], start: Callable[[], list], step: Callable[[list, tuple], tuple | None], schema: str) -> DataFrame:
+    """What ``step`` makes of each row, in order, with a state of the row's group; None drops the row.
+
+    For rules that depend on all rows before. Groups are sorted with spilling and stream through: none is gathered.
+    """
+    places = [rows.columns.index(c) for c in by]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        state: list = []
+        names = [f.strip().split(" ")[0] for f in schema.split(", ")]
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False, name=None):
+                now = tuple(r[i] for i in places)
+                if now != key:
+                    key, state = now, start()
+                got = step(state, r)
+                if got is not None:
+                    out.append(got)
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
 def take_under_cap(items: DataFrame, by: Sequence[str], size: str, cap: float, order: Sequence[str], least: int = 0) -> DataFrame:
     """Items that fit under the cap in order, oversize ones skipped; the first ``least`` are taken anyway."""
-    row = F.struct(*order, size, *(c for c in items.columns if c not in (*order, size, *by)))
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast(f"array<{items.select(row).schema[0].dataType.simpleString()}>").alias("kept"))
+    at = items.columns.index(size)
 
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["sum"] + x[size] <= cap) | (a["n"] < least)
-        return F.when(fits, F.struct((a["sum"] + x[size]).alias("sum"), (a["n"] + 1).alias("n"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a)
+    def step(state: list, r: tuple) -> tuple | None:
+        if state[0] + r[at] > cap and state[1] >= least:
+            return None
+        state[0] += r[at]
+        state[1] += 1
+        return r
 
-    grouped = items.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("x"))
-    return grouped.select(*by, F.explode(F.aggregate("x", state, step)["kept"]).alias("x")).select(*by, "x.*")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
+    return scanned(items, by, order, lambda: [0.0, 0], step, fields)
 
 
 def top_share(df: DataFrame, by: Sequence[str], share: float, order: Sequence[Column]) -> DataFrame:

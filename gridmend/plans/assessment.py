@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as s
 from ..operators import economics, hazard, relational, stats, supply
+from ..operators.scratch import small
 from . import views as v
 from .catalog import query
 from .views import Tables
@@ -45,7 +46,7 @@ def haversine_nearest(t: Tables) -> DataFrame:
     """Each point's distance to the nearest place of a small reference set."""
     coast = tracks(t).select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     km = s.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    return points(t).crossJoin(F.broadcast(coast)).groupBy("point_id").agg(R(F.min(km), 6).alias("nearest_km"))
+    return points(t).crossJoin(small(coast)).groupBy("point_id").agg(R(F.min(km), 6).alias("nearest_km"))
 
 
 @query("J19 F01 P13", f"""with {POINTS}, {TRACKS} select t.time_index as site, count(*) as n, round(sum(greatest(p.s_acctbal, 0)), 3) as near_load
@@ -83,7 +84,7 @@ def _by_yaw(values: tuple) -> str:
 
 
 @query("H10 F12 F14", f"""with p as (select distinct p_size from part), w as (select p_size, p_size + 30.0 as v, least(40.0, abs(degrees(atan2(p_size - 20.0, -(p_size % 7 - 3.5))) - degrees(atan2(1.0, p_size % 5 + 0.5))) % 90) as x from p),
-k as (select *, v >= {_by_yaw(hazard.CONDUCTOR_CUT)} as high, {_by_yaw(hazard.CONDUCTOR_HIGH[0])} as m1, {_by_yaw(hazard.CONDUCTOR_HIGH[1])} as s1, {_by_yaw(hazard.CONDUCTOR_LOW[0])} as m2, {_by_yaw(hazard.CONDUCTOR_LOW[1])} as s2 from w),
+k as (select *, v >= {_by_yaw((68.0, 69.0, 72.0, 77.0, 0.0))} as high, {_by_yaw((4.251, 4.266, 4.313, 4.398, 4.544))} as m1, {_by_yaw((0.0245, 0.0244, 0.0245, 0.0283, 0.0385))} as s1, {_by_yaw((4.267, 4.282, 4.330, 4.414, 4.544))} as m2, {_by_yaw((0.0363, 0.0362, 0.0365, 0.0369, 0.0385))} as s2 from w),
 z as (select p_size, (ln(v) - case when high then m1 else m2 end) / case when high then s1 else s2 end as z from k)
 select p_size, round(greatest(0, least(1, {_phi("z")})), 6) as p_fail from z""")
 def conductor_fragility(t: Tables) -> DataFrame:
@@ -92,33 +93,35 @@ def conductor_fragility(t: Tables) -> DataFrame:
     return t.part.select("p_size").distinct().select("p_size", R(hazard.conductor_failure(k + 30.0, attack), 6).alias("p_fail"))
 
 
-def _polynomial(values: tuple) -> str:
-    terms = ("1.0", "x", "c", "50.0", "12.0", "x * x", "c * x", "c * c", "x * 50.0", "c * 50.0", "2500.0", "x * 12.0", "c * 12.0", "600.0", "144.0")
-    return " + ".join(f"({v:.10f}) * {term}" for v, term in zip(values, terms, strict=True))
+#: The regressions for poles of class 5, 50 years old and 12 m high, written out.
+POLE_MEAN_SQL = """6.597 - 0.01285 * x - 0.08189 * c + 0.00685 * 50 - 0.0654 * 12 + 0.00004979 * x * x - 0.001368 * c * x + 0.005333 * c * c - 0.0000007649 * x * 50 - 0.000003429 * c * 50
+  - 0.0001405 * 2500 + 0.0002438 * x * 12 + 0.001743 * c * 12 - 0.00001836 * 600 + 0.0005301 * 144"""
+POLE_SPREAD_SQL = """0.1497 + 0.0002763 * x + 0.002362 * c - 0.002293 * 50 + 0.00006042 * 12 - 0.0000005062 * x * x + 0.000001237 * c * x - 0.00007755 * c * c - 0.000002332 * x * 50 - 0.00002446 * c * 50
+  + 0.00006829 * 2500 - 0.000004114 * x * 12 - 0.00002209 * c * 12 + 0.00001401 * 600 - 0.0000002003 * 144"""
 
 
 @query("H11 H12 F13", f"""with p as (select distinct p_size from part), w as (select p_size, p_size + 20.0 as v, (p_size * 7 % 90)::double as x, 3 * 0.011 * greatest(30.0, least(120.0, p_size * 3.0)) as c from p),
-z as (select p_size, (ln(v * 2.23694) - ({_polynomial(hazard.POLE_MEAN)})) / greatest(1e-6, {_polynomial(hazard.POLE_SPREAD)}) as z from w)
+z as (select p_size, (ln(v * 2.23694) - ({POLE_MEAN_SQL})) / greatest(1e-6, {POLE_SPREAD_SQL}) as z from w)
 select p_size, round(greatest(0, least(1, {_phi("z")})), 6) as p_fail from z""")
 def pole_fragility(t: Tables) -> DataFrame:
     k = F.col("p_size")
     return t.part.select("p_size").distinct().select("p_size", R(hazard.pole_failure(k + 20.0, (k * 7 % 90).cast("double"), k * 3.0), 6).alias("p_fail"))
 
 
-@query("E13 E14", """with items as (select p_brand as cost_case, p_size * 1000.0 as cost from part where p_partkey < 400), sums as (select cost_case, sum(cost) as direct from items group by 1)
+@query("E13 E14", """with items as (select p_brand as cost_case, p_size * 1000.0 as cost from part), sums as (select cost_case, sum(cost) as direct from items group by 1)
 select cost_case, estimate_class, round(direct * (1.04 + 0.1) * (1 + 0.15 + 0.08) * (322.0 / 292.0) * m, 4) as capital, round(direct * (1.04 + 0.1) * (1 + 0.15 + 0.08) * (322.0 / 292.0) * m / 15000, 6) as per_export_kw from sums, (values ('low', 0.7), ('point', 1.0), ('high', 1.5)) c(estimate_class, m)""")
 def capital_cases(t: Tables) -> DataFrame:
-    items = t.part.where("p_partkey < 400").select(F.col("p_brand").alias("cost_case"), (F.col("p_size") * 1000.0).alias("cost"))
+    items = t.part.select(F.col("p_brand").alias("cost_case"), (F.col("p_size") * 1000.0).alias("cost"))
     x = economics.capital_cases(items, {"low": 0.7, "point": 1.0, "high": 1.5}, 1.04, 0.1, 0.15, 0.08, 322.0 / 292.0)
     return x.select("cost_case", "estimate_class", R("capital", 4).alias("capital"), R(F.col("capital") / 15000, 6).alias("per_export_kw"))
 
 
-@query("P04 F20 W01 A19 H01", """with x as (select l_suppkey as storm, l_shipdate as at, l_quantity * 3 as kts, row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 as time_index from lineitem where l_linenumber = 1)
+@query("P04 F20 W01 A19 H01", """with x as (select l_suppkey as storm, l_shipdate as at, l_quantity * 3 as kts, row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as time_index from lineitem)
 select storm, count(*) as n_points, max(kts) as max_kts, min_by(kts, time_index) as first_kts,
   case when max(kts) >= 137 then 'category_5' when max(kts) >= 113 then 'category_4' when max(kts) >= 96 then 'category_3' when max(kts) >= 83 then 'category_2' when max(kts) >= 64 then 'category_1' when max(kts) >= 34 then 'tropical_storm' else 'tropical_depression' end as category from x group by storm""")
 def storm_summary(t: Tables) -> DataFrame:
-    x = t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("storm"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 3).alias("wind_kts"))
-    x = hazard.indexed_track(x, ["storm"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"])
+    x = t.lineitem.select(F.col("l_suppkey").alias("storm"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("l_quantity") * 3).alias("wind_kts"))
+    x = hazard.indexed_track(x, ["storm"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
     out = x.groupBy("storm").agg(F.count("*").alias("n_points"), F.max("wind_kts").alias("max_kts"), F.min_by("wind_kts", "time_index").alias("first_kts"))
     return out.withColumn("category", s.category(F.col("max_kts")))
 
@@ -132,33 +135,39 @@ def damage_mc(t: Tables) -> DataFrame:
     return hit.groupBy("node", F.col("trial").cast("long").alias("trial")).agg(F.count("*").alias("n_damaged"))
 
 
-FLEET = "fleet as (select cast(p_size as bigint) as capacity_mw, 0.02 + p_size % 5 / 50.0 as q, p_partkey as unit from part where p_partkey < 12)"
+FLEET = "fleet as (select cast(p_size as bigint) as capacity_mw, 0.02 + p_size % 5 / 50.0 as q, p_partkey as unit, p_partkey // 10 as fleet from part)"
 
 
 def fleet(t: Tables) -> DataFrame:
-    """Twelve units of whole MW."""
-    return t.part.where("p_partkey < 12").select(F.col("p_size").cast("long").alias("capacity_mw"), (0.02 + F.col("p_size") % 5 / 50.0).alias("q"), F.col("p_partkey").alias("unit"))
+    """Fleets of ten units of whole MW."""
+    return t.part.select(F.floor(F.col("p_partkey") / 10).alias("fleet"), F.col("p_size").cast("long").alias("capacity_mw"), (0.02 + F.col("p_size") % 5 / 50.0).alias("q"), F.col("p_partkey").alias("unit"))
 
 
-COPT = f"""{FLEET}, placed as (select *, row_number() over (order by unit) as i from fleet), units as (select count(*) as n from fleet),
-steps(i, cap, p) as (select cast(0 as bigint), cast(0 as bigint), cast(1 as double) union all
-  select s.i + 1, s.cap + case when b.up then f.capacity_mw else 0 end, s.p * case when b.up then 1 - f.q else f.q end from steps s join placed f on f.i = s.i + 1, (values (true), (false)) b(up)),
-copt as (select cap as capacity_mw, sum(p) as p from steps, units where i = n group by cap)"""
+def demands_of(t: Tables) -> DataFrame:
+    """Each fleet with each of the demands; these are as many as there are sizes."""
+    demands = t.part.select((F.col("p_size") * 6).cast("double").alias("demand")).distinct()
+    return fleet(t).select("fleet").distinct().crossJoin(small(demands))
 
 
-@query("Q01 Q02 Q03 W08", f"""with recursive {COPT}, demand as (select distinct cast(p_size * 6 as double) as demand from part)
-select demand, round(coalesce(sum(p * (demand - capacity_mw)), 0), 6) as expected_shortage, round(coalesce(sum(p), 0), 6) as p_shortage from demand left join copt on capacity_mw < demand group by demand""")
+COPT = f"""{FLEET}, placed as (select *, row_number() over (partition by fleet order by unit) as i from fleet), units as (select fleet, count(*) as n from fleet group by fleet),
+steps(fleet, i, cap, p) as (select fleet, cast(0 as bigint), cast(0 as bigint), cast(1 as double) from units union all
+  select s.fleet, s.i + 1, s.cap + case when b.up then f.capacity_mw else 0 end, s.p * case when b.up then 1 - f.q else f.q end from steps s join placed f on f.fleet = s.fleet and f.i = s.i + 1, (values (true), (false)) b(up)),
+copt as (select steps.fleet, cap as capacity_mw, sum(p) as p from steps join units on units.fleet = steps.fleet where i = n group by all)"""
+
+
+@query("Q01 Q02 Q03 W08", f"""with recursive {COPT}, demand as (select fleet, demand from (select distinct cast(p_size * 6 as double) as demand from part), units)
+select d.fleet, demand, round(coalesce(sum(p * (demand - capacity_mw)), 0), 6) as expected_shortage, round(coalesce(sum(p), 0), 6) as p_shortage from demand d left join copt on copt.fleet = d.fleet and capacity_mw < demand group by all""")
 def shortage_expectation(t: Tables) -> DataFrame:
-    table = supply.capacity_table(fleet(t).withColumn("fleet", F.lit(1)), ["fleet"])
-    demands = t.part.select(F.lit(1).alias("fleet"), (F.col("p_size") * 6).cast("double").alias("demand")).distinct()
+    table = supply.capacity_table(fleet(t), ["fleet"])
+    demands = demands_of(t)
     x = supply.shortage(table, demands, ["fleet"])
-    return x.select("demand", R("expected_shortage", 6).alias("expected_shortage"), R("p_shortage", 6).alias("p_shortage"))
+    return x.select("fleet", "demand", R("expected_shortage", 6).alias("expected_shortage"), R("p_shortage", 6).alias("p_shortage"))
 
 
-@query("Q02", f"with recursive {COPT} select capacity_mw, round(p, 9) as p from copt where p > 0")
+@query("Q02", f"with recursive {COPT} select fleet, capacity_mw, round(p, 9) as p from copt where p > 0")
 def copt(t: Tables) -> DataFrame:
-    table = supply.capacity_table(fleet(t).withColumn("fleet", F.lit(1)), ["fleet"])
-    return table.select("capacity_mw", R("p", 9).alias("p"))
+    table = supply.capacity_table(fleet(t), ["fleet"])
+    return table.select("fleet", "capacity_mw", R("p", 9).alias("p"))
 
 
 def _allocation_sql() -> str:
@@ -183,16 +192,16 @@ def supply_allocation_modes(t: Tables) -> DataFrame:
 
 
 @query("Q05 F18 B5", f"""with recursive {COPT}, grid as (select distinct cast(p_size * 6 as double) as demand from part), added as (select * from (values (0, 0.01), (1, 0.18), (2, 0.81)) a(up, w))
-select demand, round(sum(case when capacity_mw + 30 * up < demand then w * p * (demand - capacity_mw - 30 * up) else 0 end), 6) as expected_shortage, round(sum(case when capacity_mw + 30 * up < demand then w * p else 0 end), 6) as p_shortage
-from grid, copt, added group by demand""")
+select fleet, demand, round(sum(case when capacity_mw + 30 * up < demand then w * p * (demand - capacity_mw - 30 * up) else 0 end), 6) as expected_shortage, round(sum(case when capacity_mw + 30 * up < demand then w * p else 0 end), 6) as p_shortage
+from grid, copt, added group by all""")
 def adequacy_table(t: Tables) -> DataFrame:
     """Two added units of 30 MW that are up nine times in ten: a binomial mixture over the shifted table."""
-    table = supply.capacity_table(fleet(t).withColumn("fleet", F.lit(1)), ["fleet"])
+    table = supply.capacity_table(fleet(t), ["fleet"])
     states = F.array(*(F.struct(F.lit(30 * k).alias("more"), w.alias("w")) for k, w in enumerate(s.binomial_weights(2, F.lit(0.9)))))
     mixed = table.withColumn("a", F.explode(states)).groupBy("fleet", (F.col("capacity_mw") + F.col("a.more")).alias("capacity_mw")).agg(F.sum(F.col("p") * F.col("a.w")).alias("p"))
-    demands = t.part.select(F.lit(1).alias("fleet"), (F.col("p_size") * 6).cast("double").alias("demand")).distinct()
+    demands = demands_of(t)
     x = supply.shortage(mixed, demands, ["fleet"])
-    return x.select("demand", R("expected_shortage", 6).alias("expected_shortage"), R("p_shortage", 6).alias("p_shortage"))
+    return x.select("fleet", "demand", R("expected_shortage", 6).alias("expected_shortage"), R("p_shortage", 6).alias("p_shortage"))
 
 
 PAIRS = f"""{v.EPISODES}, pairs as (select a.subset, a.scenario, a.damage, a.ens, b.damage as damage_base, b.ens as ens_base from episodes a join episodes b on a.subset = b.subset and a.scenario = b.scenario and a.policy = 'learned' and b.policy = 'greedy')"""
@@ -244,9 +253,17 @@ def ecdf(t: Tables) -> DataFrame:
     return x.select("subset", "policy", "scenario", R("ecdf", 6).alias("ecdf"))
 
 
-@query("ST01 (seeded resampling)")
+_TIMES = " + ".join(f"(u > {x!r})::int" for x in stats.poisson_steps())
+
+
+@query("ST01", f"""with {v.EPISODES}, draws as (select subset, policy, draw, damage, (cast('0x' || substr(sha256('11|' || subset || '|' || scenario || '|' || policy || '|' || draw), 1, 13) as bigint) + 0.5) / 4503599627370496.0 as u from episodes, range(1, 201) d(draw)),
+means as (select subset, policy, draw, sum(damage * ({_TIMES})) / sum({_TIMES}) as m from draws group by all)
+select subset, policy, round(quantile_cont(m, 0.025), 3) as low, round(quantile_cont(m, 0.975), 3) as high from means group by all""")
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return stats.bootstrap_mean(v.episodes(t), ["subset", "policy"], "damage", 2000, 11)
+    """Percentile intervals of means, each row counted a Poisson number of times in each of 200 draws."""
+    key = F.concat_ws("|", "subset", F.col("scenario").cast("string"), "policy")
+    x = stats.poisson_bootstrap(v.episodes(t), ["subset", "policy"], "damage", key, 200, 11)
+    return x.select("subset", "policy", R("low", 3).alias("low"), R("high", 3).alias("high"))
 
 
 @query("F05 F06 B1", """select duration, round(v * case when duration <= 24 then duration else 24 * (case when duration <= 336 then exp((ln(duration) - ln(24.0)) * ln(8.0) / (ln(336.0) - ln(24.0)))

@@ -54,22 +54,19 @@ def lookahead_labels(t: Tables) -> DataFrame:
     return x.select("scenario", "label", R("best", 9).alias("best"), R("spread", 3).alias("spread"))
 
 
-@query("L12", """with s as (select l_suppkey as k, row_number() over (partition by l_suppkey order by l_quantity desc, l_extendedprice) as i, l_extendedprice as c, min(l_extendedprice) over (partition by l_suppkey) as m from lineitem where l_linenumber = 1),
+@query("L12", """with s as (select l_suppkey as k, row_number() over (partition by l_suppkey order by l_quantity desc, l_extendedprice) as i, l_extendedprice as c, min(l_extendedprice) over (partition by l_suppkey) as m from lineitem),
 p as (select k, min(case when c = m then i end) as place, min(case when i = 1 then c end) - min(m) as regret from s group by k)
-select count(*) as n, round(avg(case when place <= 1 then 1.0 else 0 end), 6) as top1, round(avg(case when place <= 30 then 1.0 else 0 end), 6) as top30, round(avg(regret), 4) as regret from p""")
+select count(*) as n, round(avg(case when place <= 1 then 1.0 else 0 end), 6) as top1, round(avg(case when place <= 300 then 1.0 else 0 end), 6) as top300, round(avg(regret), 4) as regret from p""")
 def ranking_metrics(t: Tables) -> DataFrame:
-    states = t.lineitem.where("l_linenumber = 1").groupBy("l_suppkey").agg(F.collect_list("l_quantity").alias("scores"), F.collect_list("l_extendedprice").alias("costs"))
-    x = learning.ranking_metrics(states, ks=(1, 30))
-    return x.select("n", R("top1", 6).alias("top1"), R("top30", 6).alias("top30"), R("regret", 4).alias("regret"))
+    x = learning.ranking_metrics(t.lineitem.select("l_suppkey", "l_quantity", "l_extendedprice"), ["l_suppkey"], "l_quantity", "l_extendedprice", ks=(1, 300))
+    return x.select("n", R("top1", 6).alias("top1"), R("top300", 6).alias("top300"), R("regret", 4).alias("regret"))
 
 
-@query("W15 L10 (advantage estimates)", """with recursive e as (select o_custkey as k, o_orderkey, cast(o_orderkey % 17 as double) as r, cast(o_orderkey % 5 as double) as v, row_number() over (partition by o_custkey order by o_orderkey desc) as i from orders where o_custkey < 200),
+@query("W15 (advantage estimates)", """with recursive e as (select o_custkey as k, o_orderkey, cast(o_orderkey % 17 as double) as r, cast(o_orderkey % 5 as double) as v, row_number() over (partition by o_custkey order by o_orderkey desc) as i from orders),
 f(k, i, o_orderkey, run, after) as (select k, i, o_orderkey, r - v, v from e where i = 1 union all
   select e.k, e.i, e.o_orderkey, e.r + 0.5 * f.after - e.v + 0.25 * f.run, e.v from f join e on e.k = f.k and e.i = f.i + 1)
 select k, o_orderkey, round(run, 7) as advantage from f""")
 def advantages(t: Tables) -> DataFrame:
-    step = F.struct("o_orderkey", (F.col("o_orderkey") % 17).cast("double").alias("r"), (F.col("o_orderkey") % 5).cast("double").alias("v"))
-    e = t.orders.where("o_custkey < 200").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(step)).alias("s"))
-    a = learning.discounted_advantages(F.transform("s", lambda x: x["r"]), F.transform("s", lambda x: x["v"]), 0.5, 0.5)
-    x = e.select("k", F.explode(F.arrays_zip(F.transform("s", lambda x: x["o_orderkey"]).alias("o"), a.alias("a"))).alias("z"))
-    return x.select("k", F.col("z.o").alias("o_orderkey"), R("z.a", 7).alias("advantage"))
+    o = F.col("o_orderkey")
+    steps = t.orders.select(F.col("o_custkey").alias("k"), o, (o % 17).alias("r"), (o % 5).alias("v"))
+    return learning.discounted_advantages(steps, ["k"], "o_orderkey", "r", "v", 0.5, 0.5).select("k", "o_orderkey", R("advantage", 7).alias("advantage"))

@@ -13,6 +13,7 @@ from ..sources.files import point_in_ring
 from . import assessment as a
 from . import views as v
 from .catalog import query
+from .simulated import uniform_sql
 from .views import Tables
 
 R = F.round
@@ -43,16 +44,16 @@ def first_cases(t: Tables) -> DataFrame:
     return x.orderBy("o_orderdate", "o_orderkey").limit(40).select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
-@query("J04 T06", f"""with {v.EPISODES}, x as (select scenario, min(case when policy = 'greedy' then damage end) as greedy, min(case when policy = 'learned' then damage end) as learned, min(damage) * 0.98 as ga from episodes where subset = 'A' group by 1)
-select scenario, round(100 * (greedy - ga) / greedy, 6) as ga_gain_pct, round(100 * (greedy - learned) / greedy, 6) as learned_gain_pct from x""")
+@query("J04 T06", f"""with {v.EPISODES}, x as (select subset, scenario, min(case when policy = 'greedy' then damage end) as greedy, min(case when policy = 'learned' then damage end) as learned, min(damage) * 0.98 as ga from episodes group by all)
+select subset, scenario, round(100 * (greedy - ga) / greedy, 6) as ga_gain_pct, round(100 * (greedy - learned) / greedy, 6) as learned_gain_pct from x where greedy is not null and learned is not null""")
 def ga_table(t: Tables) -> DataFrame:
     """One-to-one chain of search, selected policy and greedy."""
-    e = v.episodes(t).where("subset = 'A'")
-    greedy, learned = (e.where(F.col("policy") == p).select("scenario", F.col("damage").alias(p)) for p in ("greedy", "learned"))
-    ga = e.groupBy("scenario").agg((F.min("damage") * 0.98).alias("ga"))
-    met = ga.join(greedy, "scenario").join(learned, "scenario")
+    e, case = v.episodes(t), ["subset", "scenario"]
+    greedy, learned = (e.where(F.col("policy") == p).select(*case, F.col("damage").alias(p)) for p in ("greedy", "learned"))
+    ga = e.groupBy(*case).agg((F.min("damage") * 0.98).alias("ga"))
+    met = ga.join(greedy, case).join(learned, case)
     gain = lambda k: R(100 * (F.col("greedy") - F.col(k)) / F.col("greedy"), 6).alias(f"{k}_gain_pct")
-    return met.select("scenario", gain("ga"), gain("learned"))
+    return met.select(*case, gain("ga"), gain("learned"))
 
 
 @query("J06 X28", f"""with {v.TRAJECTORY}, m as (select distinct scenario, 'all' as subset from damage union all select scenario, 'long' from damage group by scenario having count(*) > 9 union all select distinct scenario, 'late' from damage where scenario >= 199801)
@@ -140,16 +141,17 @@ def edge_exposure(t: Tables) -> DataFrame:
     return x.groupBy("storm", F.col("point_id").alias("edge_id")).agg(R(F.max("wind"), 6).alias("wind"))
 
 
-@query("H15 (seeded draws)")
+@query("H15 (seeded draws)", f"""with x as (select s_suppkey, case when s_suppkey % 4 = 1 then 168.0 else 720.0 end as mean, case when s_suppkey % 4 = 1 then 84.0 else 360.0 end as sd, '5|' || s_suppkey as name from supplier)
+select s_suppkey, case when s_suppkey % 2 = 0 then 'line' else 'substation' end as kind, case when s_suppkey % 4 = 1 then 'severe' else 'complete' end as state,
+  round(case when s_suppkey % 2 = 0 then 3 + 2 * {uniform_sql("name")} else greatest(0, mean + sd * sqrt(-2 * ln({uniform_sql("name || '|radius'")})) * cos(2 * pi() * {uniform_sql("name || '|angle'")})) end, 6) as repair_h from x""")
 def repair_times(t: Tables) -> DataFrame:
     x = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, "line").otherwise("substation").alias("kind"), F.when(F.col("s_suppkey") % 4 == 1, "severe").otherwise("complete").alias("state"))
     return hazard.repair_hours(x, ["s_suppkey"], 5).withColumn("repair_h", R("repair_h", 6))
 
 
-@query("Q06 T08", f"""with {v.EPISODES} select scenario, policy, rule from (select scenario, policy, unnest([case when not coalesce(damage < 6000000, false) then 'total is in range' end, case when not coalesce(ens * 1000 between 0 and steps * 30, false) then 'critical is within total' end]) as rule from episodes where subset = 'R') where rule is not null""")
+@query("Q06 T08", f"""with {v.EPISODES} select subset, scenario, policy, rule from (select subset, scenario, policy, unnest([case when not coalesce(damage < 6000000, false) then 'total is in range' end, case when not coalesce(ens * 1000 between 0 and steps * 30, false) then 'critical is within total' end]) as rule from episodes) where rule is not null""")
 def supply_context(t: Tables) -> DataFrame:
-    e = v.episodes(t).where("subset = 'R'")
-    return checks.broken(e, {"total is in range": F.col("damage") < 6_000_000, "critical is within total": (F.col("ens") * 1000).between(0, F.col("steps") * 30)}, ["scenario", "policy"])
+    return checks.broken(v.episodes(t), {"total is in range": F.col("damage") < 6_000_000, "critical is within total": (F.col("ens") * 1000).between(0, F.col("steps") * 30)}, ["subset", "scenario", "policy"])
 
 
 @query("X27 E03 E04 E05", f"""with {v.LOADS}, {v.DAMAGE}, hit as (select scenario, kw, is_critical, load_type, voll, repair_h from damage join loads using (node))
@@ -198,13 +200,13 @@ def map_table(t: Tables) -> DataFrame:
 
 
 @query("B07 J23", """with d as (select r_regionkey as region, s_suppkey as node, abs(s_acctbal - r_regionkey * 2000) as km from supplier, region), k as (select region, node from (select *, row_number() over (partition by region order by km, node) as i from d) where i <= 8),
-n as (select distinct node from k), e as (select l_orderkey as edge_id, l_suppkey as a, l_partkey % 100 as b from lineitem where l_linenumber = 3)
+n as (select distinct node from k), e as (select l_suppkey as a, l_partkey % 100 as b from lineitem)
 select cast((a in (select node from n))::int + (b in (select node from n))::int as bigint) as ends, count(*) as edges from e group by 1 having ends > 0""")
 def subnetwork_extract(t: Tables) -> DataFrame:
     """The nearest eight nodes of each region, their edges, and the edges that cross their border."""
     centres = t.region.select("r_regionkey", (F.col("r_regionkey") * 2000).alias("centre"))
     near = testbed.nearest_peers(t.supplier.select("s_suppkey", "s_acctbal"), centres, "r_regionkey", F.abs(F.col("s_acctbal") - F.col("centre")), "s_suppkey", 8)
-    edges = t.lineitem.where("l_linenumber = 3").select(F.col("l_orderkey").alias("edge_id"), F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"))
+    edges = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"))
     inner, border = testbed.extract(edges, near.select(F.col("s_suppkey").alias("node")).distinct())
     both = inner.select(F.lit(2).cast("long").alias("ends")).unionByName(border.select(F.lit(1).cast("long").alias("ends")))
     return both.groupBy("ends").agg(F.count("*").alias("edges"))
@@ -227,9 +229,11 @@ def load_timeseries(t: Tables) -> DataFrame:
     return series.groupBy("t").agg(R(F.sum("kw"), 4).alias("kw"))
 
 
-@query("B10 (series and profiles conserve power)", "select cast(null as integer) as t where false")
+@query("B10 (series and profiles conserve power)", f"""with {v.LOADS}, p as (select event_type as profile_id, hour(ts) as t, count(*) / 100.0 as m from events group by 1, 2), l as (select ['click', 'error', 'view'][load_id % 3 + 1] as profile_id, sum(kw) as kw from loads group by 1)
+select cast(t as integer) as t, round(sum(kw * m), 4) as want, 0.0::double as residual from l join p using (profile_id) group by t""")
 def load_conservation(t: Tables) -> DataFrame:
-    return testbed.conservation_violations(testbed.load_series(_profiled(t), _profiles(t)), _profiled(t), _profiles(t)).select("t")
+    x = testbed.conservation(testbed.load_series(_profiled(t), _profiles(t)), _profiled(t), _profiles(t))
+    return x.select("t", R("want", 4).alias("want"), R(F.abs(F.col("kw") - F.col("want")) / F.col("want"), 6).alias("residual"))
 
 
 @query("B11 G10 T09", """select 'case isn''t connected' as rule, (select count(distinct r_regionkey) from region) - 1 as n union all select 'power isn''t positive', count(*) from customer where not (c_acctbal > 0) having count(*) > 0""")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_folder
+from ..operators.scratch import scratch_path
 from ..streaming import timeline
 from .catalog import query
 from .views import Tables
@@ -23,7 +21,7 @@ def events(t: Tables) -> DataFrame:
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream has written when its input is used up: in complete mode its last batch, else all batches."""
     spark = stream.sparkSession
-    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "stream")
     written: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:

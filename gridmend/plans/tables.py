@@ -29,7 +29,7 @@ def key_set_diff(t: Tables) -> DataFrame:
     return relational.key_differences(x.where("l_quantity > 45"), x.where("l_discount > 0.09"), ["k", "p"])
 
 
-@query("A13 J01 T08", "select l_orderkey, l_linenumber, count(distinct (l_partkey, l_suppkey)) as versions from lineitem group by 1, 2 having count(distinct (l_partkey, l_suppkey)) > 1")
+@query("A13 J01 T08", "select l_orderkey, l_linenumber, count(*) as rows from lineitem group by 1, 2 having count(distinct (l_partkey, l_suppkey)) > 1")
 def conflict_dups(t: Tables) -> DataFrame:
     return relational.conflicting(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber"])
 
@@ -74,21 +74,22 @@ def priority_topk50(t: Tables) -> DataFrame:
     return best.select("load_id", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query("W12 B13", """with recursive items as (select p_partkey as id, p_size % 5 as g, cast(p_retailprice as double) as size, row_number() over (partition by p_size % 5 order by p_retailprice desc, p_partkey) as i from part where p_partkey < 300),
+@query("W12 B13", """with recursive items as (select p_partkey as id, p_size % 5 as g, cast(p_retailprice as double) as size, row_number() over (partition by p_size % 5 order by p_retailprice desc, p_partkey) as i from part),
 r(g, i, total, id, taken) as (select g, i, case when size <= 5000 then size else 0 end, id, size <= 5000 from items where i = 1 union all
   select t.g, t.i, r.total + case when r.total + t.size <= 5000 then t.size else 0 end, t.id, r.total + t.size <= 5000 from r join items t on t.g = r.g and t.i = r.i + 1)
 select cast(g as integer) as g, id from r where taken""")
 def prefix_under_cap_skip(t: Tables) -> DataFrame:
-    x = t.part.where("p_partkey < 300").select((F.col("p_size") % 5).alias("g"), (-F.col("p_retailprice")).alias("first"), F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("size"))
+    x = t.part.select((F.col("p_size") % 5).alias("g"), (-F.col("p_retailprice")).alias("first"), F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("size"))
     return relational.take_under_cap(x, ["g"], "size", 5000.0, ["first", "id"]).select("g", "id")
 
 
-@query("A14 A15 G08 G11", """with e as (select l_orderkey as edge_id, least(l_suppkey % 20, l_partkey % 20) as a, greatest(l_suppkey % 20, l_partkey % 20) as b, l_returnflag as edge_type, l_linestatus as feeder, cast(l_quantity as bigint) as length, l_tax > 0.05 as flag, l_discount > 0.08 as is_open from lineitem where l_linenumber = 1 and l_partkey < 500),
+@query("A14 A15 G08 G11", """with e as (select l_orderkey * 10 + l_linenumber as edge_id, l_suppkey as a, 100000000 + l_partkey as b, l_returnflag as edge_type, l_linestatus as feeder, cast(l_quantity as bigint) as length, l_tax > 0.05 as flag, l_discount > 0.08 as is_open from lineitem),
 votes as (select a, b, edge_type, feeder, count(*) as n from e group by all), best as (select a, b, edge_type, min_by(feeder, row(-n, feeder)) as feeder from votes group by all)
 select a, b, edge_type, best.feeder, length, flag, is_open, n_members from best join (select a, b, edge_type, cast(sum(length) as bigint) as length, max(flag) as flag, bool_or(is_open) as is_open, count(distinct edge_id) as n_members from e group by all) using (a, b, edge_type)""")
 def edge_contraction(t: Tables) -> DataFrame:
-    x = t.lineitem.where("l_linenumber = 1 and l_partkey < 500").select(
-        F.col("l_orderkey").alias("edge_id"), (F.col("l_suppkey") % 20).alias("from_node"), (F.col("l_partkey") % 20).alias("to_node"), F.col("l_returnflag").alias("edge_type"), F.col("l_linestatus").alias("feeder"), F.col("l_quantity").cast("long").alias("length"), (F.col("l_tax") > 0.05).alias("flag"), (F.col("l_discount") > 0.08).alias("is_open")
+    far, turned = 100_000_000 + F.col("l_partkey"), F.col("l_linenumber") % 2 == 0
+    x = t.lineitem.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.when(turned, far).otherwise(F.col("l_suppkey")).alias("from_node"), F.when(turned, F.col("l_suppkey")).otherwise(far).alias("to_node"), F.col("l_returnflag").alias("edge_type"), F.col("l_linestatus").alias("feeder"), F.col("l_quantity").cast("long").alias("length"), (F.col("l_tax") > 0.05).alias("flag"), (F.col("l_discount") > 0.08).alias("is_open")
     )
     return relational.contracted(x).select("a", "b", "edge_type", "feeder", "length", "flag", "is_open", F.size(F.from_json("members", "array<long>")).cast("long").alias("n_members"))
 
@@ -204,9 +205,9 @@ def overlay_union(t: Tables) -> DataFrame:
     return base.unionByName(over, allowMissingColumns=True).select("load_id", "node", "layer", "export_mw")
 
 
-@query("U06 T09", "select l_suppkey as edge_id, l_partkey as node from lineitem where l_linenumber = 2 and l_partkey not in (select p_partkey from part where p_size < 40)")
+@query("U06 T09", "select l_orderkey * 10 + l_linenumber as edge_id, l_partkey as node from lineitem where l_partkey not in (select p_partkey from part where p_size < 40)")
 def missing_endpoints(t: Tables) -> DataFrame:
-    x = t.lineitem.where("l_linenumber = 2").select(F.col("l_suppkey").alias("edge_id"), F.col("l_partkey").alias("node"))
+    x = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_partkey").alias("node"))
     return x.join(t.part.where("p_size < 40").select(F.col("p_partkey").alias("node")), "node", "left_anti").select("edge_id", "node")
 
 
@@ -238,12 +239,12 @@ def display_labels(t: Tables) -> DataFrame:
 @query("P06 P07 P08", """select l_orderkey, l_linenumber, l_partkey, not (l_discount > 0.08) and l_partkey % 5 in (0, 1) and l_tax > 0.02 as eligible,
   case when l_discount > 0.08 then 'excluded_equivalent_connection' when l_partkey % 5 = 0 and l_tax > 0.02 then 'legacy_pole_fragility_adapted_to_overhead_distribution_edge' when l_partkey % 5 = 1 and l_tax > 0.02 then 'legacy_conductor_fragility'
     when l_partkey % 5 = 2 then 'unsupported_underground_line' when l_partkey % 5 = 3 then 'unsupported_transformer' when l_partkey % 5 = 4 then 'unsupported_switch' else 'not_applicable' end as model
-from lineitem where l_linenumber = 1""")
+from lineitem""")
 def edge_classes(t: Tables) -> DataFrame:
     kinds = ("overhead_distribution_line", "transmission_line", "underground_distribution_line", "transformer", "switch")
     kind = F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("l_partkey") % 5 + 1).cast("int"))
     c = classify.edge_component(kind, F.lit("other"), F.col("l_discount") > 0.08, F.col("l_tax") > 0.02, list(kinds[:2]))
-    return t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", c["eligible"].alias("eligible"), c["model"].alias("model"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", c["eligible"].alias("eligible"), c["model"].alias("model"))
 
 
 @query("P09 P10 P11", """select p_partkey, case when p_type = 'ECONOMY' then 'residential' when p_type = 'STANDARD' then 'commercial' else 'unknown' end as class,
