@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import pairwise
+from math import exp, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import capital_recovery_factor, interrupted_kw_cost, ratio
+from ..functions.scalar import annuity_factor, capital_recovery_factor, interrupted_kw_cost, investment_ceiling, ratio
+from .scratch import small
 
 #: Default parameters of the duration damage model: knots in hours, shapes relative to the first knot, dollars by class.
 KNOTS = (24.0, 336.0, 720.0)
@@ -93,3 +98,99 @@ def four_case(ledger: DataFrame) -> DataFrame:
     with_ = {"typical_with": F.col("fiscal") - F.col("yearly_cost"), "storm_with": F.col("fiscal") - F.col("yearly_cost") - yearly("damage_with") - yearly("event_cost")}
     out = ledger.withColumns(without | with_)
     return out.withColumn("incremental", F.col("storm_with") - F.col("storm_without")).withColumn("incremental_bcr", ratio(F.col("fiscal") + yearly("damage_without") - yearly("damage_with"), F.col("yearly_cost") + yearly("event_cost")))
+
+
+def valuation_parameters(values: dict) -> dict[str, dict]:
+    """Low, primary and high cases from survey values: dollars a kWh of a day's interruption in prices of the target year,
+    and how damage grows with duration, relative to a day.
+
+    ``values``: ``index`` (prices by year), ``year``; for each of residential, residential_critical and commercial
+    ``low``, ``primary`` and ``high`` dollars in prices of ``price_year``; ``points`` in hours with a customer's ``damage``
+    there by class; and ``critical_anchor``: hours and dollars a kWh (low, primary, high) of a long critical interruption,
+    from which on critical damage grows as the residential one does.
+    """
+    index, year, points = values["index"], values["year"], values["points"]
+    shapes = {k: [x / damage[0] for x in damage] for k, damage in values["damage"].items()}
+    hours, anchor = values["critical_anchor"]["hours"], values["critical_anchor"]
+    out = {}
+    for case in ("low", "primary", "high"):
+        price = {k: values[k][case] * index[year] / index[values[k]["price_year"]] for k in ("residential", "residential_critical", "commercial")}
+        at_anchor = anchor[case] * index[year] / index[anchor["price_year"]]
+        rise = at_anchor * hours / (price["residential_critical"] * points[0])
+        base = log_log(hours, points, shapes["residential"])
+        critical = [1.0, rise, *(rise * x / base for h, x in zip(points, shapes["residential"], strict=True) if h > hours)]
+        out[case] = {"price": price, "points": points, "shapes": shapes, "critical_points": [points[0], hours, *(h for h in points if h > hours)], "critical_shape": critical}
+    return out
+
+
+def log_log(hours: float, points: list[float], shape: list[float]) -> float:
+    """A shape between its points, linear in the logarithms of both."""
+    for (a, x), (b, y) in pairwise(zip(points, shape, strict=True)):
+        if a <= hours <= b:
+            return exp(log(x) + (log(hours) - log(a)) * (log(y) - log(x)) / (log(b) - log(a)))
+    raise ValueError("hours lie outside the points")
+
+
+def event_economics(energies: DataFrame, by: list[str], off: str, on: str) -> DataFrame:
+    """(by, avoided_damage, export_mwh, and the avoided damage of each segment) of load energies (by, load_id, treatment,
+    kwh, kw, load_type, is_critical): every load must have both treatments."""
+    wide = energies.where(F.col("treatment").isin(off, on)).groupBy(*by, "load_id", "kw", "load_type", "is_critical").pivot("treatment", [off, on]).agg(F.sum("kwh"))
+    both = F.col(off).isNotNull() & F.col(on).isNotNull()
+    wide = wide.withColumn(off, F.when(both, F.col(off)).otherwise(F.raise_error(F.lit("a load lacks a treatment")).cast("double")))
+    cost = lambda k: load_damage(F.col(k), F.col("kw"), F.col("load_type"), F.col("is_critical"))
+    sums = segments(wide.withColumn("damage", cost(off) - cost(on)), by)
+    sent = wide.groupBy(*by).agg((F.sum(F.col(off) - F.col(on)) / 1000).alias("export_mwh"))
+    return sums.join(sent, by).withColumnRenamed("total_damage", "avoided_damage")
+
+
+def economic_summary(avoided: Column, export_mwh: Column, rate: float, years: int, interval_years: float, export_cost: float, capital: float, fixed: float) -> dict[str, Column]:
+    """Yearly figures of a mean event that comes once in ``interval_years``, and their present value."""
+    factor = annuity_factor(F.lit(rate), years)
+    benefit = avoided / interval_years
+    cost = F.lit(capital) / factor + fixed + export_mwh * export_cost / interval_years
+    return {"annualised_avoided_damage": benefit, "annualised_cost": cost, "net_annual_value": benefit - cost, "npv": factor * (benefit - cost)}
+
+
+def investment_grid(summary: DataFrame, intervals: Sequence[float], multipliers: Sequence[float], export_cost: float, fixed: float, rate: float, years: int) -> DataFrame:
+    """``summary`` (avoided_damage, export_mwh and keys) with interval_years, multiplier and the break-even investment."""
+    grid = F.explode(F.array(*(F.struct(F.lit(float(i)).alias("interval_years"), F.lit(float(m)).alias("multiplier")) for i in intervals for m in multipliers)))
+    g = summary.withColumn("g", grid).select("*", "g.*").drop("g")
+    ceiling = investment_ceiling(F.col("multiplier") * F.col("avoided_damage"), F.col("export_mwh") * export_cost, F.col("interval_years"), F.lit(fixed), annuity_factor(F.lit(rate), years))
+    return g.withColumn("break_even", ceiling)
+
+
+#: What an MWh of support costs: columns of the cost ledger.
+UNIT_COSTS = ("provider", "health", "climate")
+
+
+def event_ledger(runs: DataFrame, costs: DataFrame, base: str, lifecycle: tuple[bool, bool] = (True, True), host_health: bool = True) -> DataFrame:
+    """A row for each resource of a paired cohort: mean damages, what support avoids, and what the support costs.
+
+    ``runs``: scenario, resource, seed, damage, ens, critical_ens, support_mwh, one run for each scenario and resource;
+    each resource must have just the scenarios and seeds of ``base``, else the query fails. ``costs``: support_mwh and
+    UNIT_COSTS of some events; a rate is the mean of their ratios, not the ratio of their means. ``lifecycle``: whether
+    health and climate count there.
+    """
+    counted = runs.groupBy("scenario", "resource").agg(F.count("*").alias("n"), F.min("seed").alias("seed"), *(F.first(k).alias(k) for k in ("damage", "ens", "critical_ens", "support_mwh")))
+    off = counted.where(F.col("resource") == base).select("scenario", F.col("seed").alias("seed0"), F.col("n").alias("n0"), *(F.col(k).alias(f"{k}0") for k in ("damage", "ens", "critical_ens")))
+    resources = runs.where(F.col("resource") != base).select("resource").distinct()
+    want = off.crossJoin(small(resources))
+    met = counted.where(F.col("resource") != base).join(want, ["scenario", "resource"], "full_outer")
+    sound = (F.col("n") == 1) & (F.col("n0") == 1) & (F.col("seed") == F.col("seed0"))
+    met = met.withColumn("damage", F.when(F.coalesce(sound, F.lit(False)), F.col("damage")).otherwise(F.raise_error(F.concat(F.lit("no proper pair: scenario "), F.col("scenario").cast("string"), F.lit(", "), F.col("resource"))).cast("double")))
+    rates = costs.agg(*(F.avg(F.col(k) / F.nullif(F.col("support_mwh"), F.lit(0.0))).alias(f"{k}_rate") for k in UNIT_COSTS))
+    mean = met.groupBy("resource").agg(F.count("*").alias("episodes"), F.avg("damage0").alias("damage_without"), F.avg("damage").alias("damage_with"), F.avg(F.col("damage0") - F.col("damage")).alias("benefit"), F.avg(F.col("ens0") - F.col("ens")).alias("avoided_ens"), F.avg(F.col("critical_ens0") - F.col("critical_ens")).alias("avoided_critical_ens"), F.avg("support_mwh").alias("support_mwh"))
+    priced = mean.crossJoin(F.broadcast(rates))  # one row
+    c = {k: F.col("support_mwh") * F.col(f"{k}_rate") for k in UNIT_COSTS}
+    out = priced.withColumns({f"event_{k}": x for k, x in c.items()} | {"full_cost": sum(c.values()), "lifecycle_cost": c["provider"] + c["health"] * int(lifecycle[0]) + c["climate"] * int(lifecycle[1]), "host_externality": c["health"] * int(host_health)})
+    return out.drop(*(f"{k}_rate" for k in UNIT_COSTS))
+
+
+def host_incidence(grid: DataFrame, crf: Column) -> DataFrame:
+    """Who bears and who gains, for rows of a grid with avoided_damage, event_health, event_climate, interval_years, capital,
+    fom, share, rate_burden, property_tax, sales_tax, routine_mwh, routine_health and routine_climate (dollars a MWh)."""
+    yearly = lambda k: F.col(k) / F.col("interval_years")
+    own = F.col("capital") * crf + F.col("fom")
+    gain = yearly("avoided_damage") + F.col("property_tax")
+    burden = own * F.col("share") + F.col("rate_burden") + F.col("sales_tax") + F.col("routine_mwh") * F.col("routine_health") + yearly("event_health")
+    return grid.withColumns({"host_benefit": gain, "host_burden": burden, "private_cost": own * (1 - F.col("share")), "climate": F.col("routine_mwh") * F.col("routine_climate") + yearly("event_climate"), "host_ratio": ratio(gain, burden), "net_host_value": gain - burden})

@@ -39,6 +39,49 @@ def message_passing(nodes: DataFrame, edges: DataFrame, matrix: Sequence[Sequenc
     return met.select(*keys, "node", new.alias("x"))
 
 
+def mlp(layers: Sequence[tuple[Sequence[Sequence[float]], Sequence[float]]], x: Column) -> Column:
+    """The output array of a perceptron, relu between its layers, as one expression: scores of a table in the JVM."""
+    for i, (matrix, bias) in enumerate(layers):
+        x = linear(matrix, bias, x if i == 0 else relu(x))
+    return x
+
+
+def masked_softmax(scored: DataFrame, by: Sequence[str], score: str, mask: str, out: str = "p") -> DataFrame:
+    """Probabilities of the candidates of each state; those that are masked out have none."""
+    w = W.partitionBy(*by)
+    valid = F.when(F.col(mask), F.col(score))
+    e = F.exp(valid - F.max(valid).over(w))
+    return scored.withColumn(out, F.coalesce(e / F.sum(e).over(w), F.lit(0.0)))
+
+
+def convolved(cells: DataFrame, keys: Sequence[str], value: str, kernel: Sequence[Sequence[float]], bias: float, size: int) -> DataFrame:
+    """(keys, cy, cx, value): relu of a 3 x 3 convolution over sparse raster cells (keys, cy, cx, value), padded by zeros.
+
+    A cell sends its weighted value to its neighbours, and sums are combined before the shuffle; cells that nothing
+    reaches hold relu(bias) and aren't in the result.
+    """
+    sent = F.explode(F.array(*(F.struct(F.lit(1 - i).alias("dy"), F.lit(1 - j).alias("dx"), F.lit(float(w)).alias("w")) for i, row in enumerate(kernel) for j, w in enumerate(row))))
+    x = cells.select(*keys, "cy", "cx", F.col(value).alias("gm_v"), sent.alias("k"))
+    x = x.select(*keys, (F.col("cy") + F.col("k.dy")).alias("cy"), (F.col("cx") + F.col("k.dx")).alias("cx"), (F.col("gm_v") * F.col("k.w")).alias("gm_v"))
+    inside = x.where(F.col("cy").between(0, size - 1) & F.col("cx").between(0, size - 1))
+    return inside.groupBy(*keys, "cy", "cx").agg(F.greatest(F.lit(0.0), F.sum("gm_v") + bias).alias(value))
+
+
+def lookahead_costs(repairs: DataFrame, by: Sequence[str], horizon: int = 5) -> DataFrame:
+    """(by, node, cost): energy not served over the next ``horizon`` repairs if ``node`` is repaired first and the others
+    follow by power for each hour. ``repairs``: by, node, mw, hours. A candidate meets ``horizon`` others at most."""
+    by = list(by)
+    state = W.partitionBy(*by)
+    order = (F.col("mw") / F.greatest("hours", F.lit(0.1))).desc(), F.col("hours"), F.col("node").desc()
+    ranked = repairs.select(*by, "node", "mw", "hours", F.sum("mw").over(state).alias("total"), F.row_number().over(state.orderBy(*order)).alias("place"))
+    top = ranked.where(F.col("place") <= horizon).select(*by, F.col("node").alias("other"), F.col("mw").alias("other_mw"), F.col("hours").alias("other_hours"), "place")
+    met = ranked.drop("place").join(top, by).where("node <> other")
+    run = W.partitionBy(*by, "node").orderBy("place")
+    met = met.withColumns({"n": F.row_number().over(run), "before": F.coalesce(F.sum("other_mw").over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))}).where(F.col("n") < horizon)
+    later = met.groupBy(*by, "node").agg(F.sum(F.col("other_hours") * (F.col("total") - F.col("mw") - F.col("before"))).alias("later"))
+    return ranked.join(later, [*by, "node"], "left").select(*by, "node", (F.col("total") * F.col("hours") + F.coalesce("later", F.lit(0.0))).alias("cost"))
+
+
 def padded_candidates(scored: DataFrame, by: Sequence[str], order: Sequence[Column], features: Sequence[str], id_: str, k: int = 50) -> DataFrame:
     """(by, ids, features, mask): the first ``k`` candidates of each state as arrays of length k, padded with zeros."""
     place = F.row_number().over(W.partitionBy(*by).orderBy(*order))

@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with the SQL that it is held against."""
 
-from . import assessment, learned, more, recovered, restoration, simulated, streamed, tables
+from . import assessment, built, learned, more, recovered, restoration, simulated, stored, streamed, tables
 from .catalog import QUERIES
 
-__all__ = ["QUERIES", "assessment", "learned", "more", "recovered", "restoration", "simulated", "streamed", "tables"]
+__all__ = ["QUERIES", "assessment", "built", "learned", "more", "recovered", "restoration", "simulated", "stored", "streamed", "tables"]

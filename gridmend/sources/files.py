@@ -18,9 +18,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns
     return df.select(*columns) if columns else df
 
 
-def read_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_lenient(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """CSV whose rows may have fewer or more fields: missing ones are null, further ones are dropped."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
 
 
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
@@ -62,10 +62,11 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_features(spark: SparkSession, paths: Sequence[str], properties: str) -> DataFrame:
-    """Features of GeoJSON pages: their properties and, for polygons, the rings as arrays of points."""
+def read_features(spark: SparkSession, paths: Sequence[str], properties: str, lines: bool = False) -> DataFrame:
+    """Features of GeoJSON pages: their properties and, for polygons, the rings as arrays of points. ``lines``: a page is
+    a line of its file and not the whole of it."""
     schema = f"features array<struct<properties struct<{properties}>, geometry struct<type string, coordinates array<array<array<double>>>>>>"
-    page = spark.read.schema(schema).option("multiLine", True).json(list(paths))
+    page = spark.read.schema(schema).option("multiLine", not lines).json(list(paths))
     return page.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("geometry"), F.col("f.geometry.coordinates").alias("rings"))
 
 
@@ -115,10 +116,14 @@ def write_provenance(spark: SparkSession, path: str, arguments: dict, inputs: Da
     row.coalesce(1).write.mode("errorifexists").json(path)
 
 
-def load_config(path: str) -> dict:
-    """A YAML mapping; where PyYAML isn't there, a JSON one."""
-    with open(path, encoding="utf-8") as f:
-        body = f.read()
+def load_config(path: str, spark: SparkSession | None = None) -> dict:
+    """A YAML mapping; where PyYAML isn't there, a JSON one. With ``spark``, from any path that it reads."""
+    if spark is not None:
+        (row,) = spark.read.text(path, wholetext=True).collect()  # one file
+        body = row.value
+    else:
+        with open(path, encoding="utf-8") as f:
+            body = f.read()
     try:
         import yaml
 
