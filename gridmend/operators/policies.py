@@ -1,0 +1,212 @@
+"""Repair policies that are trained here: cloning, advantage updates, checkpoints, frozen selectors.
+
+A policy scores each repair of a state by a linear function of its features and picks by softmax. It is fitted on the
+driver, on a bounded sample of states (STATES); scoring a table is learning.linear, an expression.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+
+from .search import advantages
+
+#: The bound of the fit: states of the sample.
+STATES = 2_000
+#: Fixed value: how much the expected cost above the best counts beside the cross entropy.
+REGRET_WEIGHT = 0.6
+
+
+@dataclass(frozen=True)
+class Policy:
+    features: tuple[str, ...]
+    weights: tuple[float, ...]
+
+    def body(self) -> str:
+        return json.dumps({"features": self.features, "weights": [float(w).hex() for w in self.weights]}, sort_keys=True, separators=(",", ":"))
+
+    @property
+    def digest(self) -> str:
+        return hashlib.sha256(self.body().encode()).hexdigest()
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return x @ np.array(self.weights)
+
+    def pick(self, x: np.ndarray) -> int:
+        return int(np.argmax(self.scores(x)))
+
+
+def save(spark: SparkSession, policy: Policy, path: str, **about: object) -> None:
+    """A checkpoint: one row of JSON with the weights bit by bit, their digest and whatever is said about them."""
+    row = json.dumps({"policy": json.loads(policy.body()), "digest": policy.digest, "about": about}, sort_keys=True)
+    spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def load(spark: SparkSession, path: str, digest: str | None = None) -> Policy:
+    """The policy of a checkpoint; one whose weights don't have their digest, or not the one asked for, fails."""
+    (row,) = spark.read.text(path).collect()  # one row
+    found = json.loads(row.value)
+    policy = Policy(tuple(found["policy"]["features"]), tuple(float.fromhex(w) for w in found["policy"]["weights"]))
+    if policy.digest != found["digest"] or digest not in (None, policy.digest):
+        raise ValueError("the checkpoint's weights aren't those that were frozen")
+    return policy
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+@dataclass(frozen=True)
+class State:
+    """``x``: a row of features for each candidate; ``cost``: what each would cost; ``weight``: of the state."""
+
+    x: np.ndarray
+    cost: np.ndarray
+    weight: float = 1.0
+
+
+def sample(rows: DataFrame, key: str, features: Sequence[str], cost: str, states: int = STATES) -> list[State]:
+    """States of (key, features, cost), those with the least hashes of their keys, candidates in order of features."""
+    from pyspark.sql import functions as F
+
+    picked = rows.select(key).distinct().orderBy(F.xxhash64(key), key).limit(states)  # the documented bound of the fit
+    got = rows.join(F.broadcast(picked), key).select(key, *features, cost).toPandas().sort_values([key, *features, cost])
+    return [State(g[list(features)].to_numpy(float), g[cost].to_numpy(float)) for _, g in got.groupby(key)]
+
+
+def metrics(policy: Policy, states: Sequence[State]) -> dict[str, float]:
+    """How often the pick is the cheapest candidate, how often that is among the first three, and the mean regret."""
+    picks = [policy.pick(s.x) for s in states]
+    order = [np.argsort(-policy.scores(s.x), kind="stable")[:3] for s in states]
+    return {
+        "top1": float(np.mean([s.cost[p] <= s.cost.min() for s, p in zip(states, picks, strict=True)])),
+        "top3": float(np.mean([int(np.argmin(s.cost)) in o for s, o in zip(states, order, strict=True)])),
+        "regret": float(np.mean([s.cost[p] - s.cost.min() for s, p in zip(states, picks, strict=True)])),
+    }
+
+
+def clone(features: Sequence[str], states: Sequence[State], epochs: int = 300, rate: float = 0.5, patience: int = 40) -> tuple[Policy, dict[str, float]]:
+    """A policy that imitates the cheapest candidates: cross entropy with the label plus REGRET_WEIGHT times what the
+    expected cost is above the least one. Every fifth state is held out, and the weights with the least regret there stay;
+    after ``patience`` epochs without gain the fit ends."""
+    held, fit = states[::5], [s for i, s in enumerate(states) if i % 5] or list(states)
+    spread = [max(float(np.ptp(s.cost)), 1e-12) for s in fit]
+    w, best, since = np.zeros(len(features)), None, 0
+    for _ in range(epochs):
+        grad = np.zeros_like(w)
+        for s, scale in zip(fit, spread, strict=True):
+            p = softmax(s.x @ w)
+            push = p.copy()
+            push[int(np.argmin(s.cost))] -= 1
+            c = s.cost / scale
+            push += REGRET_WEIGHT * p * (c - p @ c)  # the expected cost is never below the least
+            grad += s.weight * (push @ s.x)
+        w = w - rate * grad / sum(s.weight for s in fit)
+        policy = Policy(tuple(features), tuple(w.tolist()))
+        regret = metrics(policy, held or fit)["regret"]
+        if best is None or regret < best[0] - 1e-12:
+            best, since = (regret, policy), 0
+        else:
+            since += 1
+            if since >= patience:
+                break
+    return best[1], metrics(best[1], held or fit)
+
+
+def feature_dependence(policy: Policy, states: Sequence[State], seed: int = 1) -> dict[str, float]:
+    """How much regret grows when one feature's values are dealt anew among a state's candidates."""
+    base, out = metrics(policy, states)["regret"], {}
+    for k, name in enumerate(policy.features):
+        rng, mixed = np.random.default_rng([seed, k]), []
+        for s in states:
+            x = s.x.copy()
+            x[:, k] = rng.permutation(x[:, k])
+            mixed.append(replace(s, x=x))
+        out[name] = metrics(policy, mixed)["regret"] - base
+    return out
+
+
+@dataclass(frozen=True)
+class Case:
+    """Repairs of a scenario: MW that each brings back, and hours."""
+
+    mw: np.ndarray
+    hours: np.ndarray
+
+    def features(self, left: np.ndarray) -> np.ndarray:
+        mw, h = self.mw[left], self.hours[left]
+        rate = mw / np.maximum(h, 0.1)
+        return np.column_stack([mw / max(mw.max(), 1e-9), h / h.max(), rate / max(rate.max(), 1e-9)])
+
+
+FEATURES = ("power", "hours", "power_per_hour")
+
+
+def follow(policy: Policy, case: Case, rng: np.random.Generator | None = None) -> tuple[float, list[tuple[np.ndarray, int, float]]]:
+    """(energy not served, steps (features, pick, reward)); with ``rng`` picks are drawn. Rewards are what a step adds to
+    the energy, relative to that of the worst case."""
+    left, total, steps = np.arange(len(case.mw)), 0.0, []
+    scale = max(case.mw.sum() * case.hours.sum(), 1e-9)
+    while len(left):
+        x = case.features(left)
+        k = policy.pick(x) if rng is None else int(rng.choice(len(left), p=softmax(policy.scores(x))))
+        added = float(case.mw[left].sum() * case.hours[left[k]])
+        total += added
+        steps.append((x, k, -added / scale))
+        left = np.delete(left, k)
+    return total, steps
+
+
+def improve(policy: Policy, cases: Sequence[Case], rounds: int = 40, rate: float = 2.0, entropy: tuple[float, float] = (0.02, 0.0), most_kl: float = 0.05, guard: float = 1.02, seed: int = 1) -> tuple[Policy, list[float]]:
+    """Advantage updates on drawn replays of the cases, and the mean cost after each round.
+
+    Advantages are generalised ones against a linear value of a state's mean features. The weight of entropy falls from
+    the first to the second value. An update that moves the picks' distribution by more than ``most_kl`` is halved until
+    it doesn't. Of all rounds the cheapest policy is returned, unless it costs more than ``guard`` times the given one.
+    """
+    def cost(p: Policy) -> float:
+        return float(np.mean([follow(p, c)[0] for c in cases]))
+
+    value = np.zeros(len(policy.weights) + 1)
+    first = cost(policy)
+    best, history = (first, policy), [first]
+    now = policy
+    for i in range(rounds):
+        rng = np.random.default_rng([seed, i])
+        coefficient = entropy[0] + (entropy[1] - entropy[0]) * i / max(rounds - 1, 1)
+        grad, n, seen, points, targets = np.zeros(len(now.weights)), 0, [], [], []
+        for c in cases:
+            _, steps = follow(now, c, rng)
+            about = np.array([np.append(x.mean(axis=0), 1.0) for x, _, _ in steps])
+            guess = about @ value
+            gain = advantages(np.array([r for _, _, r in steps]), guess)
+            points.append(about)
+            targets.append(guess + gain)
+            for (x, k, _), a in zip(steps, gain, strict=True):
+                p = softmax(now.scores(x))
+                log_p = np.log(np.maximum(p, 1e-300))
+                push = -p * a
+                push[k] += a
+                push -= coefficient * p * (log_p - p @ log_p)
+                grad += push @ x
+                n += 1
+                seen.append((x, p, log_p))
+        value = np.linalg.lstsq(np.vstack(points), np.concatenate(targets), rcond=None)[0]
+        step = rate * grad / max(n, 1)
+        for _ in range(30):
+            new = replace(now, weights=tuple((np.array(now.weights) + step).tolist()))
+            moved = np.mean([p @ (log_p - np.log(np.maximum(softmax(new.scores(x)), 1e-300))) for x, p, log_p in seen])
+            if moved <= most_kl:
+                break
+            step = step / 2
+        now = new
+        history.append(cost(now))
+        if history[-1] < best[0]:
+            best = (history[-1], now)
+    return (best[1] if best[0] <= guard * first else policy), history

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import network, stages
+from ..functions import plane
+from ..operators import network, policies, stages
 from ..operators.scratch import scratch_path
-from ..sources import fetch, files, workbook
+from ..sources import arrays, fetch, files, workbook
+from . import built
 from . import views as v
 from .catalog import query
 from .views import Tables
@@ -230,3 +235,93 @@ def prepared_tables(t: Tables) -> DataFrame:
         stages.Stage("labels", {"labelled": lambda: episodes.select(label.alias("label"), learned.alias("learned"), "damage")}, {"unknown methods": lambda: episodes.where(~F.col("policy").isin(list(known))).select("policy"), "negative damage": lambda: episodes.where("not (damage >= 0)").select("scenario", "damage")}),
     ]
     return t.spark.read.parquet(stages.run(jobs, folder)["summary"])
+
+
+@query("S09 S10", """select kind, n_nationkey as row, n_nationkey + f as first, (n_regionkey * f)::double as second from nation, (values ('npy', 1.0::double), ('npz', 2.0)) k(kind, f)""")
+def array_files(t: Tables) -> DataFrame:
+    """Two-dimensional arrays as a plain file and in an archive."""
+    rows = [(r.n_nationkey, r.n_regionkey) for r in t.nation.orderBy("n_nationkey").collect()]  # 25 nations
+    folder = scratch_path(t.spark, "arrays")
+    for kind, f in (("npy", 1.0), ("npz", 2.0)):
+        a, out = np.array([(k + f, g * f) for k, g in rows], np.float32), io.BytesIO()
+        np.save(out, a) if kind == "npy" else np.savez(out, profiles=a)
+        fetch.write_bytes(t.spark, f"{folder}/a.{kind}", out.getvalue())
+    x = arrays.read_arrays(t.spark, f"{folder}/*")
+    return x.select(F.substring("path", -3, 3).alias("kind"), "row", F.get("values", F.lit(0)).alias("first"), F.get("values", F.lit(1)).alias("second"))
+
+
+@query("S17 (zipped shapefile)", "select n_name as name, cast(n_nationkey as varchar) as id, 4.0::double as area, (n_nationkey + 1)::double as x, (n_regionkey + 1)::double as y from nation")
+def shape_records(t: Tables) -> DataFrame:
+    """A square for each nation."""
+    rows = []
+    for r in t.nation.orderBy("n_nationkey").collect():  # 25 nations
+        x, y = float(r.n_nationkey), float(r.n_regionkey)
+        rows.append(({"NAME": r.n_name, "ID": str(r.n_nationkey)}, [[(x, y), (x + 2, y), (x + 2, y + 2), (x, y + 2), (x, y)]]))
+    path = scratch_path(t.spark, "shapes") + ".zip"
+    fetch.write_bytes(t.spark, path, arrays.shapefile(rows))
+    ring = F.col("rings")[0]
+    x, y = plane.centroid(ring)
+    return arrays.read_shapes(t.spark, path, ["NAME", "ID"]).select(F.col("NAME").alias("name"), F.col("ID").alias("id"), R(plane.area(ring), 6).alias("area"), R(x, 6).alias("x"), R(y, 6).alias("y"))
+
+
+ALBERS = """p as (select s_suppkey as id, radians(25 + s_suppkey % 200 / 10.0::double) as lat, radians(-110 + s_suppkey % 37::double + 96) as lon from supplier),
+c as (select f * (2 - f) as e2 from (select 1 / 298.257222101::double as f)), e as (select e2, sqrt(e2) as e from c),
+q as (select lat, (1 - e2) * (sin(lat) / (1 - e2 * sin(lat) * sin(lat)) - ln((1 - e * sin(lat)) / (1 + e * sin(lat))) / (2 * e)) as q, pow(cos(lat), 2) / (1 - e2 * sin(lat) * sin(lat)) as m from e, (select distinct lat from p union select radians(x::double) from (values (23.0), (29.5), (45.5)) v(x))),
+k as (select (a.m - b.m) / (b.q - a.q) as n, a.m + (a.m - b.m) / (b.q - a.q) * a.q as c, o.q as q0 from q a, q b, q o where a.lat = radians(29.5::double) and b.lat = radians(45.5::double) and o.lat = radians(23.0::double))"""
+
+
+@query("M03 (projection)", f"with {ALBERS} select id, round(6378137 * sqrt(c - n * q) / n * sin(n * lon), 2) as x, round(6378137 * sqrt(c - n * q0) / n - 6378137 * sqrt(c - n * q) / n * cos(n * lon), 2) as y from p join q using (lat), k")
+def projected_points(t: Tables) -> DataFrame:
+    """Metres in the conic equal-area projection of the conterminous states."""
+    k = F.col("s_suppkey")
+    x, y = plane.albers(-110 + (k % 37).cast("double"), 25 + k % 200 / 10.0)
+    return t.supplier.select(k.alias("id"), R(x, 2).alias("x"), R(y, 2).alias("y"))
+
+
+@query("M03 (clipping)", """with b as (select n_nationkey as id, greatest(n_nationkey, 5)::double as x1, least(n_nationkey + 4, 15)::double as x2, greatest(n_regionkey * 3, 4)::double as y1, least(n_regionkey * 3 + 4, 12)::double as y2 from nation)
+select id, (x2 - x1) * (y2 - y1) as area, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y from b where x2 > x1 and y2 > y1""")
+def clipped_land(t: Tables) -> DataFrame:
+    """Squares clipped to a box, without those that keep no area, and a point for the label of each."""
+    x, y = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double") * 3
+    ring = F.array(F.array(x, y), F.array(x + 4, y), F.array(x + 4, y + 4), F.array(x, y + 4))
+    kept = t.nation.select(F.col("n_nationkey").alias("id"), plane.clipped(ring, (5.0, 4.0, 15.0, 12.0)).alias("ring")).where(F.size("ring") > 2)
+    kept = kept.withColumn("area", plane.area(F.col("ring"))).where("area > 0")
+    at = plane.centroid(F.col("ring"))
+    return kept.select("id", R("area", 6).alias("area"), R(at[0], 6).alias("x"), R(at[1], 6).alias("y"))
+
+
+@query("L09 L10 L11 S29 X14", "select true as imitates, true as no_worse, true as loads_back, true as refuses_others, 3 as n_features")
+def trained_policy(t: Tables) -> DataFrame:
+    """A policy cloned from lookahead labels of a bounded sample of scenarios, improved by replays of some of them, saved and
+    loaded again. What must hold: it beats a policy without weights, its replays cost no more than the cloned one's
+    by the guard, and a checkpoint gives the same weights back, and none with another digest."""
+    from ..operators import learning
+
+    repairs = v.damage(t).join(v.node_power(t), "node").select("scenario", "node", (F.col("kw") / 1000).alias("mw"), F.col("repair_h").alias("hours"))
+    costs = learning.lookahead_costs(repairs, ["scenario"]).join(repairs, ["scenario", "node"])
+    scaled = costs.select("scenario", (F.col("mw") / 10).alias("power"), (F.col("hours") / 10).alias("hours"), (F.col("mw") / F.greatest("hours", F.lit(0.1))).alias("power_per_hour"), "cost")
+    states = policies.sample(scaled, "scenario", policies.FEATURES, "cost")
+    cloned, _ = policies.clone(policies.FEATURES, states)
+    blank = policies.Policy(policies.FEATURES, (0.0, 0.0, 0.0))
+    cases = [policies.Case(s.x[:, 0] * 10, s.x[:, 1] * 10) for s in states[:20]]
+    better, history = policies.improve(cloned, cases, rounds=5)
+    path = scratch_path(t.spark, "policy")
+    policies.save(t.spark, better, path, rounds=5)
+    same = policies.load(t.spark, path, better.digest) == better
+    try:
+        policies.load(t.spark, path, blank.digest)
+        refuses = False
+    except ValueError:
+        refuses = True
+    cost = lambda p: sum(policies.follow(p, c)[0] for c in cases)
+    row = (policies.metrics(cloned, states)["regret"] <= policies.metrics(blank, states)["regret"], cost(better) <= 1.02 * cost(cloned) + 1e-9, same, refuses, len(better.features))
+    return t.spark.createDataFrame([row], "imitates boolean, no_worse boolean, loads_back boolean, refuses_others boolean, n_features int")
+
+
+@query("M08", f"""with n as (select count(*) as n from customer where c_custkey > 1) select * from (select 'M06' as figure, count(distinct l_returnflag) * 4 as n_rows from lineitem union all select 'M07', n from n) where n_rows > 0""")
+def figure_dispatch(t: Tables) -> DataFrame:
+    """Figures' tables by name, each made by a stage of its own."""
+    jobs = [stages.Stage("M06", {"M06": lambda: built.benefit_cost_figure(t)}), stages.Stage("M07", {"M07": lambda: built.schematic_segments(t)})]
+    paths = stages.run(jobs, scratch_path(t.spark, "figures"), ["M07", "M06"])
+    rows = [t.spark.read.parquet(p).agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("figure"), "n_rows") for k, p in sorted(paths.items())]
+    return rows[0].unionByName(rows[1])

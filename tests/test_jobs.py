@@ -1,13 +1,15 @@
 """Network jobs, event economics, stages, workbooks and pinned files on small cases worked out by hand."""
 
+import io
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridmend.functions import scalar
-from gridmend.operators import economics, learning, network, relational, scratch, stages
-from gridmend.sources import fetch, workbook
+from gridmend.functions import plane, scalar
+from gridmend.operators import economics, learning, network, policies, relational, scratch, stages
+from gridmend.sources import arrays, fetch, workbook
 
 
 def test_network_between_protected_nodes(spark):
@@ -139,3 +141,65 @@ def test_pinned_files(spark, tmp_path):
 def test_broadcasts_are_checked(spark):
     df = spark.range(50)
     assert "hint" in scratch.small(df, 50)._jdf.queryExecution().logical().toString().lower() and "hint" not in scratch.small(df, 49)._jdf.queryExecution().logical().toString().lower()
+
+
+def _states(n=40, seed=3):
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        x = rng.uniform(size=(6, 3))
+        out.append(policies.State(x, 5 - 4 * x[:, 0] + 2 * x[:, 1]))
+    return out
+
+
+def test_cloned_policies_pick_the_cheapest():
+    states = _states()
+    policy, held = policies.clone(("a", "b", "c"), states)
+    assert held["top1"] > 0.7 and held["regret"] < 0.2 * policies.metrics(policies.Policy(("a", "b", "c"), (0.0, 0.0, 0.0)), states[::5])["regret"]
+    assert policies.clone(("a", "b", "c"), states)[0] == policy
+    lost = policies.feature_dependence(policy, states)
+    assert lost["a"] > lost["b"] > abs(lost["c"])
+
+
+def test_advantage_updates_lower_the_cost():
+    rng = np.random.default_rng(5)
+    cases = [policies.Case(rng.uniform(1, 9, 6), rng.uniform(1, 9, 6)) for _ in range(12)]
+    start = policies.Policy(policies.FEATURES, (0.0, 0.0, 0.0))
+    bad = policies.Policy(policies.FEATURES, (0.0, 2.0, 0.0))
+    better, history = policies.improve(bad, cases)
+    assert min(history) < 0.9 * history[0] and policies.follow(better, cases[0])[0] <= policies.follow(bad, cases[0])[0]
+    assert policies.improve(start, cases, rounds=3)[1] == policies.improve(start, cases, rounds=3)[1]
+
+
+def test_checkpoints_are_guarded(spark, tmp_path):
+    policy = policies.Policy(("a",), (1 / 3,))
+    policies.save(spark, policy, str(tmp_path / "p"), note="x")
+    assert policies.load(spark, str(tmp_path / "p"), policy.digest) == policy
+    with pytest.raises(ValueError, match="frozen"):
+        policies.load(spark, str(tmp_path / "p"), "0")
+    (part,) = (tmp_path / "p").glob("part-*")
+    body = part.read_text().replace(float(1 / 3).hex(), float(0.5).hex())
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "part.txt").write_text(body)
+    with pytest.raises(ValueError, match="frozen"):
+        policies.load(spark, str(tmp_path / "q"))
+
+
+def test_arrays_and_shapes(spark, tmp_path):
+    out = io.BytesIO()
+    np.savez(out, a=np.arange(6).reshape(2, 3), b=np.array([7.5]), c=np.array(2))
+    (tmp_path / "x.npz").write_bytes(out.getvalue())
+    got = {(r.name, r.row): r["values"] for r in arrays.read_arrays(spark, str(tmp_path / "x.npz")).collect()}
+    assert got == {("a", 0): [0.0, 1.0, 2.0], ("a", 1): [3.0, 4.0, 5.0], ("b", 0): [7.5], ("c", 0): [2.0]}
+    hole = [[(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (0.0, 0.0)], [(1.0, 2.0), (1.0, 3.0), (2.0, 3.0), (1.0, 2.0)]]
+    (tmp_path / "s.zip").write_bytes(arrays.shapefile([({"N": "é"}, hole), ({"N": "longer"}, hole[:1])]))
+    rows = arrays.read_shapes(spark, str(tmp_path / "s.zip"), ["N"]).collect()
+    assert [(r.record, r.N, len(r.rings)) for r in rows] == [(1, "é", 2), (2, "longer", 1)] and rows[0].rings[1][2] == [2.0, 3.0]
+
+
+def test_rings(spark):
+    ring = F.array(*(F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (4, 0), (4, 4), (0, 4))))
+    cut = plane.clipped(ring, (2.0, -1.0, 9.0, 3.0))
+    outside = plane.clipped(ring, (5.0, 5.0, 9.0, 9.0))
+    r = spark.range(1).select(plane.area(cut).alias("a"), plane.centroid(cut)[0].alias("x"), plane.centroid(cut)[1].alias("y"), F.size(outside).alias("n"), *(c.alias(k) for k, c in zip("uv", plane.albers(F.lit(-96.0), F.lit(23.0)), strict=True))).first()
+    assert (r.a, r.x, r.y, r.n) == pytest.approx((6.0, 3.0, 1.5, 0)) and (r.u, r.v) == pytest.approx((0.0, 0.0), abs=1e-6)
