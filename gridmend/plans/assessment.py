@@ -181,7 +181,7 @@ def _allocation_sql() -> str:
     return f"with {v.LOADS}, x as (select load_id, kw as t, kw * 0.3 as k, kw * (load_id % 13) / 10.0 as c, cast(load_id % 4 as double) * 50 as dc from loads), b as ({base}) {each}"
 
 
-@query("Q04 B6", _allocation_sql())
+@query("Q04", _allocation_sql())
 def supply_allocation_modes(t: Tables) -> DataFrame:
     x = v.loads(t).select("load_id", F.col("kw").alias("t"), (F.col("kw") * 0.3).alias("k"), (F.col("kw") * (F.col("load_id") % 13) / 10.0).alias("c"), (F.col("load_id") % 4).cast("double").alias("m"))
     rows = []
@@ -191,7 +191,7 @@ def supply_allocation_modes(t: Tables) -> DataFrame:
     return x.select("load_id", F.explode(F.array(*rows)).alias("r")).select("load_id", "r.*")
 
 
-@query("Q05 F18 B5", f"""with recursive {COPT}, grid as (select distinct cast(p_size * 6 as double) as demand from part), added as (select * from (values (0, 0.01), (1, 0.18), (2, 0.81)) a(up, w))
+@query("Q05 F18", f"""with recursive {COPT}, grid as (select distinct cast(p_size * 6 as double) as demand from part), added as (select * from (values (0, 0.01), (1, 0.18), (2, 0.81)) a(up, w))
 select fleet, demand, round(sum(case when capacity_mw + 30 * up < demand then w * p * (demand - capacity_mw - 30 * up) else 0 end), 6) as expected_shortage, round(sum(case when capacity_mw + 30 * up < demand then w * p else 0 end), 6) as p_shortage
 from grid, copt, added group by all""")
 def adequacy_table(t: Tables) -> DataFrame:
@@ -266,7 +266,7 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return x.select("subset", "policy", R("low", 3).alias("low"), R("high", 3).alias("high"))
 
 
-@query("F05 F06 B1", """select duration, round(v * case when duration <= 24 then duration else 24 * (case when duration <= 336 then exp((ln(duration) - ln(24.0)) * ln(8.0) / (ln(336.0) - ln(24.0)))
+@query("F05 F06", """select duration, round(v * case when duration <= 24 then duration else 24 * (case when duration <= 336 then exp((ln(duration) - ln(24.0)) * ln(8.0) / (ln(336.0) - ln(24.0)))
     else exp(ln(8.0) + (ln(duration) - ln(336.0)) * (ln(15.0) - ln(8.0)) / (ln(720.0) - ln(336.0))) end) end, 5) as per_kw
 from (select distinct cast(p_size as double) * 20 as duration, 25.0 as v from part)""")
 def duration_damage(t: Tables) -> DataFrame:
@@ -316,7 +316,7 @@ def four_case(t: Tables) -> DataFrame:
     return x.select("subset", *(R(k, 4).alias(k) for k in ("storm_without", "storm_with", "incremental")), R("incremental_bcr", 6).alias("incremental_bcr"))
 
 
-@query("E16 E17 B20", """with base as (select distinct p_size as a from part), path as (select a, t, 2024 + t as y from base, range(1, 21) r(t)),
+@query("E16 E17", """with base as (select distinct p_size as a from part), path as (select a, t, 2024 + t as y from base, range(1, 21) r(t)),
 val as (select a, t, case when y <= 2030 then a * (y - 2025) / 5.0 when y <= 2040 then a + (2.0 - a) * (y - 2030) / 10.0 else 2.0 end as x from path)
 select cast(a as integer) as at_2030, round(sum(x / pow(1.031, t)), 6) as present_value from val group by a""")
 def rate_path_pv(t: Tables) -> DataFrame:

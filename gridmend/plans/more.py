@@ -118,7 +118,7 @@ def storm_sample(t: Tables) -> DataFrame:
     return x.orderBy(hazard.uniform(11, F.col("storm")), "storm").limit(20).select("storm")
 
 
-@query("H05 H06 (note B13)", f"""with {a.TRACKS}, o as (select *, lat - lag(lat) over w as dlat, lon - lag(lon) over w as dlon, row_number() over (partition by storm order by time_index desc) as place from tracks window w as (partition by storm order by time_index)),
+@query("H05 H06", f"""with {a.TRACKS}, o as (select *, lat - lag(lat) over w as dlat, lon - lag(lon) over w as dlon, row_number() over (partition by storm order by time_index desc) as place from tracks window w as (partition by storm order by time_index)),
 l as (select *, greatest(1e-4, sqrt(pow(dlon * 111.321 * cos(radians((lat - dlat + lat) / 2)), 2) + pow(dlat * 111.0, 2))) as km, least(200, greatest(0, ceil(ln(speed / 20.0) / (0.005 * 15.0)))) as steps from o where place = 1),
 m as (select storm, time_index + k as time_index, lat + dlat * k * 15.0 / km as lat, lon + dlon * k * 15.0 / km as lon, speed * exp(-0.005 * k * 15.0) as speed from l, range(1, 201) r(k) where speed > 20 and k <= steps)
 select storm, count(*) as n, round(min(speed), 6) as last_speed, round(max(lat), 6) as max_lat, round(max(lon), 6) as max_lon from (select storm, lat, lon, speed from tracks union all select storm, lat, lon, speed from m) group by storm""")

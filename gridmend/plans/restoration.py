@@ -70,7 +70,7 @@ def waterfall_allocation(t: Tables) -> DataFrame:
     return out.select("load_id", "node", R("given", 6).alias("given"))
 
 
-@query("W13 O04 (legacy order)", f"""with {v.LOADS}, ranked as (select load_id, kw, coalesce(sum(kw) over (partition by r order by is_critical desc, voll desc, kw desc, node desc, load_id desc rows between unbounded preceding and 1 preceding), 0) as before, r
+@query("W13 O04 X21 (legacy order)", f"""with {v.LOADS}, ranked as (select load_id, kw, coalesce(sum(kw) over (partition by r order by is_critical desc, voll desc, kw desc, node desc, load_id desc rows between unbounded preceding and 1 preceding), 0) as before, r
   from (select *, node % 5 as r from loads))
 select load_id, r, round(greatest(0, least(kw, 15000 - before)), 6) as given from ranked""")
 def pooled_allocation(t: Tables) -> DataFrame:
@@ -136,7 +136,7 @@ def economic_segments(t: Tables) -> DataFrame:
     return s.select("scenario", *(R(k, 6).alias(k) for k in s.columns if k != "scenario"))
 
 
-@query("X22 B4 O02 O03", f"""with {v.LOADS}, {v.DAMAGE}, {v.NODE_POWER}, scored as (select scenario, node, kw / 1000 as gain, repair_h, row_number() over (partition by scenario order by kw desc, repair_h, node desc) as place from damage join node_power using (node))
+@query("X22 O02 O03", f"""with {v.LOADS}, {v.DAMAGE}, {v.NODE_POWER}, scored as (select scenario, node, kw / 1000 as gain, repair_h, row_number() over (partition by scenario order by kw desc, repair_h, node desc) as place from damage join node_power using (node))
 select scenario, node, place, round(gain, 6) as gain, round(gain / greatest(repair_h, 0.1), 6) as gain_per_hour from scored where place <= 5""")
 def candidate_screen(t: Tables) -> DataFrame:
     """The five repairs of a scenario that bring back most load; shorter ones first among equals."""
@@ -147,7 +147,7 @@ def candidate_screen(t: Tables) -> DataFrame:
     return best.select("scenario", "node", "place", R(gain, 6).alias("gain"), R(gain / F.greatest("repair_h", F.lit(0.1)), 6).alias("gain_per_hour"))
 
 
-@query("X20 X25 W11 B3", f"""with {v.TRAJECTORY}, p as (select scenario, step_index, end_h, least(15.0, unserved_mw) * duration_h as potential from trajectory),
+@query("X20 X25 W11", f"""with {v.TRAJECTORY}, p as (select scenario, step_index, end_h, least(15.0, unserved_mw) * duration_h as potential from trajectory),
 b as (select *, coalesce(sum(potential) over (partition by scenario order by step_index rows between unbounded preceding and 1 preceding), 0) as before from p),
 u as (select *, least(potential, greatest(0, 180 - before)) as used, greatest(0, 180 - before - potential) as remaining from b)
 select scenario, round(sum(used), 6) as used, round(min(remaining), 6) as remaining, round(min(case when remaining <= 1e-9 then end_h end), 6) as depleted_h from u group by scenario""")
@@ -158,7 +158,7 @@ def finite_energy_support(t: Tables) -> DataFrame:
     return s.groupBy("scenario").agg(R(F.sum("used"), 6).alias("used"), R(F.min("remaining"), 6).alias("remaining"), R(F.max("depleted_h"), 6).alias("depleted_h"))
 
 
-@query("J03 J09 T05 B19", f"""with {v.EPISODES}, r as (select scenario, subset, sum(damage) as damage, sum(ens) as ens from episodes group by 1, 2)
+@query("J03 J09 T05", f"""with {v.EPISODES}, r as (select scenario, subset, sum(damage) as damage, sum(ens) as ens from episodes group by 1, 2)
 select a.scenario, a.subset, round(100 * (b.damage - a.damage) / b.damage, 6) as damage_reduction_pct, round(100 * (b.ens - a.ens) / b.ens, 6) as ens_reduction_pct from r a join r b on a.scenario = b.scenario and b.subset = 'N' and a.subset <> 'N'""")
 def resource_benefit(t: Tables) -> DataFrame:
     runs = v.episodes(t).groupBy("scenario", "subset").agg(F.sum("damage").alias("damage"), F.sum("ens").alias("ens"))

@@ -325,3 +325,20 @@ def figure_dispatch(t: Tables) -> DataFrame:
     paths = stages.run(jobs, scratch_path(t.spark, "figures"), ["M07", "M06"])
     rows = [t.spark.read.parquet(p).agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("figure"), "n_rows") for k, p in sorted(paths.items())]
     return rows[0].unionByName(rows[1])
+
+
+@query("X16 E18 T08", """select * from (values ('good', cast(null as varchar)), ('missing', 'settings: reserve_h is missing'), ('unknown', 'settings: extra isn''t known'), ('range', 'settings: share must be a number from 0 to 1'), ('all', 'settings: reserve_h is missing; extra isn''t known; share must be a number from 0 to 1')) x(name, fault)""")
+def settings_faults(t: Tables) -> DataFrame:
+    """What is wrong with some settings; all faults are named at once."""
+    from ..operators import support
+
+    required = {"share": (0.0, 1.0), "reserve_h": (0.0, 48.0)}
+    given = {"good": {"share": 0.5, "reserve_h": 44}, "missing": {"share": 0.5}, "unknown": {"share": 0.5, "reserve_h": 44, "extra": 1}, "range": {"share": 2, "reserve_h": 44}, "all": {"share": True, "extra": 1}}
+    rows = []
+    for name, settings in given.items():
+        try:
+            support.validate_settings(settings, required)
+            rows.append((name, None))
+        except ValueError as e:
+            rows.append((name, str(e)))
+    return t.spark.createDataFrame(rows, "name string, fault string")
