@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from math import cos, log, pi, sqrt
+from math import log, pi
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,10 +31,6 @@ def normal(seed: int, *keys: Column) -> Column:
     return F.sqrt(-2.0 * F.ln(u)) * F.cos(2 * pi * v)
 
 
-def normal_of(seed: int, *keys: object) -> float:
-    return sqrt(-2.0 * log(uniform_of(seed, *keys, "radius"))) * cos(2 * pi * uniform_of(seed, *keys, "angle"))
-
-
 def poisson(mean: Column, u: Column, most: int = 200) -> Column:
     """How many of the cumulative probabilities of 0 to ``most`` - 1 lie below ``u``."""
 

@@ -38,11 +38,6 @@ def canonical_digest(obj: Column) -> Column:
     return F.sha2(F.to_json(obj), 256)
 
 
-def last_folder(path: Column, up: int = 1) -> Column:
-    parts = F.split(path, "/")
-    return F.element_at(parts, -1 - up)
-
-
 #: Fixed value: the form of a substation id.
 SUBSTATION = r"(?i)^(p\d+[ru])hs(\d+)_([0-9]+)$"
 

@@ -72,14 +72,14 @@ def host_ratio(grid: DataFrame, shares: DataFrame, property_tax: float, rate_eff
     return met.withColumns({"host_benefit": gain, "host_burden": burden, "host_ratio": ratio(gain, burden)})
 
 
-def rate_path(start: int, life: int, at_2030: float, at_2040: float) -> Column:
+def rate_path(start: int, life: int, at_2030: Column, at_2040: Column) -> Column:
     """A value for each year of life: linear from 0 at the start to 2030, linear to 2040, flat after."""
     year = lambda t: F.lit(start) + t - 1
 
     def value(t: Column) -> Column:
         y = year(t).cast("double")
-        rise = F.lit(at_2030) * (y - start) / max(2030 - start, 1)
-        return F.when(y <= 2030, rise).when(y <= 2040, F.lit(at_2030) + (at_2040 - at_2030) * (y - 2030) / 10).otherwise(at_2040)
+        rise = at_2030 * (y - start) / max(2030 - start, 1)
+        return F.when(y <= 2030, rise).when(y <= 2040, at_2030 + (at_2040 - at_2030) * (y - 2030) / 10).otherwise(at_2040)
 
     return F.transform(F.sequence(F.lit(1), F.lit(life)), value)
 

@@ -27,11 +27,6 @@ def conflicting(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.where("gm_0low <> gm_0high or gm_1low <> gm_1high").select(*keys, "rows")
 
 
-def collapsed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One of each key's identical rows; conflicts are for conflicting() to find."""
-    return df.dropDuplicates(list(keys))
-
-
 def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], metrics: Sequence[str], suffix: str = "_base") -> DataFrame:
     """``left`` with the metrics of the row of ``right`` with the same keys; ``right`` must be unique on them."""
     other = right.select(*keys, *(F.col(m).alias(m + suffix) for m in metrics))

@@ -321,7 +321,5 @@ val as (select a, t, case when y <= 2030 then a * (y - 2025) / 5.0 when y <= 204
 select cast(a as integer) as at_2030, round(sum(x / pow(1.031, t)), 6) as present_value from val group by a""")
 def rate_path_pv(t: Tables) -> DataFrame:
     base = t.part.select("p_size").distinct()
-    year = lambda k: F.lit(2024) + k
-    value = lambda k: F.when(year(k) <= 2030, F.col("p_size") * (year(k) - 2025) / 5.0).when(year(k) <= 2040, F.col("p_size") + (2.0 - F.col("p_size")) * (year(k) - 2030) / 10.0).otherwise(2.0)
-    path = F.transform(F.sequence(F.lit(1), F.lit(20)), value)
+    path = economics.rate_path(2025, 20, F.col("p_size").cast("double"), F.lit(2.0))
     return base.select(F.col("p_size").alias("at_2030"), R(economics.present_value(path, 0.031), 6).alias("present_value"))

@@ -69,13 +69,13 @@ def fetch_pinned(spark: SparkSession, manifest: Sequence[dict], folder: str, off
             spark._jvm.org.apache.hadoop.fs.FileUtil.copy(source, at, fs, p, False, conf)
             copied.add(item["name"])
     found = {r.name: r for r in digests(spark, folder).collect()}  # as many as the manifest has, and what else is there
-    wrong = [i["name"] for i in manifest if found[i["name"].rsplit("/", 1)[-1]].sha256 != i["sha256"]]
+    wrong = [i["name"] for i in manifest if found[i["name"]].sha256 != i["sha256"]]
     for name in copied & set(wrong):
         fs, p = _fs(spark, f"{folder}/{name}")
         fs.delete(p, False)
     if wrong:
         raise ValueError(f"digests differ: {sorted(wrong)}")
-    rows = [(i["name"], i["url"], i["sha256"], found[i["name"].rsplit("/", 1)[-1]].bytes, "fetched" if i["name"] in copied else "cached") for i in manifest]
+    rows = [(i["name"], i["url"], i["sha256"], found[i["name"]].bytes, "fetched" if i["name"] in copied else "cached") for i in manifest]
     return spark.createDataFrame(rows, "name string, url string, sha256 string, bytes long, status string")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,9 +84,12 @@ def point_in_ring(x, y, ring):
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of all files below a path."""
+    """(name, bytes, sha256) of all files below a path; names are relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    folder = re.sub(r"^[a-z0-9]+:/+", "/", path).rstrip("/") + "/"
+    at = F.instr("path", folder)
+    name = F.when(at > 0, F.substring("path", at + len(folder), F.length("path"))).otherwise(F.element_at(F.split("path", "/"), -1))
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest_violations(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
