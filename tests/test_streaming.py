@@ -10,7 +10,9 @@ from gridmend.streaming import timeline
 def stream(spark, small, tmp_path_factory):
     source = str(tmp_path_factory.mktemp("events"))
     events = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.orderBy("ts").repartitionByRange(3, "ts").write.mode("overwrite").parquet(source)
+    for day in ("2024-01-10", "2024-01-20", "2024-03-01"):  # one file after another, so that a stream meets them in order of time
+        begun = {"2024-01-10": "2023-01-01", "2024-01-20": "2024-01-10", "2024-03-01": "2024-01-20"}[day]
+        events.where(f"ts >= '{begun}' and ts < '{day}'").orderBy("ts").coalesce(1).write.mode("append").parquet(source)
     return events, lambda: timeline.events_stream(spark, source, events.schema)
 
 
