@@ -79,6 +79,17 @@ def claim(name: str, drop: Callable[[], None]) -> None:
     _held[:] = [name, drop]
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Holds the Arrow batches of a session to few rows, so that executors of 3 GB have room for very long texts.
+
+    Only the registered queries and the pipeline's stages call this, for sessions of their own; operators leave a
+    caller's settings alone. A lower setting is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def portions(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows, few at a time, so that a worker has few texts as Python strings at once. Spark itself holds a
     batch to spark.sql.execution.arrow.maxBytesPerBatch."""

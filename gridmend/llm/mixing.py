@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, erase, portions, table, written
+from .common import claim, erase, portions, small_batches, table, written
 
 #: Bounds of the fit: documents, domains (more are an error), hashed words of the classifier; projected steps before
 #: Newton steps, steps after which rates are written, and the error of a share at which either end.
@@ -388,5 +388,6 @@ def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """Rates and copies of every document for equal shares of all languages."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return mixed(docs, table(spark, sf_dir, "labels", "doc_id"))

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, table, without
+from .common import portions, small_batches, table, without
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: Bounds of the fit: labelled rows, bytes of a text that is used for it. At most 160 MB reach the driver, about
@@ -121,6 +121,7 @@ def classify_filter(docs: DataFrame, labels: DataFrame, train, least: float = 0.
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Every document's quality, learned from labelled rows that aren't held out. Null texts count as empty; repeated
     rows get the same score; an empty table gives an empty result."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), remainder(3) != 1)
     scored = score_quality(docs, model)

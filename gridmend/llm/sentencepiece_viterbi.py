@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, portions, table, without
+from .common import claim, portions, small_batches, table, without
 
 #: The letter that stands for a space, a fixed value of the format.
 SPACE = "▁"
@@ -194,40 +194,55 @@ class Codec:
         """Ids (int32) of a normalised text that comes in chunks, in portions, each as soon as no later letter can
         change it. What is open is never longer than the window of 4 x the longest piece."""
         text, begins, last, window = "", [0], [-1], 4 * self.longest
+        out: list[bytes] = []
         for chunk in chunks:
             if text and chunk and closes(text[-1], chunk[0]):
-                yield self.commit(text, begins, last, (len(text),))[0]
+                out.append(self.commit(text, begins, last, (len(text),))[0])
                 text, begins, last = "", [0], [-1]
             segments = SEGMENTS.findall(chunk)
-            ends = len(segments) - 1
-            for k, s in enumerate(segments):
-                if not text and k < ends:
-                    ids = self.young.get(s)
-                    if ids is None:
-                        ids = self.old.get(s)
-                        if ids is not None:
-                            self.keep(s, ids)
-                    if ids is not None:
-                        yield ids
-                        continue
-                for at in range(0, len(s), window):
-                    text += s[at : at + window]
-                    self.advance(text, begins, last)
-                    if len(text) >= window:
-                        ids, cut = self.commit(text, begins, last, range(max(0, len(begins) - self.longest), len(begins)))
-                        if cut:
-                            yield ids
-                            # the piece that ends at the cut stays known: it decides what may follow
-                            text, begins, last = text[cut:], [0, *(j - cut for j in begins[cut + 1 :])], last[cut:]
-                if k < ends:
-                    ids, _ = self.commit(text, begins, last, (len(text),))
-                    yield ids
-                    if text == s:
-                        self.keep(s, ids)
-                    text, begins, last = "", [0], [-1]
+            open_ = segments.pop() if segments else ""
+            if text and segments:  # the first stretch closes what is open
+                text, begins, last = self.search(segments[0], text, begins, last, window, out)
+                out.append(self.commit(text, begins, last, (len(text),))[0])
+                text, begins, last, segments = "", [0], [-1], segments[1:]
+            get, add = self.young.get, out.append
+            for s in segments:
+                ids = get(s)
+                if ids is None:
+                    ids = self.whole(s, window)
+                    get = self.young.get
+                add(ids)
+            text, begins, last = self.search(open_, text, begins, last, window, out)
+            if out:
+                yield b"".join(out)
+                out.clear()
         if text:
             yield self.commit(text, begins, last, (len(text),))[0]
 
+    def whole(self, segment: str, window: int) -> bytes:
+        """The ids of a stretch that begins and ends at a commit."""
+        ids = self.old.get(segment)
+        if ids is None:
+            out: list[bytes] = []
+            text, begins, last = self.search(segment, "", [0], [-1], window, out)
+            out.append(self.commit(text, begins, last, (len(text),))[0])
+            ids = b"".join(out)
+        self.keep(segment, ids)
+        return ids
+
+    def search(self, letters: str, text: str, begins: list[int], last: list[int], window: int, out: list[bytes]) -> tuple[str, list[int], list[int]]:
+        """What is open after further letters that nothing closes; what is sure before that goes to ``out``."""
+        for at in range(0, len(letters), window):
+            text += letters[at : at + window]
+            self.advance(text, begins, last)
+            if len(text) >= window:
+                ids, cut = self.commit(text, begins, last, range(max(0, len(begins) - self.longest), len(begins)))
+                if cut:
+                    out.append(ids)
+                    # the piece that ends at the cut stays known: it decides what may follow
+                    text, begins, last = text[cut:], [0, *(j - cut for j in begins[cut + 1 :])], last[cut:]
+        return text, begins, last
+
     def keep(self, segment: str, ids: bytes) -> None:
         if len(segment) <= KEPT_LETTERS:
             if len(self.young) >= CACHE:
@@ -339,4 +354,5 @@ def encoded_and_decoded(docs: DataFrame, model: Model) -> DataFrame:
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """The ids of every document, and how they decode."""
+    small_batches(spark)
     return encoded_and_decoded(table(spark, sf_dir, "documents", "doc_id", "text"), Model.read())

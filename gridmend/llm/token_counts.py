@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, portions, table, without
+from .common import claim, portions, small_batches, table, without
 
 #: Rows that the head-start table is built from, about; entries that it holds; entries of a worker's cache.
 SAMPLE_ROWS, TABLE_ENTRIES, CACHE_ENTRIES = 4_000, 50_000, 300_000
@@ -134,6 +134,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, out: str = "n_to
 
 def op7_token_counts(spark, sf_dir: str, limit: int = 512) -> DataFrame:
     """Bytes and tokens of every document, and whether it has more tokens than ``limit``."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     n_bytes = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
     counted = count_tokens(docs)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, erase, portions, table, without, written
+from .common import claim, erase, portions, small_batches, table, without, written
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: The bound of the fit: labelled rows. What is learned from them is kept whole: the lexicon and the clean words that
@@ -294,6 +294,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, out: str = "score") -> Dat
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from labelled rows that aren't held out. Null texts count as empty; repeated
     rows get the same score; an empty table gives an empty result."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     lexicon = fit(docs, labels, remainder(5) != 0)
