@@ -65,14 +65,14 @@ def poisson_steps() -> list[float]:
 def poisson_bootstrap(df: DataFrame, by: list[str], value: str, key: Column, draws: int = 200, seed: int = 1) -> DataFrame:
     """The same interval for groups of any size: each row counts a Poisson(1) number of times in each draw.
 
-    Null values count for nothing. The counts come from a hash of the row's key and the draw, so rows may be anywhere, and sums are combined before
+    Null values count for nothing, and neither do draws without any row. The counts come from a hash of the row's key and the draw, so rows may be anywhere, and sums are combined before
     the shuffle.
     """
     steps = poisson_steps()
     u = uniform(seed, key, F.col("draw"))
     count = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
     long = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("times", count)
-    means = long.where(F.col(value).isNotNull()).groupBy(*by, "draw").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
+    means = long.where(F.col(value).isNotNull()).groupBy(*by, "draw").agg((F.sum(F.col(value) * F.col("times")) / F.nullif(F.sum("times"), F.lit(0))).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 

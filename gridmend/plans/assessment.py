@@ -257,7 +257,7 @@ _TIMES = " + ".join(f"(u > {x!r})::int" for x in stats.poisson_steps())
 
 
 @query("ST01", f"""with {v.EPISODES}, draws as (select subset, policy, draw, damage, (cast('0x' || substr(sha256('11|' || subset || '|' || scenario || '|' || policy || '|' || draw), 1, 13) as bigint) + 0.5) / 4503599627370496.0 as u from episodes, range(1, 201) d(draw)),
-means as (select subset, policy, draw, sum(damage * ({_TIMES})) / sum({_TIMES}) as m from draws group by all)
+means as (select subset, policy, draw, sum(damage * ({_TIMES})) / nullif(sum({_TIMES}), 0) as m from draws group by all)
 select subset, policy, round(quantile_cont(m, 0.025), 3) as low, round(quantile_cont(m, 0.975), 3) as high from means group by all""")
 def bootstrap_ci(t: Tables) -> DataFrame:
     """Percentile intervals of means, each row counted a Poisson number of times in each of 200 draws."""

@@ -104,7 +104,7 @@ _STEPS = " + ".join(f"(u > {s!r})::int" for s in stats.poisson_steps())
 @query("X17 ST01 (scenario means)", f"""with {ZONES}, off as (select scenario, demand, ens_mwh as off from replayed where treatment = 'no_export'), met as (select r.*, off from replayed r join off using (scenario, demand)),
 whole as (select demand, treatment, count(*) as scenarios, round(avg(ens_mwh), 4) as mean, round(100 * (avg(off) - avg(ens_mwh)) / avg(off), 5) as aggregate_reduction_pct, round(avg(100 * (off - ens_mwh) / nullif(off, 0)), 5) as mean_scenario_reduction_pct from met group by all),
 draws as (select demand, treatment, draw, ens_mwh, {uniform_sql("'3|' || scenario || '|' || draw")} as u from met, range(1, 401) d(draw)),
-means as (select demand, treatment, draw, sum(ens_mwh * ({_STEPS})) / sum({_STEPS}) as m from draws group by all)
+means as (select demand, treatment, draw, sum(ens_mwh * ({_STEPS})) / nullif(sum({_STEPS}), 0) as m from draws group by all)
 select whole.*, low, high from whole join (select demand, treatment, round(quantile_cont(m, 0.025), 4) as low, round(quantile_cont(m, 0.975), 4) as high from means group by all) using (demand, treatment)""")
 def hurricane_aggregate(t: Tables) -> DataFrame:
     """Means over scenarios with an interval by resampling scenarios, and reductions of means and means of reductions."""
