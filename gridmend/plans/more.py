@@ -223,17 +223,17 @@ def _profiled(t: Tables) -> DataFrame:
 
 
 @query("B10 A33 S08", f"""with {v.LOADS}, p as (select event_type as profile_id, hour(ts) as t, count(*) / 100.0 as m from events group by 1, 2), l as (select ['click', 'error', 'view'][load_id % 3 + 1] as profile_id, sum(kw) as kw from loads group by 1)
-select cast(t as integer) as t, round(sum(kw * m), 4) as kw from l join p using (profile_id) group by t""")
+select cast(t as integer) as t, round(sum(kw * m), 6) as kw from l join p using (profile_id) group by t""")
 def load_timeseries(t: Tables) -> DataFrame:
     series = testbed.load_series(_profiled(t), _profiles(t))
-    return series.groupBy("t").agg(R(F.sum("kw"), 4).alias("kw"))
+    return series.groupBy("t").agg(R(F.sum("kw"), 6).alias("kw"))
 
 
 @query("B10 (series and profiles conserve power)", f"""with {v.LOADS}, p as (select event_type as profile_id, hour(ts) as t, count(*) / 100.0 as m from events group by 1, 2), l as (select ['click', 'error', 'view'][load_id % 3 + 1] as profile_id, sum(kw) as kw from loads group by 1)
-select cast(t as integer) as t, round(sum(kw * m), 4) as want, 0.0::double as residual from l join p using (profile_id) group by t""")
+select cast(t as integer) as t, round(sum(kw * m), 6) as want, 0.0::double as residual from l join p using (profile_id) group by t""")
 def load_conservation(t: Tables) -> DataFrame:
     x = testbed.conservation(testbed.load_series(_profiled(t), _profiles(t)), _profiled(t), _profiles(t))
-    return x.select("t", R("want", 4).alias("want"), R(F.abs(F.col("kw") - F.col("want")) / F.col("want"), 6).alias("residual"))
+    return x.select("t", R("want", 6).alias("want"), R(F.abs(F.col("kw") - F.col("want")) / F.col("want"), 6).alias("residual"))
 
 
 @query("B11 G10 T09", """select 'case isn''t connected' as rule, (select count(distinct r_regionkey) from region) - 1 as n union all select 'power isn''t positive', count(*) from customer where not (c_acctbal > 0) having count(*) > 0""")
