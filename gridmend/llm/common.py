@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and U+0009 to U+000D.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SPLIT_AT = r"[\x20\x09-\x0D]+"
+#: Bytes of a row group of intermediate tables: a writer holds one in memory, and texts may be in it.
+ROW_GROUP = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -45,7 +47,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut and lost executors lose nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

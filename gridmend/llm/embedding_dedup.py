@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import erase, table, written
-from .graph import components
+from .graph import members
 
 #: Bytes of codes in a block at most, classes that a block should have at least, rows and columns of one product,
 #: dimensions of one exact slice, and room for rounding.
@@ -214,7 +214,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, blocks: int | None
     both = written(found.where("links > 0").select("cls", "links", "root").unionByName(decided), "vector-links")
     erase(codes, found, decided)
     links = both.groupBy("cls").agg(F.sum("links").alias("links"))
-    roots = components(both.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    roots = members(both.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     known = classes.join(links, "cls", "left").join(roots, classes.cls == roots.node, "left")
     known = known.select("embedding", "first_id", F.col("n"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
     # written first: a join of two plain shuffles is one that Spark can split where a root is hot

@@ -12,8 +12,15 @@ from .common import erase, written
 
 #: Edges that a task joins in memory at a time.
 EDGES_TOGETHER = 50_000
-#: Parts that a node's edges are dealt into.
-SALTS = 4
+#: Parts that a node's edges are dealt into, and parts of the tasks that first agree on a node's least neighbour.
+SALTS, GROUPS = 4, 16
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m, n): the least b of each a, and its edges. A hub has a candidate from every task, so groups of tasks agree
+    first."""
+    once = edges.groupBy("a", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("tasks")).agg(F.min("b").alias("b"), F.count("*").alias("n"))
+    return once.groupBy("a").agg(F.min("b").alias("m"), F.sum("n").alias("n"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,17 +30,20 @@ def _large_star(edges: DataFrame) -> DataFrame:
     find no partner. As both sides are shuffled for the join, Spark can split what is still too large.
     """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).where("m < a").select(F.col("a").alias("at"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    least = _least(both).where("m < a").select(F.col("a").alias("at"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     larger = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     met = larger.join(least, (larger.a == least.at) & (larger.salt == least.part), "left")
     return met.select(F.col("b").alias("a"), F.coalesce("m", larger.a).alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Of edges whose a is the larger end."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), "m")
-    moved = edges.join(least, edges.a == least.at).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select(F.col("at").alias("a"), F.col("m").alias("b"))).distinct()
+    """Of edges whose a is the larger end: links the neighbours of a, and a itself, to the least of them. Only nodes with
+    several neighbours move any; their edges are dealt by a salt."""
+    least = _least(edges)
+    several = least.where("n > 1").select(F.col("a").alias("at"), "m", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("part"))
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(GROUPS)).cast("int"))
+    moved = salted.join(several, (salted.a == several["at"]) & (salted.salt == several.part)).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def _forests(edges: DataFrame) -> DataFrame:
@@ -72,8 +82,8 @@ def _forests(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(of, edges.schema)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of ``edges`` (a, b): root is the component's least node.
+def members(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node of ``edges`` (a, b) but the roots themselves; a root is its component's least node.
 
     Loops and repeated edges do no harm; nodes without edges aren't in the result; edges with a null end are
     ignored. Each round is written to the shared folder. A hub's edges meet only in joins, which Spark can split.
@@ -89,4 +99,10 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """members() with a row for each root too."""
+    found = members(edges)
+    return found.union(found.select(F.col("root").alias("node"), "root").distinct())

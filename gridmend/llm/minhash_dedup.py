@@ -7,11 +7,18 @@ components' first arrivals. Two signatures then agree in a component with the te
 repeats shingles has a second signature for which all weights are 1; two of these agree with the plain Jaccard. For
 other texts both signatures are the same.
 
-Both signatures are banded, with the same keys. Texts that share a band make coarse clusters (connected components over stars, not pairs).
-A cluster is dealt into blocks, and each pair of blocks is a tile: there pairs that look similar by either signature and
-aren't connected yet are verified on their whole shingle sets, the most similar ones first. Two texts are linked if
-their Jaccard similarity, plain or weighted, is at least 0.8. A tile returns a spanning forest, so what leaves it
-grows with the texts and not with their pairs. Exact copies (equal words) are one node throughout.
+Both signatures are banded, with the same keys. Texts that share a band are compared, in two turns:
+
+* each text with one other, the least text of the band that it shares most bands with. This connects most copies, and
+  sends each text once;
+* bands whose texts still lie in several connected parts are dealt into tiles, blocks of the texts outside the band's
+  largest part against all. A tile first gets signatures only and names the texts with a partner that looks similar
+  and isn't connected yet; these alone come to it once more as texts, and are verified on their whole shingle sets.
+
+Two texts are linked if their Jaccard similarity, plain or weighted, is at least 0.8. Links that only connect what is
+connected already aren't looked for: a tile returns a spanning forest, so what leaves it grows with the texts and not
+with their pairs. Exact copies (equal words) are one node throughout. Hot bands and hot texts are dealt over tiles and
+parts, and every join on them is one of two plain shuffles, which Spark can split.
 """
 
 from __future__ import annotations
@@ -25,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, portions, table, unused, written
-from .graph import components
+from .common import claim, erase, portions, small_batches, table, unused, written
+from .graph import members
 
 #: Words of a shingle, the similarity, bands and their rows, texts in a block.
 WORDS, SIMILARITY, BANDS, BAND_ROWS, BLOCK = 5, 0.8, 28, 5, 256
@@ -143,13 +150,19 @@ def digest(words: list[bytes]) -> bytes | None:
     return hashlib.md5(b" ".join(words)).digest() if words else None
 
 
+def place(key: bytes) -> int:
+    """The first eight bytes of a digest as a number in the same order as the digests, so that the text with the least
+    number is the least text too."""
+    return int.from_bytes(key[:8], "big") - (1 << 63)
+
+
 def _row_key(doc_id: object, text_key: bytes | None) -> bytes:
     return hashlib.md5(repr(doc_id).encode() + b"\n" + (text_key or b"")).digest()
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, key, bands): a digest of the words, one of the row, and the band keys, which only the first of a
-    task's equal texts has. Texts without words have neither h nor bands."""
+    """(doc_id, h, at, key, bands): a digest of the words, its place, a digest of the row, and the band keys, which only
+    the first of a task's equal texts has. Texts without words have neither h nor bands."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__, _hashes.clear)
@@ -183,57 +196,124 @@ def prints(docs: DataFrame) -> DataFrame:
                         size = 0
             flush()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array([_row_key(i, h) for i, h in zip(ids, keys, strict=True)], pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc_id", "h", "key", "bands"],
+                [b.column(0), pa.array(keys, pa.binary()), pa.array([None if h is None else place(h) for h in keys], pa.int64()), pa.array([_row_key(i, h) for i, h in zip(ids, keys, strict=True)], pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                names=["doc_id", "h", "at", "key", "bands"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, h binary, key binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, h binary, at long, key binary, bands array<long>")
 
 
-def stars(marked: DataFrame) -> DataFrame:
-    """(a, b): each text that shares a band with others, and the least of them. Bands are met in joins only."""
-    keyed = marked.where("bands is not null").select("h", F.explode("bands").alias("band")).repartition("band").dropDuplicates(["band", "h"])
-    lead = keyed.groupBy("band").agg(F.min("h").alias("lead"), F.max("h").alias("last")).where("lead <> last").select(F.col("band").alias("at"), "lead")
-    return keyed.join(lead, keyed.band == lead.at).where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
+def shared_bands(marked: DataFrame) -> DataFrame:
+    """(band, h, at, lead) of the texts that share a band with others; lead is the least place in the band."""
+    keyed = marked.where("bands is not null").select("h", "at", F.explode("bands").alias("band"))
+    # combined before the shuffle, and written, so that the join is one of two plain shuffles
+    lead = keyed.groupBy("band").agg(F.min("at").alias("lead"), F.max("at").alias("last"))
+    lead = written(lead.where("lead <> last").select(F.col("band").alias("of"), "lead"), "near-leads")
+    found = written(keyed.join(lead, keyed.band == lead.of).select("band", "h", "at", "lead").distinct(), "near-bands")
+    erase(lead)
+    return found
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    """(h, text): in each task, the first text with each digest."""
+    """(h, at, text): in each task, the first text with each digest, and its place."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in portions(batches):
             keys = [digest((t or "").encode("utf-8", "surrogatepass").split()) for t in b.column(0).to_pylist()]
             new = [h is not None and h not in seen and not seen.add(h) for h in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0)], names=["h", "text"]).filter(pa.array(new, pa.bool_()))
+            places = pa.array([None if h is None else place(h) for h in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), places, b.column(0)], names=["h", "at", "text"]).filter(pa.array(new, pa.bool_()))
+
+    return docs.select("text").mapInArrow(of, "h binary, at long, text string")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows that come sorted by their first ``keys`` columns, as (key, the other columns) for each key."""
+    now, held = None, []
+    for b in portions(batches):
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield now, [list(c) for c in zip(*held, strict=True)]
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield now, [list(c) for c in zip(*held, strict=True)]
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split()
+
+
+def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def star_links(near: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """(a, b): each text with the lead of the band that it shares most bands with, where they are similar."""
+    shared = near.where("at <> lead").groupBy("h", "lead").count()
+    best = written(shared.groupBy("h").agg(F.max(F.struct("count", "lead")).alias("x")).select(F.col("h").alias("of"), "x.lead"), "near-stars")
+    sizes = written(best.groupBy(F.col("lead").alias("to")).agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "near-sizes")
+    part = F.pmod(F.xxhash64("of", F.lit("part")), F.col("parts")).cast("int")
+    met = best.join(sizes, F.col("lead") == F.col("to")).select("of", "lead", part.alias("part"))
+    members = met.join(texts, F.col("of") == F.col("h")).select("lead", "part", F.lit(1).alias("side"), "h", "text")
+    leads = texts.join(sizes, F.col("at") == F.col("to")).select(F.col("to").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "h", "text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, _hashes.clear)
+        for _, (side, keys, said) in grouped(batches, 2):
+            sets = [shingles(words_of(t)) for t in said]
+            leads = [i for i, x in enumerate(side) if x == 0]
+            found = [(keys[i], keys[j]) for i, x in enumerate(side) if x == 1 for j in leads if similar(sets[i], sets[j]) >= SIMILARITY]
+            if found:
+                yield _edges(found)
+
+    made = written(dealt(members.unionByName(leads), "lead", "part").mapInArrow(of, "a binary, b binary"), "near-links")
+    erase(best, sizes)
+    return made
 
-    return docs.select("text").mapInArrow(of, "h binary, text string")
 
+def signed(texts: DataFrame) -> DataFrame:
+    """(h, sig, plain) of (h, text); plain is null where it is the same."""
 
-def tile_edges(keys: list[bytes], side: np.ndarray, texts: list[str]) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links of a tile: pairs across the two sides, or all if there is one side."""
-    once = {h: i for i, h in reversed(list(enumerate(keys)))}
-    rows = sorted(once.values())
-    keys, side, sets = [keys[i] for i in rows], side[rows], [shingles(texts[i].encode("utf-8", "surrogatepass").split()) for i in rows]
-    sigs, plains, start = [], [], 0
-    while start < len(sets):  # by portions of bounded size
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, _hashes.clear)
+        for b in portions(batches):
+            sig, plain, again = signatures_of([shingles(words_of(t)) for t in b.column(1).to_pylist()])
+            rows = [plain[i].tobytes() if again[i] else None for i in range(len(sig))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(rows, pa.binary())], names=["h", "sig", "plain"])
+
+    return texts.select("h", "text").mapInArrow(of, "h binary, sig binary, plain binary")
+
+
+def signatures_of(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted and plain signatures, and where they differ, by portions of bounded size."""
+    parts, start = [], 0
+    while start < len(sets):
         end, size = start, 0
         while end < len(sets) and (end == start or size + len(sets[end][0]) <= TOGETHER):
             size += len(sets[end][0])
             end += 1
-        weighted, plain = both_signatures(sets[start:end])
-        sigs.append(weighted), plains.append(plain)
+        parts.append(both_signatures(sets[start:end]))
         start = end
-    sig, plain = np.concatenate(sigs), np.concatenate(plains)
     again = np.zeros(len(sets), bool)
     again[repeating(sets)] = True
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    one = not len(left) or not len(right)
-    if one and side.any():
-        return []
-    right = left if one else right
-    found = []
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), again
+
+
+def alike(sig: np.ndarray, plain: np.ndarray, again: np.ndarray, side: np.ndarray, part: np.ndarray, one: bool, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, share) of the pairs of a tile that look similar, lie in different parts, and have ``band`` as the least of
+    the bands that they share, so that a pair is looked at once; ``one``: the tile is a block with itself."""
+    keys = (bands(sig), bands(plain))
+    left = np.flatnonzero(side == 0)
+    right = left if one else np.flatnonzero(side == 1)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     for i in range(0, len(left), 32):
         rows = left[i : i + 32]
         share = (sig[rows][:, None, :] == sig[right][None, :, :]).mean(axis=2)
@@ -244,11 +324,30 @@ def tile_edges(keys: list[bytes], side: np.ndarray, texts: list[str]) -> list[tu
             share[:, c] = np.maximum(share[:, c], (plain[rows][:, None, :] == plain[right[c]][None, :, :]).mean(axis=2))
         r, c = np.nonzero(share >= LOOKS)
         u, v, s = rows[r], right[c], share[r, c]
-        keep = u < v if one else slice(None)
-        found.append((u[keep], v[keep], s[keep]))
-    u, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(-s, kind="stable")
-    root = list(range(len(keys)))
+        keep = part[u] != part[v]
+        if one:
+            keep &= u < v
+        u, v, s = u[keep], v[keep], s[keep]
+        first = np.full(len(u), np.iinfo(np.int64).max)
+        for a in keys:
+            for b in keys:
+                first = np.minimum(first, np.where(a[u] == b[v], a[u], first[:, None]).min(axis=1))
+        found.append((u[first == band], v[first == band], s[first == band]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def unpacked(sig: list[bytes], plain: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted and plain signatures as arrays, and where they differ."""
+    both = [np.frombuffer(b"".join(x), np.uint32).reshape(len(sig), SIZE) for x in (sig, [p or s for p, s in zip(plain, sig, strict=True)])]
+    return both[0], both[1], np.array([x is not None for x in plain])
+
+
+def tile_links(keys: list[bytes], side: np.ndarray, part: np.ndarray, sig: list[bytes], plain: list[bytes | None], texts: list[str], one: bool, band: int) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links of a tile between what isn't connected yet."""
+    u, v, share = alike(*unpacked(sig, plain), side, part, one, band)
+    sets = [shingles(words_of(t)) for t in texts]
+    order = np.argsort(-share, kind="stable")
+    root, found = list(range(int(part.max()) + 1)), []
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -257,59 +356,99 @@ def tile_edges(keys: list[bytes], side: np.ndarray, texts: list[str]) -> list[tu
         return x
 
     for a, b in zip(u[order].tolist(), v[order].tolist(), strict=True):
-        x, y = top(a), top(b)
+        x, y = top(part[a]), top(part[b])
         if x != y and similar(sets[a], sets[b]) >= SIMILARITY:
             root[max(x, y)] = min(x, y)
-    return [(keys[i], keys[t]) for i in range(len(keys)) if (t := top(i)) != i]
-
-
-def links(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links that connect what is similar within each coarse cluster (node, root)."""
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("root", "at")
-    placed = clusters.join(sizes, clusters.root == sizes.at).select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("home"))
-    # texts are far larger than the clusters, however few these are: the plan is the same at every size
-    texts = texts_of(docs).hint("merge")
-    members = placed.join(texts, placed.node == texts.h).select("h", "text", "root", "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = members.select("root", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), (F.col("home") > F.col("other")).cast("int").alias("side"), "h", "text")
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found.append((keys[a], keys[b]))
+    return found
+
+
+def tile_rows(near: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """(band, kind, i, j, side, h, part) of the bands whose texts lie in several parts (node, root). Kind 0: blocks
+    outside the band's largest part with each other; kind 1: such a block i with block j of that part."""
+    rows = near.select("band", "h").join(parts, F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("root", "h").alias("part"))
+    counts = rows.groupBy("band", "part").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(F.col("band").alias("at")).agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("total")).where("main.n < total")
+    open_ = written(sizes.select("at", F.col("main.part").alias("main"), F.ceil((F.col("total") - F.col("main.n")) / block).cast("int").alias("apart"), F.ceil(F.col("main.n") / block).cast("int").alias("whole")), "near-open")
+    stray = F.col("part") != F.col("main")
+    placed = rows.join(open_, F.col("band") == F.col("at")).withColumn("x", F.pmod(F.xxhash64("h", F.lit("block")), F.when(stray, F.col("apart")).otherwise(F.col("whole"))).cast("int"))
+    tile = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    x = F.col("x")
+    among = F.transform(upto("apart"), lambda y: tile(0, F.least(x, y), F.greatest(x, y), x > y))
+    across = F.transform(upto("whole"), lambda y: tile(1, x, y, F.lit(0)))
+    back = F.transform(upto("apart"), lambda y: tile(1, y, x, F.lit(1)))
+    return placed.select("band", "h", "part", F.explode(F.when(stray, F.concat(among, across)).otherwise(back)).alias("t")).select("band", "t.*", "h", "part")
+
+
+def tiled_links(near: DataFrame, texts: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """(a, b): verified links that connect what is similar within each band and isn't connected yet."""
+    rows = written(tile_rows(near, parts, block), "near-tiles")
+    some = rows.select(F.col("h").alias("of")).distinct()
+    prints_ = written(signed(texts.join(some, F.col("h") == F.col("of"), "left_semi")), "near-signatures")
+    marked = rows.join(prints_.withColumnRenamed("h", "of"), F.col("h") == F.col("of")).select("band", "kind", "i", "j", "side", "h", "part", "sig", "plain")
+
+    def numbered(part: list[bytes]) -> np.ndarray:
+        known: dict[bytes, int] = {}
+        return np.array([known.setdefault(x, len(known)) for x in part])
+
+    def looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band, kind, i, j), (side, keys, part, sig, plain) in grouped(batches, 4):
+            u, v, _ = alike(*unpacked(sig, plain), np.array(side), numbered(part), kind == 0 and i == j, band)
+            at = np.unique(np.concatenate([u, v])).tolist()
+            if at:
+                out = [[band] * len(at), [kind] * len(at), [i] * len(at), [j] * len(at), [side[k] for k in at], *([c[k] for k in at] for c in (keys, part, sig, plain))]
+                kinds = (pa.int64(), *[pa.int32()] * 4, *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["band", "kind", "i", "j", "side", "of", "part", "sig", "plain"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__, _hashes.clear)
-        now, keys, side, texts = None, [], [], []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            edges = tile_edges(keys, np.array(side), texts) if len(keys) > 1 else []
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-        for b in portions(batches):
-            for root, i, j, s, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (root, i, j) != now:
-                    yield from done()
-                    now, keys, side, texts = (root, i, j), [], [], []
-                keys.append(h), side.append(s), texts.append(t)
-        yield from done()
-
-    return tiles.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(of, "a binary, b binary")
+        for (band, kind, i, j), (side, keys, part, sig, plain, said) in grouped(batches, 4):
+            found = tile_links(keys, np.array(side), numbered(part), sig, plain, said, kind == 0 and i == j, band)
+            if found:
+                yield _edges(found)
+
+    open_ = written(dealt(marked, "band", "kind", "i", "j").mapInArrow(looks, "band long, kind int, i int, j int, side int, of binary, part binary, sig binary, plain binary"), "near-looks")
+    whole = open_.join(texts, F.col("h") == F.col("of")).select("band", "kind", "i", "j", "side", "h", "part", "sig", "plain", "text")
+    made = written(dealt(whole, "band", "kind", "i", "j").mapInArrow(verify, "a binary, b binary"), "near-links")
+    erase(rows, prints_, open_)
+    return made
+
+
+def links(docs: DataFrame, marked: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): verified links that connect all texts that share a band and are similar, or are connected by such."""
+    near = shared_bands(marked)
+    some = near.select(F.col("h").alias("of")).distinct()
+    # texts are far larger than the ids of those in question, however few these are: the plan is the same at every size
+    texts = written(texts_of(docs).join(some.hint("merge"), F.col("h") == F.col("of"), "left_semi").dropDuplicates(["h"]), "near-texts")
+    first = star_links(near, texts, block)
+    parts = written(members(first), "near-parts")
+    both = written(first.unionByName(tiled_links(near, texts, parts, block)), "near-links")
+    erase(near, texts, first, parts)
+    return both
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, key, class_id) for each row of ``docs`` (doc_id, text): class_id is the least doc_id of the row's class.
 
     Texts without words, null ones included, are classes of their own. Repeated rows fall into one class. Null ids
-    don't give a class its id unless it has no other.
+    don't give a class its id unless it has no other. Very long texts are compared whole; an empty table gives an empty
+    result.
     """
     marked = written(prints(docs), "prints")
-    clusters = written(components(stars(marked)), "clusters")
-    roots = components(written(links(docs, clusters), "near-links"))
-    texts = marked.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    known = texts.join(roots, texts.h == roots.node, "left").select("h", "first_id", F.coalesce("root", "h").alias("root"))
-    least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    known = known.join(least, "root").select("h", "class_id")
+    found = links(docs, marked, BLOCK)
+    roots = members(found)
+    firsts = marked.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first_id"))
+    firsts = written(firsts.join(roots, firsts.h == roots.node, "left").select("h", "first_id", F.coalesce("root", "h").alias("root")), "near-firsts")
+    least = firsts.groupBy(F.col("root").alias("at")).agg(F.min("first_id").alias("class_id"), F.count("*").alias("texts"))
+    least = written(least.where("texts > 1").drop("texts"), "near-classes")
+    known = firsts.join(least, firsts.root == least.at, "left").select("h", F.when(F.col("at").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"))
     return marked.select("doc_id", "h", "key").join(known, "h", "left").select("doc_id", "key", F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each class of ``docs``, columns unchanged: that with the least doc_id, once if it is repeated."""
+    """One row of each class of ``docs``, columns unchanged: that with the least doc_id, once if it is repeated. Columns
+    of any other name are carried along; odd rows are treated as in near_duplicates."""
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key").distinct()
     own = unused(docs, "gm_key")
     at = (docs.columns.index("doc_id"), docs.columns.index("text"))
@@ -326,5 +465,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """Each document with the id of its near-duplicate class; kept is true for the one that stands for the class."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))

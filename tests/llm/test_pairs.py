@@ -3,6 +3,7 @@
 import collections
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gridmend.llm import embedding_dedup as emb
 from gridmend.llm import minhash_dedup as mh
+from gridmend.llm import mixing, oracles, quality_classifier
 from gridmend.llm.common import written
 from gridmend.llm.graph import components
+from gridmend.llm.learning import remainder
 
 
 def classes(n, pairs):
@@ -74,12 +77,30 @@ def test_classes_are_those_of_all_pairs(spark, copies, monkeypatch):
     assert got == dict(enumerate(want)) and len(set(want)) < len(want) - 150
 
 
-def test_large_clusters_are_solved_in_tiles(spark, copies):
+def test_large_bands_are_solved_in_tiles(spark, copies):
     df = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
     marked = written(mh.prints(df), "t")
-    clusters = written(components(mh.stars(marked)), "t")
-    a = components(mh.links(df, clusters, 40))
-    assert a.exceptAll(components(mh.links(df, clusters, 4096))).count() == 0
+    near = mh.shared_bands(marked)
+    assert mh.tile_rows(near, spark.createDataFrame([], "node binary, root binary"), 20).where("kind = 1 and i <> j").count() > 0
+    a = components(mh.links(df, marked, 20))
+    assert a.exceptAll(components(mh.links(df, marked, 4096))).count() == 0
+
+
+def test_tiles_alone_find_all_links(spark, copies):
+    """Without the first turn, so that every link must come from the tiles."""
+    df = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    marked = written(mh.prints(df), "t")
+    near = mh.shared_bands(marked)
+    texts = written(mh.texts_of(df), "t").dropDuplicates(["h"])
+    none = spark.createDataFrame([], "node binary, root binary")
+    for block in (30, 1000):
+        found = components(mh.tiled_links(near, texts, none, block))
+        firsts = marked.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("i")).join(found, F.col("h") == F.col("node")).collect()
+        least = {}
+        for r in firsts:
+            least[r.root] = min(least.get(r.root, r.i), r.i)
+        want = classes(len(copies), similar_pairs(copies))
+        assert all(want[r.i] == least[r.root] for r in firsts) and len(firsts) > 120
 
 
 def test_copies_with_a_repeated_passage_are_linked(spark):
@@ -245,6 +266,14 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns, name
         seen.append(docs.toPandas())
     rules, quality, dedup, mix = seen
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    verdict = con.execute(f"select doc_id from ({oracles.quality_rules()}) where kept").df()
+    assert sorted(rules.doc_id) == sorted(verdict.doc_id)
+    whole = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = quality_classifier.fit(whole, spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality"), remainder(3) != 1)
+    likely = model.score(rules.text.tolist())
+    assert sorted(quality.doc_id) == sorted(rules.doc_id[likely >= corpus_pipeline.LEAST_QUALITY]) and len(quality) <= len(rules)
     labels = pd.read_parquet(f"{folder}/labels.parquet").set_index("doc_id").quality
     good = quality.doc_id.map(labels)
     assert (good.dropna() == 1).mean() > 0.98 and len(quality) >= 0.99 * len(rules)
@@ -252,8 +281,11 @@ def test_pipeline_stages(spark):
     want = classes(len(texts), similar_pairs(texts))
     assert len(dedup) == len(set(want)) and set(dedup.text) == {texts[i] for i in set(want)}
     assert set(mix.doc_id) <= set(dedup.doc_id)
-    tokens = mix.text.str.split().str.len().groupby(mix.lang).sum()
-    assert tokens.max() / tokens.min() < 1.5
+    rows = mixing.mixed(spark.createDataFrame(dedup[["doc_id", "text", "lang"]]), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id")).toPandas()
+    tokens = (rows.rate * rows.n_tokens).groupby(rows.domain).sum()
+    assert tokens.max() / tokens.min() < 1.05
+    copies = mix.doc_id.value_counts()
+    assert all(copies.get(i, 0) == n for i, n in zip(rows.doc_id, rows.copies, strict=True)) and len(mix) == rows.copies.sum()
     out = corpus_pipeline.STAGES[-1][1](spark, docs, folder).toPandas()
     assert len(out) == len(mix) and out.exact.all()
 
