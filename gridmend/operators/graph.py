@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scratch import cut, erase, small
@@ -18,7 +18,7 @@ def normal_edges(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), node: str = "node") -> DataFrame:
     """``nodes`` with the least node of their component as ``component``.
 
-    Labels hook to the least label around them and then jump to their label's label, so rounds grow with the
+    In each round a label becomes the least of its own, those around it, and its label's label, so rounds grow with the
     logarithm of a chain's length. ``keys`` keep graphs apart: many small graphs are solved in one go.
     """
     keys = list(keys)
@@ -28,14 +28,14 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), nod
     while True:
         there = now.select(*keys, F.col("n").alias("b"), F.col("label").alias("near"))
         least = both.join(there, [*keys, "b"]).groupBy(*keys, "a").agg(F.min("near").alias("near"))
-        hooked = now.join(least.withColumnRenamed("a", "n"), [*keys, "n"], "left").select(*keys, "n", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        hooked = cut(hooked, "graph-labels")
-        target = hooked.select(*keys, F.col("n").alias("label"), F.col("label").alias("jump"))
-        new = cut(hooked.join(target, [*keys, "label"], "left").select(*keys, "n", F.least("label", F.coalesce("jump", "label")).alias("label"), "old"), "graph-labels")
-        changed = new.where("label <> old").limit(1).count()
-        erase(now, hooked)
-        now = new.drop("old")
-        if not changed:
+        jump = now.select(*keys, F.col("n").alias("label"), F.col("label").alias("jump"))
+        met = now.join(least.withColumnRenamed("a", "n"), [*keys, "n"], "left").join(jump, [*keys, "label"], "left")
+        moved = met.select(*keys, "n", F.least("label", F.coalesce("near", "label"), F.coalesce("jump", "label")).alias("new"), "label")
+        seen = Observation()  # counted while the table is written
+        new = cut(moved.observe(seen, F.count_if(F.col("new") != F.col("label")).alias("changed")).select(*keys, "n", F.col("new").alias("label")), "graph-labels")
+        erase(now)
+        now = new
+        if not seen.get["changed"]:
             erase(both)
             return now.select(*keys, F.col("n").alias(node), F.col("label").alias("component"))
 
