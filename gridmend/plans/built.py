@@ -14,10 +14,11 @@ from .views import Tables
 
 R = F.round
 
-#: A feeder: a tree over customers, stretches of seven in a row hung below one another.
+#: A feeder: a tree over customers, stretches of seven in a row hung below one another; those with a balance over 4,000
+#: have a load.
 FEEDER = """nodes as (select c_custkey as node, case when c_custkey % 50 = 0 then 115.0 when c_custkey % 5 < 4 then 12.47 else 0.48 end::double as kv from customer),
 edges as (select c_custkey as edge_id, case when c_custkey % 7 <> 1 then c_custkey - 1 else c_custkey // 7 end as a, c_custkey as b, c_custkey % 31 = 0 as is_switch, c_custkey % 17 = 0 as is_transformer from customer where c_custkey > 1),
-power as (select c_custkey as load_id, c_custkey as node, greatest(c_acctbal, 0)::double / 10 + 1 as kw from customer where c_custkey % 4 = 0),
+power as (select c_custkey as load_id, c_custkey as node, c_acctbal::double / 100 + 1 as kw from customer where c_acctbal > 4000),
 ends as (select edge_id, a as node, b as other, is_switch, is_transformer from edges union all select edge_id, b, a, is_switch, is_transformer from edges),
 reasons as (select 1 as node, 'root' as reason union select node, 'branch' from (select node, count(distinct other) as d from ends group by node having count(distinct other) >= 3) join nodes using (node) where kv >= 7.2
   union select node, 'load' from (select node, sum(kw) as kw from power group by node) where kw >= (select quantile_cont(kw, 0.95) from (select sum(kw) as kw from power group by node))
@@ -36,7 +37,7 @@ def feeder(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     k = F.col("c_custkey")
     nodes = t.customer.select(k.alias("node"), F.when(k % 50 == 0, 115.0).when(k % 5 < 4, 12.47).otherwise(0.48).alias("kv"))
     edges = t.customer.where("c_custkey > 1").select(k.alias("edge_id"), F.when(k % 7 != 1, k - 1).otherwise(F.floor(k / 7)).alias("a"), k.alias("b"), (k % 31 == 0).alias("is_switch"), (k % 17 == 0).alias("is_transformer"))
-    loads = t.customer.where("c_custkey % 4 = 0").select(k.alias("load_id"), k.alias("node"), (F.greatest(F.col("c_acctbal"), F.lit(0.0)).cast("double") / 10 + 1).alias("kw"))
+    loads = t.customer.where("c_acctbal > 4000").select(k.alias("load_id"), k.alias("node"), (F.col("c_acctbal").cast("double") / 100 + 1).alias("kw"))
     return nodes, edges, loads
 
 
@@ -64,7 +65,7 @@ def aggregated_links(t: Tables) -> DataFrame:
     return links
 
 
-@query("G07", """with recursive cut as (select c_custkey as k, case when c_custkey = 1 or c_custkey % 97 = 0 then null when c_custkey % 7 <> 1 then c_custkey - 1 else c_custkey // 7 end as parent, case when c_custkey % 4 = 0 then greatest(c_acctbal, 0)::double / 10 + 1 else 0 end as kw from customer),
+@query("G07", """with recursive cut as (select c_custkey as k, case when c_custkey = 1 or c_custkey % 97 = 0 then null when c_custkey % 7 <> 1 then c_custkey - 1 else c_custkey // 7 end as parent, case when c_acctbal > 4000 then c_acctbal::double / 100 + 1 else 0 end as kw from customer),
 up(k, top) as (select k, k from cut where parent is null union all select c.k, u.top from cut c join up u on u.k = c.parent)
 select top as component, top as node, round(sum(kw), 6) as kw from up join cut using (k) where top <> 1 group by top having sum(kw) > 0""")
 def dark_connectors(t: Tables) -> DataFrame:
