@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,6 +71,7 @@ def clear(spark: SparkSession) -> None:
 
 
 _held: list = []
+_libc = ctypes.CDLL(None)
 
 
 def claim(name: str, drop: Callable[[], None]) -> None:
@@ -78,6 +80,8 @@ def claim(name: str, drop: Callable[[], None]) -> None:
     if _held and _held[0] != name:
         _held[1]()
         pa.default_memory_pool().release_unused()
+        if hasattr(_libc, "malloc_trim"):
+            _libc.malloc_trim(0)  # else what a worker once held stays with it
     _held[:] = [name, drop]
 
 
