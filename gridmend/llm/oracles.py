@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import chat_format, sharding
+from . import filter_audit as filter_audit_module
 from .quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, SYMBOLS, Rules
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -84,3 +85,55 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
   cast(sum({frame} + length({escaped("role")}) + length({escaped("text")})) as bigint) as formatted_chars from t group by conv_id"""
+
+
+_CRC_STEPS = """steps as (select list(c order by i) as t from (select i, list_reduce(list_concat([cast(i as ubigint)], [cast(x as ubigint) for x in range(8)]), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as c from range(256) r(i)))"""
+
+
+def structure_repair() -> str:
+    """Op 11: the cheapest and then least edits by recursion from each conversation's end."""
+    said = lambda c: f"coalesce(cast({c} as varchar), ' ')"
+    return f"""with recursive {_CRC_STEPS},
+keyed as (select conv_id, turn, {said("role")} as role, {said("text")} as text, [cast('0x' || b as ubigint) for b in regexp_extract_all(hex(encode({said("conv_id")} || ':' || {said("turn")})), '..')] as bytes from conversations),
+hit as (select *, xor(list_reduce(list_concat([4294967295::ubigint], bytes), lambda c, b: xor(c >> 8, t[cast(1 + (xor(c, b) & 255) as bigint)])), 4294967295::ubigint) % 20 as h from keyed, steps),
+damaged as (select conv_id, turn, case h when 4 then 'user' else role end as role, case h when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case h when 3 then [0, 1] else [0] end) as again from hit where h <> 0),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, again) as i, substr(role, 1, 1) as initial, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') as said from damaged),
+faulty as (select *, case when said = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate' when right(said, 1) not in ('.', '!', '?') then 'truncated' end as fault, lag(initial) over (partition by conv_id order by i) as prev from numbered),
+sized as (select conv_id as cid, count(*) as n from faulty group by conv_id),
+arc(s, letter, target, must_keep) as (values (0, 'D', 0, null), (1, 'D', 1, null), (2, 'D', 2, null), (3, 'D', 3, null), (0, 'R', 2, null), (1, 'R', 2, null), (3, 'R', 2, null), (2, 'R', 3, null), (0, 'K', 1, 's'), (0, 'K', 2, 'u'), (1, 'K', 2, 'u'), (3, 'K', 2, 'u'), (2, 'K', 3, 'a')),
+ins(s, target, k) as (values (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)),
+best(cid, i, s, plan) as (
+  select cid, n, s, plan from sized, (values (0, '000000000'), (1, '000000004II'), (2, '000000002I'), (3, '000000000')) e(s, plan)
+  union all
+  select cid, i, s, min(plan) as plan from (
+    select c.cid, c.i, ins.s, lpad(cast(cast(left(c.plan, 9) as bigint) + 2 * k as varchar), 9, '0') || repeat('I', k) || substr(c.plan, 10) as plan from (
+      select b.cid, b.i - 1 as i, a.s, min(lpad(cast(cast(left(b.plan, 9) as bigint) + case a.letter when 'D' then 3 when 'R' then 2 else 0 end + case when f.fault = 'truncated' and a.letter <> 'D' then 1 else 0 end as varchar), 9, '0') || a.letter || substr(b.plan, 10)) as plan
+      from best b join faulty f on f.conv_id is not distinct from b.cid and f.i = b.i join arc a on a.target = b.s and (a.letter = 'D' or coalesce(f.fault, '') not in ('blank', 'duplicate')) and (a.must_keep is null or a.must_keep = f.initial)
+      group by b.cid, b.i, a.s) c join ins on ins.target = c.s) group by cid, i, s),
+plans as (select cid, cast(left(plan, 9) as bigint) as cost, substr(plan, 10) as audit from best where i = 0 and s = 0),
+letters as (select cid, unnest(range(1, length(audit) + 1)) as p, audit from plans),
+spelt as (select cid, p, substr(audit, p, 1) as letter, length(replace(substr(audit, 1, p), 'I', '')) as i, length(replace(substr(audit, 1, p), 'D', '')) as o from letters),
+outs as (select l.*, f.role, f.text, max(case when o = 1 and letter = 'K' and f.initial = 's' then 1 else 0 end) over (partition by l.cid) as off from spelt l left join faulty f on l.letter <> 'I' and f.conv_id is not distinct from l.cid and f.i = l.i where l.letter <> 'D'),
+fixed as (select cid, string_agg(case letter when 'K' then role else case when (o - off) % 2 = 1 then 'user' else 'assistant' end end || ':' || case letter when 'I' then '' else text end, chr(10) order by p) as text from outs group by cid),
+counts as (select conv_id as cid, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (i > 1 and prev || initial not in ('su', 'ua', 'au')) as illegal from faulty group by conv_id)
+select c.conv_id, coalesce(n.gaps, 0) as gaps, coalesce(n.blank, 0) as blank, coalesce(n.duplicate, 0) as duplicate, coalesce(n.truncated, 0) as truncated, coalesce(n.illegal, 0) as illegal, coalesce(p.cost, 0) as cost, coalesce(p.audit, '') as audit, sha256(coalesce(f.text, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join counts n on n.cid is not distinct from c.conv_id left join plans p on p.cid is not distinct from c.conv_id left join fixed f on f.cid is not distinct from c.conv_id"""
+
+
+def filter_audit() -> str:
+    """Op 12: each step of each order from the cells of masks."""
+    letters = filter_audit_module.FILTERS
+    bits = " union all ".join(f"select '{x}' as l, {1 << i} as b" for i, x in enumerate(letters))
+    return f"""with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '{WORD}+') as w, min(doc_id) over (partition by t) as least from t),
+said as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+m as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, case when len(w) < 200 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end + case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) then 4 else 0 end
+  + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end + case when w.doc_id > least then 16 else 0 end as mask from w left join said using (doc_id)),
+cells as (select part, mask, count(*) as n, count(*) filter (good) as g, count(*) filter (toxic) as x from m group by part, mask),
+f as ({bits}),
+orders as (select a.l || b.l || c.l || d.l || e.l as o from f a, f b, f c, f d, f e where a.b | b.b | c.b | d.b | e.b = 31),
+steps as (select o, cast(k as integer) as step, (select b from f where l = substr(o, cast(k as bigint), 1)) as bit, coalesce((select bit_or(b) from f where contains(left(o, cast(k as bigint) - 1), l)), 0) as before from orders, range(1, 6) r(k)),
+s as (select part, o, step, bit, sum(n) filter (mask & (before | bit) = 0) as kept, sum(n) filter (mask & before = 0 and mask & bit > 0) as removed, sum(n) filter (mask & before > 0 and mask & bit > 0) as redundant, sum(n) filter (mask = bit) as alone,
+  sum(g) filter (mask & before = 0 and mask & bit > 0) as gl, sum(x) filter (mask & before = 0 and mask & bit > 0) as tl from cells, steps group by all),
+z as (select part, o, step, bit, {", ".join(f"cast(coalesce({c}, 0) as bigint) as {c}" for c in ("kept", "removed", "redundant", "alone", "gl", "tl"))} from s)
+select part, o as filter_order, step, kept, removed, redundant, alone as unique_fails, gl as good_lost, tl as toxic_lost, cast(sum(removed) over (partition by part, bit) as bigint) as shapley from z"""
