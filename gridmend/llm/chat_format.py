@@ -6,7 +6,9 @@ folded into final messages:
 * ``message`` opens a message under ``msg`` with its text;
 * ``delta`` appends its text to the message ``msg``, and opens it where there is none;
 * ``edit`` replaces what the message ``msg`` holds by then;
-* ``regenerate`` empties the message ``msg`` and removes what later messages hold by then.
+* ``regenerate`` empties the message ``msg``, whatever its own row says, and removes what later messages hold by then.
+
+Events of a conversation happen in the order of seq, kind, role, text and msg.
 
 Messages are then rendered in the order of ``msg``: <|turn role=ROLE|>, a line break, the text, <|end|> and a line
 break. Within roles and texts the five characters that control strings need (& < > | [) are written as entities,
@@ -38,21 +40,25 @@ def unescape(text: Column) -> Column:
     return text
 
 
-#: What events are sorted by.
+#: The order in which events happen, and that in which they are rendered.
+HAPPEN = ("seq", "kind", "role", "text", "msg")
 ORDER = ("msg", "seq", "kind", "role", "text")
 
 
 def fold(log: DataFrame) -> DataFrame:
     """The events of ``log`` that survive edits and regenerations.
 
-    An event is gone if a later edit or regeneration names its message, or a later regeneration an earlier message. Both
-    are running maxima over the sorted log, so a long conversation costs no more for an event than a short one.
+    An event is gone if a later edit or regeneration names its message, or a later regeneration an earlier message. Events
+    are numbered as they happen, so of several with one seq just one is the last. Both are running maxima over the sorted log, so a
+    long conversation costs no more for an event than a short one. A regeneration has no text.
     """
+    log = log.withColumn("at", F.row_number().over(W.partitionBy("conv_id").orderBy(*HAPPEN)))
     by_msg = W.partitionBy("conv_id", "msg")
     before = W.partitionBy("conv_id").orderBy(F.col("msg").cast("decimal(20,0)")).rangeBetween(W.unboundedPreceding, -1)
-    at = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("seq"))
+    at = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("at"))
     marked = log.withColumns({"own": F.max(at("edit", "regenerate")).over(by_msg), "earlier": F.max(at("regenerate")).over(before)})
-    return marked.where(F.col("seq") >= F.coalesce(F.greatest("own", "earlier"), F.col("seq"))).select("conv_id", *ORDER)
+    left = marked.where(F.col("at") >= F.coalesce(F.greatest("own", "earlier"), F.col("at")))
+    return left.withColumn("text", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text"))).select("conv_id", *ORDER)
 
 
 def render(events: DataFrame) -> DataFrame:
@@ -76,8 +82,8 @@ def format_chats(log: DataFrame) -> DataFrame:
     """(conv_id, formatted, segments) for each conversation of ``log`` (conv_id, seq, msg, kind, role, text).
 
     Null texts and roles are empty; a null seq or msg sorts first; a null kind is a delta; a null conv_id is a
-    conversation of its own. Ties in seq are broken by kind, role and text, so the order of rows never counts.
-    Equal rows are equal events, and each counts. A conversation none of whose events survives has no row; an empty
+    conversation of its own. Ties in seq are broken by kind, role, text and msg, so the order of rows never counts.
+    Equal rows are equal events, which happen one after the other: of two equal edits the second replaces the first. A conversation none of whose events survives has no row; an empty
     log gives an empty result. The log is shuffled once, by conversation, and sorted with spilling; a conversation is
     one row of the result, which must fit in memory.
     """
@@ -128,7 +134,8 @@ def as_events(rows: DataFrame) -> DataFrame:
 
 def op6_chat_format(spark, sf_dir: str) -> DataFrame:
     """Digests of all conversations, read back from their formatted texts. Each table row becomes a message by the events
-    of a log: openings, deltas, edits and regenerations."""
+    of a log: openings, deltas, edits and regenerations. Null texts and roles are empty, null turns come first, equal turns go by
+    role and text, repeated rows are turns of their own, very long texts are formatted whole; an empty table gives conversation -1 alone."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")

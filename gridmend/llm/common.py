@@ -109,6 +109,31 @@ def without(df: DataFrame, name: str) -> list[str]:
     return [c for c in df.columns if c.lower() != name.lower()]
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their exact names, which may hold dots and back-ticks."""
+    return [F.col("`" + n.replace("`", "``") + "`").alias(n) for n in names]
+
+
+def appended(df: DataFrame, out: str, make: Callable[[], Callable[[pa.RecordBatch], pa.Array]], like: Column) -> DataFrame:
+    """``df`` with a column ``out``, of the type of ``like``, that a worker computes from batches; a column of that name is
+    replaced. ``make`` is called once in each task. Columns are numbered meanwhile, so that their names may be any."""
+    names = without(df, out)
+    rows = df.select(*quoted(names)).toDF(*(f"c{i}" for i in range(len(names))))
+    own = f"c{len(names)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in portions(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, of(b)], names=[*b.schema.names, own])
+
+    return rows.mapInArrow(run, rows.withColumn(own, like).schema).toDF(*names, out)
+
+
+def place_of(names: list[str], name: str) -> int:
+    """Where the column is that Spark would take for ``name``."""
+    return [n.lower() for n in names].index(name.lower())
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once and bound to a lambda variable."""
     return F.transform(F.array(value), body)[0]

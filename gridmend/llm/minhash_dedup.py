@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, erase, portions, small_batches, table, unused, written
+from .common import appended, claim, erase, place_of, portions, small_batches, table, unused, written
 from .graph import members
 
 #: Words of a shingle, the similarity, bands and their rows, texts in a block.
@@ -451,20 +451,19 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     of any other name are carried along; odd rows are treated as in near_duplicates."""
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key").distinct()
     own = unused(docs, "gm_key")
-    at = (docs.columns.index("doc_id"), docs.columns.index("text"))
+    at = (place_of(docs.columns, "doc_id"), place_of(docs.columns, "text"))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches):
-            hs = [digest((t or "").encode("utf-8", "surrogatepass").split()) for t in b.column(at[1]).to_pylist()]
-            keys = [_row_key(i, h) for i, h in zip(b.column(at[0]).to_pylist(), hs, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, own])
+    def keyed(b: pa.RecordBatch) -> pa.Array:
+        hs = [digest((t or "").encode("utf-8", "surrogatepass").split()) for t in b.column(at[1]).to_pylist()]
+        return pa.array([_row_key(i, h) for i, h in zip(b.column(at[0]).to_pylist(), hs, strict=True)], pa.binary())
 
-    rows = docs.mapInArrow(keyed, docs.withColumn(own, F.lit(b"")).schema)
+    rows = appended(docs, own, lambda: keyed, F.lit(b""))
     return rows.join(kept, rows[own] == kept.key, "left_semi").dropDuplicates([own]).drop(own)
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    """Each document with the id of its near-duplicate class; kept is true for the one that stands for the class."""
+    """Each document with the id of its near-duplicate class; kept is true for the one that stands for the class. See
+    near_duplicates() for odd rows."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))

@@ -3,7 +3,8 @@
 A classifier is learned from the documents that the label table covers and gives each document a posterior over
 domains. Document rates r >= 0 are then fitted so that the expected tokens of each domain, the sum of
 rate x tokens x posterior, have the target shares of the corpus: least squares by projected gradient steps with
-momentum. A step needs the domains' totals only. As every rate starts at 1 and moves by the product of its posterior
+momentum, measured in the metric that the domains' second moments give, so that a rare domain takes no more steps than
+a frequent one. A step needs the domains' totals only. As every rate starts at 1 and moves by the product of its posterior
 with vectors that are the same for all, a rate is replayed from those vectors; from time to time a narrow table of the
 rates so far is written, so that a step replays CARRY steps at most.
 
@@ -11,9 +12,8 @@ Domains are the languages of the documents that the label table covers. What oth
 never looked at. A token is a word, or a single letter of a script that is written without spaces; other counts, those
 of a tokenizer for instance, can be given as a column.
 
-Where these steps don't reach the targets (rare domains), Newton steps follow, scaled by the domains' second moments:
-of all rates that meet the targets, those nearest to 1 are max(0, 1 + posterior x v), and v is the least point of a
-convex function. Targets that no rates meet are reported with what is left.
+Targets that no rates meet are reported with what is left. The number of domains isn't limited; the classifier that is
+broadcast has 0.26 MB for each.
 """
 
 from __future__ import annotations
@@ -30,14 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, erase, portions, small_batches, table, written
+from .common import claim, erase, portions, quoted, small_batches, table, written
 
-#: Bounds of the fit: documents, domains (more are an error), hashed words of the classifier; projected steps before
-#: Newton steps, steps after which rates are written, and the error of a share at which either end.
-FIT_ROWS, MOST_DOMAINS, BUCKETS, STEPS, CARRY, ENOUGH = 20_000, 256, 1 << 15, 60, 10, 2e-4
-#: Newton steps after which targets count as out of reach, and what is tried in each: parts of the second moments of all
-#: documents that are added to those of the documents in use. With 1 a step always leads down.
-NEWTON_STEPS, DAMPING = 200, (0.0, 1e-3, 1e-2, 0.1, 1.0)
+#: Documents that the fit takes; hashed words of the classifier; steps after which rates are written; the error of a share at
+#: which steps end, and how many steps may pass without an error that is less by a hundredth until targets count as out of reach.
+FIT_ROWS, BUCKETS, CARRY, ENOUGH, PATIENCE = 20_000, 1 << 15, 10, 2e-4, 200
 #: Letters of scripts without spaces: Thai to Burmese, Khmer, kana, Han.
 ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = re.compile(f"[{ALONE}]|[^\\W{ALONE}]+")
@@ -87,9 +84,7 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str, rows: int)
     """
     known = docs.where(F.col(domain).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(domain).cast("string").alias("domain"))
     known = written(known.join(labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id"), "mixing-labelled")
-    if known.select("domain").distinct().count() > MOST_DOMAINS:
-        raise ValueError(f"more than {MOST_DOMAINS} domains among the labelled documents")
-    sizes = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}  # MOST_DOMAINS at most
+    sizes = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}  # one row for each domain
     if not sizes:
         return {"all": 0}, written(docs.where("false").select("text", F.lit("").alias("domain"), F.lit(False).alias("fifth")), "mixing-sample")
     total = sum(sizes.values())
@@ -119,7 +114,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = "lang", row
         r, c = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (r, c, seen[r, c])], names=["d", "b", "n"])
 
-    counted = sample.where("not fifth").select("text", "domain").mapInArrow(tally, "d long, b long, n long").groupBy("d", "b").agg(F.sum("n").alias("n")).toArrow()  # MOST_DOMAINS x BUCKETS at most
+    counted = sample.where("not fifth").select("text", "domain").mapInArrow(tally, "d long, b long, n long").groupBy("d", "b").agg(F.sum("n").alias("n")).toArrow()  # domains x BUCKETS at most
     counts, docs_of = np.full((len(names), BUCKETS), 0.1), np.array([sizes[d] + 1.0 for d in names])
     counts[counted["d"].to_numpy(), counted["b"].to_numpy()] += counted["n"].to_numpy()
     made = Classifier(names, np.log(docs_of / docs_of.sum()), np.log(counts / counts.sum(axis=1, keepdims=True)))
@@ -172,7 +167,6 @@ class Mix:
     targets: np.ndarray
     pushes: list[np.ndarray]
     shares: np.ndarray
-    lift: np.ndarray | None = None
 
     @property
     def residual(self) -> float:
@@ -180,15 +174,15 @@ class Mix:
         return float(np.abs(self.shares - self.targets).max())
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        return replay(p, self.pushes)[0] if self.lift is None else np.maximum(0.0, 1.0 + p @ self.lift)
+        return replay(p, self.pushes)[0]
 
 
 def members(docs: DataFrame, classifier: Classifier, kept: list[str] | None = None, tokens: str | None = None) -> DataFrame:
     """(gm_row, n, p, u) for each row of ``docs`` (doc_id, text): its ``kept`` columns (doc_id by default), tokens,
     posterior and draw. ``tokens``: a column of token counts; else the tokens that the classifier reads are counted."""
-    known = docs.sparkSession.sparkContext.broadcast(classifier)  # MOST_DOMAINS x BUCKETS numbers at most
+    known = docs.sparkSession.sparkContext.broadcast(classifier)  # domains x BUCKETS numbers
     kept = kept or ["doc_id"]
-    packed = docs.select("doc_id", "text", F.col(tokens).cast("long").alias("n") if tokens else F.lit(None).cast("long").alias("n"), F.struct(*kept).alias("gm_row"))
+    packed = docs.select("doc_id", "text", F.col(tokens).cast("long").alias("n") if tokens else F.lit(None).cast("long").alias("n"), F.struct(*quoted(kept)).alias("gm_row"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__, known.value.cache.clear)
@@ -258,27 +252,26 @@ def fit_rates(table_: DataFrame, classifier: Classifier, targets: dict[str, floa
     if tokens <= 0:
         return Mix(classifier, want, [], want)
     whole = np.array(second).reshape(d, d) / tokens
-    width = 1.0 / max(np.linalg.eigvalsh(whole)[-1], 1e-12)
+    metric = np.linalg.pinv(whole, rcond=1e-12, hermitian=True)  # in it, steps of length 1 always lead down
     pushes: list[np.ndarray] = []
-    done = 0
+    done, least, least_at = 0, np.inf, 0
     while True:
         both = added(totals(pushes[done:], done), 2 * d) / tokens
         shares = both[d:]
-        if np.abs(shares - want).max() < ENOUGH or len(pushes) == STEPS:
+        error = np.abs(shares - want).max()
+        if error < 0.99 * least:
+            least, least_at = error, len(pushes)
+        if error < ENOUGH or len(pushes) - least_at >= PATIENCE:
             break
-        pushes.append(width * (both[:d] - want))
-        if len(pushes) - done == CARRY and len(pushes) < STEPS:
+        pushes.append(metric @ (both[:d] - want))
+        if len(pushes) - done == CARRY:
             after = written(stats.mapInArrow(carried(pushes[done:], done), "n long, p array<double>, rate double, point double"), "mixing-rates")
             if done:
                 erase(stats)
             stats, done = after, len(pushes)
     mix = Mix(classifier, want, pushes, shares)
     if mix.residual >= ENOUGH:
-        lift, shares = newton(table_.select("n", "p"), want, tokens, whole)
-        if np.abs(shares - want).max() < mix.residual:
-            mix = Mix(classifier, want, [], shares, lift)
-        if mix.residual >= ENOUGH:
-            warnings.warn(f"the targets aren't met: a domain's share of the tokens is off by {mix.residual:.4g}", stacklevel=2)
+        warnings.warn(f"the targets aren't met: a domain's share of the tokens is off by {mix.residual:.4g}", stacklevel=2)
     if done:
         erase(stats)
     return mix
@@ -295,50 +288,6 @@ def sums(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total, pa.float64())], names=["k", "x"])
 
 
-def newton(stats: DataFrame, want: np.ndarray, tokens: float, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lift, shares) with which rates max(0, 1 + p lift) meet ``want``, or come nearest to it.
-
-    ``stats`` has columns n and p, ``whole`` is the matrix of second moments. Minimises the mean of half the squared
-    rates less ``want`` lift, whose gradient is the error of the shares; a pass tries one step for each damping.
-    """
-    d = len(want)
-    size = 1 + d + d * d
-
-    def gather(lifts: list[np.ndarray]) -> np.ndarray:
-        """For each lift, the sums of half the squared rates, of the domains' tokens, and of second moments in use."""
-
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(lifts), size))
-            for b in batches:
-                n, p, *_ = columns(b, d)
-                for k, lift in enumerate(lifts):
-                    rate = np.maximum(0.0, 1.0 + p @ lift)
-                    used = p[rate > 0]
-                    total[k] += np.concatenate([[(n * rate * rate).sum() / 2], (n * rate) @ p, ((used * n[rate > 0][:, None]).T @ used).ravel()])
-            yield sums(total.ravel())
-
-        out = np.zeros(len(lifts) * size)
-        for r in stats.mapInArrow(of, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
-            out[r.k] = r.x
-        return out.reshape(len(lifts), size) / tokens
-
-    tried, at, least = [np.zeros(d)], None, np.inf
-    best: tuple[np.ndarray, np.ndarray] | None = None
-    for _ in range(NEWTON_STEPS + 1):
-        for lift, got in zip(tried, gather(tried), strict=True):
-            shares, value = got[1 : d + 1], got[0] - want @ lift
-            if best is None or np.abs(shares - want).max() < np.abs(best[1] - want).max():
-                best = lift, shares
-            if value < least:
-                at, least = (lift, shares, got[d + 1 :].reshape(d, d)), value
-        if np.abs(best[1] - want).max() < ENOUGH:
-            break
-        lift, shares, used = at
-        steps = [np.linalg.lstsq(used + damp * whole, want - shares, rcond=1e-12)[0] for damp in DAMPING]
-        tried = [lift + step for step in steps if np.isfinite(step).all()]
-    return best
-
-
 def draw(doc_id: object, text: str) -> float:
     """A uniform number that a row's id and text decide."""
     return int.from_bytes(hashlib.blake2b(f"{doc_id}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") / 2.0**64
@@ -387,7 +336,7 @@ def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    """Rates and copies of every document for equal shares of all languages."""
+    """Rates and copies of every document for equal shares of all languages; see mixed() for odd rows."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return mixed(docs, table(spark, sf_dir, "labels", "doc_id"))

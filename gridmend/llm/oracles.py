@@ -21,6 +21,7 @@ def quality_rules(rules: Rules = Rules()) -> str:
         quart = lambda q: f"min(case when upto * 4 >= total * {q} then b end)"
         return f"select {part}, n, {value('b1')} as lo, {value('b3')} as hi from (select {part}, max(total) as n, {quart(1)} as b1, {quart(3)} as b3 from ({run}) group by {part})"
 
+    drawn = lambda k: f"((s2.n * s2.{k} + {rules.prior} * ((s1.n * s1.{k} + {rules.prior} * s0.{k}) / (s1.n + {rules.prior}))) / (s2.n + {rules.prior}))"
     floors = " ".join(f"when '{k}' then {x}" for k, x in rules.floors)
     at = ", ".join(f"max(case when k = '{k}' then {side} end) as {k}_{side}" for k in names for side in ("least", "most"))
     inside = " and ".join(f"coalesce(m.{k} between f.{k}_least and f.{k}_most, false)" for k in names)
@@ -37,7 +38,7 @@ m as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERC
 long as ({" union all ".join(f"select lang, source, '{k}' as k, {k} as v from m where not base_failed" for k in names)}),
 sketch as (select lang, source, k, b, count(*) as n from (select lang, source, k, {bucket} as b from long) group by all),
 s2 as ({level("lang, source")}), s1 as ({level("lang")}), s0 as ({level("")}),
-picked as (select s2.lang, s2.source, s2.k, case when s2.n >= {rules.min_rows} then s2.lo when s1.n >= {rules.min_rows} then s1.lo else s0.lo end as lo, case when s2.n >= {rules.min_rows} then s2.hi when s1.n >= {rules.min_rows} then s1.hi else s0.hi end as hi,
+picked as (select s2.lang, s2.source, s2.k, {drawn("lo")} as lo, {drawn("hi")} as hi,
   case s2.k {floors} end as fl from s2 join s1 on s2.lang is not distinct from s1.lang and s2.k = s1.k join s0 on s2.k = s0.k),
 spans as (select lang, source, k, lo - {rules.spread} * greatest(hi - lo, fl) as least, hi + {rules.spread} * greatest(hi - lo, fl) as most from picked),
 f as (select lang, source, {at} from spans group by lang, source)

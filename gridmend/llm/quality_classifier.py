@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, small_batches, table, without
+from .common import appended, place_of, portions, quoted, small_batches, table, without
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: Bounds of the fit: labelled rows, bytes of a text that is used for it. At most 160 MB reach the driver, about
@@ -96,14 +96,8 @@ def score_quality(docs: DataFrame, model: Compressors, out: str = "score") -> Da
     """``docs`` (text and any others) with the probability of good quality; null texts are scored as empty ones.
     A column named ``out`` is replaced."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES
-    kept = without(docs, out)
-    place = kept.index("text")
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(known.value.score(b.column(place).to_pylist()), pa.float64())], names=[*b.schema.names, out])
-
-    return docs.select(*kept).mapInArrow(of, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
+    place = place_of(without(docs, out), "text")
+    return appended(docs, out, lambda: lambda b: pa.array(known.value.score(b.column(place).to_pylist()), pa.float64()), F.lit(0.0))
 
 
 def classify_filter(docs: DataFrame, labels: DataFrame, train, least: float = 0.5, model_docs: DataFrame | None = None) -> DataFrame:
@@ -114,13 +108,13 @@ def classify_filter(docs: DataFrame, labels: DataFrame, train, least: float = 0.
     an empty table. Columns of any other name are carried along, whatever they are called.
     """
     model = fit(docs if model_docs is None else model_docs, labels, train)
-    packed = docs.select("text", F.struct(*docs.columns).alias("gm_row"))
+    packed = docs.select("text", F.struct(*quoted(docs.columns)).alias("gm_row"))
     return score_quality(packed, model, "gm_score").where(F.col("gm_score") >= least).select("gm_row.*")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """Every document's quality, learned from labelled rows that aren't held out. Null texts count as empty; repeated
-    rows get the same score; an empty table gives an empty result."""
+    """Every document's quality, learned from labelled rows that aren't held out. Null texts count as empty, very
+    long ones are compressed whole, in pieces; repeated rows get the same score; an empty table gives an empty result."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), remainder(3) != 1)

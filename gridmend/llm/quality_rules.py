@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, table, words_of, written
+from .common import let, quoted, table, words_of, written
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -30,11 +30,12 @@ BROADCAST_ROWS = 50_000
 @dataclass(frozen=True)
 class Rules:
     """``spread``: fences lie so many interquartile ranges beyond the quartiles; ``floors``: least range for each
-    measure, so that uniform sources don't get fences that are too tight; ``min_rows``: smaller sources use the
-    sketch of their language, and smaller languages that of the corpus."""
+    measure, so that uniform sources don't get fences that are too tight; ``prior``: quartiles of a source are drawn to
+    those of its language as by so many rows, and those of a language to the corpus's. So a source of few rows has nearly the
+    fences of its language, one of many its own, and no count of rows makes a jump."""
 
     spread: int = 6
-    min_rows: int = 200
+    prior: int = 50
     floors: tuple[tuple[str, int], ...] = (("symbol_rate", 20), ("word_length", 60), ("dup_line_rate", 80), ("repeat_rate", 80))
 
 
@@ -124,7 +125,7 @@ def sketches(measured: DataFrame, rules: Rules) -> DataFrame:
 
 
 def fences(sketch: DataFrame, rules: Rules) -> DataFrame:
-    """For each (lang, source) the fences of all measures, from the smallest sketch with enough rows."""
+    """For each (lang, source) the fences of all measures, from the sketches of source, language and corpus."""
 
     def quartiles(level: list[str], tag: str) -> DataFrame:
         keys = [*level, "measure"]
@@ -137,7 +138,8 @@ def fences(sketch: DataFrame, rules: Rules) -> DataFrame:
     by_source, by_lang, by_all = quartiles(["lang", "source"], "2"), quartiles(["lang"], "1"), quartiles([], "0")
     both = by_source.alias("s").join(by_lang.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")) & (F.col("s.measure") == F.col("l.measure")))
     both = both.select("s.*", "l.n1", "l.lo1", "l.hi1").join(F.broadcast(by_all), "measure")  # by_all has a row for each measure
-    pick = lambda k: F.when(F.col("n2") >= rules.min_rows, F.col(f"{k}2")).when(F.col("n1") >= rules.min_rows, F.col(f"{k}1")).otherwise(F.col(f"{k}0"))
+    drawn = lambda n, own, to: (n * own + rules.prior * to) / (n + rules.prior)
+    pick = lambda k: drawn(F.col("n2"), F.col(f"{k}2"), drawn(F.col("n1"), F.col(f"{k}1"), F.col(f"{k}0")))
     floor = F.element_at(F.create_map(*(F.lit(x) for pair in rules.floors for x in pair)), F.col("measure"))
     picked = both.select("lang", "source", "measure", pick("lo").alias("lo"), pick("hi").alias("hi"), floor.alias("floor"))
     reach = rules.spread * F.greatest(F.col("hi") - F.col("lo"), F.col("floor"))
@@ -170,14 +172,15 @@ def quality_filter(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     alike; an empty table gives an empty table. Columns of any other name are carried along, whatever they are called.
     """
     # explode() keeps the optimizer from repeating the measurement wherever one of its fields is used
-    packed = docs.select(F.struct(*docs.columns).alias("gm_row"), "lang", "source", F.explode(F.array(measure(F.col("text")))).alias("m"))
+    packed = docs.select(F.struct(*quoted(docs.columns)).alias("gm_row"), "lang", "source", F.explode(F.array(measure(F.col("text")))).alias("m"))
     # written with the rows, since the fences need all measures before the first row can be judged
     measured = written(packed.where("not m.base_failed"), "quality-rows")
     return judged(measured, rules).where("kept").select("gm_row.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Counts, base verdict and adaptive verdict of every document."""
+    """Counts, base verdict and adaptive verdict of every document. Null and empty texts fail the base rules; very long ones
+    are measured whole; repeated rows are judged alike and stay; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     measured = written(docs.select("doc_id", "lang", "source", measure(F.col("text")).alias("m")), "quality-measures")
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, portions, small_batches, table, without
+from .common import appended, claim, place_of, portions, small_batches, table, without
 
 #: The letter that stands for a space, a fixed value of the format.
 SPACE = "▁"
@@ -292,38 +292,32 @@ def encode_column(docs: DataFrame, model: Model, out: str = "ids") -> DataFrame:
     """``docs`` (text and any others) with the ids of each whole text; null and empty texts have none.
     A column named ``out`` is replaced."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary of fixed size
-    kept = without(docs, out)
-    place = kept.index("text")
+    place = place_of(without(docs, out), "text")
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded():
         codec = Codec.of(known.value)
-        for b in portions(batches):
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
-                ids = [codec.encode(t or "") for t in part.column(place).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*b.schema.names, out])
 
-    return docs.select(*kept).mapInArrow(of, docs.select(*kept).withColumn(out, F.array().cast("array<int>")).schema)
+        def of(b: pa.RecordBatch) -> pa.Array:
+            ids = [codec.encode(t or "") for t in b.column(place).to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+
+        return of
+
+    return appended(docs, out, encoded, F.array().cast("array<int>"))
 
 
 def decode_column(rows: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of the ids in a column; null ids have an empty text, ids outside the vocabulary fail.
     A column named ``out`` is replaced."""
     known = rows.sparkSession.sparkContext.broadcast(model)
-    kept = without(rows, out)
-    place = kept.index(ids)
+    place = place_of(without(rows, out), ids)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded():
         codec = Codec.of(known.value)
-        for b in portions(batches):
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
-                texts = [codec.decode(x or ()) for x in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+        return lambda b: pa.array([codec.decode(x or ()) for x in b.column(place).to_pylist()], pa.string())
 
-    return rows.select(*kept).mapInArrow(of, rows.select(*kept).withColumn(out, F.lit("")).schema)
+    return appended(rows, out, decoded, F.lit(""))
 
 
 def encoded_and_decoded(docs: DataFrame, model: Model) -> DataFrame:
@@ -353,6 +347,6 @@ def encoded_and_decoded(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """The ids of every document, and how they decode."""
+    """The ids of every document, and how they decode; see encoded_and_decoded() for odd rows."""
     small_batches(spark)
     return encoded_and_decoded(table(spark, sf_dir, "documents", "doc_id", "text"), Model.read())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, portions, small_batches, table, without
+from .common import appended, claim, place_of, portions, small_batches, table, without
 
 #: Rows that the head-start table is built from, about; entries that it holds; entries of a worker's cache.
 SAMPLE_ROWS, TABLE_ENTRIES, CACHE_ENTRIES = 4_000, 50_000, 300_000
@@ -110,7 +110,8 @@ def frequent_table(texts: DataFrame, file: str, rows: int, seed: int = 7) -> dic
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, out: str = "n_tokens", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` (text and any others) with the tokens of each whole text; null and empty texts have none.
+    """``docs`` (text and any others) with the tokens of each whole text; null and empty texts have none, very long ones
+    are counted whole, repeated rows are counted alike, and an empty table gives an empty one.
 
     ``tokenizer``: path of a tokenizers file that the driver reads; its content goes with the tasks. Special
     strings inside texts are special tokens, as is the library's default. A column named ``out`` is replaced.
@@ -119,21 +120,17 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, out: str = "n_to
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_table(docs.select("text"), file, sample_rows))  # TABLE_ENTRIES at most
     content = spark.sparkContext.broadcast(file)
-    kept = without(docs, out)
-    place = kept.index("text")
-    schema = docs.select(*kept).withColumn(out, F.lit(0).cast("long")).schema
+    place = place_of(without(docs, out), "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted():
         counter, known = TokenCounter.of(content.value), frequent.value
-        for b in portions(batches):
-            n = [counter.count(t, known) if t else 0 for t in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, out])
+        return lambda b: pa.array([counter.count(t, known) if t else 0 for t in b.column(place).to_pylist()], pa.int64())
 
-    return docs.select(*kept).mapInArrow(count, schema)
+    return appended(docs, out, counted, F.lit(0).cast("long"))
 
 
 def op7_token_counts(spark, sf_dir: str, limit: int = 512) -> DataFrame:
-    """Bytes and tokens of every document, and whether it has more tokens than ``limit``."""
+    """Bytes and tokens of every document, and whether it has more tokens than ``limit``; see count_tokens() for odd rows."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     n_bytes = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, erase, portions, small_batches, table, without, written
+from .common import appended, claim, erase, place_of, portions, small_batches, table, without, written
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: The bound of the fit: labelled rows. What is learned from them is kept whole: the lexicon and the clean words that
@@ -281,19 +281,13 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, out: str = "score") -> Dat
     """``docs`` (text and any others) with a score from 0 to 1; null and empty texts have that of a text without hits.
     A column named ``out`` is replaced."""
     known = docs.sparkSession.sparkContext.broadcast(lexicon)  # words of FIT_ROWS labelled texts
-    kept = without(docs, out)
-    place = kept.index("text")
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(known.value.score(b.column(place).to_pylist()), pa.float64())], names=[*b.schema.names, out])
-
-    return docs.select(*kept).mapInArrow(of, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
+    place = place_of(without(docs, out), "text")
+    return appended(docs, out, lambda: lambda b: pa.array(known.value.score(b.column(place).to_pylist()), pa.float64()), F.lit(0.0))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Every document's toxicity, learned from labelled rows that aren't held out. Null texts count as empty; repeated
-    rows get the same score; an empty table gives an empty result."""
+    """Every document's toxicity, learned from labelled rows that aren't held out. Null texts count as empty, very long ones
+    are read whole; repeated rows get the same score; an empty table gives an empty result."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")

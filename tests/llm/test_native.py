@@ -98,6 +98,18 @@ def test_query_handles_odd_rows(spark, tmp_path):
     assert len(got) == len(ODD) and all(got[i].n_words == counts(t)[0] for i, t in enumerate(ODD)) and not got[0].kept
 
 
+@pytest.mark.parametrize("n", [1, 50, 199, 200, 201, 2000])
+def test_fences_have_no_jump_in_the_number_of_rows(spark, n):
+    def group(source, lo, rows):
+        m = F.struct(F.lit(False).alias("base_failed"), *(F.lit(lo).cast("long").alias(k) for k, _ in rules.Rules().floors))
+        return spark.range(rows).select(F.lit("en").alias("lang"), F.lit(source).alias("source"), m.alias("m"))
+
+    measured = group("big", 10, 3000).unionByName(group("small", 50, n))
+    got = {r.source: r for r in rules.fences(rules.sketches(measured, rules.Rules()), rules.Rules()).collect()}
+    want = (n * 50 + 50 * 10) / (n + 50) - 6 * 20  # the lower quartile of language and corpus is 10
+    assert got["small"].symbol_rate_least == pytest.approx(want) and got["big"].symbol_rate_least == pytest.approx(10 - 120)
+
+
 # sharding
 
 
@@ -188,21 +200,33 @@ def test_events_fold(spark):
 
 
 def brute_fold(rows):
-    """Turns of one conversation by the definition, event by event."""
-    rows = sorted(rows, key=lambda r: (r[2], r[1], r[3], r[4], r[5] or ""))
-    alive = [e for e in rows if not any(r[1] > e[1] and r[3] in ("edit", "regenerate") and (r[2] == e[2] or (r[3] == "regenerate" and r[2] < e[2])) for r in rows)]
-    turns, last = [], None
-    for _, _, msg, kind, role, text in alive:
-        if kind == "message" or msg != last:
-            turns.append([role, ""])
-        turns[-1][1] += text or ""
-        last = msg
-    return [tuple(t) for t in turns]
+    """Turns of one conversation, event by event."""
+    messages = {}
+    for _, _, msg, kind, role, text in sorted(rows, key=lambda r: (r[1], r[3], r[4], (r[5] or "").encode(), r[2])):
+        if kind == "message":
+            messages.setdefault(msg, []).append([role, text or ""])
+        elif kind == "delta":
+            messages.setdefault(msg, [[role, ""]])[-1][1] += text or ""
+        else:
+            messages[msg] = [[role, text or "" if kind == "edit" else ""]]
+            if kind == "regenerate":
+                messages = {m: turns for m, turns in messages.items() if m <= msg}
+    return [tuple(t) for m in sorted(messages) for t in messages[m]]
+
+
+@pytest.mark.parametrize(
+    ("events", "says"),
+    [([("edit", "X"), ("edit", "X")], "X"), ([("edit", "A"), ("edit", "B")], "B"), ([("delta", "gone"), ("regenerate", None)], ""), ([("regenerate", "payload")], "")],
+)
+def test_events_of_one_seq(spark, events, says):
+    rows = [(1, 5, 0, kind, "assistant", text) for kind, text in events]
+    assert formatted(spark, rows)[1][:2] == ([("assistant", says)], says)
+    assert brute_fold(rows) == [("assistant", says)]
 
 
 def test_folds_are_those_of_the_definition(spark):
     rng = random.Random(4)
-    rows = [(c, rng.randrange(25), rng.choice([-(2**63), 0, 1, 2, 2**63 - 1]), rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant"]), rng.choice(["a", "b<", "", "|>\n"])) for c in range(60) for _ in range(rng.randint(1, 20))]
+    rows = [(c, rng.randrange(4 if c % 2 else 25), rng.choice([-(2**63), 0, 1, 2, 2**63 - 1]), rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant"]), rng.choice(["a", "b<", "", "|>\n"])) for c in range(60) for _ in range(rng.randint(1, 20))]
     got = formatted(spark, rows)
     for c in range(60):
         want = brute_fold([r for r in rows if r[0] == c])
