@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.draws import exponential_of, uniform_of
 from .relational import as_of
 
 
@@ -91,28 +88,3 @@ def allocate(capacity: Column, total: Column, critical: Column, dc: Column, rule
         own = F.least(ordinary, short)
         return critical_loss + own, critical_loss, short - own
     raise ValueError(f"unknown rule {rule}")
-
-
-def outage_trace(units: DataFrame, by: list[str], horizon: float, step: float, seed: int) -> DataFrame:
-    """(by, unit, index) of the steps in which a unit (by, unit, mttf, mttr, q) is up.
-
-    Each unit alternates between exponential up and down times that the seed, its key and the number of the change
-    decide, so the trace doesn't depend on how units are partitioned.
-    """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.select(*by, "unit").schema)
-
-    def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                key = tuple(getattr(r, k) for k in (*by, "unit"))
-                now, up, n = 0.0, uniform_of(seed, *key, "up") >= r.q, 0
-                while now < horizon:
-                    end = now + exponential_of(r.mttf if up else r.mttr, seed, *key, n)
-                    if up:
-                        rows.append((*key, int(np.ceil(now / step)), int(np.ceil(min(end, horizon) / step)) - 1))
-                    now, up, n = end, not up, n + 1
-            yield pd.DataFrame(rows, columns=[*by, "unit", "first", "last"])
-
-    spans = units.mapInPandas(trace, f"{fields}, first long, last long").where("last >= first")
-    return spans.select(*by, "unit", F.explode(F.sequence("first", "last")).alias("index"))

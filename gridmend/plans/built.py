@@ -124,17 +124,6 @@ SURVEY = {
 }
 
 
-@query("E01", """with c as (select * from (values ('low', 1.0, 2.0, 1.5), ('primary', 2.0, 5.0, 3.0), ('high', 4.0, 9.0, 5.0)) x(c, r, k, a)), p as (select c, r * 100 / 80 as residential, k * 100 / 80 as critical, a * 100 / 97.5 * 240 / (k * 100 / 80 * 24) as rise, exp(ln(6.0) * (ln(240.0) - ln(24.0)) / (ln(336.0) - ln(24.0))) as base from c)
-select c as case_name, 'residential' as name, round(residential, 8) as value from p union all select c, 'residential_critical', round(critical, 8) from p union all select c, 'commercial', 8.0 from p
-union all select c, 'critical_240h', round(rise, 8) from p union all select c, 'critical_336h', round(rise * 6 / base, 8) from p union all select c, 'critical_720h', round(rise * 10 / base, 8) from p""")
-def valuation_cases_derived(t: Tables) -> DataFrame:
-    rows = []
-    for case, x in economics.valuation_parameters(SURVEY).items():
-        rows += [(case, k, p) for k, p in x["price"].items()]
-        rows += [(case, f"critical_{h:.0f}h", y) for h, y in zip(x["critical_points"][1:], x["critical_shape"][1:], strict=True)]
-    return t.spark.createDataFrame(rows, "case_name string, name string, value double").withColumn("value", R("value", 8))
-
-
 ENERGIES = f"""{v.LOADS}, {v.DAMAGE}, hit as (select scenario, load_id, kw, load_type, is_critical, kw * repair_h as off_kwh, kw * repair_h * case when node % 3 = 0 then 0.75 else 1.0 end as on_kwh from damage join loads using (node)),
 delta as (select *, (off_kwh - on_kwh) * case when is_critical then 100 when load_type = 'residential' then 10 else 25 end as damage from hit),
 events as (select scenario, sum(case when is_critical then damage else 0 end) as critical_damage, sum(case when not is_critical and load_type = 'commercial' then damage else 0 end) as commercial_damage, sum(case when not is_critical and load_type = 'residential' then damage else 0 end) as residential_damage, sum(damage) as avoided_damage, sum(off_kwh - on_kwh) / 1000 as export_mwh from delta group by scenario)"""

@@ -157,9 +157,3 @@ def stripped_base(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     base = t.customer.select(k.alias("load_id"), F.col("c_nationkey").alias("node"), F.when(k % 6 == 0, True).when(k % 6 == 1, False).alias("is_data_center"), "c_name")
     return testbed.stripped(base, "is_data_center", ["load_id", "node"])
-
-
-@query("T08 (columns)", "select unnest(['damage_h', 'voll']) as missing")
-def missing_columns(t: Tables) -> DataFrame:
-    found = checks.missing_columns(v.damage(t), ["scenario", "node", "repair_h", "damage_h", "voll"])
-    return t.spark.createDataFrame([(c,) for c in found], "missing string")

@@ -1,15 +1,11 @@
-"""Queries that run path-dependent kernels, held against recursive SQL where that can follow them."""
+"""Queries over drawn histories and scenarios, held against recursive SQL over the same draws."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..operators import chronology, hazard, search, service, simulation, supply
+from ..operators import hazard, renewal
 from . import views as v
 from .catalog import query
 from .views import Tables
@@ -41,14 +37,14 @@ spans as (select site, t as start_h, lead(t) over w as end_h, sum(d) over w as o
 @query("X07 W16", f"with recursive {AVAILABILITY} select site, round(start_h, 6) as start_h, round(end_h, 6) as end_h, cast(online as bigint) as online from spans where end_h is not null")
 def availability_intervals(t: Tables) -> DataFrame:
     """How many of thirteen units of each site are on over 2000 hours."""
-    e = simulation.equipment_events(_units(t), ["site"], 2000.0, 17)
-    return simulation.online_counts(e, ["site"], 2000.0).select("site", R("start_h", 6).alias("start_h"), R("end_h", 6).alias("end_h"), F.col("online").cast("long").alias("online"))
+    e = renewal.equipment_events(_units(t), ["site"], 2000.0, 17)
+    return renewal.online_counts(e, ["site"], 2000.0).select("site", R("start_h", 6).alias("start_h"), R("end_h", 6).alias("end_h"), F.col("online").cast("long").alias("online"))
 
 
 @query("X07 (units that never fail)", "select s_suppkey as site, 0.0::double as start_h, 0.05::double as end_h, cast(0 as bigint) as online from supplier union all select s_suppkey, 0.05::double, 100.0::double, 13 from supplier")
 def ideal_availability(t: Tables) -> DataFrame:
-    e = simulation.equipment_events(_units(t), ["site"], 100.0, 17, ideal=True)
-    return simulation.online_counts(e, ["site"], 100.0).select("site", "start_h", "end_h", F.col("online").cast("long").alias("online"))
+    e = renewal.ideal_events(_units(t), ["site"], 100.0)
+    return renewal.online_counts(e, ["site"], 100.0).select("site", "start_h", "end_h", F.col("online").cast("long").alias("online"))
 
 
 @query("Q07", f"""with recursive units as (select cast(p_size % 3 as bigint) as stage, p_partkey as unit, '3|' || p_size % 3 || '|' || p_partkey || '|' as name from part),
@@ -61,220 +57,10 @@ select stage, unit, cast(sum(quarters) as bigint) as quarters_up from spans wher
 def outage_trace(t: Tables) -> DataFrame:
     """In how many quarter-hours of a month each unit is up."""
     units = t.part.select((F.col("p_size") % 3).cast("long").alias("stage"), F.col("p_partkey").alias("unit"), F.lit(1100.0).alias("mttf"), F.lit(37.3).alias("mttr"), F.lit(0.03).alias("q"))
-    up = supply.outage_trace(units, ["stage"], 720.0, 0.25, 3)
+    up = renewal.outage_trace(units, ["stage"], 720.0, 0.25, 3)
     return up.groupBy("stage", "unit").agg(F.count("*").alias("quarters_up"))
 
 
-RANKED = f"""{v.LOADS}, {v.DAMAGE}, {v.NODE_POWER}, ranked as (select scenario, node, kw / 1000 as mw, critical_kw / 1000 as critical, repair_h,
-  row_number() over (partition by scenario order by kw / greatest(repair_h, 0.1) desc, repair_h, node desc) as greedy, row_number() over (partition by scenario order by critical_kw desc, node) as critical_first,
-  row_number() over (partition by scenario order by {uniform_sql("'5|' || scenario || '|' || node")}) as random from damage join node_power using (node)),
-placed as (unpivot ranked on greedy, critical_first, random into name policy value i),
-steps as (select *, sum(mw) over w as dark, sum(mw * 25 + critical * 75) over w as rate, sum(mw) over all_ as mw0, sum(critical) over all_ as critical0, sum(mw * 25 + critical * 75) over all_ as rate0
-  from placed window w as (partition by scenario, policy order by i rows between current row and unbounded following), all_ as (partition by scenario, policy)),
-orders as (select scenario, policy, sum(repair_h * dark) as cost, sum((mw * 25 + critical * 75) / rate0 + 0.3 * mw / mw0 + 0.8 * critical / coalesce(nullif(critical0, 0), 1) - 0.05 * (rate - mw * 25 - critical * 75) / rate0 - 0.01) as gained from steps group by all)"""
-
-
-@query("L01 L02 L03 L04", f"with {RANKED} select scenario, policy as method, round(cost, 8) as cost from orders where policy <> 'critical_first' union all select scenario, 'genetic', round(cost, 8) from orders where policy = 'greedy'")
-def ga_best_order(t: Tables) -> DataFrame:
-    """Costs of greedy, random and searched orders. The search begins with the greedy order, which for this cost is the
-    best there is; so it must end with its cost."""
-    x = search.best_orders(v.damage(t).join(v.node_power(t), "node").select("scenario", "node", "repair_h", "kw"))
-    return x.select("scenario", "method", R("cost", 8).alias("cost"))
-
-
-def dispatch_sql(blocks: str, site: service.Site) -> str:
-    """The pieces of ``blocks`` (site, b_start, b_end, it, aux, online, offer, request, charge, charge_to, reserve; the
-    site's stores at the start as fuel0, ups0, allow0) in SQL, one step of recursion for each piece."""
-    e, unit = 1e-9, site.unit_mw
-    target = f"least(charge_to, {site.ups_mwh!r})"
-    clocks = ", ".join(f"case when {t!r} > now + {e} then {t!r} - now end" for t in (site.authorised_after_h, site.reserve_from_h, site.reserve_until_h))
-    stores = ", ".join(f"case when {rate} > {e} and {store} > {e} then {store} / ({rate}) end" for store, rate in (("fuel", "burn_mw"), ("ups", "ups_mw"), (f"({target} - ups)", "charge_mw"), ("allow", "export_mw"), ("spare", "burn_mw - falls")))
-    return f"""blocks as ({blocks}),
-p(site, piece, now, fuel, ups, allow, start_h, end_h, it_mw, aux_mw, export_mw, charge_mw, it_unserved_mw, aux_unserved_mw, burn_mw) as (
-  select site, cast(-1 as bigint), 0.0::double, any_value(fuel0), any_value(ups0), any_value(allow0), 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double from blocks group by site
-  union all
-  select site, piece + 1, case when now + dt >= b_end - {e} then b_end else now + dt end, greatest(0.0, fuel - burn_mw * dt), least({site.ups_mwh!r}, greatest(0.0, ups + (charge_mw - ups_mw) * dt)), greatest(0.0, allow - export_mw * dt),
-    now, now + dt, grid_it + gen_it + ups_mw, grid_aux + gen_aux, export_mw, charge_mw, lack - ups_mw, aux_unserved, burn_mw from (
-  select *, greatest({e}, least(b_end - now, {clocks}, {stores})) as dt from (
-  select *, own + export_mw as burn_mw from (
-  select *, case when spare < -{e} then 0.0 when spare <= {e} then least(send, greatest(0.0, falls - own)) else send end as export_mw from (
-  select *, case when reserve and now < {site.reserve_until_h - e!r} then fuel - {site.reserve_mw!r} * greatest(0.0, {site.reserve_until_h!r} - greatest(now, {site.reserve_from_h!r})) else 1e300 end as spare, case when now >= {site.reserve_from_h - e!r} then {site.reserve_mw!r} else 0.0 end as falls,
-    case when whole and offer is not null and ups < {target} - {e} then least(charge, grid - grid_it - grid_aux) else 0.0 end as charge_mw,
-    case when reserve and whole and offer is null and now >= {site.authorised_after_h - e!r} and allow > {e} then greatest(0.0, least(request, {site.export_cap_mw!r}, power - own - {site.contingency_units * unit!r})) else 0.0 end as send from (
-  select *, case when ups > {e} then least(lack, {site.ups_mw!r}) else 0.0 end as ups_mw, lack <= {e} and aux_unserved <= {e} as whole from (
-  select *, it - grid_it - gen_it as lack, aux - grid_aux - gen_aux as aux_unserved, gen_it + gen_aux as own from (
-  select *, least(aux, grid - grid_it) as grid_aux, least(aux, power - gen_it) as gen_aux from (
-  select *, least(it, grid) as grid_it, least(it, power) as gen_it from (
-  select p.site, piece, now, fuel, ups, allow, b_end, it, aux, offer, request, charge, charge_to, reserve, coalesce(offer, 0.0) as grid, case when offer is null and fuel > {e} then online * {unit!r} else 0.0 end as power
-  from p join blocks b on b.site = p.site and now >= b_start - {e} and now < b_end - {e}))))))))))"""
-
-
-#: A site whose reserve ends within the interval that the query looks at.
-SHORT_RESERVE = service.Site(reserve_mw=26.0, reserve_until_h=6.0)
-ISLANDED = f"""select s_suppkey as site, 0.0::double as b_start, 20.0::double as b_end, 20.0::double as it, 6.0::double as aux, s_suppkey % 14 as online, cast(null as double) as offer, 4.0::double as request, 0.0::double as charge,
-    {SHORT_RESERVE.ups_mwh!r} as charge_to, true as reserve, cast(100 + s_suppkey % 400 as double) as fuel0, {SHORT_RESERVE.ups_mwh / 2!r}::double as ups0, 50.0::double as allow0 from supplier"""
-PIECE = ("start_h", "end_h", "it_mw", "aux_mw", "export_mw", "charge_mw", "it_unserved_mw", "aux_unserved_mw", "burn_mw", "fuel_mwh", "ups_mwh")
-PIECES_SQL = "select site, piece, " + ", ".join(f"round({k.removesuffix('_mwh')}, 6) as {k}" for k in PIECE) + " from p where piece >= 0"
-
-
-def pieces(sites: DataFrame, run) -> DataFrame:
-    """(site, piece, PIECE) of what ``run`` gives for each key of ``sites``."""
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for k in pdf.iloc[:, 0].tolist():
-                for i, p in enumerate(run(k)):
-                    served = {"it_mw": p["grid_it_mw"] + p["gen_it_mw"] + p["ups_mw"], "aux_mw": p["grid_aux_mw"] + p["gen_aux_mw"]}
-                    rows.append({"site": k, "piece": i, **{x: (p | served)[x] for x in PIECE}})
-            yield pd.DataFrame(rows, columns=["site", "piece", *PIECE])
-
-    x = sites.mapInPandas(of, "site long, piece long, " + ", ".join(f"{k} double" for k in PIECE))
-    return x.select("site", "piece", *(R(k, 6).alias(k) for k in PIECE))
-
-
-@query("X01 X02 X03", f"with recursive {dispatch_sql(ISLANDED, SHORT_RESERVE)} {PIECES_SQL}")
-def site_dispatch(t: Tables) -> DataFrame:
-    """Each supplier's site as an island for twenty hours, with export above a reserve that ends after six."""
-    site = SHORT_RESERVE
-
-    def run(k: int) -> list[dict]:
-        state = service.State(100.0 + k % 400, site.ups_mwh / 2, 50.0)
-        return service.dispatch(site, state, service.Block(0.0, 20.0, 20.0, 6.0, k % 14, request=4.0, rule="reserve"))
-
-    return pieces(t.supplier.select(F.col("s_suppkey").cast("long")), run)
-
-
-@query("X04 (balances of every site)", f"""with recursive {dispatch_sql(ISLANDED, SHORT_RESERVE)}
-select s_suppkey as site, 400.0::double as it_mwh, 120.0::double as aux_mwh, 0.0::double as fuel_residual, true as legal, (select count(*) from p where p.site = s_suppkey and piece >= 0) as pieces from supplier""")
-def dispatch_balances(t: Tables) -> DataFrame:
-    """What was served and not served of both demands, the tank's balance, and whether export kept to its rules."""
-    hours = F.col("end_h") - F.col("start_h")
-    legal = (F.col("export_mw") == 0) | ((F.col("export_mw") <= 5.0) & (F.col("it_unserved_mw") + F.col("aux_unserved_mw") <= 1e-6) & (F.col("start_h") >= 0.25) & (F.col("charge_mw") == 0))
-    x = site_dispatch(t).groupBy("site").agg(
-        R(F.sum((F.col("it_mw") + F.col("it_unserved_mw")) * hours), 3).alias("it_mwh"),
-        R(F.sum((F.col("aux_mw") + F.col("aux_unserved_mw")) * hours), 3).alias("aux_mwh"),
-        F.sum(F.col("burn_mw") * hours).alias("burnt"),
-        F.min_by("fuel_mwh", -F.col("piece")).alias("left"),
-        F.bool_and(legal).alias("legal"),
-        F.count("*").alias("pieces"),
-    )
-    return x.select("site", "it_mwh", "aux_mwh", R(F.abs(100.0 + F.col("site") % 400 - F.col("burnt") - F.col("left")), 3).alias("fuel_residual"), "legal", "pieces")
-
-
-STANDARD = service.Site()
-RATE = min(STANDARD.charge_mw, STANDARD.design_mw - 26.0)
-#: Utility service, an outage of all or of three fifths of the site, utility service.
-PRIVATE = f"""select s_suppkey as site, b_start::double as b_start, b_end::double as b_end, 20.0 * (1 - f) as it, 6.0 * (1 - f) as aux, s_suppkey % 14 as online, case when whole then {26.0 + RATE!r} end as offer, 0.0::double as request, {RATE!r} as charge, {0.9 * STANDARD.ups_mwh!r} as charge_to, false as reserve,
-    cast(100 + s_suppkey % 400 as double) as fuel0, {STANDARD.ups_mwh / 3!r}::double as ups0, 1e300::double as allow0
-  from (select s_suppkey, 0 as b_start, 1 as b_end, 0.0::double as f, true as whole from supplier union all select s_suppkey, 1, 3 + s_suppkey % 5, case when s_suppkey % 2 = 0 then 0.4 else 0.0 end, false from supplier union all select s_suppkey, 3 + s_suppkey % 5, 9, 0.0, true from supplier)"""
-
-
-@query("X09 (utility and island blocks)", f"with recursive {dispatch_sql(PRIVATE, STANDARD)}, q as (select * replace (it_mw + f * 20 as it_mw, aux_mw + f * 6 as aux_mw) from (select *, case when site % 2 = 0 and start_h >= 1 - 1e-9 and start_h < 3 + site % 5 - 1e-9 then 0.4 else 0.0 end as f from p)) {PIECES_SQL.replace('from p', 'from q')}")
-def private_blocks(t: Tables) -> DataFrame:
-    """Each supplier's site through an outage of its own between hours of utility service."""
-
-    def run(k: int) -> list[dict]:
-        state = service.State(100.0 + k % 400, STANDARD.ups_mwh / 3)
-        spans = [(0.0, 1.0, 1.0), (1.0, 3.0 + k % 5, 0.4 if k % 2 == 0 else 0.0), (3.0 + k % 5, 9.0, 1.0)]
-        return [p for a, b, f in spans for p in service.private_interval(STANDARD, state, service.Block(a, b, 20.0, 6.0, k % 14, charge=STANDARD.charge_mw), f)]
-
-    return pieces(t.supplier.select(F.col("s_suppkey").cast("long")), run)
-
-
-SAMPLES, HOURS, WARM_UP = 16, 744, 24
-PROFILES = f"""hours as (select cast(k as bigint) as sample, cast(h as bigint) as t from range({SAMPLES}) a(k), range({HOURS}) b(h)),
-seen as (select user_id % {SAMPLES} as sample, cast(floor(epoch_us(ts) / 3600000000) as bigint) - 473352 as t, avg(value) as value from events group by 1, 2),
-series as (select sample, t, 80 + coalesce(value, 0) / 4 as total, (80 + coalesce(value, 0) / 4) / 4 as critical, cast(188 - t * 7 % 40 as double) as capacity from hours left join seen using (sample, t)),
-short as (select *, total + 78 > capacity + 1e-9 as short from series),
-runs as (select *, short and not coalesce(lag(short) over (partition by sample order by t), false) as first from short)"""
-
-
-def shares_sql(sites: str) -> tuple[str, str, str]:
-    """chronology.shares in SQL."""
-    others = f"(total - critical + {sites})"
-    lack = f"greatest(0.0, {others} - greatest(0.0, capacity - critical))"
-    lost = "greatest(0.0, critical - capacity)"
-    return f"({lost} + {lack} * (total - critical) / {others})", lost, f"({lack} * {sites} / {others})"
-
-
-def profiles(t: Tables) -> DataFrame:
-    """Hours of a month for each sample: a demand from the events' values, and a capacity that dips."""
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) - 473_352
-    seen = t.events.groupBy((F.col("user_id") % SAMPLES).cast("long").alias("sample"), hour.cast("long").alias("t")).agg(F.avg("value").alias("value"))
-    grid = t.spark.range(SAMPLES * HOURS).select((F.col("id") % SAMPLES).alias("sample"), F.floor(F.col("id") / SAMPLES).alias("t"))
-    x = grid.join(seen, ["sample", "t"], "left").withColumn("total", 80 + F.coalesce("value", F.lit(0.0)) / 4)
-    return x.select("sample", "t", "total", (F.col("total") / 4).alias("critical"), (188 - F.col("t") * 7 % 40).cast("double").alias("capacity"))
-
-
-def storms(t: Tables) -> DataFrame:
-    """For each sample the stages of a damage scenario, from hour 100 on: what is dark while each repair goes on, a third
-    of it in the zone of each site."""
-    order = W.orderBy("scenario")
-    chosen = v.damage(t).select("scenario").distinct().withColumn("sample", (F.row_number().over(order) - 1).cast("long")).where(F.col("sample") < SAMPLES)  # few scenarios
-    steps = v.trajectory(t).join(F.broadcast(chosen), "scenario")
-    stage = steps.select("sample", (100.0 + F.col("start_h")).alias("from_h"), F.least(F.col("unserved_mw"), F.lit(30.0)).alias("cut"), F.least(F.col("critical_mw"), F.least(F.col("unserved_mw"), F.lit(30.0))).alias("critical_cut"))
-    over = steps.groupBy("sample").agg((100.0 + F.max("end_h")).alias("from_h")).select("sample", "from_h", F.lit(0.0).alias("cut"), F.lit(0.0).alias("critical_cut"))
-    third = lambda c: F.array_repeat(c / 3, 3)
-    return stage.unionByName(over).select("*", third(F.col("critical_cut")).alias("ask_critical"), third(F.col("cut") - F.col("critical_cut")).alias("ask_other"))
-
-
-def _observed(**given: object) -> dict:
-    return {"observe_from": float(WARM_UP), **given}
-
-
-CONV, CRIT, CURTAILED = shares_sql("78.0")
-ALONE = shares_sql("0.0")[0]
-
-
-@query("X10 X11 X19 A30 (private backup)", f"""with {PROFILES} select sample, round(sum({CONV}), 5) as community_ens_mwh, round(sum({CRIT}), 5) as critical_ens_mwh, round(sum({CURTAILED}), 5) as dc_forced_grid_curtailment_mwh,
-  cast(sum(case when {CONV} > 1e-9 then 1 else 0 end) as double) as community_lolh, cast(count(distinct case when {CONV} > 1e-9 then t // 24 end) as double) as community_loss_days,
-  {60.0 * (HOURS - WARM_UP)!r} as it_mwh, {18.0 * (HOURS - WARM_UP)!r} as aux_mwh, {float(HOURS - WARM_UP)!r} as reporting_hours from short where t >= {WARM_UP} group by sample""")
-def chronology_private(t: Tables) -> DataFrame:
-    """Months in which units fail and fuel is ordered: what the grid can't give, and that both demands of the sites add up."""
-    x = chronology.years(profiles(t), {"private": _observed()}, step=1.0, seed=21)
-    both = lambda *names: R(sum(F.col(f"{k}_mwh") for k in names), 5)
-    return x.select("sample", *(R(k, 5).alias(k) for k in ("community_ens_mwh", "critical_ens_mwh", "dc_forced_grid_curtailment_mwh")), "community_lolh", "community_loss_days", both("grid_it", "gen_it", "ups", "it_unserved").alias("it_mwh"), both("grid_aux", "gen_aux", "aux_unserved").alias("aux_mwh"), "reporting_hours")
-
-
-@query("X11 (coordinated transfer)", f"""with {PROFILES} select sample, round(sum(case when not short then 0.0 when first then 0.25 * {CONV} + 0.75 * {ALONE} else {ALONE} end), 5) as community_ens_mwh,
-  round(sum(case when not short then 0.0 when first then 3 * 0.75 else 3.0 end), 6) as coordinated_transfer_site_hours, cast(sum(case when first then 3 else 0 end) as double) as automatic_backup_calls from runs where t >= {WARM_UP} group by sample""")
-def chronology_transfer(t: Tables) -> DataFrame:
-    """The same months with units that don't fail: sites leave the grid a quarter of an hour into a shortage, together."""
-    rules = chronology.Rules(failures=False)
-    x = chronology.years(profiles(t), {"coordinated": _observed(coordinated=True, rules=rules)}, step=1.0)
-    return x.select("sample", R("community_ens_mwh", 5).alias("community_ens_mwh"), R("coordinated_transfer_site_hours", 6).alias("coordinated_transfer_site_hours"), "automatic_backup_calls")
-
-
-@query("X12 X19 (paired years with a storm)")
-def chronology_year(t: Tables) -> DataFrame:
-    """Each sample's month with its storm, without and with export above a reserve of 44 hours."""
-    rules = chronology.Rules(reserve_h=44.0)
-    return chronology.years(profiles(t), {"no_export": _observed(export=False), "export": _observed(rules=rules)}, step=1.0, seed=21, storms=storms(t)).select("sample", "control", *(R(k, 6).alias(k) for k in chronology.FIGURES))
-
-
-@query("X11 X12 X15 (balances of paired years)", f"""with samples as (select unnest(range({SAMPLES})) as sample), c as (select unnest(['export', 'no_export']) as control)
-select sample, control, {60.0 * (HOURS - WARM_UP)!r} as it_mwh, {18.0 * (HOURS - WARM_UP)!r} as aux_mwh, 0.0::double as fuel_residual, 0.0::double as ups_residual, 0.0::double as community_residual, 0.0::double as avoided_less_export, true as critical_not_worse from samples, c""")
-def chronology_balances(t: Tables) -> DataFrame:
-    """All balances of the paired years, and that export avoids just the energy that it sends."""
-    x = chronology_year(t)
-    pair = W.partitionBy("sample")
-    off = lambda k: F.max(F.when(F.col("control") == "no_export", F.col(k))).over(pair)
-    c = F.col
-    zero = lambda e: R(F.abs(R(e, 3)), 3)
-    return x.select(
-        "sample",
-        "control",
-        R(c("grid_it_mwh") + c("gen_it_mwh") + c("ups_mwh") + c("it_unserved_mwh"), 3).alias("it_mwh"),
-        R(c("grid_aux_mwh") + c("gen_aux_mwh") + c("aux_unserved_mwh"), 3).alias("aux_mwh"),
-        zero(c("fuel_start_mwh") + c("accepted_mwh") - c("fuel_end_mwh") - c("gen_it_mwh") - c("gen_aux_mwh") - c("export_mwh")).alias("fuel_residual"),
-        zero(c("ups_start_mwh") + c("charge_mwh") - c("ups_end_mwh") - c("ups_mwh")).alias("ups_residual"),
-        zero(c("community_ens_mwh") - c("disconnected_community_ens_mwh") - c("connected_supply_ens_mwh")).alias("community_residual"),
-        zero(off("community_ens_mwh") - c("community_ens_mwh") - c("export_mwh")).alias("avoided_less_export"),
-        (c("critical_ens_mwh") <= off("critical_ens_mwh") + 1e-6).alias("critical_not_worse"),
-    )
-
-
 def _sampled(t: Tables) -> DataFrame:
     edges = t.supplier.select(F.col("s_suppkey").alias("edge_id"), F.col("s_nationkey").cast("long").alias("node"), (29.0 + F.col("s_suppkey") % 20 / 10.0).alias("lat"), (-96.0 + F.col("s_nationkey") / 10.0).alias("lon"), F.when(F.col("s_suppkey") % 7 == 0, "switch").otherwise("line").alias("kind"), (F.col("s_acctbal") / 5000).alias("length_km"))
     cases = t.region.select(F.col("r_regionkey").cast("long").alias("storm"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("mc"))
@@ -311,10 +97,3 @@ def generated_outages(t: Tables) -> DataFrame:
 
     x = graph.outage_metrics(graph.tree_unserved(_sampled(t).select("scenario", "node"), v.loads(t)))
     return x.select("scenario", R("unserved_mw", 6).alias("unserved_mw"), R("critical_mw", 6).alias("critical_mw"), R("voll_per_h", 4).alias("voll_per_h"), "n_loads", "n_islands")
-
-
-@query("X22 X23 X26 L04", f"""with {RANKED}, base as (select scenario, cost as reference from orders where policy = 'greedy')
-select scenario, policy, round(gained + case when reference > 0 then (reference - cost) / reference else 0 end - case when cost > 1.1 * reference then 0.5 else 0 end, 5) as reward, round(cost, 8) as cost from orders join base using (scenario)""")
-def policy_rollouts(t: Tables) -> DataFrame:
-    x = search.policy_rollouts(v.damage(t).join(v.node_power(t), "node").select("scenario", "node", "repair_h", "kw", "critical_kw"))
-    return x.select("scenario", "policy", R("reward", 5).alias("reward"), R("cost", 8).alias("cost"))

@@ -58,14 +58,3 @@ def stream_sessions(t: Tables) -> DataFrame:
 def stream_without_repeats(t: Tables) -> DataFrame:
     twice = timeline.after_warm_up(events(t).unionByName(events(t)), "2024-01-15")
     return finished(timeline.without_repeats(twice, ["event_id"], "40 days"), "append").select("event_id", "user_id")
-
-
-@query("R01 (state carried through a stream)", """with calls as (select user_id % 5 as site_id, epoch_us(ts) / 3.6e9 - 473352.0 as start_h, epoch_us(ts) / 3.6e9 - 473352.0 + 0.05 as end_h, least(value / 10, 5.0, 12 * 2.725 - 26) as power from events),
-spans as (select *, greatest(0.0, end_h - greatest(start_h, 0.25)) as hours from calls),
-burnt as (select *, 26 * (end_h - start_h) + power * hours as burn, coalesce(sum(26 * (end_h - start_h) + power * hours) over (partition by site_id order by start_h, power rows between unbounded preceding and 1 preceding), 0) as before from spans)
-select site_id, round(max(end_h), 6) as until_h, round(sum(power * hours * least(1.0, greatest(0.0, (1440.0 - before) / burn))), 3) as exported_mwh, round(greatest(0.0, 1440.0 - sum(burn)), 3) as fuel_mwh from burnt group by site_id""")
-def stream_site_fuel(t: Tables) -> DataFrame:
-    hours = (F.unix_micros("ts") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 3.6e9
-    calls = events(t).select((F.col("user_id") % 5).cast("long").alias("site_id"), hours.alias("start_h"), (hours + 0.05).alias("end_h"), (F.col("value") / 10).alias("request_mw"))
-    x = finished(timeline.site_fuel(calls), "append")
-    return x.select("site_id", R("until_h", 6).alias("until_h"), R("exported_mwh", 3).alias("exported_mwh"), R("fuel_mwh", 3).alias("fuel_mwh"))

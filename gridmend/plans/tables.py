@@ -123,12 +123,6 @@ def representative_day(t: Tables) -> DataFrame:
     return t.events.where((F.month("ts") == 1) & (F.dayofmonth("ts") == 15)).groupBy("event_type").agg(F.count("*").alias("n"), R(F.sum("value"), 4).alias("total"))
 
 
-@query("F25", """select strftime(ts, '%Y-%m-%d %H:%M') as at from (select unnest(generate_series(timestamp '2024-02-27', timestamp '2024-03-01 23:45:00', interval 15 minute)) as ts) where not (month(ts) = 2 and day(ts) = 29)""")
-def non_leap_calendar(t: Tables) -> DataFrame:
-    ts = t.spark.sql("select explode(sequence(timestamp '2024-02-27', timestamp '2024-03-01 23:45:00', interval 15 minutes)) as ts")
-    return ts.where(~((F.month("ts") == 2) & (F.dayofmonth("ts") == 29))).select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"))
-
-
 @query("A33 S06 S09", """with parts as (select label, vec_id % 5 + 1 as w, embedding from embeddings), long as (select label, i, sum(w * embedding[i]::double) as x from parts, range(1, 65) r(i) group by 1, 2)
 select label, count(*) as n, round(max(x), 5) as peak, round(avg(x), 5) as mean from long group by label""")
 def profile_linear_combination(t: Tables) -> DataFrame:

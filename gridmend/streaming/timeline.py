@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.service import Block, Site, State, dispatch
 
 
 def events_stream(spark, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -50,23 +44,3 @@ def append_batches(df: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
-def site_fuel(calls: DataFrame, site: Site = Site()) -> DataFrame:
-    """Fuel and export of each site (R01): the state is carried from interval to interval.
-
-    ``calls``: site_id, start_h, end_h, request_mw; intervals of a batch are taken in the order of their start.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = State(*state.get) if state.exists else State(site.fuel_mwh, site.ups_mwh, 1e12)
-        calls_ = pd.concat(list(frames)).sort_values(["start_h", "request_mw"])
-        exported, last = 0.0, 0.0
-        for r in calls_.itertuples(index=False):
-            for p in dispatch(site, now, Block(r.start_h, r.end_h, site.it_mw, site.aux_mw, site.units, request=r.request_mw, rule="shared")):
-                exported += p["export_mw"] * (p["end_h"] - p["start_h"])
-            last = r.end_h
-        state.update((now.fuel, now.ups, now.allowance))
-        yield pd.DataFrame({"site_id": [key[0]], "until_h": [last], "exported_mwh": [exported], "fuel_mwh": [now.fuel]})
-
-    return calls.groupBy("site_id").applyInPandasWithState(run, "site_id long, until_h double, exported_mwh double, fuel_mwh double", "fuel double, ups double, allowance double", "append", GroupStateTimeout.NoTimeout)

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmend.functions import scalar as s
 from gridmend.functions import text
-from gridmend.operators import checks, economics, graph, hazard, recovery, relational, search, simulation, stats, supply, support
-from gridmend.operators.service import Site, State, start_state
+from gridmend.operators import checks, economics, graph, hazard, relational, renewal, stats, supply, support
 
 
 def one(spark, **columns):
@@ -160,104 +159,6 @@ def test_bootstraps_agree(spark):
     assert np.isnan(stats.bootstrap_of(np.array([np.nan]))).all()
 
 
-def test_export_stops_at_the_reserve():
-    site = Site()
-    state = State(1321.0, site.ups_mwh)
-    rows = simulation.grid_interval(site, state, 0.0, 2.0, 30.0, 13, 26.0, 1320.0)
-    assert sum(r["export_mw"] * (r["end_h"] - r["start_h"]) for r in rows) == pytest.approx(1.0)
-    assert state.fuel == pytest.approx(1320.0)
-
-
-@pytest.mark.parametrize(("reserve", "sent"), [(44, 120.0), (48, 0.0)])
-def test_export_waits_for_authorisation_and_stops_at_the_floor(reserve, sent):
-    site = Site()
-    rows = simulation.grid_interval(site, start_state(site), 0.0, 1000.0, 5.0, 13, 26.0, site.design_mw * reserve)
-    assert sum(r["export_mw"] * (r["end_h"] - r["start_h"]) for r in rows) == pytest.approx(sent)
-    assert rows[0]["export_mw"] == 0 and rows[0]["end_h"] == 0.25
-
-
-@pytest.mark.parametrize(("internal", "online", "power"), [(26, 13, 5.0), (26, 12, 3.975), (30, 13, 2.7), (30, 12, 0.0)])
-def test_headroom_leaves_a_spare_unit(internal, online, power):
-    site = Site()
-    assert simulation.export_power(site, start_state(site), 50.0, online, internal, 1.0, 0.0) == pytest.approx(power)
-
-
-def test_repaired_units_are_only_accepted_again():
-    draws = {("available",): 0.5, (0, "start"): 0.001, (0, "repair"): np.exp(-1.0), (1, "start"): 0.9, (1, "run"): np.exp(-1.0), (1, "repair"): np.exp(-2.0), (2, "start"): 0.9, (2, "run"): np.exp(-50.0)}
-    events = simulation.availability_events(lambda *key: draws[key], 100.0, 3.0, 10.0, 4.0, 0.01, 0.9, 0.5)
-    assert events == [(pytest.approx(3 + 4 + 0.5), 1), (pytest.approx(17.5), -1), (pytest.approx(17.5 + 8 + 0.5), 1)]
-    late = simulation.availability_events(lambda *key: {("available",): 0.95, ("first",): np.exp(-1.0), (0, "start"): 0.5, (0, "run"): 1e-30}[key], 10.0, 3.0, 10.0, 4.0, 0.01, 0.9, 0.5)
-    assert late == [(pytest.approx(4.5), 1)]
-
-
-def test_support_is_bounded_by_power_and_energy():
-    assert simulation.support_potential(15.0, 180.0, [10.0, 20.0], 24.0) == (180.0, 0.5)
-    assert simulation.support_potential(15.0, 1e9, [10.0], 2.0) == (20.0, 1.0)
-
-
-def _case():
-    return recovery.Loads(np.array([0, 1, 2]), np.array([20.0, 6.0, 3.0]), np.array([True, False, False]), np.array([100.0, 25.0, 10.0]), np.array([0, 0, -1]))
-
-
-def test_replay_stops_when_all_is_served():
-    off = recovery.replay(_case(), {0: 2.0, 1: 3.0, 9: 1.0}, [0, 1, 9], recovery.Control(export=False))
-    assert off["hours"] == 5.0 and off["ens_mwh"] == 26 * 2 + 6 * 3 and off["timeline"][-1]["unserved_mw"] == 0.0 and off["repairs"] == 2
-    on = recovery.replay(_case(), {0: 2.0, 1: 3.0}, [0, 1], recovery.Control(ideal=True))
-    assert on["export_mwh"] == pytest.approx(5 * 4.75) and off["ens_mwh"] - on["ens_mwh"] == pytest.approx(on["export_mwh"])
-    assert on["critical_ens_mwh"] == pytest.approx(40 - 5 * 1.75) and max(on["fuel_residual_mwh"], on["support_residual_mwh"]) < 1e-6
-    assert [r["ens_mwh"] for r in off["classes"]] == [40.0, 30.0, 0.0] and off["t50_total_h"] == 2.0
-    cut = recovery.replay(_case(), {0: 2.0, 1: 3.0}, [0, 1], recovery.Control(ideal=True, cut_off=(0,)))
-    assert cut["export_mwh"] == 0 and cut["ens_mwh"] == off["ens_mwh"]
-
-
-def test_responsive_repairs_look_past_what_support_serves():
-    node, critical, value = np.array([0, 1, 2]), np.array([True, False, False]), np.array([100.0, 10.0, 1.0])
-    orders = []
-    for zone in ([0, 1, -1], [0, -1, -1]):
-        loads = recovery.Loads(node, np.array([6.0, 5.0, 90.0]), critical, value, np.array(zone))
-        got = recovery.replay(loads, {0: 2.0, 1: 2.0, 2: 1.0}, [0, 1, 2], recovery.Control(ideal=True), choose=recovery.support_responsive)
-        orders.append([r["edge"] for r in got["order"]])
-    # at first no unit runs; then support covers 5 of 6 MW of node 0, and none or all of node 1
-    assert orders == [["2", "0", "1"], ["2", "1", "0"]]
-
-
-def test_a_preview_leaves_the_sites_alone():
-    site = Site()
-    m = recovery.Moment({0: 2.0}, _case(), site, [start_state(site) for _ in range(3)], [13] * 3, 1.0, recovery.Control())
-    got = recovery.preview(m, 2.0)
-    assert got.tolist() == [5.0, 0.0, 0.0] and all(x.fuel == site.fuel_mwh for x in m.states)
-
-
-def test_genetic_search_keeps_the_best():
-    rng = np.random.default_rng(0)
-    power, hours = rng.uniform(1, 9, 8), rng.uniform(1, 9, 8)
-    start = rng.permutation(8)
-    order, value, n = search.genetic(power, hours, start, 3)
-    first = float(search.order_costs(start[None, :], power, hours)[0])
-    assert sorted(order) == list(range(8)) and value < first and 30 < n <= 12 + 8 * 9
-    again = search.genetic(power, hours, start, 3)
-    assert again[1:] == (value, n) and (again[0] == order).all()
-    assert float(search.order_costs(order[None, :], power, hours)[0]) == value
-    assert search.genetic(power[:1], hours[:1], np.array([0]), 1)[1] == pytest.approx(power[0] * hours[0])
-
-
-def test_order_costs_are_those_of_the_definition():
-    power, hours = {7: 5.0, 3: 2.0, 9: 4.0}, {7: 2.0, 3: 1.0, 9: 3.0}
-    assert search.order_cost([9, 7, 3], power, hours) == 3 * 11 + 2 * 7 + 1 * 2
-
-
-@pytest.mark.parametrize("k", range(20))
-def test_children_are_orders(k):
-    parent = np.random.default_rng(1).permutation(7)
-    assert sorted(search.child(parent, np.random.default_rng(k))) == list(range(7))
-
-
-def test_advantages():
-    got = search.advantages(np.array([1.0, 2.0]), np.array([0.5, 0.25]), 0.9, 0.8)
-    last = 2.0 - 0.25
-    assert got == pytest.approx([1.0 + 0.9 * 0.25 - 0.5 + 0.72 * last, last])
-
-
 def test_step_violations(spark):
     e = spark.createDataFrame([(1, 2, 3.0), (2, 1, 1.0)], "k int, n_steps int, ens double")
     st = spark.createDataFrame([(1, 0, 0.0, 1.0, 1.0), (1, 1, 1.5, 2.0, 2.0), (3, 0, 0.0, 1.0, 1.0)], "k int, step_index int, start double, end double, step_ens double")
@@ -287,3 +188,25 @@ def test_store_runs_out(spark):
     df = spark.createDataFrame([(1, 0, 50.0, 5.0), (1, 1, 60.0, 8.0), (1, 2, 10.0, 9.0)], "k int, i int, p double, end double")
     rows = sorted(support.finite_support(df, ["k"], "i", "p", F.lit(80.0), "end").collect(), key=lambda r: r.i)
     assert [r.used for r in rows] == [50.0, 30.0, 0.0] and rows[1].fraction == 0.5 and {r.depleted_h for r in rows} == {8.0}
+
+
+def test_histories_are_sums_of_keyed_cycles(spark, monkeypatch):
+    from gridmend.functions.draws import uniform_of
+
+    monkeypatch.setattr(renewal, "ROUND", 3)  # so that units go through many rounds
+    units = spark.createDataFrame([(s, u) for s in (1, 2) for u in range(4)], "site int, unit int")
+    got = {}
+    for r in renewal.equipment_events(units, ["site"], 900.0, 5, mttf=40.0, mttr=9.0, fail_to_start=0.2, ready=0.5, available=0.5, accept=0.25).collect():
+        got.setdefault(r.site, []).append((round(r.t, 6), r.d))
+    for site in (1, 2):
+        want = []
+        for unit in range(4):
+            u = lambda *key: uniform_of(5, site, unit, *key)  # noqa: B023, E731
+            now, n = 0.5 if u("available") < 0.5 else max(0.5, -9 * np.log(u("first")) + 0.25), 0
+            while now < 900:
+                ran = -40 * np.log(u(n, "run")) if u(n, "start") >= 0.2 else 0.0
+                want += [(round(t, 6), d) for t, d in ((now, 1), (now + ran, -1)) if ran and t < 900]
+                now, n = now + ran - 9 * np.log(u(n, "repair")) + 0.25, n + 1
+        assert sorted(got[site]) == sorted(want) and len(want) > 50
+    assert renewal.cycles(units.where("false"), F.lit(0.0), lambda n: F.lit(1.0), 5.0).count() == 0
+    assert [r.n for r in renewal.cycles(units.where("site = 1 and unit = 0"), F.lit(0.0), lambda n: F.lit(1.0), 5.0).orderBy("n").collect()] == [0, 1, 2, 3, 4]

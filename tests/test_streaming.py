@@ -51,11 +51,3 @@ def test_batches_replace_themselves(spark, stream, tmp_path):
     q = timeline.append_batches(make(), f"file://{tmp_path}/out", f"file://{tmp_path}/check").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == events.count()
-
-
-def test_site_state_is_carried(stream):
-    _, make = stream
-    hours = (F.unix_micros("ts") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 3.6e9
-    calls = make().select((F.col("user_id") % 3).alias("site_id"), hours.alias("start_h"), (hours + 0.1).alias("end_h"), (F.col("value") / 10).alias("request_mw"))
-    got = run(timeline.site_fuel(calls), "fuel_out", "append").toPandas()
-    assert (got.groupby("site_id").fuel_mwh.apply(lambda x: x.is_monotonic_decreasing)).all() and got.groupby("site_id").size().max() > 1
