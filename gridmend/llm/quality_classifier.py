@@ -9,7 +9,6 @@ a probability of these.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, place_of, portions, quoted, small_batches, table, without
+from .common import appended, place_of, quoted, small_batches, table, without
 from .learning import fit_logistic, labelled_sample, remainder, sigmoid
 
 #: Bounds of the fit: labelled rows, bytes of a text that is used for it. At most 160 MB reach the driver, about

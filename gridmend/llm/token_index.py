@@ -39,6 +39,8 @@ SHARD_IDS, ROW_KEYS, CACHE_WORDS = 8 << 20, 50_000, 600_000
 LEVEL_BITS, LEVELS = 2, 24
 #: The pre-token pattern of the tokenizer with word ends, a fixed value.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Punctuation that often follows a word; a run of it is one pre-token.
+STOPS = ".,;:!?"
 RECORD = np.dtype([("print", "<u4"), ("n", "<u4"), ("shard", "<i8"), ("at", "<i8"), ("start", "<i8")])
 
 
@@ -80,12 +82,21 @@ class WordIds:
         return cls.made[key]
 
     def library(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)  # without offsets
 
     def raw(self, ids: np.ndarray) -> bytes:
         return ids.astype(f"<u{self.width}").tobytes()
 
     def learn(self, words: list[str]) -> None:
+        """Encodes words that the cache hasn't. A word of letters with stops after it is two pre-tokens, and both are often
+        known or needed again."""
+        cut = {w: (stem, w[len(stem) :]) for w in words if (stem := w.rstrip(STOPS)) != w and stem.isalpha()}
+        parts = dict.fromkeys(p for w in words for p in cut.get(w, (w,)))
+        self.encode_words([p for p in parts if p not in self.cache])
+        for w, (stem, stops) in cut.items():
+            self.cache[w] = self.cache[stem] + self.cache[stops]
+
+    def encode_words(self, words: list[str]) -> None:
         """Encodes words in one call each 256; where a word ends is known from the pre-tokens it has."""
         for i in range(0, len(words), 256):
             some = words[i : i + 256]
