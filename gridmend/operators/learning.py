@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .relational import scanned
+from . import scan
 
 
 def dot(weights: Sequence[float], x: Column) -> Column:
@@ -114,14 +114,18 @@ def ranking_metrics(candidates: DataFrame, by: Sequence[str], score: str, cost:
 
 
 def discounted_advantages(steps: DataFrame, by: Sequence[str], order: str, reward: str, value: str, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
-    """(by, order, advantage): generalised advantages, by a scan from each episode's last step to its first."""
-    rows = steps.select(*by, order, F.col(reward).cast("double").alias("gm_r"), F.col(value).cast("double").alias("gm_v"))
-    n = len(by) + 1
+    """(by, order, advantage): generalised advantages, from each episode's last step to its first.
 
-    def step(state: list, r: tuple) -> tuple:
-        state[0] = r[n] + gamma * state[1] - r[n + 1] + gamma * lam * state[0]
-        state[1] = r[n + 1]
-        return (*r[:n], state[0])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:n])
-    return scanned(rows, by, [F.desc(order)], lambda: [0.0, 0.0], step, f"{fields}, advantage double")
+    An advantage takes those after it and the value of the next step: reward - value + gamma (next value + lam x next advantage).
+    With z = advantage + value / lam that is one affine map a step, and a scan of such maps holds no episode in one task.
+    """
+    r, v = F.col(reward).cast("double"), F.col(value).cast("double")
+    rows = scan.placed(steps.select(*by, order, r.alias("gm_r"), v.alias("gm_v")), by, [F.desc(order)])
+    gain = F.col("gm_r") - F.col("gm_v")
+    if lam:
+        known = scan.affine_before(rows, by, F.lit(gamma * lam), gain + F.col("gm_v") / lam, out="gm_z")
+        advantage = gain + gamma * lam * F.col("gm_z")
+    else:
+        known = scan.affine_before(rows, by, F.lit(0.0), F.col("gm_v"), out="gm_z")
+        advantage = gain + gamma * F.col("gm_z")
+    return known.select(*by, order, advantage.alias("advantage"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .graph import components, degrees
+from .quantiles import quantiles
 from .scratch import cut
 
 #: The least voltage and degree of a branch point, the voltage of transformers that are kept, the quantile
@@ -23,7 +24,8 @@ def protected_nodes(nodes: DataFrame, edges: DataFrame, loads: DataFrame, roots:
     kv = nodes.select("node", "kv")
     branch = degrees(edges).where(F.col("degree") >= BRANCH_DEGREE).join(kv.where(F.col("kv") >= BRANCH_KV), "node").select("node", F.lit("branch").alias("reason"))
     by_node = loads.groupBy("node").agg(F.sum("kw").alias("kw"))
-    least = by_node.agg(F.percentile("kw", F.lit(LOAD_QUANTILE)).alias("least"))
+    by_node = cut(by_node, "load-by-node")
+    least = quantiles(by_node, [], "kw", [LOAD_QUANTILE], ["least"])
     large = by_node.crossJoin(F.broadcast(least)).where("kw >= least").select("node", F.lit("load").alias("reason"))  # one row
     ends = edges.select("edge_id", "is_switch", "is_transformer", F.explode(F.array("a", "b")).alias("node"))
     switch = ends.where("is_switch").select("node", F.lit("switch").alias("reason"))

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
+from .quantiles import quantiles
 from .relational import as_of
+from .scan import matched
+from .scratch import cut
 
 TIE = 1e-6
 
@@ -80,5 +83,7 @@ def hourly_curves(steps: DataFrame, by: list[str], case: str, start: str, value:
     """Mean and quartiles over cases on an even grid of hours; each case keeps its last step's value."""
     points = steps.select(*by, case).distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(horizon), F.lit(grid))))
     met = as_of(points, steps, [*by, case], "hour", start, [value])
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    return met.groupBy(*by, "hour").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), q[0].alias("q25"), q[1].alias("q75"))
+    met = cut(met, "curves")
+    keys = [*by, "hour"]
+    means = met.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return matched(means, quantiles(met, keys, value, [0.25, 0.75], ["q25", "q75"]), keys)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import economics, graph, relational, stats, support
+from ..operators import economics, graph, relational, scan, stats, support
 from . import views as v
 from .catalog import query
 from .views import Tables
@@ -66,7 +66,7 @@ def waterfall_allocation(t: Tables) -> DataFrame:
     loads = v.loads(t)
     caps = loads.groupBy("node").agg((0.25 * F.sum("kw")).alias("cap"))
     order = [F.desc("is_critical"), F.desc("voll"), F.desc("kw"), F.col("load_id")]
-    out = relational.waterfall(loads.join(caps, "node"), ["node"], "kw", F.col("cap"), order)
+    out = scan.waterfall(loads.join(caps, "node"), ["node"], "kw", F.col("cap"), order)
     return out.select("load_id", "node", R("given", 6).alias("given"))
 
 
@@ -77,7 +77,7 @@ def pooled_allocation(t: Tables) -> DataFrame:
     """The older order: ties go to the larger zone and id, and a cap that is left over is simply unused."""
     loads = v.loads(t).withColumn("r", F.col("node") % 5)
     order = [F.desc("is_critical"), F.desc("voll"), F.desc("kw"), F.desc("node"), F.desc("load_id")]
-    return relational.waterfall(loads, ["r"], "kw", F.lit(15000.0), order).select("load_id", "r", R("given", 6).alias("given"))
+    return scan.waterfall(loads, ["r"], "kw", F.lit(15000.0), order).select("load_id", "r", R("given", 6).alias("given"))
 
 
 @query("W09 W10", f"""with {v.TRAJECTORY}

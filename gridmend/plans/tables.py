@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import classify, text
 from ..functions import scalar as s
-from ..operators import checks, relational
+from ..operators import checks, quantiles, relational, scan
 from . import views as v
 from .catalog import query
 from .views import Tables
@@ -80,7 +80,7 @@ r(g, i, total, id, taken) as (select g, i, case when size <= 5000 then size else
 select cast(g as integer) as g, id from r where taken""")
 def prefix_under_cap_skip(t: Tables) -> DataFrame:
     x = t.part.select((F.col("p_size") % 5).alias("g"), (-F.col("p_retailprice")).alias("first"), F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("size"))
-    return relational.take_under_cap(x, ["g"], "size", 5000.0, ["first", "id"]).select("g", "id")
+    return scan.take_under_cap(x, ["g"], "size", 5000.0, ["first", "id"]).select("g", "id")
 
 
 @query("A14 A15 G08 G11", """with e as (select l_orderkey * 10 + l_linenumber as edge_id, l_suppkey as a, 100000000 + l_partkey as b, l_returnflag as edge_type, l_linestatus as feeder, cast(l_quantity as bigint) as length, l_tax > 0.05 as flag, l_discount > 0.08 as is_open from lineitem),
@@ -101,7 +101,7 @@ def node_rollup(t: Tables) -> DataFrame:
 
 @query("A10", f"""with {v.LOADS} select node, round(quantile_cont(kw, 0.95), 6) as p95 from loads group by node""")
 def load_threshold_p95(t: Tables) -> DataFrame:
-    return v.loads(t).groupBy("node").agg(R(F.percentile("kw", F.lit(0.95)), 6).alias("p95"))
+    return quantiles.quantiles(v.loads(t), ["node"], "kw", [0.95], ["p95"]).select("node", R("p95", 6).alias("p95"))
 
 
 @query("W05", """with d as (select event_type, epoch_us(ts) // 86400000000 as day, avg(value / 200) as x from events group by 1, 2), w as (select *, row_number() over (partition by event_type order by day) as i, count(*) over (partition by event_type) as n, avg(x) over (partition by event_type order by day rows between 3 preceding and 3 following) as m from d)

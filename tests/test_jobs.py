@@ -71,17 +71,6 @@ def test_normal_distribution(spark):
     assert got == pytest.approx([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in xs], abs=1e-7)
 
 
-def test_scans_keep_a_state_for_each_group(spark):
-    df = spark.createDataFrame([(k, i, float(i)) for k in range(40) for i in range(25)], "k int, i int, x double")
-
-    def step(state, r):
-        state[0] += r[2]
-        return (r[0], r[1], state[0]) if r[1] % 2 else None
-
-    got = relational.scanned(df, ["k"], ["i"], lambda: [0.0], step, "k int, i int, total double").collect()
-    assert len(got) == 40 * 12 and all(r.total == r.i * (r.i + 1) / 2 for r in got)
-
-
 def test_forward_passes(spark):
     cells = spark.createDataFrame([(0, 0, 2.0), (1, 1, 4.0)], "cy int, cx int, x double")
     got = {(r.cy, r.cx): r.x for r in learning.convolved(cells, [], "x", ((0, 0, 0), (0, 1, 0), (0, 0, 0.5)), 0.25, 2).collect()}

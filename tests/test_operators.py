@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmend.functions import scalar as s
 from gridmend.functions import text
-from gridmend.operators import checks, economics, graph, hazard, relational, renewal, stats, supply, support
+from gridmend.operators import checks, economics, graph, hazard, relational, renewal, scan, stats, supply, support
 
 
 def one(spark, **columns):
@@ -49,13 +49,13 @@ def test_tokens(spark):
 
 def test_waterfall(spark):
     df = spark.createDataFrame([("A", 20.0, False, 1.0), ("B", 6.0, False, 2.0), ("D", 3.0, False, 0.5)], "id string, mw double, critical boolean, voll double").withColumn("g", F.lit(1))
-    got = relational.waterfall(df, ["g"], "mw", F.lit(15.0), [F.desc("critical"), F.desc("voll"), F.desc("mw"), F.col("id")])
+    got = scan.waterfall(df, ["g"], "mw", F.lit(15.0), [F.desc("critical"), F.desc("voll"), F.desc("mw"), F.col("id")])
     assert {r.id: r.given for r in got.collect()} == {"B": 6.0, "A": 9.0, "D": 0.0}
 
 
 def test_skipping_prefix(spark):
     df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate((6, 9, 3, 2, 1))], "g int, i int, size double")
-    assert sorted(r.i for r in relational.take_under_cap(df, ["g"], "size", 10.0, ["i"]).collect()) == [0, 2, 4]
+    assert sorted(r.i for r in scan.take_under_cap(df, ["g"], "size", 10.0, ["i"]).collect()) == [0, 2, 4]
 
 
 def test_as_of_clamps_to_the_first_step(spark):
