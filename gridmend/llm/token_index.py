@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -67,7 +69,7 @@ class WordIds:
         #: Words can be encoded one by one with this kind of tokenizer only; others encode whole texts.
         self.splits = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": PRE_TOKEN} and split.get("invert") is True
         self.splits = self.splits and not known.get("post_processor") and not known["model"].get("dropout")
-        self.plain, self.pre_tokens = regex.compile(PLAIN).fullmatch, regex.compile(PRE_TOKEN).findall
+        self.plain, self.pre_tokens = re.compile(PLAIN).fullmatch, regex.compile(PRE_TOKEN).findall
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # the ids that end a pre-token
         for word, i in vocab.items():
             self.closes[i] = bool(suffix) and word.endswith(suffix)
@@ -114,13 +116,15 @@ class WordIds:
         if not self.splits or not self.plain(text) or any(s in text for s in self.special):
             return self.raw(self.library(text))
         words = text.lower().split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.learn([w for w in dict.fromkeys(words) if w not in self.cache])
-            return b"".join(map(self.cache.__getitem__, words))
+        found = list(map(self.cache.get, words))
+        if None not in found:
+            return b"".join(found)
+        missing = dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None)
+        if len(self.cache) >= CACHE_WORDS:  # the words that were met first are the frequent ones, by and large
+            self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 3))
+            missing = dict.fromkeys(w for w in words if w not in self.cache)
+        self.learn(list(missing))
+        return b"".join(map(self.cache.__getitem__, words))
 
 
 def read_tokenizer(path: str | None = None) -> str:
