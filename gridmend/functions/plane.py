@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import cos, log, radians, sin, sqrt
 
 from pyspark.sql import Column
@@ -38,14 +39,19 @@ def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
     return r * F.sin(turn), _R0 - r * F.cos(turn)
 
 
-def _sides(ring: Column) -> Column:
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, and not wherever ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sides(ring: Column) -> Column:
     """Each point of a ring with the next one, the last with the first."""
-    return F.transform(ring, lambda p, i: F.struct(p.alias("p"), F.get(ring, F.pmod(i + 1, F.size(ring)).cast("int")).alias("q")))
+    return bound(ring, lambda r: F.transform(r, lambda p, i: F.struct(p.alias("p"), F.get(r, F.pmod(i + 1, F.size(r)).cast("int")).alias("q"))))
 
 
 def area(ring: Column) -> Column:
     """The area of a ring, positive where it runs counter-clockwise."""
-    cross = F.transform(_sides(ring), lambda e: e["p"][0] * e["q"][1] - e["q"][0] * e["p"][1])
+    cross = F.transform(sides(ring), lambda e: e["p"][0] * e["q"][1] - e["q"][0] * e["p"][1])
     return F.aggregate(cross, F.lit(0.0), lambda a, x: a + x) / 2
 
 
@@ -54,20 +60,21 @@ def centroid(ring: Column) -> tuple[Column, Column]:
     size = F.nullif(area(ring), F.lit(0.0))
 
     def along(k: int) -> Column:
-        parts = F.transform(_sides(ring), lambda e: (e["p"][k] + e["q"][k]) * (e["p"][0] * e["q"][1] - e["q"][0] * e["p"][1]))
+        parts = F.transform(sides(ring), lambda e: (e["p"][k] + e["q"][k]) * (e["p"][0] * e["q"][1] - e["q"][0] * e["p"][1]))
         return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / (6 * size)
 
     return along(0), along(1)
 
 
-def clipped(ring: Column, box: tuple[float, float, float, float]) -> Column:
-    """What of a convex or simple ring lies in a box (least x, least y, largest x, largest y): one side after another."""
+def clipped(ring: Column, box: tuple) -> Column:
+    """What of a ring lies in a box (least x, least y, largest x, largest y; numbers or columns): one side after another. Of a ring that
+    falls apart the parts stay joined along the box, which changes neither area nor winding."""
     for axis, bound, sign in ((0, box[0], 1.0), (1, box[1], 1.0), (0, box[2], -1.0), (1, box[3], -1.0)):
         ring = _half(ring, axis, bound, sign)
     return ring
 
 
-def _half(ring: Column, axis: int, bound: float, sign: float) -> Column:
+def _half(ring: Column, axis: int, bound: Column | float, sign: float) -> Column:
     depth = lambda p: (p[axis] - bound) * sign
 
     def cut(e: Column) -> Column:
@@ -78,4 +85,4 @@ def _half(ring: Column, axis: int, bound: float, sign: float) -> Column:
         none = F.array().cast("array<array<double>>")
         return F.when(leaves, F.array(p, at)).when(enters, F.array(at)).when(depth(p) >= 0, F.array(p)).otherwise(none)
 
-    return F.flatten(F.transform(_sides(ring), cut))
+    return F.flatten(F.transform(sides(ring), cut))

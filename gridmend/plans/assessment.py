@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
-from ..operators import economics, hazard, relational, stats, supply
+from ..operators import economics, hazard, relational, spatial, stats, supply
 from ..operators.scratch import small
 from . import views as v
 from .catalog import query
@@ -43,10 +43,9 @@ def holland_max_wind(t: Tables) -> DataFrame:
 
 @query("F01 J23 G09", f"""with {POINTS}, {TRACKS} select point_id, round(min({HAVERSINE.format(a="p", b="t")}), 6) as nearest_km from points p, tracks t group by point_id""")
 def haversine_nearest(t: Tables) -> DataFrame:
-    """Each point's distance to the nearest place of a small reference set."""
-    coast = tracks(t).select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    km = s.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    return points(t).crossJoin(small(coast)).groupBy("point_id").agg(R(F.min(km), 6).alias("nearest_km"))
+    """Each point's distance to the nearest place of a reference set, by a quadtree."""
+    x = spatial.neighbours(points(t).withColumnRenamed("point_id", "query"), tracks(t).withColumnRenamed("time_index", "id"))
+    return x.select(F.col("query").alias("point_id"), R("km", 6).alias("nearest_km"))
 
 
 @query("J19 F01 P13", f"""with {POINTS}, {TRACKS} select t.time_index as site, count(*) as n, round(sum(greatest(p.s_acctbal, 0)), 3) as near_load
@@ -116,7 +115,7 @@ def capital_cases(t: Tables) -> DataFrame:
     return x.select("cost_case", "estimate_class", R("capital", 4).alias("capital"), R(F.col("capital") / 15000, 6).alias("per_export_kw"))
 
 
-@query("P04 F20 W01 A19 H01", """with x as (select l_suppkey as storm, l_shipdate as at, l_quantity * 3 as kts, row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as time_index from lineitem)
+@query("P04 W01 A19 H01", """with x as (select l_suppkey as storm, l_shipdate as at, l_quantity * 3 as kts, row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as time_index from lineitem)
 select storm, count(*) as n_points, max(kts) as max_kts, min_by(kts, time_index) as first_kts,
   case when max(kts) >= 137 then 'category_5' when max(kts) >= 113 then 'category_4' when max(kts) >= 96 then 'category_3' when max(kts) >= 83 then 'category_2' when max(kts) >= 64 then 'category_1' when max(kts) >= 34 then 'tropical_storm' else 'tropical_depression' end as category from x group by storm""")
 def storm_summary(t: Tables) -> DataFrame:

@@ -37,7 +37,7 @@ def substation_ids(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", p["service_area"].alias("area"), p["root_bus"].alias("root"), p["kv"].alias("kv"))
 
 
-@query("P24 P01 H03", "select o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_orderstatus = 'F' and o_orderpriority = '2-HIGH' order by o_orderdate, o_orderkey limit 40")
+@query("P24 P01", "select o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_orderstatus = 'F' and o_orderpriority = '2-HIGH' order by o_orderdate, o_orderkey limit 40")
 def first_cases(t: Tables) -> DataFrame:
     """The first forty cases of a smoke run: the limit is the feature."""
     x = t.orders.where("o_orderstatus = 'F' and o_orderpriority = '2-HIGH'").select("o_orderkey", "o_custkey", "o_orderdate")

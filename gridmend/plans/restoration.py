@@ -50,13 +50,12 @@ select scenario, 'source' as node from cases union all
 select scenario, 'region ' || r_regionkey from cases, region union all
 select scenario, 'nation ' || n_nationkey from cases, nation where not exists (select 1 from damage d where d.scenario = cases.scenario and d.node = n_nationkey)""")
 def source_reachability(t: Tables) -> DataFrame:
-    """What the source still reaches in each scenario, by frontier joins over the edges that are left."""
+    """What the source still reaches in each scenario, all scenarios in the bits of masks."""
     named = lambda kind, key: F.concat(F.lit(f"{kind} "), F.col(key).cast("string"))
     top = t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("edge_id"), F.lit("source").alias("a"), named("region", "r_regionkey").alias("b"))
     low = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("edge_id"), named("region", "n_regionkey").alias("a"), named("nation", "n_nationkey").alias("b"))
     hit = v.damage(t).select("scenario", F.concat(F.lit("n"), F.col("node").cast("string")).alias("edge_id"))
-    left = graph.blocked_pairs(top.unionByName(low), hit, ["scenario"])
-    return graph.reachable(left, hit.select("scenario", F.lit("source").alias("node")), ["scenario"])
+    return graph.reachable_in_cases(top.unionByName(low), hit, t.spark.createDataFrame([("source",)], "node string"))
 
 
 @query("W13 O04 J24", f"""with {v.LOADS}, caps as (select node, 0.25 * sum(kw) as cap from loads group by node),

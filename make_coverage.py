@@ -15,7 +15,7 @@ MISSING |= dict.fromkeys("S29 A30 X01 X02 X03 X05 X06 X08 X09 X10 X11 X12 X13 X1
 #: What reads no table: settings and parameter files.
 MISSING |= dict.fromkeys("S12 X16 E01 E18".split(), "reads no table, left out on purpose")
 PART = {
-    "B05": "lines with line codes, feeder votes; no transformer, switch and load tables",
+    "B05": "lines, switches, transformers by winding, loads, profiles, feeder votes; no voltages from a power flow",
     "B10": "hourly series and their conservation; one resolution",
     "B11": "smoke checks; classification and candidates are queries of their own, no report files",
     "B13": "items under a cap; no anchor table is written",

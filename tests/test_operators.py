@@ -100,7 +100,32 @@ def test_components_and_reachability(spark):
 def test_parallel_edges_block_the_pair(spark):
     edges = spark.createDataFrame([("e0", "s", "a"), ("e1", "a", "s"), ("e2", "a", "b")], "edge_id string, a string, b string")
     hit = spark.createDataFrame([(1, "e1")], "scenario int, edge_id string")
-    assert [(r.a, r.b) for r in graph.blocked_pairs(edges, hit, ["scenario"]).collect()] == [("a", "b")]
+    source = spark.createDataFrame([("s",)], "node string")
+    reached = lambda bundled: sorted(r.node for r in graph.reachable_in_cases(edges, hit, source, bundled=bundled).collect())
+    assert reached(True) == ["s"] and reached(False) == ["a", "b", "s"]
+
+
+@pytest.mark.parametrize("bundled", [True, False])
+def test_reachability_in_many_cases(spark, bundled):
+    rng = np.random.default_rng(6)
+    ends = [(int(a), int(b)) for a, b in rng.integers(0, 25, (40, 2))] + [(0, 1), (0, 1), (1, 2), (3, 3)]
+    edges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ends)], "edge_id int, a int, b int")
+    damage = {(int(c), int(e)) for c, e in zip(rng.integers(0, 150, 1500), rng.integers(0, len(ends), 1500), strict=True)}
+    lost = {(int(c), int(n)) for c, n in zip(rng.integers(0, 160, 200), rng.integers(0, 25, 200), strict=True)}
+    case = lambda rows, name: spark.createDataFrame(sorted(rows), f"scenario int, {name} int")
+    got = graph.reachable_in_cases(edges, case(damage, "edge_id"), spark.createDataFrame([(0,), (7,)], "node int"), bundled=bundled, lost=case(lost, "node"), cases=spark.range(170).select(F.col("id").cast("int").alias("scenario")))
+    want = set()
+    for c in range(170):
+        pairs = {}
+        for i, (a, b) in enumerate(ends):
+            pairs.setdefault((min(a, b), max(a, b)), []).append((c, i) in damage)
+        ways = [p for p, hit in pairs.items() if not (any(hit) if bundled else all(hit))]
+        front = seen = {n for n in (0, 7) if (c, n) not in lost}
+        while front:
+            front = {y for a, b in ways for x, y in ((a, b), (b, a)) if x in front and y not in seen and (c, y) not in lost}
+            seen = seen | front
+        want |= {(c, n) for n in seen}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 500
 
 
 def test_capacity_table(spark):
