@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
-from ..operators import economics, hazard, relational, spatial, stats, supply
+from ..operators import economics, hazard, relational, resampling, spatial, stats, supply
 from ..operators.scratch import small
 from . import views as v
 from .catalog import query
@@ -265,6 +265,13 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return x.select("subset", "policy", R("low", 3).alias("low"), R("high", 3).alias("high"))
 
 
+@query("ST01 (draws of fixed size)")
+def bootstrap_fixed(t: Tables) -> DataFrame:
+    """The same intervals from draws of exactly as many episodes as there are, with replacement."""
+    x = resampling.interval(v.episodes(t), ["subset", "policy"], "damage", ["scenario"], 200, 11)
+    return x.select("subset", "policy", R("low", 3).alias("low"), R("high", 3).alias("high"))
+
+
 @query("F05 F06", """select duration, round(v * case when duration <= 24 then duration else 24 * (case when duration <= 336 then exp((ln(duration) - ln(24.0)) * ln(8.0) / (ln(336.0) - ln(24.0)))
     else exp(ln(8.0) + (ln(duration) - ln(336.0)) * (ln(15.0) - ln(8.0)) / (ln(720.0) - ln(336.0))) end) end, 5) as per_kw
 from (select distinct cast(p_size as double) * 20 as duration, 25.0 as v from part)""")

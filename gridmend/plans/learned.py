@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import learning
+from ..operators import learning, tensors
 from . import views as v
 from .catalog import query
 from .views import Tables
@@ -70,3 +70,17 @@ def advantages(t: Tables) -> DataFrame:
     o = F.col("o_orderkey")
     steps = t.orders.select(F.col("o_custkey").alias("k"), o, (o % 17).alias("r"), (o % 5).alias("v"))
     return learning.discounted_advantages(steps, ["k"], "o_orderkey", "r", "v", 0.5, 0.5).select("k", "o_orderkey", R("advantage", 7).alias("advantage"))
+
+
+@query("L05 (edge tensors)", """with e as (select o_custkey as state, l_partkey as a, l_suppkey + 1000000 as b, l_quantity as x from lineitem join orders on l_orderkey = o_orderkey), n as (select state, node, row_number() over (partition by state order by node) - 1 as i from (select distinct state, unnest([a, b]) as node from e)),
+m as (select e.state, s.i as source, t.i as target, x from e join n s on s.state = e.state and s.node = e.a join n t on t.state = e.state and t.node = e.b)
+select state, (select count(*) from n where n.state = m.state) as n_nodes, count(*) as n_edges, cast(ceil(count(*) / 8.0) * 8 as bigint) as padded, cast(sum(source * 1000 + target) as bigint) as indices, round(sum(x * (target + 1)), 4) as weighed from m group by state""")
+def edge_tensors(t: Tables) -> DataFrame:
+    """The parts and suppliers of each customer's orders as a graph in arrays."""
+    orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("state"))
+    edges = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"), "l_quantity").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    x = tensors.packed(edges, "state", "a", "b", ["l_quantity"])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, y: s + y)
+    at = F.zip_with("source", "target", lambda p, q: (p * 1000 + q).cast("double"))
+    weighed = F.zip_with("target", "features", lambda q, f: (q + 1) * f[0])
+    return x.select("state", F.col("n_nodes").cast("long").alias("n_nodes"), F.col("n_edges").cast("long").alias("n_edges"), F.size("mask").cast("long").alias("padded"), total(at).cast("long").alias("indices"), R(total(weighed), 4).alias("weighed"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import plane
-from ..operators import network, stages
+from ..operators import network, publish, scratch, stages
 from ..operators.scratch import scratch_path
 from ..sources import arrays, fetch, files, workbook
 from . import built
@@ -47,6 +47,30 @@ def nested_profiles(t: Tables) -> DataFrame:
     return x.select("vec_id", F.size("values").cast("long").alias("n"), R(F.aggregate("values", F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
 
 
+@query("B10 S08 (three resolutions, one commit)", """with e as (select event_type, ts, value from events), r as (select 'quarter' as resolution, event_type, time_bucket(interval 15 minutes, ts, timestamp '1970-01-01') as t, value from e union all select 'hour', event_type, date_trunc('hour', ts), value from e union all select 'day', event_type, date_trunc('day', ts), value from e),
+m as (select resolution, event_type, t, avg(value) as mean, count(*) as n from r group by all) select resolution, event_type, count(*) as windows, cast(sum(n) as bigint) as n, round(sum(mean * n), 4) as total from m group by all""")
+def three_resolutions(t: Tables) -> DataFrame:
+    """A month in two appends of three tables each; a third append that fails on the way leaves nothing."""
+    rows = t.events.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    store = publish.Published(t.spark, scratch_path(t.spark, "published"))
+    middle = F.lit("2024-01-15").cast("timestamp")
+
+    def tables(part: DataFrame) -> dict[str, DataFrame]:
+        x = scratch.cut(publish.rolled_up(part, "event_type", "ts", "value"), "rolled-up")
+        return {name: x.where(F.col("resolution") == name) for name in publish.RESOLUTIONS}
+
+    store.append(tables(rows.where(F.col("ts") < middle)))
+    try:
+        store.append({**tables(rows), "broken": rows.select(F.raise_error(F.lit("stopped")).alias("x"))})
+    except Exception as e:  # whatever the failed task is wrapped in
+        if "stopped" not in str(e):
+            raise
+    store.append(tables(rows.where(F.col("ts") >= middle)))
+    each = [store.read(name) for name in publish.RESOLUTIONS]
+    x = each[0].unionByName(each[1]).unionByName(each[2])
+    return x.groupBy("resolution", "event_type").agg(F.count("*").alias("windows"), F.sum("n").alias("n"), R(F.sum(F.col("mean") * F.col("n")), 4).alias("total"))
+
+
 @query("S08 S24", "select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")
 def appended_partitions(t: Tables) -> DataFrame:
     """Three appends to one table that is partitioned by type."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scratch import scratch_path
-from ..streaming import timeline
+from ..streaming import latch, timeline
 from .catalog import query
 from .views import Tables
 
@@ -58,3 +58,20 @@ def stream_sessions(t: Tables) -> DataFrame:
 def stream_without_repeats(t: Tables) -> DataFrame:
     twice = timeline.after_warm_up(events(t).unionByName(events(t)), "2024-01-15")
     return finished(timeline.without_repeats(twice, ["event_id"], "40 days"), "append").select("event_id", "user_id")
+
+
+@query("R01 R03 (calls held by a latch)", """with x as (select user_id, epoch_us(ts) as us, value, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 86400000000 then 0 else 1 end as first from events where value >= 60), s as (select *, sum(first) over (partition by user_id order by us rows between unbounded preceding and current row) as k from x)
+select user_id as key, min(us) as opened_us, max(us) + 86400000000 as closed_us, count(*) as shortages, round(max(value), 6) as peak from s group by user_id, k""")
+def stream_shortage_calls(t: Tables) -> DataFrame:
+    """Shortages of each user open calls that are held for a day. The log is streamed in three files by time, and one that ends it."""
+    source = scratch_path(t.spark, "log")
+    log = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    cuts = ["2000-01-01", "2024-01-10", "2024-01-20", "2100-01-01"]
+    for begins, ends in zip(cuts, cuts[1:], strict=False):
+        log.where((F.col("ts") >= F.lit(begins).cast("timestamp")) & (F.col("ts") < F.lit(ends).cast("timestamp"))).coalesce(1).write.mode("append").parquet(source)
+    end = log.groupBy("user_id").agg(F.max("ts").alias("ts")).select("user_id", (F.col("ts") + F.expr("interval 1 second")).alias("ts"), F.lit(None).cast("double").alias("value"))
+    last = t.events.agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
+    end.join(last).select("user_id", F.greatest("ts", F.col("last")).alias("ts"), "value").coalesce(1).write.mode("append").parquet(source)
+    with latch.with_rocks(t.spark):
+        x = finished(latch.shortage_calls(timeline.events_stream(t.spark, source, log.schema), "user_id", "ts", "value", 60.0, 86_400_000_000), "append")
+    return x.select("key", "opened_us", "closed_us", "shortages", R("peak", 6).alias("peak"))

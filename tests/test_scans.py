@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridmend.operators import learning, quantiles, scan
+from gridmend.operators import learning, publish, quantiles, resampling, scan, tensors
 
 
 @pytest.fixture
@@ -107,3 +107,66 @@ def test_quantiles_are_exact(spark, few):
     assert [r.p for r in whole] == [pytest.approx(np.quantile(VALUES["plain"], 0.95))]
     assert quantiles.quantiles(df.where("false"), [], "x", [0.5], ["p"]).collect()[0].p is None
     assert quantiles.quantiles(df.where("false"), ["g"], "x", [0.5], ["p"]).count() == 0
+
+
+@pytest.mark.parametrize(("n", "size"), [(1, 4), (10, 4), (37, 4), (4096, 100)])
+def test_draws_deal_exactly_n_rows(n, size):
+    blocks = -(-n // size)
+    counts = np.array([[resampling.dealt(n, b, size, 3, 8, d) for b in range(blocks)] for d in range(60)])
+    assert (counts.sum(axis=1) == n).all()
+    want = np.array([min(n, (b + 1) * size) - b * size for b in range(blocks)])
+    assert np.abs(counts.mean(axis=0) - want).max() < 6 * np.sqrt(size / 60)
+
+
+def test_fixed_size_bootstraps(spark):
+    rng = np.random.default_rng(2)
+    values = {"hot": rng.normal(10, 3, 900), "small": rng.normal(0, 1, 7), None: rng.normal(5, 1, 64)}
+    rows = [(g, i, float(x)) for g, xs in values.items() for i, x in enumerate(xs)] + [("small", 99, None), ("none", 1, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, i int, x double")
+    got = {(r.g, r.draw): r.mean for r in resampling.draw_means(df.repartition(7), ["g"], "x", ["i"], 50, 5, 64).collect()}
+    group = {r.g: r.h for r in df.select("g", F.xxhash64(F.lit(0), "g").alias("h")).distinct().collect()}
+    for g, xs in values.items():  # the same draws, block after block
+        total = sum(resampling.block_sums(xs[b * 64 : (b + 1) * 64], len(xs), b, 64, 5, group[g], 50) for b in range(-(-len(xs) // 64)))
+        assert [got[g, d] for d in range(50)] == pytest.approx(total / len(xs))
+    assert len(got) == 150
+    ends = {r.g: (r.low, r.high) for r in resampling.interval(df, ["g"], "x", ["i"], 400, 5, block=64).collect()}
+    xs = values["hot"]
+    wide = np.quantile([rng.choice(xs, len(xs)).mean() for _ in range(2000)], [0.025, 0.975])
+    assert ends["hot"] == pytest.approx(tuple(wide), abs=0.06)
+
+
+def test_edge_tensors_unpack_to_the_edges(spark):
+    rng = random.Random(4)
+    rows = [(s, rng.randint(0, 9), rng.randint(0, 9), rng.random(), None) for s in range(30) for _ in range(rng.randint(1, 20))] + [(5, None, 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "s int, a int, b int, x double, y double")
+    got = tensors.packed(df, "s", "a", "b", ["x", "y"], 4, 1000).collect()
+    back = sorted(tuple(r) for r in tensors.unpacked(tensors.packed(df, "s", "a", "b", ["x", "y"], 4, 1000)).select("state", "a", "b", F.col("features")[0]).collect())
+    assert back == sorted((s, a, b, x) for s, a, b, x, _ in rows if a is not None)
+    assert all(len(r.mask) % 4 == 0 and len(r.mask) - 4 < r.n_edges == sum(r.mask) and r.nodes == sorted(r.nodes) for r in got)
+    sizes = {}
+    for r in got:
+        sizes[r.batch] = sizes.get(r.batch, 0) + 25 * len(r.mask)
+    assert len(sizes) > 3 and max(sizes.values()) < 1000 + 25 * 20
+
+
+def test_publishing_is_all_or_nothing(spark, tmp_path):
+    store = publish.Published(spark, f"file://{tmp_path}/p")
+    with pytest.raises(ValueError, match="no table"):
+        store.read("a")
+    one = spark.createDataFrame([(1,)], "x int")
+    assert store.append({"a": one, "b": one}) == 1
+    with pytest.raises(Exception, match="stopped"):
+        store.append({"a": one, "b": one.select(F.raise_error(F.lit("stopped")).alias("x"))})
+    assert store.read("a").count() == 1 and store.append({"a": one}) == 2
+    assert (store.read("a").count(), store.read("b").count()) == (2, 1)
+    with pytest.raises(RuntimeError, match="another append"):
+        store._commit(2, {})
+    assert store.read("a").count() == 2
+
+
+def test_rollups_agree_and_skip_nulls(spark):
+    rows = [("a", 900 * k, float(k)) for k in range(200)] + [("a", 0, None), ("a", None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, s long, x double").select("k", F.timestamp_seconds("s").alias("at"), "x")
+    got = publish.rolled_up(df, "k", "at", "x").collect()
+    assert {(r.resolution): sum(1 for q in got if q.resolution == r.resolution) for r in got} == {"quarter": 200, "hour": 50, "day": 3}
+    assert all(sum(r.n * r.mean for r in got if r.resolution == name) == sum(range(200)) for name in publish.RESOLUTIONS)

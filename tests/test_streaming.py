@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridmend.streaming import timeline
+from gridmend.streaming import latch, timeline
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,39 @@ def test_batches_replace_themselves(spark, stream, tmp_path):
     q = timeline.append_batches(make(), f"file://{tmp_path}/out", f"file://{tmp_path}/check").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == events.count()
+
+
+def calls_of(rows, hold):
+    out = []
+    for key in sorted({k for k, _, _ in rows}):
+        own = latch.merged([(t, t, 1, x) for k, t, x in rows if k == key and x >= 5], hold)
+        out += [(key, a, b + hold, n, peak) for a, b, n, peak in own]
+    return sorted(out)
+
+
+def test_a_latch_with_a_restart_gives_what_one_batch_gives(spark, tmp_path):
+    hour = 3_600_000_000
+    first = [(1, 0, 7.0), (1, 30, 3.0), (1, 40, 9.0), (2, 10, 6.0), (1, 400, 5.0), (2, 100, 1.0)]
+    second = [(1, 460, 8.0), (2, 420, 6.5), (1, 410, 6.0), (1, 2000, 5.5), (2, 2000, 1.0)]  # out of order, but not late
+    third = [(1, 100, 99.0), (2, 2100, 7.0)]  # the first is late
+    minutes = lambda rows: [(k, 1_700_000_000_000_000 + m * 60_000_000, x) for k, m, x in rows]
+    source, out = f"{tmp_path}/source", f"{tmp_path}/out"
+
+    def put(rows):
+        df = spark.createDataFrame(rows, "key long, us long, x double").select("key", F.timestamp_micros("us").alias("ts"), "x")
+        df.coalesce(1).write.mode("append").parquet(source)
+        return df.schema
+
+    def go(schema):
+        with latch.with_rocks(spark):
+            calls = latch.shortage_calls(timeline.events_stream(spark, source, schema), "key", "ts", "x", 5.0, hour)
+            q = calls.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination(120)
+
+    for rows in (first, second, third):
+        schema = put(minutes(rows))
+        go(schema)  # each time from the checkpoint
+    put(minutes([(k, 2300, None) for k in (1, 2)]))
+    go(schema)
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert got == calls_of(minutes(first + second + third[1:]), hour)
