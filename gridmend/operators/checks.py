@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .relational import contiguity_breaks, duplicates, key_differences
+from .scratch import small
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -46,7 +47,7 @@ def step_violations(episodes: DataFrame, steps: DataFrame, keys: Sequence[str],
 def method_gaps(runs: DataFrame, keys: Sequence[str], method: str, base: str) -> DataFrame:
     """(method, keys, side): cases that a method lacks or has beyond the baseline's."""
     cases = runs.select(method, *keys).distinct()
-    want = cases.where(F.col(method) == base).select(*keys).crossJoin(F.broadcast(cases.select(method).distinct().where(F.col(method) != base)))  # a few methods
+    want = cases.where(F.col(method) == base).select(*keys).crossJoin(small(cases.select(method).distinct().where(F.col(method) != base)))
     return key_differences(cases.where(F.col(method) != base), want, [method, *keys])
 
 

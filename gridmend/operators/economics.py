@@ -55,7 +55,7 @@ def capital_cases(items: DataFrame, classes: dict[str, float], area: float, cont
 
 def benefit_cost_grid(ledger: DataFrame, intervals: DataFrame, rate: float, years: int) -> DataFrame:
     """Benefit-cost ratios of each ledger row (benefit, event_cost, capital, yearly) at each event interval in years."""
-    grid = ledger.crossJoin(F.broadcast(intervals))  # a handful of intervals
+    grid = ledger.crossJoin(small(intervals))
     cost = annualised(F.col("capital"), F.lit(rate), years, F.col("yearly")) + F.col("event_cost") / F.col("interval_years")
     benefit = F.col("benefit") / F.col("interval_years")
     return grid.withColumns({"annual_benefit": benefit, "annual_cost": cost, "bcr": ratio(benefit, cost)})
@@ -66,7 +66,7 @@ def host_ratio(grid: DataFrame, shares: DataFrame, property_tax: float, rate_eff
 
     ``grid`` has benefit, capital_annual, yearly, event_health and interval_years; climate costs aren't the host's.
     """
-    met = grid.crossJoin(F.broadcast(shares))  # a handful of shares
+    met = grid.crossJoin(small(shares))
     gain = F.col("benefit") / F.col("interval_years") + property_tax
     burden = F.col("share") * (F.col("capital_annual") + F.col("yearly")) + rate_effect + sales_tax_loss + local_health + F.col("event_health") / F.col("interval_years")
     return met.withColumns({"host_benefit": gain, "host_burden": burden, "host_ratio": ratio(gain, burden)})

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from .graph import components, degrees
 from .quantiles import quantiles
-from .scratch import cut
+from .scratch import cut, small
 
 #: The least voltage and degree of a branch point, the voltage of transformers that are kept, the quantile
 #: of load, and what still counts as a small leaf, in kW and nodes.
@@ -109,7 +109,7 @@ def copies(nodes: DataFrame, edges: DataFrame, loads: DataFrame, regions: DataFr
     largest ``share`` of the loads, one at least, is critical. Each copy has a source joined to its root (the node with
     the least id), and the sources of all copies a common backbone source.
     """
-    few = F.broadcast(regions)  # a handful
+    few = small(regions)
     name = lambda c: F.concat(F.col("region"), F.lit("__"), F.col(c).cast("string"))
     own = nodes.crossJoin(few).select(name("node").alias("node"), "region", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
     inside = edges.crossJoin(few).select(name("edge_id").alias("edge_id"), name("a").alias("a"), name("b").alias("b"), F.lit("line").alias("kind"))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table counts as small.
-SMALL = 100_000
+#: Rows and bytes, as they are written, up to which a table counts as small.
+SMALL, SMALL_BYTES = 100_000, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,6 +46,18 @@ def erase(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """``df`` to be broadcast if it has ``most`` rows or fewer; else as it is, for Spark to shuffle."""
+def small(df: DataFrame, most: int = SMALL, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """``df`` to be broadcast if it has ``most`` rows and its file ``most_bytes`` or fewer; else for Spark to shuffle. It is written
+    once, so its size is known before it is used, and it isn't computed a second time."""
+    table = cut(df, "small")
+    folder = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else None
+    if folder:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength() > most_bytes:
+            return table
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def narrow(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The same by rows alone, for tables of a few numbers a row that are written already."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from ..functions import plane
 from ..functions import scalar as s
 from .scan import matched
-from .scratch import cut, small
+from .scratch import cut, narrow
 
 #: Places in a cell that is compared one by one, and the level at which no cell is split any more (some 10 m).
 LEAF, DEEPEST = 32, 21
@@ -53,7 +53,7 @@ def _tree(points: DataFrame) -> list[DataFrame]:
         split = levels[-1].where("not leaf").select("cell")
         if split.isEmpty():
             break
-        open_ = open_.withColumn("cell", _cell(F.col("lat"), F.col("lon"), level)).join(small(split), "cell", "left_semi").drop("cell")
+        open_ = open_.withColumn("cell", _cell(F.col("lat"), F.col("lon"), level)).join(narrow(split), "cell", "left_semi").drop("cell")
     return levels
 
 
@@ -74,7 +74,7 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int = 1, within_km: flo
     front = asked.select("*", bound.alias("most"), F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("cell"))
     leaves = None
     for level, cells in enumerate(levels):
-        met = front.join(small(cells), "cell")
+        met = front.join(narrow(cells), "cell")
         least, most = _bounds(F.col("cell"), level, F.col("qlat"), F.col("qlon"))
         met = met.withColumns({"low": least, "high": most})
         if within_km is None:
@@ -89,7 +89,7 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int = 1, within_km: flo
         front = met.where("not leaf").select("query", "qlat", "qlon", "most", F.explode(children).alias("cell"))
     placed = None
     for level, cells in enumerate(levels):
-        own = known.withColumns({"level": F.lit(level), "cell": _cell(F.col("lat"), F.col("lon"), level)}).join(small(cells.where("leaf").select("cell")), "cell", "left_semi")
+        own = known.withColumns({"level": F.lit(level), "cell": _cell(F.col("lat"), F.col("lon"), level)}).join(narrow(cells.where("leaf").select("cell")), "cell", "left_semi")
         placed = own if placed is None else placed.unionByName(own)
     met = leaves.join(placed, ["level", "cell"]).withColumn("km", s.haversine_km(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")))
     if within_km is not None:

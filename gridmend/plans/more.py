@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import scalar as s
 from ..functions import text
 from ..operators import checks, economics, hazard, relational, testbed
+from ..operators.scratch import small
 from ..sources.files import point_in_ring
 from . import assessment as a
 from . import views as v
@@ -24,7 +25,7 @@ def region_copies(t: Tables) -> DataFrame:
     """Every node once for each region: scaled about the centroid, shifted, and with the region's prefix."""
     centre = t.supplier.agg(F.avg("s_acctbal").alias("c"))
     regions = t.region.select("r_regionkey")
-    met = t.supplier.select("s_suppkey", "s_acctbal").crossJoin(F.broadcast(centre)).crossJoin(F.broadcast(regions))  # a row, and a few regions
+    met = t.supplier.select("s_suppkey", "s_acctbal").crossJoin(F.broadcast(centre)).crossJoin(small(regions))  # one row; and regions if they are few
     name = F.concat(F.lit("r"), F.col("r_regionkey").cast("string"), F.lit("_"), F.col("s_suppkey").cast("string"))
     return met.select(name.alias("node_id"), R(50 + (F.col("s_acctbal") - F.col("c")) * 0.5 + F.col("r_regionkey") * 10, 6).alias("x"))
 

@@ -130,6 +130,7 @@ def test_pinned_files(spark, tmp_path):
 def test_broadcasts_are_checked(spark):
     df = spark.range(50)
     assert "hint" in scratch.small(df, 50)._jdf.queryExecution().logical().toString().lower() and "hint" not in scratch.small(df, 49)._jdf.queryExecution().logical().toString().lower()
+    assert "hint" not in scratch.small(df, 50, 10)._jdf.queryExecution().logical().toString().lower() and scratch.small(df, 50, 10).count() == 50
 
 
 def test_arrays_and_shapes(spark, tmp_path):
