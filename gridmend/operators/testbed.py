@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .graph import components
+from .scan import take_under_cap
 from .scratch import small
 
 
@@ -51,3 +52,23 @@ def smoke_faults(nodes: DataFrame, edges: DataFrame, loads: DataFrame) -> DataFr
 def stripped(df: DataFrame, flag: str, columns: Sequence[str]) -> DataFrame:
     """Rows that an overlay doesn't own, narrowed to the case's columns."""
     return df.where(~F.coalesce(F.col(flag), F.lit(False))).select(*columns)
+
+
+def anchor_zones(loads: DataFrame, by: str, cap_kw: float, support_mw: float, hours: float) -> DataFrame:
+    """A zone for each site ``by``: the loads that its support stands for, taken in the order of criticality, value, size and id as long
+    as they fit under ``cap_kw``; their power, its share of the site's load, and the power and energy of the support.
+
+    Sites whose first loads are all too large have no zone. The ids of a zone, which the cap bounds, are a JSON array.
+    """
+    order = [F.desc("is_critical"), F.desc("voll"), F.desc("kw"), F.col("load_id")]
+    taken = take_under_cap(loads.select(by, "load_id", "kw", "is_critical", "voll"), [by], "kw", cap_kw, order)
+    zones = taken.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list("load_id"))).alias("anchor_load_ids"), (F.sum("kw") / 1000).alias("anchor_load_mw"))
+    whole = loads.groupBy(by).agg((F.sum("kw") / 1000).alias("gm_mw"))
+    support = F.least(F.lit(support_mw), F.col("anchor_load_mw"))
+    return zones.join(whole, by).select(F.concat(F.lit("zone_"), F.col(by).cast("string")).alias("anchor_zone_id"), by, "anchor_load_ids", "anchor_load_mw", (F.col("anchor_load_mw") / F.col("gm_mw")).alias("anchor_load_share"), support.alias("max_support_mw"), (support * hours).alias("energy_budget_mwh"))
+
+
+def selected_sites(candidates: DataFrame, area: str, score: str, id_: str, n: int, least: float) -> DataFrame:
+    """(area, place, id, score): the ``n`` best candidates of each area that score ``least`` or more; the least id among equals."""
+    place = F.row_number().over(W.partitionBy(area).orderBy(F.desc(score), id_))
+    return candidates.where(F.col(score) >= least).withColumn("place", place).where(F.col("place") <= n).select(area, "place", id_, score)

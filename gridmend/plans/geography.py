@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import samples, spatial
+from ..operators import samples, spatial, testbed
 from . import assessment as a
-from .catalog import query
+from . import tables
+from . import views as v
+from .catalog import QUERIES, query
 from .simulated import uniform_sql
 from .views import Tables
 
@@ -94,3 +96,22 @@ def padded_stamps(t: Tables) -> DataFrame:
 @query("ST06 H02", f"""select event_type, event_id from (select event_type, event_id, row_number() over (partition by event_type order by {uniform_sql("'29|' || event_id")}, event_id) as place from events) where place <= 120""")
 def samples_by_group(t: Tables) -> DataFrame:
     return samples.bottom_k(t.events.select("event_type", "event_id"), ["event_type"], ["event_id"], 120, 29)
+
+
+@query("B13 (zone table)", f"""with recursive {v.LOADS}, items as (select node, load_id, kw, row_number() over (partition by node order by is_critical desc, voll desc, kw desc, load_id) as i from loads),
+r(node, i, total, load_id, kw, taken) as (select node, i, case when kw <= 3000 then kw else 0 end, load_id, kw, kw <= 3000 from items where i = 1 union all
+  select t.node, t.i, r.total + case when r.total + t.kw <= 3000 then t.kw else 0 end, t.load_id, t.kw, r.total + t.kw <= 3000 from r join items t on t.node = r.node and t.i = r.i + 1),
+z as (select node, '[' || string_agg(load_id, ',' order by load_id) || ']' as ids, sum(kw) / 1000 as mw from r where taken group by node), w as (select node, sum(kw) / 1000 as mw from loads group by node)
+select 'zone_' || z.node as anchor_zone_id, z.node, ids as anchor_load_ids, round(z.mw, 6) as anchor_load_mw, round(z.mw / w.mw, 6) as anchor_load_share, round(least(2.5, z.mw), 6) as max_support_mw, round(least(2.5, z.mw) * 8, 6) as energy_budget_mwh from z join w using (node)""")
+def anchor_zones(t: Tables) -> DataFrame:
+    """The loads that each node's support stands for."""
+    x = testbed.anchor_zones(v.loads(t), "node", 3000.0, 2.5, 8.0)
+    numbers = ("anchor_load_mw", "anchor_load_share", "max_support_mw", "energy_budget_mwh")
+    return x.select("anchor_zone_id", "node", "anchor_load_ids", *(R(c, 6).alias(c) for c in numbers))
+
+
+@query("B03 (scan and selection)", f"""with c as ({QUERIES["candidate_regions"].sql}) select area, place, s_suppkey, score from (select n.s_nationkey as area, row_number() over (partition by n.s_nationkey order by c.score desc, c.s_suppkey) as place, c.s_suppkey, c.score from c join supplier n using (s_suppkey) where c.score >= 5) where place <= 2""")
+def selected_candidates(t: Tables) -> DataFrame:
+    """The two best-scored sites of each service area."""
+    x = tables.candidate_regions(t).select("s_suppkey", R("score", 3).alias("score")).join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("area")), "s_suppkey")
+    return testbed.selected_sites(x, "area", "score", "s_suppkey", 2, 5.0).withColumn("place", F.col("place").cast("long"))

@@ -22,17 +22,11 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream has written when its input is used up: in complete mode its last batch, else all batches."""
     spark = stream.sparkSession
     out = scratch_path(spark, "stream")
-    written: list[int] = []
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
-        written.append(number)
-
-    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    if not written:
+    timeline.append_batches(stream, f"{out}/data", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    numbers = timeline.batch_numbers(spark, f"{out}/data")
+    if not numbers:
         return spark.createDataFrame([], stream.schema)
-    numbers = written[-1:] if mode == "complete" else sorted(set(written))
-    return spark.read.schema(stream.schema).parquet(*(f"{out}/data/batch={n}" for n in numbers))
+    return spark.read.schema(stream.schema).parquet(*(f"{out}/data/batch={n}" for n in (numbers[-1:] if mode == "complete" else numbers)))
 
 
 @query("R02 A32", "select event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2")

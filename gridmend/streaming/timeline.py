@@ -44,3 +44,12 @@ def append_batches(df: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def batch_numbers(spark, path: str) -> list[int]:
+    """The numbers of the batches that append_batches() has written, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    return sorted(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(where) if s.getPath().getName().startswith("batch="))

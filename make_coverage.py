@@ -17,7 +17,6 @@ MISSING |= dict.fromkeys("S12 X16 E01 E18".split(), "reads no table, left out on
 PART = {
     "B05": "lines, switches, transformers by winding, loads, profiles, feeder votes; no voltages from a power flow",
     "B11": "smoke checks; classification and candidates are queries of their own, no report files",
-    "B13": "items under a cap; no anchor table is written",
     "L08": "forward passes of a perceptron, a convolution and a message layer; these aren't trained",
     "M05": "three panels of ten figures",
 }
