@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -43,6 +44,9 @@ LEVEL_BITS, LEVELS = 2, 24
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Punctuation that often follows a word; a run of it is one pre-token.
 STOPS = ".,;:!?"
+#: Byte-level letters: printable bytes stand for themselves, the others for letters from U+0100 on, in order.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 RECORD = np.dtype([("print", "<u4"), ("n", "<u4"), ("shard", "<i8"), ("at", "<i8"), ("start", "<i8")])
 
 
@@ -61,6 +65,7 @@ class WordIds:
         known = json.loads(file)
         vocab = self.whole.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
+        self.letter, self.model = "H" if self.width == 2 else "I", self.whole.model
         added = known.get("added_tokens") or []
         self.special = [t["content"] for t in added]
         suffix = known["model"].get("end_of_word_suffix")
@@ -99,7 +104,16 @@ class WordIds:
             self.cache[w] = self.cache[stem] + self.cache[stops]
 
     def encode_words(self, words: list[str]) -> None:
-        """Encodes words in one call each 256; where a word ends is known from the pre-tokens it has."""
+        """Encodes words of letters by the library's model, others by the whole tokenizer in one call each 256; where one of these ends
+        is known from the pre-tokens it has."""
+        rest = []
+        for w in words:
+            if w.isalpha():  # one pre-token, which needs no normaliser any more
+                ids = [t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(LETTERS))]
+                self.cache[w] = struct.pack(f"<{len(ids)}{self.letter}", *ids)
+            else:
+                rest.append(w)
+        words = rest
         for i in range(0, len(words), 256):
             some = words[i : i + 256]
             ids = self.library(" ".join(some))
