@@ -239,6 +239,17 @@ def figure_panels(t: Tables) -> DataFrame:
     return both.select("figure", "series", R("x", 4).alias("x"), R("y", 6).alias("y"))
 
 
+@query("M05 A09 (boxes)", f"""with {v.EPISODES} select policy, count(*) as n, round(min(damage), 6) as least, round(quantile_cont(damage, 0.25), 6) as q1, round(quantile_cont(damage, 0.5), 6) as median, round(quantile_cont(damage, 0.75), 6) as q3, round(max(damage), 6) as most from episodes group by policy""")
+def figure_boxes(t: Tables) -> DataFrame:
+    """The five numbers of each policy's box: whiskers reach to the ends."""
+    from ..operators.quantiles import quantiles
+
+    e = v.episodes(t)
+    names = ["least", "q1", "median", "q3", "most"]
+    boxes = quantiles(e, ["policy"], "damage", [0.0, 0.25, 0.5, 0.75, 1.0], names)
+    return e.groupBy("policy").agg(F.count("*").alias("n")).join(boxes, "policy").select("policy", "n", *(R(c, 6).alias(c) for c in names))
+
+
 @query("M06", f"""with {a.LEDGER}, b as (select subset, interval_years, benefit / interval_years as benefit, capital * {a.CRF} + yearly + event_cost / interval_years as cost from ledger, (values (1.0::double), (5.0), (10.0), (20.0)) i(interval_years))
 select subset, interval_years, round(benefit / 1e6, 8) as benefit_millions, round(cost / 1e6, 8) as cost_millions, round(benefit / cost, 6) as bcr, row_number() over (partition by subset order by interval_years) as place, benefit >= cost as pays from b""")
 def benefit_cost_figure(t: Tables) -> DataFrame:

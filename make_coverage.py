@@ -18,7 +18,7 @@ PART = {
     "B05": "lines, switches, transformers by winding, loads, profiles, feeder votes; no voltages from a power flow",
     "B11": "smoke checks; classification and candidates are queries of their own, no report files",
     "L08": "forward passes of a perceptron, a convolution and a message layer; these aren't trained",
-    "M05": "three panels of ten figures",
+    "M05": "four panels of ten figures",
 }
 
 
