@@ -47,13 +47,13 @@ shared as (select a, b, sum(area) as area from parts group by a, b having sum(ar
 @query("J22 M03 (overlay of polygons)", f"with {SHARED} select a as frame, b as land, round(area, 5) as area from shared")
 def overlay_areas(t: Tables) -> DataFrame:
     """What squares with holes share with triangles that overlap each other."""
-    return spatial.shared_areas(frames(t), lands(t), BOX, 5).select(F.col("a").alias("frame"), F.col("b").alias("land"), R("area", 5).alias("area"))
+    return spatial.shared_areas(frames(t), lands(t), BOX, 3).select(F.col("a").alias("frame"), F.col("b").alias("land"), R("area", 5).alias("area"))
 
 
 @query("M03 M02 (land of each county)", f"with {SHARED} select s.id, n * n - 4 as area, round(coalesce(shared.area, 0), 5) as inside from s left join shared on s.id = shared.a and shared.b = 0")
 def land_shares(t: Tables) -> DataFrame:
     """The area of each square with a hole, and what of it lies on one land."""
-    x = spatial.clipped_shares(frames(t), lands(t).where("id = 0"), BOX, 5)
+    x = spatial.clipped_shares(frames(t), lands(t).where("id = 0"), BOX, 3)
     return x.select("id", R("area", 5).alias("area"), R("inside", 5).alias("inside"))
 
 
@@ -63,7 +63,7 @@ select kind, id, count(*) as points from (select kind, id, point, sum(sign) as t
 def polygon_points(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     points = t.customer.select(k.alias("point"), ((k * 37 % 1090) / 10 + 0.05).alias("x"), ((k * 53 % 1090) / 10 + 0.05).alias("y"))
-    both = [spatial.holders(points, shapes, BOX, 5).select(F.lit(kind).alias("kind"), "id", "point") for kind, shapes in (("frame", frames(t)), ("land", lands(t)))]
+    both = [spatial.holders(points, shapes, BOX, 3).select(F.lit(kind).alias("kind"), "id", "point") for kind, shapes in (("frame", frames(t)), ("land", lands(t)))]
     return both[0].unionByName(both[1]).groupBy("kind", "id").agg(F.count("*").alias("points"))
 
 
