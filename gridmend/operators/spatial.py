@@ -157,6 +157,21 @@ def holders(points: DataFrame, polygons: DataFrame, box: tuple[float, float, flo
     return met.where(above).groupBy("point", "id").agg(F.sum("sign").alias("times")).where("times > 0").select("point", "id")
 
 
+def holder_counts(points: DataFrame, polygons: DataFrame, box: tuple[float, float, float, float], depth: int = 4) -> DataFrame:
+    """(id, points): how many ``points`` (point, x, y) lie in each of the polygons (id, rings) that hold any; a point has one place.
+
+    Points at one place and polygons of one shape are compared once, and their numbers multiplied; so work grows with different places
+    and shapes, and pairs of a point and a polygon are never made.
+    """
+    n = F.count("*").alias("n")
+    places = points.distinct().groupBy("x", "y").agg(n).select(F.struct("x", "y", "n").alias("point"), "x", "y")
+    whole = polygons.groupBy("id").agg(F.array_sort(F.collect_list("rings")).alias("parts"))  # rows of one id are parts of one polygon
+    whole = cut(whole.select("id", F.sha2(F.col("parts").cast("string"), 256).alias("shape"), "parts"), "shapes")
+    shapes = whole.groupBy("shape").agg(F.first("parts").alias("parts")).select(F.col("shape").alias("id"), F.explode("parts").alias("rings"))
+    found = holders(cut(places, "points"), shapes, box, depth).groupBy(F.col("id").alias("shape")).agg(F.sum("point.n").alias("points"))
+    return whole.select("id", "shape").join(narrow(cut(found, "counts")), "shape").select("id", "points")
+
+
 def areas(polygons: DataFrame) -> DataFrame:
     """(id, area) of polygons (id, rings), holes taken off."""
     each = polygons.select("id", F.aggregate(F.transform(oriented(F.col("rings")), plane.area), F.lit(0.0), lambda a, x: a + x).alias("area"))
@@ -169,4 +184,4 @@ def clipped_shares(a: DataFrame, b: DataFrame, box: tuple[float, float, float, f
     return matched(areas(a), met, ["id"], "left").select("id", "area", F.coalesce("inside", F.lit(0.0)).alias("inside"))
 
 
-__all__: Sequence[str] = ("areas", "clipped_shares", "edge_table", "holders", "neighbours", "shared_areas")
+__all__: Sequence[str] = ("areas", "clipped_shares", "edge_table", "holder_counts", "holders", "neighbours", "shared_areas")

@@ -63,8 +63,8 @@ select kind, id, count(*) as points from (select kind, id, point, sum(sign) as t
 def polygon_points(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     points = t.customer.select(k.alias("point"), ((k * 37 % 1090) / 10 + 0.05).alias("x"), ((k * 53 % 1090) / 10 + 0.05).alias("y"))
-    both = [spatial.holders(points, shapes, BOX, 3).select(F.lit(kind).alias("kind"), "id", "point") for kind, shapes in (("frame", frames(t)), ("land", lands(t)))]
-    return both[0].unionByName(both[1]).groupBy("kind", "id").agg(F.count("*").alias("points"))
+    both = [spatial.holder_counts(points, shapes, BOX, 3).select(F.lit(kind).alias("kind"), "id", "points") for kind, shapes in (("frame", frames(t)), ("land", lands(t)))]
+    return both[0].unionByName(both[1])
 
 
 @query("J23 (three nearest)", f"""with {a.POINTS}, {a.TRACKS}, d as (select p.point_id, t.time_index, {a.HAVERSINE.format(a="p", b="t")} as km from points p, tracks t), r as (select *, row_number() over (partition by point_id order by round(km, 9), time_index) as place from d)

@@ -117,3 +117,21 @@ def test_points_in_polygons(spark):
     got = {(r.point, r.id) for r in spatial.holders(points, shapes(spark, SHAPES), BOX).collect()}
     want = {(i, k) for i, (x, y) in enumerate(at) for k, rings in SHAPES.items() if 0 <= x <= 10 and 0 <= y <= 10 and inside(rings, np.array(x), np.array(y))}
     assert got == want
+
+
+def test_points_and_shapes_that_repeat_are_compared_once(spark, monkeypatch):
+    """Counts are those of all pairs; what is compared are different places and different shapes."""
+    square = [[[1.0, 1.0], [5.0, 1.0], [5.0, 5.0], [1.0, 5.0]]]
+    far = [[[6.0, 6.0], [9.0, 6.0], [9.0, 9.0]]]
+    polygons = spark.createDataFrame([(1, square), (2, square), (3, far), (3, square)], "id int, rings array<array<array<double>>>")
+    points = spark.createDataFrame([(i, 2.0 + (i % 2) * 20, 2.0) for i in range(40)] + [(40, 8.5, 7.0), (40, 8.5, 7.0)], "point int, x double, y double")
+    compared, real = [], spatial.holders
+
+    def counted(p, s, *more):
+        compared.append((p.count(), s.select("id").distinct().count()))
+        return real(p, s, *more)
+
+    monkeypatch.setattr(spatial, "holders", counted)
+    got = {tuple(r) for r in spatial.holder_counts(points, polygons, BOX).collect()}
+    assert got == {(1, 20), (2, 20), (3, 21)}
+    assert compared == [(3, 2)]
