@@ -22,13 +22,17 @@ def waiting(mean: Column | float, u: Column) -> Column:
 def cycles(units: DataFrame, first: Column, length: Callable[[Column], Column], horizon: float) -> DataFrame:
     """The columns of ``units`` with (n, at): the number and the start of each cycle that begins before ``horizon``.
 
-    ``first`` is when cycle 0 begins, ``length`` how long cycle n takes; both are columns of ``units``. Nothing is shuffled: a unit's
-    next cycles are an array in its row, and only units that haven't reached the horizon go into another round.
+    ``first`` is when cycle 0 begins, ``length`` how long cycle n takes; both are columns of ``units``. Units are dealt out once, as
+    a table of few bytes is one split and its histories much work. A unit's next cycles are an array in its row, which ends at the horizon,
+    and only units that haven't reached it go into another round.
     """
-    names, done, open_ = units.columns, [], units.select("*", F.lit(0).cast("long").alias("gm_n"), first.alias("gm_at"))
+    names, done = units.columns, []
+    units = units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
+    open_ = units.select("*", F.lit(0).cast("long").alias("gm_n"), first.alias("gm_at"))
     while True:
         numbers = F.sequence(F.col("gm_n"), F.col("gm_n") + ROUND - 1)
-        begun = F.aggregate(F.transform(numbers, length), F.array("gm_at"), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        longer = lambda a, n: F.when(F.element_at(a, -1) < horizon, F.concat(a, F.array(F.element_at(a, -1) + length(n)))).otherwise(a)
+        begun = F.aggregate(numbers, F.array("gm_at"), longer)
         rows = cut(open_.select(*names, "gm_n", begun.alias("gm_begun")), "cycles")
         done.append(rows)
         left = rows.where(F.element_at("gm_begun", -1) < horizon)
@@ -71,12 +75,17 @@ def online_counts(events: DataFrame, by: list[str], horizon: float) -> DataFrame
     return made.where("end_h is not null")
 
 
-def outage_trace(units: DataFrame, by: list[str], horizon: float, step: float, seed: int) -> DataFrame:
-    """(by, unit, index) of the steps in which a unit (by, unit, mttf, mttr, q) is up; up and down times alternate."""
+def up_spans(units: DataFrame, by: list[str], horizon: float, step: float, seed: int) -> DataFrame:
+    """(by, unit, first, last): from which to which step a unit (by, unit, mttf, mttr, q) is up; up and down times alternate."""
     u = lambda key: uniform(seed, *(F.col(k) for k in (*by, "unit")), key)
     up = lambda n: (u(F.lit("up")) >= F.col("q")) == (n % 2 == 0)
     length = lambda n: waiting(F.when(up(n), F.col("mttf")).otherwise(F.col("mttr")), u(n))
     found = cycles(units.select(*by, "unit", "mttf", "mttr", "q"), F.lit(0.0), length, horizon).where(up(F.col("n")))
     last = F.ceil(F.least(F.col("at") + length(F.col("n")), F.lit(horizon)) / step) - 1
-    spans = found.select(*by, "unit", F.ceil(F.col("at") / step).alias("first"), last.alias("last")).where("last >= first")
+    return found.select(*by, "unit", F.ceil(F.col("at") / step).alias("first"), last.alias("last")).where("last >= first")
+
+
+def outage_trace(units: DataFrame, by: list[str], horizon: float, step: float, seed: int) -> DataFrame:
+    """(by, unit, index) of each step in which a unit is up."""
+    spans = up_spans(units, by, horizon, step, seed)
     return spans.select(*by, "unit", F.explode(F.sequence("first", "last")).alias("index"))

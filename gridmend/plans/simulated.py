@@ -57,8 +57,8 @@ select stage, unit, cast(sum(quarters) as bigint) as quarters_up from spans wher
 def outage_trace(t: Tables) -> DataFrame:
     """In how many quarter-hours of a month each unit is up."""
     units = t.part.select((F.col("p_size") % 3).cast("long").alias("stage"), F.col("p_partkey").alias("unit"), F.lit(1100.0).alias("mttf"), F.lit(37.3).alias("mttr"), F.lit(0.03).alias("q"))
-    up = renewal.outage_trace(units, ["stage"], 720.0, 0.25, 3)
-    return up.groupBy("stage", "unit").agg(F.count("*").alias("quarters_up"))
+    up = renewal.up_spans(units, ["stage"], 720.0, 0.25, 3)
+    return up.groupBy("stage", "unit").agg(F.sum(F.col("last") - F.col("first") + 1).alias("quarters_up"))
 
 
 def _sampled(t: Tables) -> DataFrame:

@@ -235,3 +235,21 @@ def test_histories_are_sums_of_keyed_cycles(spark, monkeypatch):
         assert sorted(got[site]) == sorted(want) and len(want) > 50
     assert renewal.cycles(units.where("false"), F.lit(0.0), lambda n: F.lit(1.0), 5.0).count() == 0
     assert [r.n for r in renewal.cycles(units.where("site = 1 and unit = 0"), F.lit(0.0), lambda n: F.lit(1.0), 5.0).orderBy("n").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_histories_end_at_the_horizon_and_are_dealt_out(spark, monkeypatch):
+    """A unit draws no cycles beyond the horizon, and units of one split are followed by many tasks."""
+    written = []
+    monkeypatch.setattr(renewal, "cut", lambda df, name: written.append(df) or df)
+    units = spark.range(0, 64, numPartitions=1).select(F.col("id").alias("unit"))
+    assert renewal.cycles(units, F.lit(0.0), lambda n: F.lit(4.0), 5.0).count() == 128
+    (rows,) = written
+    assert {r.n for r in rows.select(F.size("gm_begun").alias("n")).collect()} == {3}
+    assert rows.rdd.getNumPartitions() > 1
+
+
+def test_up_spans_are_the_steps_of_the_trace(spark):
+    units = spark.range(0, 20).select(F.lit(1).alias("stage"), F.col("id").alias("unit"), F.lit(90.0).alias("mttf"), F.lit(30.0).alias("mttr"), F.lit(0.3).alias("q"))
+    spans = renewal.up_spans(units, ["stage"], 300.0, 0.25, 4).groupBy("unit").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"))
+    steps = renewal.outage_trace(units, ["stage"], 300.0, 0.25, 4).groupBy("unit").agg(F.count_distinct("index").alias("n"))
+    assert {tuple(r) for r in spans.collect()} == {tuple(r) for r in steps.collect()} != set()
