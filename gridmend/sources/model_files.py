@@ -5,7 +5,9 @@
 
 Files are read in splits. A record belongs to the split in which its first line begins; its continuation lines (``~`` or
 ``more``) are read from wherever they lie, and a split skips those it begins with. So a large file is read by many tasks, and
-a record that a cut falls into is read once and whole. Folders are looked through; Arrow opens the files.
+a record that a cut falls into is read once and whole. Small splits and small files are packed into tasks of TASK_BYTES, and what is
+read at once is no larger than a split, so work grows with the bytes of the files however finely they are cut. Folders are looked
+through; Arrow opens the files.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -20,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "file string, at long, verb string, kind string, name string, properties array<struct<key:string,value:string>>"
 SPLIT_BYTES, CHUNK, BATCH = 32 << 20, 1 << 20, 2_000
+#: Bytes of splits that a task takes, and how many tasks there should be before it takes so many.
+TASK_BYTES, LEAST_TASKS = 8 << 20, 32
 _CONTINUES = re.compile(r"\s*(?:~|more\b)(.*)", re.IGNORECASE | re.DOTALL)
 _VALUE = r"\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|\"[^\"]*\"|'[^']*'|[^\s,=]+"
 _TOKEN = re.compile(rf"(?:([^\s=,]+)\s*=\s*)?({_VALUE})")
@@ -53,12 +58,12 @@ def parsed(text: str) -> tuple[str, str | None, str | None, list[tuple[str, str]
     return verb.lower(), kind, name, found
 
 
-def lines(f: pa.NativeFile, at: int) -> Iterator[tuple[int, str]]:
-    """Each line from byte ``at`` on, with its place."""
+def lines(f: pa.NativeFile, at: int, chunk: int = CHUNK) -> Iterator[tuple[int, str]]:
+    """Each line from byte ``at`` on, with its place; ``chunk`` bytes are read first, then twice as many each time, up to CHUNK."""
     f.seek(at)
     rest = b""
     while True:
-        more = f.read(CHUNK)
+        more, chunk = f.read(chunk), min(CHUNK, 2 * chunk)
         *whole, rest = (rest + more).split(b"\n")
         for line in whole:
             yield at, line.decode("utf-8", "replace").rstrip("\r")
@@ -72,7 +77,7 @@ def lines(f: pa.NativeFile, at: int) -> Iterator[tuple[int, str]]:
 def records(f: pa.NativeFile, start: int, stop: int) -> Iterator[tuple[int, str]]:
     """The records that begin in [start, stop), as one line each."""
     now: tuple[int, list[str]] | None = None
-    found = lines(f, max(0, start - 1))
+    found = lines(f, max(0, start - 1), min(CHUNK, stop - start + 1))
     if start:
         next(found, None)  # up to the first line that begins at ``start`` or later
     for at, line in found:
@@ -95,9 +100,23 @@ def records(f: pa.NativeFile, start: int, stop: int) -> Iterator[tuple[int, str]
 
 @dataclass
 class Split(InputPartition):
-    path: str
-    start: int
-    stop: int
+    """``parts``: (path, start, stop) of what a task reads, one after the other."""
+
+    parts: list[tuple[str, int, int]]
+
+
+def packed(splits: list[tuple[str, int, int]]) -> list[Split]:
+    """``splits`` in their order, dealt into tasks."""
+    most = min(TASK_BYTES, -(-sum(stop - start for _, start, stop in splits) // LEAST_TASKS))
+    tasks: list[list] = []
+    room = 0
+    for path, start, stop in splits:
+        if not tasks or stop - start > room:
+            tasks.append([])
+            room = most
+        tasks[-1].append((path, start, stop))
+        room -= stop - start
+    return [Split(parts) for parts in tasks]
 
 
 class ModelFiles(DataSource):
@@ -127,19 +146,21 @@ class _Reader(DataSourceReader):
         fs, root = self._where()
         info = fs.get_file_info(root)
         files = [info] if info.is_file else [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file and i.base_name[0] not in "._"]
-        return [Split(i.path, a, min(i.size, a + self.size)) for i in sorted(files, key=lambda i: i.path) for a in range(0, i.size, self.size)]
+        return packed([(i.path, a, min(i.size, a + self.size)) for i in sorted(files, key=lambda i: i.path) for a in range(0, i.size, self.size)])
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         fs, _ = self._where()
         rows: list[tuple] = []
-        with fs.open_input_file(partition.path) as f:
-            for at, text in records(f, partition.start, partition.stop):
-                verb, kind, name, found = parsed(text)
-                if not self.kinds or kind in self.kinds:
-                    rows.append((partition.path, at, verb, kind, name, [{"key": k, "value": v} for k, v in found]))
-                if len(rows) == BATCH:
-                    yield _batch(rows)
-                    rows = []
+        for path, splits in groupby(partition.parts, key=lambda x: x[0]):
+            with fs.open_input_file(path) as f:
+                for _, start, stop in splits:
+                    for at, text in records(f, start, stop):
+                        verb, kind, name, found = parsed(text)
+                        if not self.kinds or kind in self.kinds:
+                            rows.append((path, at, verb, kind, name, [{"key": k, "value": v} for k, v in found]))
+                        if len(rows) == BATCH:
+                            yield _batch(rows)
+                            rows = []
         if rows:
             yield _batch(rows)
 

@@ -1,5 +1,6 @@
 """The data source for model files: records over lines and splits, and the tables that come of them."""
 
+import io
 import random
 
 import pyarrow as pa
@@ -81,3 +82,28 @@ def test_tables_of_elements(spark, tmp_path, split):
     assert shapes == {"s": (2, 0.5, [0.5, 1.0], None), "f": (None, None, None, "x.csv")}
     only = spark.read.format("model_files").option("classes", "Load, line").load(f"file://{tmp_path}")
     assert only.count() == 2
+
+
+def test_small_splits_share_tasks_and_read_little(tmp_path):
+    """Many splits are few tasks, which read in proportion to the bytes of the files."""
+    text = "".join(f"New Load.L{i} kW={i}\n~ kV=1\n" for i in range(40_000))
+    (tmp_path / "a.dss").write_text(text)
+    (tmp_path / "b.dss").write_text("New Load.Last kW=1\n")
+    reader = mf._Reader({"path": f"file://{tmp_path}", "split_bytes": "256"})
+    tasks = reader.partitions()
+    splits = [x for t in tasks for x in t.parts]
+    assert len(splits) > 4_000 and len(tasks) <= mf.LEAST_TASKS + 1
+    assert sum(stop - start for _, start, stop in splits) == len(text) + 19
+    assert [len(b) for t in tasks for b in reader.read(t)] and sum(b.num_rows for t in tasks for b in reader.read(t)) == 40_001
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            Counted.taken += len(got)
+            return got
+
+    f = Counted(text.encode())
+    assert sum(1 for a in range(0, 65_536, 256) for _ in mf.records(f, a, a + 256)) > 2_000
+    assert Counted.taken < 8 * 65_536
