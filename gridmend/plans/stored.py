@@ -171,10 +171,16 @@ ROLES = "roles as (select o_orderpriority as role, string_agg(o_orderkey || '|'
 
 
 def _role_files(t: Tables) -> str:
-    """A text file for each priority, orders sorted."""
-    path = scratch_path(t.spark, "runs")
+    """A text file for each priority, orders sorted: by ranges of many tasks, whose files are then joined in their order."""
+    path, ranges = scratch_path(t.spark, "runs"), scratch_path(t.spark, "ranges")
     rows = t.orders.select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("|"), F.col("o_orderstatus")).alias("value"), F.col("o_orderpriority").alias("role"))
-    rows.repartition(1, "role").sortWithinPartitions("role", "o_orderkey").select("value", "role").write.partitionBy("role").text(path)
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, "role", "o_orderkey").sortWithinPartitions("role", "o_orderkey").select("value", "role").write.partitionBy("role").text(ranges)
+    parts: dict[str, list[str]] = {}
+    for r in fetch.list_objects(t.spark, ranges).collect():  # a file for each priority and range, by the number of the range
+        folder, _, name = r.path.rpartition("/")
+        parts.setdefault(f"{path}/{folder.rpartition('/')[2]}/part-00000.txt", []).append(r.path)
+    files.joined(t.spark, {k: sorted(x, key=lambda p: p.rpartition("/")[2]) for k, x in parts.items()})
     return path
 
 
@@ -183,7 +189,7 @@ def run_audit(t: Tables) -> DataFrame:
     """What was read: role, digest, bytes and lines of each file."""
     path = _role_files(t)
     role = F.regexp_extract(F.url_decode("path"), "role=([^/]+)", 1)
-    listed = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(role.alias("role"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    listed = files.contents(t.spark, path).select(role.alias("role"), "sha256", F.col("length").alias("bytes"))
     counted = fetch.line_counts(t.spark, f"{path}/*/*.txt").select(role.alias("role"), "n_lines")
     return listed.join(counted, "role")
 

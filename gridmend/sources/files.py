@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar, text
 
+#: Bytes of a file that a task holds at once.
+CHUNK = 1 << 20
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: Sequence[str] = ()) -> DataFrame:
     """CSV (gzip or plain) with a header and a declared schema; malformed rows fail. Only ``columns`` are parsed."""
@@ -83,13 +91,75 @@ def point_in_ring(x, y, ring):
     return F.size(F.filter(pairs, crosses)) % 2 == 1
 
 
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path that Spark tells, and the path there; ArrowException or ValueError where Arrow doesn't know it."""
+    scheme, _, rest = path.partition(":")
+    return pafs.FileSystem.from_uri(f"file:///{quote(rest.lstrip('/'))}" if scheme == "file" else quote(path, safe="/:@"))
+
+
+def _known(path: str) -> bool:
+    try:
+        opened(path)
+    except (pa.ArrowException, ValueError, OSError):
+        return False
+    return True
+
+
+def _sha256(path: str) -> str:
+    fs, at = opened(path)
+    found = hashlib.sha256()
+    with fs.open_input_stream(at) as f:
+        while chunk := f.read(CHUNK):
+            found.update(chunk)
+    return found.hexdigest()
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of all files below a path. Files go through a task in chunks, so they may be of any size; where Arrow
+    doesn't know the file system, Spark reads them whole."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    first = files.select("path").head()
+    if first is None or not _known(first.path):
+        return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_sha256(p) for p in b.column(0).to_pylist()], pa.string())], names=[*b.schema.names, "sha256"])
+
+    return files.select("path", "length").mapInArrow(run, "path string, length long, sha256 string")
+
+
+def joined(spark: SparkSession, parts: dict[str, list[str]]) -> None:
+    """Writes a file for each of ``parts`` (path: the files that make it up, in order). A task copies one in chunks, under another name
+    until it is whole."""
+    rows = spark.createDataFrame(list(parts.items()), "path string, parts array<string>").repartition(max(1, len(parts)), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                fs, at = opened(row["path"])
+                folder, _, name = at.rpartition("/")
+                fs.create_dir(folder, recursive=True)
+                half = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(half) as out:
+                    for part in row["parts"]:
+                        own, source = opened(part)
+                        with own.open_input_stream(source) as f:
+                            while chunk := f.read(CHUNK):
+                                out.write(chunk)
+                fs.move(half, at)
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["path"])
+
+    rows.mapInArrow(run, "path string").collect()  # the paths
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes, sha256) of all files below a path; names are relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = contents(spark, path)
     folder = re.sub(r"^[a-z0-9]+:/+", "/", path).rstrip("/") + "/"
     at = F.instr("path", folder)
     name = F.when(at > 0, F.substring("path", at + len(folder), F.length("path"))).otherwise(F.element_at(F.split("path", "/"), -1))
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), "sha256")
 
 
 def manifest_violations(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:

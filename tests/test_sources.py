@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -73,3 +74,19 @@ def test_config_and_arrays(spark, tmp_path):
         files.load_config(str(tmp_path / "l.json"))
     got = files.array_table(spark, np.arange(6, dtype=np.float32).reshape(2, 3), ["p", "q"]).collect()
     assert {r.profile_id: r.profile for r in got} == {"p": [0.0, 1.0, 2.0], "q": [3.0, 4.0, 5.0]}
+
+
+def test_parts_are_joined_in_order_and_digests_stream(spark, tmp_path):
+    """Files of many ranges become one, and no row holds the contents of a file."""
+    folder = tmp_path / "ranges" / "role=4-NOT SPECIFIED"
+    folder.mkdir(parents=True)
+    parts = [folder / f"part-{i}.txt" for i in (0, 1, 2)]
+    for i, p in enumerate(parts):
+        p.write_bytes(bytes([65 + i]) * (files.CHUNK + i))
+    whole = b"".join(p.read_bytes() for p in parts)
+    target = tmp_path / "runs" / "role=4-NOT SPECIFIED" / "part-00000.txt"
+    files.joined(spark, {f"file://{target}": [f"file:{p}" for p in parts]})
+    assert target.read_bytes() == whole and [p.name for p in target.parent.iterdir() if not p.name.endswith(".crc")] == [target.name]
+    found = files.digests(spark, str(tmp_path / "runs"))
+    assert [tuple(r) for r in found.collect()] == [("role=4-NOT SPECIFIED/part-00000.txt", len(whole), hashlib.sha256(whole).hexdigest())]
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
