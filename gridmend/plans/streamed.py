@@ -18,10 +18,11 @@ def events(t: Tables) -> DataFrame:
     return timeline.events_stream(t.spark, path, t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has written when its input is used up: in complete mode its last batch, else all batches."""
+def finished(stream: DataFrame, mode: str, out: str | None = None) -> DataFrame:
+    """What a stream has written when its input is used up: in complete mode its last batch, else all batches. ``out``: where it goes on
+    from what it has written before."""
     spark = stream.sparkSession
-    out = scratch_path(spark, "stream")
+    out = out or scratch_path(spark, "stream")
     timeline.append_batches(stream, f"{out}/data", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     numbers = timeline.batch_numbers(spark, f"{out}/data")
     if not numbers:
@@ -57,15 +58,18 @@ def stream_without_repeats(t: Tables) -> DataFrame:
 @query("R01 R03 (calls held by a latch)", """with x as (select user_id, epoch_us(ts) as us, value, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 86400000000 then 0 else 1 end as first from events where value >= 60), s as (select *, sum(first) over (partition by user_id order by us rows between unbounded preceding and current row) as k from x)
 select user_id as key, min(us) as opened_us, max(us) + 86400000000 as closed_us, count(*) as shortages, round(max(value), 6) as peak from s group by user_id, k""")
 def stream_shortage_calls(t: Tables) -> DataFrame:
-    """Shortages of each user open calls that are held for a day. The log is streamed in three files by time, and one that ends it."""
-    source = scratch_path(t.spark, "log")
+    """Shortages of each user open calls that are held for a day. The log comes in three parts by time, and one that ends it; the stream
+    takes each as one batch, of as many files as tasks have written, and goes on from its checkpoint with the next."""
+    source, out = scratch_path(t.spark, "log"), scratch_path(t.spark, "stream")
     log = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     cuts = ["2000-01-01", "2024-01-10", "2024-01-20", "2100-01-01"]
-    for begins, ends in zip(cuts, cuts[1:], strict=False):
-        log.where((F.col("ts") >= F.lit(begins).cast("timestamp")) & (F.col("ts") < F.lit(ends).cast("timestamp"))).coalesce(1).write.mode("append").parquet(source)
+    parts = [log.where((F.col("ts") >= F.lit(begins).cast("timestamp")) & (F.col("ts") < F.lit(ends).cast("timestamp"))) for begins, ends in zip(cuts, cuts[1:], strict=False)]
     end = log.groupBy("user_id").agg(F.max("ts").alias("ts")).select("user_id", (F.col("ts") + F.expr("interval 1 second")).alias("ts"), F.lit(None).cast("double").alias("value"))
     last = t.events.agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
-    end.join(last).select("user_id", F.greatest("ts", F.col("last")).alias("ts"), "value").coalesce(1).write.mode("append").parquet(source)
+    parts.append(end.join(last).select("user_id", F.greatest("ts", F.col("last")).alias("ts"), "value"))
     with latch.with_rocks(t.spark):
-        x = finished(latch.shortage_calls(timeline.events_stream(t.spark, source, log.schema), "user_id", "ts", "value", 60.0, 86_400_000_000), "append")
+        for part in parts:
+            part.write.mode("append").parquet(source)
+            rows = timeline.events_stream(t.spark, source, log.schema, files_per_trigger=1_000_000)
+            x = finished(latch.shortage_calls(rows, "user_id", "ts", "value", 60.0, 86_400_000_000), "append", out)
     return x.select("key", "opened_us", "closed_us", "shortages", R("peak", 6).alias("peak"))

@@ -87,3 +87,21 @@ def test_a_latch_with_a_restart_gives_what_one_batch_gives(spark, tmp_path):
     go(schema)
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     assert got == calls_of(minutes(first + second + third[1:]), hour)
+
+
+def test_the_log_of_shortages_is_written_by_many_tasks(spark, small, monkeypatch):
+    """Each part of the log is one batch, however many files it has, and a key without calls to tell costs no rows."""
+    from gridmend.plans import QUERIES, streamed
+
+    files, real = [], timeline.events_stream
+
+    def seen(spark, source, schema, **more):
+        files.append(len(spark.read.parquet(source).inputFiles()))
+        return real(spark, source, schema, **more)
+
+    monkeypatch.setattr(streamed.timeline, "events_stream", seen)
+    monkeypatch.setattr(streamed.Tables, "__getattr__", lambda t, name: t.spark.read.parquet(f"{t.folder}/{name}.parquet").repartition(3))
+    got = QUERIES["stream_shortage_calls"](spark, small)
+    events = spark.read.parquet(f"{small}/events.parquet").where("value >= 60")
+    assert got.agg(F.sum("shortages")).first()[0] == events.count()
+    assert files[0] == 3 and len(files) == 4
