@@ -23,18 +23,21 @@ def packed(edges: DataFrame, state: str, a: str, b: str, features: Sequence[str]
     in their order and belong to the batch in which they end, so a batch has ``batch_bytes`` and less than one state more. Edges without
     both ends are left out. A state is one row, which must fit in a task's memory.
     """
-    own = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(state).alias("state"), F.col(a).alias("a"), F.col(b).alias("b"), F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features)).alias("x"))
-    own = cut(own, "edges")
-    ends = own.select("state", F.explode(F.array("a", "b")).alias("node")).distinct()
-    numbered = ends.withColumn("i", F.row_number().over(W.partitionBy("state").orderBy("node")) - 1)
-    end = lambda of, name: numbered.select("state", F.col("node").alias(of), F.col("i").alias(name))
-    met = own.join(end("a", "source"), ["state", "a"]).join(end("b", "target"), ["state", "b"])
-    rows = met.groupBy("state").agg(F.sort_array(F.collect_list(F.struct("source", "target", "x"))).alias("e"))
-    names = numbered.groupBy("state").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "node"))), lambda s: s["node"]).alias("nodes"))
+    own = edges.where(F.col(state).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(state).alias("state"), F.col(a).alias("a"), F.col(b).alias("b"), F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features)).alias("x"))
+    # edges are shuffled once, by state: both ends are numbered and rows of states made where a state is
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda far, node: F.struct(F.lit(far).alias("far"), F.col(node).alias("node"))
+    ends = own.repartition(parts, "state").select("state", "a", "b", "x", F.explode(F.array(side(False, "a"), side(True, "b"))).alias("end")).select("state", "a", "b", "x", "end.*")
+    numbered = ends.withColumn("i", F.dense_rank().over(W.partitionBy("state").orderBy("node")) - 1)
+    # edges that are alike have the same numbers, so sorted lists of both ends match
+    of = lambda far: F.sort_array(F.collect_list(F.when(F.col("far") == far, F.struct("a", "b", "x", "i"))))
+    rows = numbered.groupBy("state").agg(of(False).alias("near"), of(True).alias("far"), F.sort_array(F.collect_set(F.struct("i", "node"))).alias("names"))
+    each = F.zip_with("near", "far", lambda p, q: F.struct(p["i"].alias("source"), q["i"].alias("target"), p["x"].alias("x")))
+    rows = rows.select("state", F.sort_array(each).alias("e"), F.transform("names", lambda s: s["node"]).alias("nodes"))
     n = F.size("e")
     size = F.ceil(n / multiple).cast("int") * multiple
     pad = lambda values, empty: F.concat(values, F.array_repeat(empty, size - n))
-    made = rows.join(names, "state").select(
+    made = rows.select(
         "state",
         F.size("nodes").alias("n_nodes"),
         n.alias("n_edges"),
@@ -43,11 +46,12 @@ def packed(edges: DataFrame, state: str, a: str, b: str, features: Sequence[str]
         pad(F.transform("e", lambda s: s["target"]), F.lit(0)).alias("target"),
         pad(F.transform("e", lambda s: F.lit(True)), F.lit(False)).alias("mask"),
         pad(F.transform("e", lambda s: s["x"]), F.array_repeat(F.lit(0.0), len(features))).alias("features"),
+        (size * (9 + 8 * len(features))).cast("long").alias("gm_bytes"),
     )
-    bytes_ = (F.size("source") * (9 + 8 * len(features))).cast("long")
-    before = scan.sums_before(scan.placed(made.withColumn("gm_bytes", bytes_), [], ["state"]), [], {"gm_start": F.col("gm_bytes")})
-    batch = F.floor((F.col("gm_start") + F.col("gm_bytes") - 1) / batch_bytes)
-    return before.select("state", batch.alias("batch"), "n_nodes", "n_edges", "nodes", "source", "target", "mask", "features")
+    made = cut(made, "tensors")  # once: ranges are drawn from a sample, for which the rest would run again
+    before = scan.sums_before(scan.placed(made.select("state", "gm_bytes"), [], ["state"]), [], {"gm_start": F.col("gm_bytes")})
+    batch = before.select("state", F.floor((F.col("gm_start") + F.col("gm_bytes") - 1) / batch_bytes).alias("batch"))
+    return made.join(batch, "state").select("state", "batch", "n_nodes", "n_edges", "nodes", "source", "target", "mask", "features")
 
 
 def unpacked(tensors: DataFrame) -> DataFrame:

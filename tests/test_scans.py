@@ -170,3 +170,13 @@ def test_rollups_agree_and_skip_nulls(spark):
     got = publish.rolled_up(df, "k", "at", "x").collect()
     assert {(r.resolution): sum(1 for q in got if q.resolution == r.resolution) for r in got} == {"quarter": 200, "hour": 50, "day": 3}
     assert all(sum(r.n * r.mean for r in got if r.resolution == name) == sum(range(200)) for name in publish.RESOLUTIONS)
+
+
+def test_edge_tensors_sort_sizes_and_not_arrays(spark, monkeypatch):
+    """Ranges are made of states' sizes alone; edges that are alike all stay, and one without a state is left out."""
+    placed, real = [], tensors.scan.placed
+    monkeypatch.setattr(tensors.scan, "placed", lambda rows, *more: placed.append(rows.columns) or real(rows, *more))
+    rows = [(1, 7, 8, 2.0), (1, 7, 8, 2.0), (1, 7, 8, 1.0), (1, 8, 8, 3.0), (None, 1, 2, 1.0)]
+    (r,) = tensors.packed(spark.createDataFrame(rows, "s int, a int, b int, x double"), "s", "a", "b", ["x"], 8).collect()
+    assert placed == [["state", "gm_bytes"]]
+    assert (r.nodes, r.source[:4], r.target[:4], [x for (x,) in r.features[:4]], sum(r.mask), len(r.mask)) == ([7, 8], [0, 0, 0, 1], [1, 1, 1, 1], [1.0, 2.0, 2.0, 3.0], 4, 8)
