@@ -107,8 +107,11 @@ def classify_filter(docs: DataFrame, labels: DataFrame, train, least: float = 0.
     an empty table. Columns of any other name are carried along, whatever they are called.
     """
     model = fit(docs if model_docs is None else model_docs, labels, train)
-    packed = docs.select("text", F.struct(*quoted(docs.columns)).alias("gm_row"))
-    return score_quality(packed, model, "gm_score").where(F.col("gm_score") >= least).select("gm_row.*")
+    packed = docs.select(F.struct(*quoted(docs.columns)).alias("gm_row"))
+    known, place = docs.sparkSession.sparkContext.broadcast(model), place_of(docs.columns, "text")
+    # the text is looked up in its row: a column of its own beside it would send each text to Python and back twice
+    score = lambda: lambda b: pa.array(known.value.score(b.column(0).field(place).to_pylist()), pa.float64())
+    return appended(packed, "gm_score", score, F.lit(0.0)).where(F.col("gm_score") >= least).select("gm_row.*")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

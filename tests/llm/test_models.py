@@ -457,3 +457,19 @@ def test_mixing_odd_rows(spark, documents):
     assert mixing.mix_rows(df, spark.createDataFrame([(1,)], "doc_id long")).columns == df.columns
     with pytest.raises(ValueError):
         mixing.mix_rows(df, spark.createDataFrame([(1,)], "doc_id long"), {"xx": 1.0})
+
+
+def test_the_classifier_sends_each_text_once(spark, monkeypatch):
+    """What goes to Python is the row alone, in which the text is looked up, whatever its place and whichever columns are beside it."""
+    from gridmend.llm import quality_classifier as qc
+
+    sent, real = [], qc.appended
+    monkeypatch.setattr(qc, "appended", lambda df, *more: sent.append(df.columns) or real(df, *more))
+    docs = spark.createDataFrame([(i, None if i == 7 else f"some words {i} " * (1 + i % 5), "en") for i in range(1200)], "doc_id long, Text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = qc.fit(docs, labels, F.lit(True))
+    want = {r.doc_id for r in qc.score_quality(docs, model).where("score >= 0.5").collect()}
+    sent.clear()
+    kept = qc.classify_filter(docs, labels, F.lit(True), 0.5)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want and 0 < len(want)
+    assert sent == [["gm_row"]]
