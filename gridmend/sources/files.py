@@ -91,6 +91,12 @@ def point_in_ring(x, y, ring):
     return F.size(F.filter(pairs, crosses)) % 2 == 1
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, which a plain one has from the cluster's settings."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path that Spark tells, and the path there; ArrowException or ValueError where Arrow doesn't know it."""
     scheme, _, rest = path.partition(":")
@@ -132,7 +138,7 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
 def joined(spark: SparkSession, parts: dict[str, list[str]]) -> None:
     """Writes a file for each of ``parts`` (path: the files that make it up, in order). A task copies one in chunks, under another name
     until it is whole."""
-    rows = spark.createDataFrame(list(parts.items()), "path string, parts array<string>").repartition(max(1, len(parts)), "path")
+    rows = spark.createDataFrame([(qualified(spark, k), [qualified(spark, p) for p in x]) for k, x in parts.items()], "path string, parts array<string>").repartition(max(1, len(parts)), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

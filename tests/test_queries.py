@@ -1,12 +1,13 @@
 """Every query with an oracle against DuckDB on the smallest tables; the others for rows and a stable schema."""
 
 import math
+import uuid
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from gridmend.plans import QUERIES
+from gridmend.plans import QUERIES, stored
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -53,6 +54,12 @@ def test_query_without_oracle_repeats(spark, small, name):
     assert sorted(map(repr, first.collect())) == sorted(map(repr, again.collect()))
 
 
+@pytest.mark.parametrize("name", ["pinned_files"])
+def test_role_files_in_a_shared_folder_without_a_scheme(spark, small, oracle, name, monkeypatch, tmp_path):
+    monkeypatch.setattr(stored, "scratch_path", lambda session, kind: f"{tmp_path}/{kind}-{uuid.uuid4().hex}")
+    test_query_equals_its_oracle(spark, small, oracle, name)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

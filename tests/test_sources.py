@@ -90,3 +90,12 @@ def test_parts_are_joined_in_order_and_digests_stream(spark, tmp_path):
     found = files.digests(spark, str(tmp_path / "runs"))
     assert [tuple(r) for r in found.collect()] == [("role=4-NOT SPECIFIED/part-00000.txt", len(whole), hashlib.sha256(whole).hexdigest())]
     assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_are_joined_at_plain_paths(spark, tmp_path):
+    """A path without a scheme names the same file as with one, whatever its letters."""
+    (tmp_path / "a b").write_bytes(b"x")
+    (tmp_path / "c=1%20").write_bytes(b"y")
+    target = tmp_path / "runs" / "role=4-NOT SPECIFIED %41" / "part-00000.txt"
+    files.joined(spark, {str(target): [str(tmp_path / "a b"), str(tmp_path / "c=1%20")]})
+    assert target.read_bytes() == b"xy" and [p.name for p in (tmp_path / "runs").iterdir()] == [target.parent.name]
