@@ -98,8 +98,11 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path that Spark tells, and the path there; ArrowException or ValueError where Arrow doesn't know it."""
+    """The file system of a path that Spark tells, and the path there; ArrowException or ValueError where Arrow doesn't know it. A plain
+    path is none that Spark tells: which file system it is on is known to the driver alone, see qualified()."""
     scheme, _, rest = path.partition(":")
+    if not rest or "/" in scheme:
+        raise ValueError(f"{path} has no scheme")
     return pafs.FileSystem.from_uri(f"file:///{quote(rest.lstrip('/'))}" if scheme == "file" else quote(path, safe="/:@"))
 
 

@@ -54,7 +54,7 @@ def test_query_without_oracle_repeats(spark, small, name):
     assert sorted(map(repr, first.collect())) == sorted(map(repr, again.collect()))
 
 
-@pytest.mark.parametrize("name", ["pinned_files"])
+@pytest.mark.parametrize("name", ["pinned_files", "provenance", "run_audit"])
 def test_role_files_in_a_shared_folder_without_a_scheme(spark, small, oracle, name, monkeypatch, tmp_path):
     monkeypatch.setattr(stored, "scratch_path", lambda session, kind: f"{tmp_path}/{kind}-{uuid.uuid4().hex}")
     test_query_equals_its_oracle(spark, small, oracle, name)

@@ -99,3 +99,5 @@ def test_parts_are_joined_at_plain_paths(spark, tmp_path):
     target = tmp_path / "runs" / "role=4-NOT SPECIFIED %41" / "part-00000.txt"
     files.joined(spark, {str(target): [str(tmp_path / "a b"), str(tmp_path / "c=1%20")]})
     assert target.read_bytes() == b"xy" and [p.name for p in (tmp_path / "runs").iterdir()] == [target.parent.name]
+    with pytest.raises(ValueError, match="no scheme"):
+        files.opened(str(target))
